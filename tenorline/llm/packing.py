@@ -13,6 +13,8 @@ smaller share than 1 / MAX_QUEUES share FALLBACK hashed queues, which bounds the
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +32,23 @@ WINDOW, QUANTUM, MAX_QUEUES, FALLBACK = 2048, 256, 512, 32
 #: Weights of queues are integers that sum to 2 ** WEIGHT_BITS.
 WEIGHT_BITS = 24
 #: Distinct words whose ids a task remembers.
-REMEMBER = 400_000
+REMEMBER = 500_000
+
+
+#: A symbol before a full stop or comma: the tokenizer takes such a run as one word, so it isn't split.
+_RUN = re.compile(r"[^\w\s][.,] |_[.,] ")
+
+
+def plain(text: str) -> str:
+    """A text of the same ids in which fewer distinct words lie between blanks: other white space becomes a blank, letters become small,
+    and a full stop or comma between a letter or digit and a blank stands apart (the tokenizer splits there in any case)."""
+    text = text.replace("\n", " ")
+    try:
+        text.encode("latin-1")  # in these characters small letters are one for one and normalisation changes nothing
+    except UnicodeEncodeError:
+        return text
+    text = text.lower()
+    return text if _RUN.search(text) else text.replace(". ", " . ").replace(", ", " , ")
 
 
 class Words(dict):
@@ -42,19 +60,20 @@ class Words(dict):
     def at(cls, path: str) -> Words:
         """This Python worker's own memory of a tokenizer; it lives as long as the worker."""
         if path not in cls.of:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
             cls.of[path] = cls()
-            cls.of[path].tokenizer = Tokenizer.from_file(path)
+            cls.of[path].encode = Tokenizer.from_file(path).encode
         return cls.of[path]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split = [x.split(" ") for x in texts]
-        if len(self) > REMEMBER:
-            self.clear()
-        new = list({w for words in split for w in words if w not in self})
-        for w, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(x.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+    def __missing__(self, word: str) -> bytes:
+        out = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self) < REMEMBER:  # words beyond that, the rarer ones as a rule, are encoded again where they come up
+            self[word] = out
+        return out
+
+    def __call__(self, text: str) -> bytes:
+        """The ids of a text."""
+        return b"".join(map(self.__getitem__, plain(text).split(" ")))
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
@@ -68,8 +87,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
         block, words, end, places = TaskContext.get().partitionId(), Words.at(path), np.array([end_id], dtype="<u4").tobytes(), {}
         for batch in batches:
             sources, out, place = [x or "" for x in batch.column(2).to_pylist()], [], []
-            for found, source in zip(words([x or "" for x in batch.column(1).to_pylist()]), sources, strict=True):
-                ids = np.frombuffer(found + end, dtype="<u4")
+            for text, source in zip(batch.column(1), sources, strict=True):
+                ids = np.frombuffer(words(text.as_py() or "") + end, dtype="<u4")
                 place.append(places.get(source, 0))
                 places[source] = place[-1] + len(ids)
                 out.append(ids)
@@ -109,31 +128,37 @@ class Rounds:
         """Tokens that each queue (columns) has sent after each number of rounds (rows)."""
         return np.minimum((rounds[:, None] * self.w[None, :] >> self.shift) * QUANTUM, self.total[None, :])
 
-    def pieces(self, queue: str, first: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start in the document, length, place in the stream of the pieces of a document whose first token is the queue's token number first."""
-        s = self.at[queue]
-        cells = np.arange(first // QUANTUM, (first + n - 1) // QUANTUM + 1, dtype=np.int64)
+    def pieces(self, queue: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pieces of documents, given the number of their queue, their first token there and their tokens: the document's
+        place in the lists, start in it, length and place in the stream."""
+        low, many = first // QUANTUM, (first + n - 1) // QUANTUM - first // QUANTUM + 1
+        doc = np.repeat(np.arange(len(n)), many)
+        cells = low[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+        s = queue[doc]
         rounds = -(-((cells + 1) << self.shift) // self.w[s]) - 1
         place = np.empty(len(cells), dtype=np.int64)
-        for at in range(0, len(cells), 4096):  # a very long document, by parts
-            r = rounds[at : at + 4096]
+        for at in range(0, len(cells), 4096):  # parts, as each has a row of all queues
+            here = slice(at, at + 4096)
+            r, q = rounds[here], s[here]
             before, after = self.sent(r), self.sent(r + 1)
-            place[at : at + 4096] = after[:, :s].sum(axis=1) + before[:, s:].sum(axis=1) + cells[at : at + 4096] * QUANTUM - before[:, s]
-        lo = np.maximum(cells * QUANTUM, first)
-        hi = np.minimum((cells + 1) * QUANTUM, first + n)
+            earlier = np.arange(len(self.w))[None, :] < q[:, None]
+            place[here] = np.where(earlier, after, before).sum(axis=1) + cells[here] * QUANTUM - before[np.arange(len(q)), q]
+        lo = np.maximum(cells * QUANTUM, first[doc])
+        hi = np.minimum((cells + 1) * QUANTUM, (first + n)[doc])
         place += lo - cells * QUANTUM
-        joined = np.flatnonzero(np.append(True, place[1:] != place[:-1] + (hi - lo)[:-1]))  # quanta that follow each other are one piece
-        lo, hi, place = lo[joined], hi[np.append(joined[1:], len(hi)) - 1], place[joined]
-        parts = (place + hi - lo - 1) // WINDOW - place // WINDOW + 1  # cut at windows
+        # Quanta of a document that follow each other in the stream are one piece, which is then cut at windows.
+        joined = np.flatnonzero(np.append(True, (place[1:] != (place + hi - lo)[:-1]) | (doc[1:] != doc[:-1])))[: len(cells)]
+        doc, lo, hi, place = doc[joined], lo[joined], hi[np.append(joined[1:], len(hi)) - 1], place[joined]
+        parts = (place + hi - lo - 1) // WINDOW - place // WINDOW + 1
         of = np.repeat(np.arange(len(lo)), parts)
         k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
         begin = np.maximum(place[of], (place[of] // WINDOW + k) * WINDOW)
         end = np.minimum((place + hi - lo)[of], (place[of] // WINDOW + k + 1) * WINDOW)
-        return lo[of] + begin - place[of] - first, end - begin, begin
+        return doc[of], (lo - first[doc])[of] + begin - place[of], end - begin, begin
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, mixture: dict[str, float] | None = None) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, mixture: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
+    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source and, unless with_ids is False, ids.
 
     mixture: target shares by source; default: the shares of tokens. Null or empty texts give end_id alone, one piece; a null
     doc_id stays null; a repeated row is packed each time; an empty table gives no piece. Each token lies in exactly one piece;
@@ -160,16 +185,18 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, mixture: dict[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rounds = Rounds(*held.value)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(9)]
-            for doc_id, source, n, ids, queue, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
-                start, length, place = rounds.pieces(queue, first, n)
-                for a, m, x in zip(start.tolist(), length.tolist(), place.tolist(), strict=True):
-                    own = data[a : a + m].tobytes()
-                    for column, value in zip(rows, (doc_id, a, m, zlib.crc32(own), n, x // WINDOW, x % WINDOW, source, own), strict=True):
-                        column.append(value)
-            kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"])
-
+            if not batch.num_rows:
+                continue
+            doc_id, source, n, ids, queue, first = batch.columns
+            n = n.to_numpy()
+            doc, start, length, place = rounds.pieces(np.array([rounds.at[x] for x in queue.to_pylist()]), first.to_numpy(), n)
+            data = [np.frombuffer(x, dtype="<u2" if len(x) == 2 * m else "<u4").astype("<u4") for x, m in zip(ids.to_pylist(), n.tolist(), strict=True)]
+            own = [data[d][a : a + m].tobytes() for d, a, m in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            at = pa.array(doc)
+            columns = [doc_id.take(at), pa.array(start), pa.array(length), pa.array(list(map(zlib.crc32, own)), pa.int64()), pa.array(n[doc]), pa.array(place // WINDOW), pa.array(place % WINDOW), source.take(at), *([pa.array(own, pa.binary())] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
     placed = tokens.join(bases, ["source", "block"]).select("doc_id", "source", "n", "ids", "queue", (F.col("base") + F.col("place")).alias("first"))
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
+    return placed.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixture-controlled packing of all documents into sequences of 2048 tokens."""
-    return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE).drop("ids")
+    return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE, with_ids=False)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
