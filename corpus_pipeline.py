@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenorline.llm import packing, toxicity
+from tenorline.llm import neardup, packing, suffix_dedup, toxicity
 from tenorline.llm.common import materialize, read
 from tenorline.llm.queries import WORD_BPE
 
@@ -14,12 +14,22 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.keep_one(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of repeated strings; a text may end up empty, its document stays."""
+    return suffix_dedup.remove(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences, with their ids."""
     return packing.pack(docs, WORD_BPE)
 
 
-STAGES = [("toxicity", without_toxic), ("packing", packed)]
+STAGES = [("toxicity", without_toxic), ("minhash", one_of_each), ("suffix", without_repeats), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder that has the package; a cluster also needs it installed or shipped with --py-files.
+ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of one Arrow batch that Spark hands to Python; rows are not cut, a longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -18,7 +22,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that a task never holds more than a few long texts at once."""
+    """Bound Arrow batches by bytes, so that a task never holds more than a few long texts at once, and let Python workers find this package."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
