@@ -6,18 +6,51 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, packing, suffix_dedup, toxicity
+from . import bpe, hamming_search, hilbert, iblt, neardup, packing, suffix_dedup, token_counts, toxicity, url_filter
 from .common import read
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by byte-level BPE and decoded again, as digests."""
+    ranks = bpe.load_ranks(BYTE_BPE)
+    both = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: (host, path, verdict) of fixed rules.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages, by fixed rules and else by rules mined from labelled pages (a page has the label of the document of its id)."""
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return url_filter.judge(pages, bad, RULES)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+#: Three edits of each document: a replacement in its first third, a passage copied into the middle, an addition at the end.
+EDITS = """array(
+    named_struct('at', cast(length(coalesce(text, '')) div 3 as bigint), 'cut', 8L, 'new', 'an edited passage, '),
+    named_struct('at', cast(length(coalesce(text, '')) div 2 as bigint), 'cut', 0L, 'new', substring(coalesce(text, ''), 1, 40)),
+    named_struct('at', cast(length(coalesce(text, '')) + 100 as bigint), 'cut', 0L, 'new', '\\n The end.'))"""
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, before and after three edits of each, with the characters encoded again for these."""
+    done = token_counts.recount(read(spark, sf_dir, "documents"), EDITS, BYTE_BPE, public_tokenizers.PATTERN)
+    return done.select("doc_id", "n_tokens", "edited_tokens", F.sha2("edited_text", 256).alias("edited_sha256"), "encoded")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixture-controlled packing of all documents into sequences of 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE, with_ids=False)
@@ -33,11 +66,44 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards along a Hilbert curve, equal in rows."""
+    placed = hilbert.shards(read(spark, sf_dir, "documents"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op9_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts."""
+    return iblt.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other vectors, by binary code, of every vector whose id is divisible by 100."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return hamming_search.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_url_rules": op2_url_rules,
     "op3_minhash": op3_minhash,
+    "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_hilbert": op8_hilbert,
+    "op9_iblt": op9_iblt,
+    "op10_hamming": op10_hamming,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_hamming": """
+        WITH pairs AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
+                   CAST(len(list_filter(generate_series(1, 64), lambda i: (q.embedding[i] > 0) <> (v.embedding[i] > 0))) AS INTEGER) AS distance
+            FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs
+        )
+        SELECT * FROM ranked WHERE rank <= 10""",
+}
