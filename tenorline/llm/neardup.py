@@ -6,10 +6,11 @@ the value of the first filled bin in a pseudo-random probe sequence of its own (
 with probability J between sets of similarity J. ROWS bins make a band key; texts with a key in common share a bucket. A pair of
 similarity 0.75 misses all buckets with probability (1 - 0.75 ** 4) ** 48 < 2e-8.
 
-Equal sets are one node. A bucket of m nodes emits m - 1 candidate edges, a star around its smallest node, not m * m / 2 pairs;
-each candidate is confirmed on the full sets, and confirmed links merge nodes into components. What a star can't see, two
-members of different components that only link with each other, is looked for in further rounds: buckets whose later members
-still lie in different components get 4, 16, 64 ... centres, whose edges go only to other components, until none is left.
+Equal sets are one node. A bucket of m nodes emits m - 1 candidate edges, a star around its weightiest node, not m * m / 2 pairs;
+each candidate is confirmed on the full sets, and confirmed links merge nodes into components. What a star can't see is a link of
+two members of which one does not link with the centre. Such a pair shares hashes outside the centre's set (or is smaller than
+it), so the next round's buckets are hashes outside the sets of centres that failed, again with stars, until no pair is new.
+No link of sets with a bucket in common is lost, and edges stay as many as rows of buckets.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, mix, small_batches, utf8
@@ -115,11 +116,25 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity of a link. Sizes are compared before sets are joined."""
-    near = pairs.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT))
-    both = near.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return both.withColumn("i", shared).where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * PERCENT).select("a", "b")
+    """pairs (a, na, b, nb) with shared (hashes that both full sets have), linked, and apart: the first hashes of b that a lacks.
+
+    Two sets that link share at least 0.75 of either. So if b links with a set c beyond what both share with a, they have in
+    common at least so many of the hashes outside a that one of the first ones, in the order of hashes, is among them.
+    """
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = both.withColumn("shared", F.size(F.array_intersect("ha", "hb")).cast("long"))
+    need = F.greatest(F.ceil(F.col("nb") * PERCENT / 100) - F.col("shared"), F.lit(1))
+    apart = F.slice(F.array_except("hb", "ha"), F.lit(1), F.greatest(F.col("nb") - F.col("shared") - need + 1, F.lit(0)).cast("int"))
+    linked = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * PERCENT
+    return both.select("a", "na", "b", "nb", "shared", linked.alias("linked"), apart.alias("apart"))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Candidate pairs (a, na, b, nb) of buckets (key, node, n, w): each node with the one of largest weight w, then smallest id."""
+    heaviest = F.max_by(F.struct("node", "n"), F.struct(F.col("w"), -F.col("node")))
+    centres = members.groupBy("key").agg(heaviest.alias("c"))
+    both = members.join(centres, "key").where(F.col("node") != F.col("c.node"))
+    return both.select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,34 +172,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = signed.where("n_shingles > 0 and doc_id is not null")
     nodes = materialize(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     exploded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    stars = exploded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("centre"), F.count("*").alias("m")).where("m > 1")
-    members = materialize(exploded.join(stars, "key").select("key", "m", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("nc")), "buckets")
-    wanted = members.select(F.col("node").alias("id")).distinct()
+    sizes = exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = materialize(exploded.join(sizes, "key"), "buckets")
+    weights = members.groupBy("node").agg(F.sum("m").alias("w"))  # a text in the middle of many near copies shares the most buckets
+    members = materialize(members.join(weights, "node").select("key", "node", "n", "w"), "buckets")
+    wanted = weights.select(F.col("node").alias("id"))
     texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
     sets = materialize(_sets(texts.select("doc_id", "text")), "sets")
-    pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("nc").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    links = materialize(confirm(pairs, sets), "links")
+    weights = materialize(weights, "weights")
     # An id with several texts joins their sets.
     several = known.select("doc_id", "set_key").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
-    links = links.unionAll(known.join(several, "doc_id", "left_semi").join(nodes.select("set_key", "node"), "set_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    merged, reach = components(links), 1
+    links = known.join(several, "doc_id", "left_semi").join(nodes.select("set_key", "node"), "set_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    tested, pairs = None, materialize(_stars(members), "pairs")
     while True:
-        # Members of rank up to reach have been centres of their buckets. Are later ones of a bucket still apart?
-        at = members.where(F.col("m") > reach + 1).join(merged, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        ranked = materialize(at.join(mixed, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))), "ranked")
-        apart = ranked.where(F.col("rank") > reach).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        centres = ranked.where((F.col("rank") > reach) & (F.col("rank") <= reach * 4)).join(apart, "key").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        if centres.isEmpty():
+        found = materialize(confirm(pairs, sets), "tested")
+        tested = found if tested is None else tested.unionAll(found)
+        links = links.unionAll(found.where("linked").select("a", "b"))
+        merged = components(links)
+        # Centres with new edges, some of which failed: their neighbours may still link with each other.
+        failed = tested.where("not linked").select("a").distinct()
+        hubs = found.select("a").distinct().join(failed, "a", "left_semi")
+        name = merged.select(F.col("node").alias("b"), "component")
+        edges = tested.join(hubs, "a", "left_semi").join(name, "b", "left").withColumn("component", F.coalesce("component", "b"))
+        several_parts = edges.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
+        edges = materialize(edges.join(several_parts, "a", "left_semi"), "edges")
+        # Sets that link share a hash outside the centre's set ...
+        rows = edges.select(F.explode("apart").alias("x"), "a", F.col("b").alias("node"), F.col("nb").alias("n"), "component").withColumn("key", F.xxhash64("a", "x"))
+        mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        inner = rows.join(mixed, "key").join(weights, "node").select("key", "node", "n", "w")
+        # ... or else what each shares with it is enough for both, which takes sets smaller than the centre's.
+        enough = lambda n, m: (F.col(n) + F.col(m)) * PERCENT
+        left = edges.where("not linked").select("a", "b", "nb", "shared", "component")
+        right = edges.select("a", F.col("b").alias("c"), F.col("nb").alias("nc"), F.col("shared").alias("sc"), F.col("component").alias("other"))
+        small = left.join(edges.groupBy("a").agg(F.min("nb").alias("least")), "a").where(F.col("shared") * (100 + PERCENT) >= enough("nb", "least"))
+        nested = small.join(right, "a").where((F.col("component") != F.col("other")) & (F.least("shared", "sc") * (100 + PERCENT) >= enough("nb", "nc")))
+        nested = nested.select(F.least("b", "c").alias("a"), F.when(F.col("b") < F.col("c"), F.col("nb")).otherwise(F.col("nc")).alias("na"), F.greatest("b", "c").alias("b"), F.when(F.col("b") < F.col("c"), F.col("nc")).otherwise(F.col("nb")).alias("nb"))
+        done = tested.select("a", "b").unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = materialize(_stars(inner).unionAll(nested).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
             break
-        others = ranked.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), "component")
-        more = centres.join(others, "key").where("a < b and ca <> component").select("a", "na", "b", "nb").distinct()
-        found = materialize(confirm(more, sets), "links")
-        if not found.isEmpty():
-            links = links.unionAll(found)
-            merged = components(links)
-        discard(ranked)
-        reach *= 4
     named = nodes.select("set_key", "node").join(merged, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
     out = signed.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
