@@ -38,8 +38,8 @@ LENGTH, K = 400, 100
 #: Most different units of one anchor that are sorted together, and the windows of the parts into which more are cut.
 HOT, PARTS = 1000, (16, 1)
 #: Units that a receiver sorts at once, and bytes of units that a sender gathers before it sends runs.
-BUCKET, RUN_BYTES = 4000, 24 << 20
-_UNIT = "doc_id long, h long, c long, i0 int, i1 int, p int, a long, s long"
+BUCKET, RUN_BYTES = 4000, 8 << 20
+_UNIT = "h long, c long, i0 int, i1 int, p int, a long, s long"
 
 
 def _signed(x: int) -> int:
@@ -72,7 +72,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             rows, a, s = [], [], []
-            for k, text in enumerate(utf8(batch.column(1))):
+            for k, text in enumerate(utf8(batch.column(0))):
                 found = anchors(np.frombuffer(text, dtype=np.uint8))
                 rows.append(np.column_stack([np.full(len(found), k), found]))
                 for i0, i1, p in found.tolist():
@@ -80,9 +80,9 @@ def _scan(docs: DataFrame) -> DataFrame:
                     s.append(_signed(digest(text[i0 : i1 + LENGTH])))
             at, i0, i1, p = np.concatenate(rows).T if rows else np.zeros((4, 0), dtype=np.int64)
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(3).take(take), *(pa.array(x, pa.int32()) for x in (i0, i1, p)), pa.array(a, pa.int64()), pa.array(s, pa.int64())], ["doc_id", "h", "c", "i0", "i1", "p", "a", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), *(pa.array(x, pa.int32()) for x in (i0, i1, p)), pa.array(a, pa.int64()), pa.array(s, pa.int64())], ["h", "c", "i0", "i1", "p", "a", "s"])
 
-    return docs.select("doc_id", "text", "h", "c").mapInArrow(run, _UNIT)
+    return docs.select("text", "h", "c").mapInArrow(run, _UNIT)
 
 
 def _cut(rows: DataFrame, docs: DataFrame, windows: int) -> DataFrame:
@@ -92,26 +92,26 @@ def _cut(rows: DataFrame, docs: DataFrame, windows: int) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             out: list[tuple] = []
-            for text, doc_id, h, c, units in zip(utf8(batch.column(0)), *(x.to_pylist() for x in batch.columns[1:]), strict=True):
+            for text, h, c, units in zip(utf8(batch.column(0)), *(x.to_pylist() for x in batch.columns[1:]), strict=True):
                 for u in units:
                     i0, i1, p = u["i0"], u["i1"], u["p"]
                     for part in range((p - i1) // windows, (p - i0) // windows + 1):
                         near, far = p - part * windows, p - part * windows - windows + 1  # last and first window of the part, if all are there
                         lo, hi = max(i0, far), min(i1, near)
                         core = digest(text[near : far + LENGTH], (u["a"] ^ part * 0x9E3779B97F4A7C15) & (2**64 - 1))
-                        out.append((doc_id, h, c, lo, hi, near, _signed(core), _signed(digest(text[lo : hi + LENGTH], core ^ near - lo))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()] * 2)], ["doc_id", "h", "c", "i0", "i1", "p", "a", "s"])
+                        out.append((h, c, lo, hi, near, _signed(core), _signed(digest(text[lo : hi + LENGTH], core ^ near - lo))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] * 2)], ["h", "c", "i0", "i1", "p", "a", "s"])
 
     return _with_texts(rows, docs).mapInArrow(run, _UNIT)
 
 
 def _with_texts(units: DataFrame, docs: DataFrame) -> DataFrame:
-    """text, doc_id, h, c and the list of units of each text that has any; a text's units are bounded by its length."""
-    own = units.groupBy("doc_id", "h", "c").agg(F.collect_list(F.struct("i0", "i1", "p", "a", "n")).alias("units"))
-    own = own.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("c").alias("_c"), "units")
-    both = docs.join(own, (docs["doc_id"] == own["_d"]) & (docs["h"] == own["_h"]) & (docs["c"] == own["_c"]))
-    # Rows that repeat an id and text stand for one: the join has them side by side.
-    return both.groupBy("doc_id", "h", "c").agg(F.first("text").alias("text"), F.first("units").alias("units")).select("text", "doc_id", "h", "c", "units")
+    """text, h, c and the list of units of each text that has any; a text's units are bounded by its length, and equal texts stand for one."""
+    own = units.groupBy("h", "c").agg(F.collect_list(F.struct("i0", "i1", "p", "a", "n")).alias("units"))
+    own = own.select(F.col("h").alias("_h"), F.col("c").alias("_c"), "units")
+    both = docs.join(own, (docs["h"] == own["_h"]) & (docs["c"] == own["_c"]))
+    # The join has the rows of a text side by side.
+    return both.groupBy("h", "c").agg(F.first("text").alias("text"), F.first("units").alias("units")).select("text", "h", "c", "units")
 
 
 def common(a: bytes, b: bytes, at: int) -> int:
@@ -241,7 +241,7 @@ def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "shared", "length", "rest", "info"])
 
         for batch in batches:
-            for text, h, c, own in zip(utf8(batch.column(0)), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for text, h, c, own in zip(utf8(batch.column(0)), *(x.to_pylist() for x in batch.columns[1:]), strict=True):
                 for u in own:
                     i0, i1, p = u["i0"], u["i1"], u["p"]
                     suffix = text[p : i1 + LENGTH]
@@ -275,14 +275,22 @@ def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _settle(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spans of the units that occur again, and one of each different unit that shares its anchor with another, with m (units of the anchor) and n (occurrences)."""
-    again = units.groupBy("a").agg(F.count("*").alias("k"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("k > 1").select("a", "lo", "hi")
+    """Spans of the units that occur again, and one of each different unit that shares its anchor with another, with m (units of the anchor) and n (occurrences).
+
+    units: a table of materialize(); it is deleted.
+    """
+    again = units.groupBy("a").agg(F.count("*").alias("k"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("k > 1").select("a", (F.col("lo") != F.col("hi")).alias("differ"))
     some = materialize(units.join(again, "a"), "units")
-    each = materialize(some.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "c", "i0", "i1", "p")).alias("of"), F.first("lo").alias("lo"), F.first("hi").alias("hi")), "units")
+    discard(units)
+    each = materialize(some.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("h", "c", "i0", "i1", "p")).alias("of"), F.first("differ").alias("differ")), "units")
     spans = some.join(each.where("n > 1").select("a", "s"), ["a", "s"]).select("h", "c", F.col("i0").cast("long").alias("start"), (F.col("i1") + LENGTH).cast("long").alias("end")).distinct()
-    open_ = each.where("lo <> hi").select("a", "s", "n", "of.*")
+    spans = materialize(spans, "spans")
+    discard(some)
+    open_ = each.where("differ").select("a", "s", "n", "of.*")
     many = open_.groupBy("a").agg(F.count("*").alias("m"))
-    return spans, open_.join(many, "a")
+    open_ = materialize(open_.join(many, "a"), "open")
+    discard(each)
+    return spans, open_
 
 
 def text_key() -> tuple[Column, Column]:
@@ -295,13 +303,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """h, c (see text_key) and the list of byte spans that repeated windows cover, of each text that has any; spans may overlap."""
     small_batches(docs.sparkSession)
     h, c = text_key()
-    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))  # with h and c it only names a text
-    docs = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"), c.alias("c"))
-    scanned = materialize(_scan(docs), "units")
-    spans, open_ = _settle(scanned)
-    found = [materialize(spans, "spans")]
+    docs = docs.select(F.col("text").cast("string").alias("text"), h.alias("h"), c.alias("c"))
+    spans, open_ = _settle(materialize(_scan(docs), "units"))
+    found = [spans]
     for windows in (*PARTS, 0):
-        open_ = materialize(open_, "open")
         few, many = open_.where(F.col("m") <= HOT), open_.where(F.col("m") > HOT)
         count = few.count()
         if count:
@@ -309,8 +314,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         if not windows or many.isEmpty():
             break
         spans, open_ = _settle(materialize(_cut(many, docs, windows), "units"))
-        found.append(materialize(spans, "spans"))
-    discard(scanned)
+        found.append(spans)
     whole = found[0]
     for x in found[1:]:
         whole = whole.unionAll(x)
