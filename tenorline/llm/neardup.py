@@ -8,9 +8,11 @@ similarity 0.75 misses all buckets with probability (1 - 0.75 ** 4) ** 48 < 2e-8
 
 Equal sets are one node. A bucket of m nodes emits m - 1 candidate edges, a star around its weightiest node, not m * m / 2 pairs;
 each candidate is confirmed on the full sets, and confirmed links merge nodes into components. What a star can't see is a link of
-two members of which one does not link with the centre. Such a pair shares hashes outside the centre's set (or is smaller than
-it), so the next round's buckets are hashes outside the sets of centres that failed, again with stars, until no pair is new.
-No link of sets with a bucket in common is lost, and edges stay as many as rows of buckets.
+two members that don't both link with the centre. So nodes of buckets that still hold several components are completed exactly,
+by their rarest hashes: of two linking sets, the smaller has one of its first 14 % and the larger one of its first 25 % of hashes in
+common, both in the order of how few nodes have a hash. Those hashes are buckets, again with stars, around 1, 8, 64 ... of the
+nodes that may be the smaller one, and only between components; places of the hash in both sets leave out most pairs beforehand.
+No link of sets with a bucket in common is lost, and texts that share a passage and nothing else are never paired up.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, mix, small_batches, utf8
@@ -116,25 +118,42 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, na, b, nb) with shared (hashes that both full sets have), linked, and apart: the first hashes of b that a lacks.
-
-    Two sets that link share at least 0.75 of either. So if b links with a set c beyond what both share with a, they have in
-    common at least so many of the hashes outside a that one of the first ones, in the order of hashes, is among them.
-    """
+    """pairs (a, b) with linked: whether the full sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    both = both.withColumn("shared", F.size(F.array_intersect("ha", "hb")).cast("long"))
-    need = F.greatest(F.ceil(F.col("nb") * PERCENT / 100) - F.col("shared"), F.lit(1))
-    apart = F.slice(F.array_except("hb", "ha"), F.lit(1), F.greatest(F.col("nb") - F.col("shared") - need + 1, F.lit(0)).cast("int"))
-    linked = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * PERCENT
-    return both.select("a", "na", "b", "nb", "shared", linked.alias("linked"), apart.alias("apart"))
+    both = both.withColumns({"shared": F.size(F.array_intersect("ha", "hb")), "all": F.size("ha") + F.size("hb")})
+    return both.select("a", "b", (F.col("shared") * 100 >= (F.col("all") - F.col("shared")) * PERCENT).alias("linked"))
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, na, b, nb) of buckets (key, node, n, w): each node with the one of largest weight w, then smallest id."""
-    heaviest = F.max_by(F.struct("node", "n"), F.struct(F.col("w"), -F.col("node")))
-    centres = members.groupBy("key").agg(heaviest.alias("c"))
-    both = members.join(centres, "key").where(F.col("node") != F.col("c.node"))
-    return both.select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
+    """Candidate pairs (a, b) of buckets (key, node, w): each node with the one of largest weight w, then smallest id."""
+    centres = members.groupBy("key").agg(F.max_by("node", F.struct(F.col("w"), -F.col("node"))).alias("c"))
+    both = members.join(centres, "key").where(F.col("node") != F.col("c"))
+    return both.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
+
+
+def _mixed(rows: DataFrame, merged: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """rows (key, node, ...) with component, and the keys that hold several components."""
+    named = rows.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *more).where("lo <> hi").drop("lo", "hi")
+    return named, keys
+
+
+def _rare(alive: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, node, n, w, left, place: the rarest hashes of each node (n hashes, left of them from this one on), by how many of the nodes have them.
+
+    place: a number from 1 among the nodes that may be the smaller of a pair at this hash; null for the others.
+    """
+    hashes = sets.join(alive, sets["id"] == alive["node"]).select("node", "w", F.size("hashes").alias("n"), F.explode("hashes").alias("key"))
+    common = hashes.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    own = hashes.join(common, "key").groupBy("node").agg(F.first("n").alias("n"), F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("t"))
+    # Hashes that no other node has come first in the order; they are counted, not kept.
+    own = own.withColumn("alone", F.col("n") - F.size("t"))
+    probe = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    first = own.withColumn("t", F.slice("t", F.lit(1), F.greatest(probe - F.col("alone"), F.lit(0)).cast("int")))
+    rows = first.select("node", "n", "w", "alone", F.posexplode("t").alias("at", "x")).select(F.col("x.key").alias("key"), "node", "n", "w", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
+    smaller = F.col("left") * (100 + PERCENT) >= F.col("n") * 2 * PERCENT
+    place = F.row_number().over(Window.partitionBy("key", smaller).orderBy(F.desc("w"), "node"))
+    return rows.withColumn("place", F.when(smaller, place))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,7 +194,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = materialize(exploded.join(sizes, "key"), "buckets")
     weights = members.groupBy("node").agg(F.sum("m").alias("w"))  # a text in the middle of many near copies shares the most buckets
-    members = materialize(members.join(weights, "node").select("key", "node", "n", "w"), "buckets")
+    members = materialize(members.join(weights, "node").select("key", "node", "w"), "buckets")
     wanted = weights.select(F.col("node").alias("id"))
     texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
     sets = materialize(_sets(texts.select("doc_id", "text")), "sets")
@@ -183,34 +202,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # An id with several texts joins their sets.
     several = known.select("doc_id", "set_key").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
     links = known.join(several, "doc_id", "left_semi").join(nodes.select("set_key", "node"), "set_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    tested, pairs = None, materialize(_stars(members), "pairs")
+    tested = materialize(confirm(_stars(members), sets), "tested")
+    merged = components(links.unionAll(tested.where("linked").select("a", "b")))
+    named, keys = _mixed(members, merged)
+    alive = named.join(keys, "key").groupBy("node").agg(F.first("w").alias("w"))
+    rare = materialize(_rare(alive, sets), "rare")
+    done, k = 0, 1
     while True:
+        named, keys = _mixed(rare, merged, F.max("place").alias("places"))
+        named = materialize(named.join(keys.where(F.col("places") > done).select("key", "places"), "key"), "mixed")
+        most = named.agg(F.max("places")).first()[0]
+        if most is None:
+            break
+        centres = named.where((F.col("place") > done) & (F.col("place") <= k)).select("key", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "left", "component")])
+        fits = F.least("left", "c_left") * (100 + PERCENT) >= (F.col("n") + F.col("c_n")) * PERCENT
+        met = named.join(centres, (named["key"] == centres["key"]) & (F.col("component") != F.col("c_component")) & (F.col("n") >= F.col("c_n")) & fits)
+        pairs = met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = materialize(confirm(pairs, sets), "tested")
-        tested = found if tested is None else tested.unionAll(found)
-        links = links.unionAll(found.where("linked").select("a", "b"))
-        merged = components(links)
-        # Centres with new edges, some of which failed: their neighbours may still link with each other.
-        failed = tested.where("not linked").select("a").distinct()
-        hubs = found.select("a").distinct().join(failed, "a", "left_semi")
-        name = merged.select(F.col("node").alias("b"), "component")
-        edges = tested.join(hubs, "a", "left_semi").join(name, "b", "left").withColumn("component", F.coalesce("component", "b"))
-        several_parts = edges.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
-        edges = materialize(edges.join(several_parts, "a", "left_semi"), "edges")
-        # Sets that link share a hash outside the centre's set ...
-        rows = edges.select(F.explode("apart").alias("x"), "a", F.col("b").alias("node"), F.col("nb").alias("n"), "component").withColumn("key", F.xxhash64("a", "x"))
-        mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        inner = rows.join(mixed, "key").join(weights, "node").select("key", "node", "n", "w")
-        # ... or else what each shares with it is enough for both, which takes sets smaller than the centre's.
-        enough = lambda n, m: (F.col(n) + F.col(m)) * PERCENT
-        left = edges.where("not linked").select("a", "b", "nb", "shared", "component")
-        right = edges.select("a", F.col("b").alias("c"), F.col("nb").alias("nc"), F.col("shared").alias("sc"), F.col("component").alias("other"))
-        small = left.join(edges.groupBy("a").agg(F.min("nb").alias("least")), "a").where(F.col("shared") * (100 + PERCENT) >= enough("nb", "least"))
-        nested = small.join(right, "a").where((F.col("component") != F.col("other")) & (F.least("shared", "sc") * (100 + PERCENT) >= enough("nb", "nc")))
-        nested = nested.select(F.least("b", "c").alias("a"), F.when(F.col("b") < F.col("c"), F.col("nb")).otherwise(F.col("nc")).alias("na"), F.greatest("b", "c").alias("b"), F.when(F.col("b") < F.col("c"), F.col("nc")).otherwise(F.col("nb")).alias("nb"))
-        done = tested.select("a", "b").unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = materialize(_stars(inner).unionAll(nested).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
+        new = found.where("linked").select("a", "b")
+        if not new.isEmpty():
+            merged = components(new.unionAll(merged.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if most <= k:
             break
+        tested, done, k = tested.unionAll(found), k, k * 8
     named = nodes.select("set_key", "node").join(merged, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
     out = signed.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
