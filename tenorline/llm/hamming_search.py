@@ -58,7 +58,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         masks = [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), r)]
         probes = active.select("q", F.explode(F.expr("sequence(0, %d)" % (SEGMENTS - 1))).alias("segment")).withColumn("mask", F.explode(F.lit(masks)))
         probes = probes.select("q", "segment", F.expr(f"{_segment('q', 'segment')} ^ mask").alias("value"))
-        hits = probes.join(index, ["segment", "value"]).select("q", "code", "first_id").distinct().withColumn("distance", F.expr("bit_count(q ^ code)").cast("int"))
+        hits = probes.hint("merge").join(index, ["segment", "value"])  # Spark takes exploded rows for as few as their sources and would broadcast them
+        hits = hits.select("q", "code", "first_id").distinct().withColumn("distance", F.expr("bit_count(q ^ code)").cast("int"))
         if best is not None:
             hits = hits.unionAll(best).distinct()
         best = materialize(_best(hits, "q", ["distance", "first_id"], need), "best")
