@@ -32,7 +32,7 @@ WINDOW, QUANTUM, MAX_QUEUES, FALLBACK = 2048, 256, 512, 32
 #: Weights of queues are integers that sum to 2 ** WEIGHT_BITS.
 WEIGHT_BITS = 24
 #: Distinct words whose ids a task remembers.
-REMEMBER = 500_000
+REMEMBER = 150_000
 
 
 #: A symbol before a full stop or comma: the tokenizer takes such a run as one word, so it isn't split.

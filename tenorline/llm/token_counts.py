@@ -22,7 +22,7 @@ from .bpe import load_ranks, units
 from .common import small_batches
 
 #: Characters of a leaf, roughly; how many times that a leaf may grow; stretches whose counts a Python worker remembers.
-LEAF, FAT, REMEMBER = 256, 8, 400_000
+LEAF, FAT, REMEMBER = 256, 8, 150_000
 _STATE = "doc_id long, text string, chars binary, tokens binary"
 
 
