@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 
 #: Most words of the broadcast table; bytes of text in a block; buckets of the rank map; units that a task remembers.
-HEAD, BLOCK, BUCKETS, REMEMBER = 1 << 19, 4 << 20, 1 << 14, 400_000
+HEAD, BLOCK, BUCKETS, REMEMBER = 1 << 16, 4 << 20, 1 << 14, 50_000
 #: White space, as the tokenizer's regular expressions have it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NO_SPLIT = re.compile(f"[{SPACE}] ")
