@@ -1,12 +1,14 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
-A text's paragraphs (lines, cut at sentence ends and after PARAGRAPH characters) give a set of distinct 64-bit digests. The
+A text's paragraphs (lines, cut at the first sentence end after LEAST characters, or after MOST) give a set of distinct 64-bit digests. The
 fingerprint is a table of cells; a digest adds itself to one cell in each of three parts: to the cell's count, to the XOR of its
 digests and to the XOR of their checks. Two tables subtract cell by cell, which cancels all digests that both hold; peeling cells
 that hold a single digest then recovers the digests that only one has. If cells are left that don't peel, both versions are
 sketched again four times as large, with other hashes, until all peel. The likeness is shared digests by all digests.
 
-All of it is DataFrame code: cells, subtraction and peeling are folds over arrays within a row, so nothing is exploded or grouped.
+Texts with many digests are compared in groups of about GROUP digests, dealt by hash, each with tables of its own, so that the
+work of a text is close to linear in its length. All of it is DataFrame code: cells, subtraction and peeling are folds over
+arrays within a row, so nothing is exploded or grouped.
 """
 
 from __future__ import annotations
@@ -17,27 +19,46 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .hilbert import ranked
 
-#: Characters of a paragraph at most; cells of the smallest table; rounds of peeling; attempts beyond the size that should do.
-PARAGRAPH, CELLS, ROUNDS, MORE = 120, 48, 24, 4
+#: Characters of a paragraph before it may end, and at most; cells of the smallest table; digests of two versions in a group; rounds of peeling; attempts at most.
+LEAST, MOST, CELLS, GROUP, ROUNDS, ATTEMPTS = 80, 240, 48, 20, 32, 6
 _NO_ID = -(2**63)
 
 
 def digests(text: str) -> str:
     """SQL: the distinct digests of a text's paragraphs, without the blanks around them; none for a text of blanks."""
     return (
-        f"array_distinct(transform(filter(transform(regexp_extract_all({text}, '[^\\\\n.!?]{{1,{PARAGRAPH}}}[.!?]*', 0), x -> trim(x)), x -> x <> ''), x -> xxhash64(x)))"
+        f"array_distinct(transform(filter(transform(regexp_extract_all({text}, '[^\\\\n]{{1,{LEAST}}}[^\\\\n.!?]{{0,{MOST - LEAST}}}[.!?]*', 0), x -> trim(x)), x -> x <> ''), x -> xxhash64(x)))"
     )
 
 
-def _cell(digest: str, part: str, seed: str, third: str) -> str:
-    return f"pmod(xxhash64({digest}, {part}, {seed}), {third})"
+def _let(name: str, value: str, then: str) -> str:
+    """SQL: then, in which name stands for value, which is worked out once."""
+    return f"transform(array({value}), {name} -> {then})[0]"
+
+
+def _placed(of: str, n: str, key: str, third: str, seed: str) -> str:
+    """SQL: count (n), key, check and cells (one in each part) of each d of an array."""
+    at = ", ".join(f"'c{p}', {p} * {third} + cast(pmod(xxhash64({key}, {p}, {seed}), {third}) as int)" for p in range(3))
+    return f"transform({of}, d -> named_struct('n', {n}, 'key', {key}, 'check', xxhash64({key}, 7), {at}))"
+
+
+def _table(placed: str, third: str) -> str:
+    """SQL: the cells of what _placed() gives: sum of counts, XOR of keys, XOR of checks."""
+
+    def part(p: int) -> str:
+        add = f"if(x.c{p} = c, named_struct('n', a.n + x.n, 'key', a.key ^ x.key, 'check', a.check ^ x.check), a)"
+        return f"transform(sequence({p} * {third}, {p + 1} * {third} - 1), c -> aggregate(placed, named_struct('n', 0L, 'key', 0L, 'check', 0L), (a, x) -> {add}))"
+
+    return _let("placed", placed, f"concat({part(0)}, {part(1)}, {part(2)})")
 
 
 def cells(of: str, third: str, seed: str) -> str:
-    """SQL: the cells of a table of an array of digests, three parts of third cells: count, XOR of digests, XOR of checks."""
-    own = f"filter({of}, d -> {_cell('d', 'p', seed, third)} = c)"
-    cell = f"transform(array({own}), o -> named_struct('n', cast(size(o) as bigint), 'key', aggregate(o, 0L, (a, d) -> a ^ d), 'check', aggregate(o, 0L, (a, d) -> a ^ xxhash64(d, 7))))[0]"
-    return f"flatten(transform(sequence(0, 2), p -> transform(sequence(0L, cast({third} - 1 as bigint)), c -> {cell})))"
+    """SQL: the cells of a table of an array of digests, three parts of third (an int) cells: count, XOR of digests, XOR of checks."""
+    return _table(_placed(of, "1L", "d", third, seed), third)
+
+
+def _subtract(a: str, b: str) -> str:
+    return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'key', x.key ^ y.key, 'check', x.check ^ y.check))"
 
 
 def fingerprint(of: str) -> str:
@@ -46,24 +67,25 @@ def fingerprint(of: str) -> str:
     return f"base64(unhex({text}))"
 
 
+def _peeled(a: str, b: str) -> str:
+    """SQL: number of digests that only one of two arrays has, recovered from their tables of 3 * third cells with seed t; null if they don't peel."""
+    pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1L and x.check = xxhash64(x.key, 7)), x -> named_struct('n', x.n, 'key', x.key)))"
+    less = _subtract("s.cells", _table(_placed("found", "d.n", "d.key", "third", "t"), "third"))
+    after = f"named_struct('cells', {less}, 'd', s.d + size(found), 'stuck', false)"
+    step = _let("found", pure, f"if(size(found) = 0, named_struct('cells', s.cells, 'd', s.d, 'stuck', true), {after})")
+    left = "exists(s.cells, x -> x.n <> 0L or x.key <> 0L or x.check <> 0L)"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {_subtract(cells(a, 'third', 't'), cells(b, 'third', 't'))}, 'd', 0L, 'stuck', false), (s, r) -> if(s.stuck, s, {step}), s -> if({left}, cast(null as bigint), s.d))"
+
+
 def difference(a: str, b: str) -> str:
-    """SQL: number of digests that only one of two arrays has, recovered from their tables; null if no attempt peels."""
-    third = f"cast(({CELLS // 3} << (2 * t)) as bigint)"
-    subtract = f"zip_with({cells(a, third, 't')}, {cells(b, third, 't')}, (x, y) -> named_struct('n', x.n - y.n, 'key', x.key ^ y.key, 'check', x.check ^ y.check))"
-    pure = "transform(filter(s.cells, x -> abs(x.n) = 1 and x.check = xxhash64(x.key, 7)), x -> named_struct('n', x.n, 'key', x.key))"
-    mine = f"filter(found, f -> {_cell('f.key', 'cast(i div third as int)', 't', 'third')} = pmod(i, third))"
-    less = (
-        f"transform(s.cells, (x, i) -> transform(array({mine}), m -> named_struct('n', x.n - aggregate(m, 0L, (q, f) -> q + f.n), 'key', x.key ^ aggregate(m, 0L, (q, f) -> q ^ f.key), "
-        "'check', x.check ^ aggregate(m, 0L, (q, f) -> q ^ xxhash64(f.key, 7))))[0])"
-    )
-    peel = (
-        f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {subtract}, 'd', 0L, 'stuck', false), "
-        f"(s, r) -> if(s.stuck, s, transform(array(array_distinct({pure})), found -> if(size(found) = 0, named_struct('cells', s.cells, 'd', s.d, 'stuck', true), "
-        f"named_struct('cells', {less}, 'd', s.d + size(found), 'stuck', false)))[0]), "
-        "s -> if(exists(s.cells, x -> x.n <> 0 or x.key <> 0 or x.check <> 0), cast(null as bigint), s.d))"
-    )
-    attempts = f"cast(ceil(log2(2 + (size({a}) + size({b})) / {CELLS / 4})) / 2 as int) + {MORE}"
-    return f"aggregate(sequence(0, {attempts}), cast(null as bigint), (z, t) -> coalesce(z, transform(array({third}), third -> {peel})[0]))"
+    """SQL: number of digests that only one of two arrays has, recovered from their tables; null if some group peels in no attempt."""
+    attempts = f"aggregate(sequence(0, {ATTEMPTS - 1}), cast(null as bigint), (z, t) -> if(z is not null, z, {_let('third', f'cast({CELLS // 3} * pow(4, t) as int)', _peeled('g.mine', 'g.other'))}))"
+    dealt = lambda of: f"transform({of}, d -> named_struct('d', d, 'g', cast(pmod(xxhash64(d, 9), many) as int)))"
+    own = lambda of: f"transform(filter({of}, x -> x.g = i), x -> x.d)"
+    split = f"transform(sequence(0, many - 1), i -> named_struct('mine', {own('s.mine')}, 'other', {own('s.other')}))"
+    grouped = f"if(many = 1, array(named_struct('mine', {a}, 'other', {b})), {_let('s', f"named_struct('mine', {dealt(a)}, 'other', {dealt(b)})", split)})"
+    total = f"aggregate({grouped}, 0L, (sum, g) -> sum + {attempts})"
+    return _let("many", f"cast(greatest(1, ceil((size({a}) + size({b})) / {GROUP})) as int)", total)
 
 
 def likeness(a: str, b: str) -> str:
@@ -88,7 +110,9 @@ def versions(docs: DataFrame) -> DataFrame:
     total = order.count()
     after = order.select(F.pmod(F.col("rank") - 1, F.lit(max(1, total))).alias("rank"), F.col("k").alias("k"), F.col("h").alias("h"))
     follows = order.select("rank", F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.floor(F.col("n") / 3).cast("int").alias("third")).join(after, "rank").drop("rank")
-    lent = base.dropDuplicates(["k", "h"]).join(follows, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "third", F.expr("substring(text, 1, third)").alias("start"), F.expr(digests("text")).alias("next_digests"))
+    # Both joins read one shuffle of the texts; rows that repeat an id and a text lie side by side after the first.
+    near = base.join(follows, ["k", "h"]).dropDuplicates(["k", "h"])
+    lent = near.select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "third", F.expr("substring(text, 1, third)").alias("start"), F.expr(digests("text")).alias("next_digests"))
     edited = F.expr("concat(substring(text, 1, length(text) - third), start)")
     both = base.join(lent, ["k", "h"]).select("k", "text", edited.alias("edited"), "next_digests")
     return both.select(F.expr(f"nullif(k, {_NO_ID})").alias("doc_id"), "text", "edited", F.expr(digests("text")).alias("digests"), F.expr(digests("edited")).alias("edited_digests"), "next_digests")
