@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
-A text's paragraphs (lines, cut at the first sentence end after LEAST characters, or after MOST) give a set of distinct 64-bit digests. The
+A text's paragraphs (lines, cut at each sentence end and after PARAGRAPH characters) give a set of distinct 64-bit digests. The
 fingerprint is a table of cells; a digest adds itself to one cell in each of three parts: to the cell's count, to the XOR of its
 digests and to the XOR of their checks. Two tables subtract cell by cell, which cancels all digests that both hold; peeling cells
 that hold a single digest then recovers the digests that only one has. If cells are left that don't peel, both versions are
@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .hilbert import ranked
 
-#: Characters of a paragraph before it may end, and at most; cells of the smallest table; digests of two versions in a group; rounds of peeling; attempts at most.
-LEAST, MOST, CELLS, GROUP, ROUNDS, ATTEMPTS = 80, 240, 48, 20, 32, 6
+#: Characters of a paragraph at most, without the marks that end it; cells of the smallest table; digests of two versions in a group; rounds of peeling; attempts at most.
+PARAGRAPH, CELLS, GROUP, ROUNDS, ATTEMPTS = 120, 48, 20, 32, 6
 _NO_ID = -(2**63)
 
 
 def digests(text: str) -> str:
     """SQL: the distinct digests of a text's paragraphs, without the blanks around them; none for a text of blanks."""
     return (
-        f"array_distinct(transform(filter(transform(regexp_extract_all({text}, '[^\\\\n]{{1,{LEAST}}}[^\\\\n.!?]{{0,{MOST - LEAST}}}[.!?]*', 0), x -> trim(x)), x -> x <> ''), x -> xxhash64(x)))"
+        f"array_distinct(transform(filter(transform(regexp_extract_all({text}, '[^\\\\n.!?]{{1,{PARAGRAPH}}}[.!?]*|[.!?]+', 0), x -> trim(x)), x -> x <> ''), x -> xxhash64(x)))"
     )
 
 

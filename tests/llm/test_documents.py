@@ -164,6 +164,15 @@ def test_fingerprints(spark, docs):
     assert by[6] == by[7] and by[18] == by[19] and by[6] != by[8] and by[1] == by[2]
 
 
+def test_paragraphs_end_at_each_sentence(docs):
+    """Short sentences of one line are digests of their own, so an edit of the last third leaves the others alike; no character is left out."""
+    text = "One is here. Two is there! Is three? Four. Five is the last one"
+    long = words(20, 90).replace(" ", "")[:300]
+    made = [(1, text), (2, long), (3, "...\n?! then\n!!"), (4, "Six. Seven.")]
+    got = {r["doc_id"]: (len(r["digests"]), r["likeness"]) for r in iblt.versions(docs(made)).withColumn("likeness", F.expr(iblt.likeness("digests", "edited_digests"))).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {1: 5, 2: 3, 3: 4, 4: 2} and got[1][1] > 0.3
+
+
 def test_empty_tables(docs):
     none = docs([(1, "x")]).where("doc_id < 0")
     ranks = bpe.load_ranks(brute.BYTE_BPE)
