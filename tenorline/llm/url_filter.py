@@ -5,6 +5,9 @@ tokens, with one more item if its label is bad. FP-growth finds the frequent ite
 and confidence are kept, unless a rule on fewer of the same tokens is kept already. A rule is found by its tokens: an
 index from token to rules is joined with the tokens of distinct URLs, and a rule holds where all its tokens are met.
 
+All tokens are mined. What can't change the rules leaves beforehand: tokens with too few bad URLs for any rule, tokens that are a rule
+alone (rules on more tokens would be pruned), tokens that all labelled URLs have; tokens of the very same URLs are one item.
+
 Fixed rules (host, path) come first: a rule fits its host and all subdomains, if the URL's path starts with the rule's; of several
 the longest wins. All of it is DataFrame code.
 """
@@ -12,6 +15,7 @@ the longest wins. All of it is DataFrame code.
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -23,9 +27,9 @@ from .common import materialize
 SUPPORT, CONFIDENCE = 0.002, 0.7
 #: Least number of labelled URLs that a rule covers, so that a few can't make one by chance.
 LEAST = 20
-#: Tokens of a labelled URL that are mined: those with the largest shares of bad labels. Matching takes all tokens.
-MINED = 12
 _BAD = "=bad"
+#: Joins tokens into one item; no token has it.
+_OR = "#"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,24 +58,35 @@ def fixed(rules: list[tuple[str, str, str]]) -> Column:
 
 
 def mine(baskets: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """items, n (items), support, confidence of the rules for a bad label, from rows (items, bad) of labelled URLs."""
+    """items, n (items), support, confidence of the rules for a bad label, from rows (items, bad) of labelled URLs.
+
+    Of a rule's item that is several tokens, joined by _OR, any one will do: the labelled URLs have all of them or none.
+    """
     spark = baskets.sparkSession
     none = spark.createDataFrame([], "items array<string>, n int, confidence double, support double")
+    baskets = materialize(baskets.select("items", "bad", F.monotonically_increasing_id().alias("_id")), "url-baskets")
     total = baskets.count()
     if not total:
         return none
-    support = max(support, LEAST / total)
-    rates = baskets.select(F.explode("items").alias("item"), F.col("bad").cast("int").alias("b")).groupBy("item").agg(F.count("*").alias("k"), F.avg("b").alias("rate")).where(F.col("k") >= support * total)
-    ranked = baskets.withColumn("_id", F.monotonically_increasing_id()).select("_id", "bad", F.explode("items").alias("item"))
-    chosen = ranked.join(rates, "item").groupBy("_id", "bad").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("rate"), F.col("item"))), False), 1, MINED).alias("best"))
-    items = chosen.select(F.concat(F.transform("best", lambda x: x["item"]), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    # URLs without any frequent token aren't baskets, so support is brought back to a share of all labelled URLs.
+    least = max(1, ceil(max(support * total, LEAST) - 1e-6))
+    single = baskets.select("_id", "bad", F.explode(F.array_distinct("items")).alias("item"))
+    # Two sums over the URLs of a token tell which tokens have the very same ones.
+    same = [F.sum(F.xxhash64("_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("_id", F.lit(1))).alias("x")]
+    counts = single.groupBy("item").agg(F.count("*").alias("k"), F.sum(F.col("bad").cast("long")).alias("b"), *same).where(F.col("b") >= least)
+    counts = materialize(counts.groupBy("k", "b", "s", "x").agg(F.array_sort(F.collect_list("item")).alias("tokens")).select("k", "b", "tokens", F.array_join("tokens", _OR).alias("item")), "url-items")
+    alone = counts.where(F.col("b") / F.col("k") >= confidence)
+    rules = alone.select(F.array("item").alias("items"), F.lit(1).alias("n"), (F.col("b") / F.col("k")).alias("confidence"), (F.col("b") / total).alias("support"))
+    rest = counts.where((F.col("b") / F.col("k") < confidence) & (F.col("k") < total))
+    # An item is found by the first of its tokens.
+    chosen = single.join(rest.select(F.col("tokens")[0].alias("item"), F.col("item").alias("merged")), "item").groupBy("_id", "bad").agg(F.collect_list("merged").alias("items"))
+    items = materialize(chosen.select(F.concat("items", F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items")), "url-items")
+    # URLs without any of these items aren't baskets, so support is brought back to a share of all labelled URLs.
     mined = items.count()
-    if not mined:
-        return none
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * total / mined), minConfidence=confidence).fit(items)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD)))
-    rules = materialize(rules.select(F.array_sort("antecedent").alias("items"), F.size("antecedent").alias("n"), "confidence", (F.col("support") * mined / total).alias("support")), "url-rules")
+    if mined:
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / mined, minConfidence=confidence).fit(items)
+        found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD)))
+        rules = rules.unionByName(found.select(F.array_sort("antecedent").alias("items"), F.size("antecedent").alias("n"), "confidence", (F.col("support") * mined / total).alias("support")))
+    rules = materialize(rules, "url-rules")
     # A rule goes if another one's tokens are all among its own: found by index again, not by comparing all pairs.
     single = rules.select("items", "n", F.explode("items").alias("item"))
     inner = rules.select(F.col("items").alias("less"), F.col("n").alias("m"), F.explode("items").alias("item"))
@@ -81,8 +96,8 @@ def mine(baskets: DataFrame, support: float = SUPPORT, confidence: float = CONFI
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The urls (column url, with items) that some rule matches."""
-    index = rules.select(F.col("items").alias("rule_items"), "n", F.explode("items").alias("item"))
-    met = urls.select("url", F.explode("items").alias("item")).join(index, "item").groupBy("url", "rule_items", "n").count()
+    index = rules.select(F.col("items").alias("rule_items"), "n", F.explode("items").alias("met")).withColumn("item", F.explode(F.split("met", _OR)))
+    met = urls.select("url", F.explode("items").alias("item")).join(index, "item").groupBy("url", "rule_items", "n").agg(F.size(F.collect_set("met")).alias("count"))
     return met.where(F.col("count") == F.col("n")).select("url").distinct()
 
 
@@ -97,7 +112,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path, "rest": rest})
     known = labels.where("page_id is not null and bad is not null").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max("bad").alias("bad"))
     with_items = parsed.select("page_id", "url", tokens(F.col("host"), F.col("path"), F.col("rest")).alias("items"))
-    found = mine(materialize(with_items.join(known, "page_id").select("items", "bad"), "url-baskets"), support, confidence)
+    found = mine(with_items.join(known, "page_id").select("items", "bad"), support, confidence)
     bad = match(with_items.where("url is not null").select("url", "items").distinct(), found).select(F.col("url").alias("_url"), F.lit(True).alias("mined"))
     out = parsed.withColumn("_fixed", fixed(rules)).join(bad, F.col("url") == F.col("_url"), "left")
     mined = F.coalesce("mined", F.lit(False))

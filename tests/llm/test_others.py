@@ -39,6 +39,23 @@ def test_mined_rules(spark):
     assert none.where("mined").count() == 0 and url_filter.judge(table.where("false"), labels, brute.RULES).count() == 0
 
 
+def test_rules_of_urls_with_many_tokens(spark):
+    """A bad combination is found though many tokens of the same URLs go more often with bad labels than its own; of tokens that always occur together any one will do."""
+    long = "/".join(f"t{i}" for i in range(14))
+    kinds = [(60, f"{long}/win/slots", True), (28, f"{long}/win", False), (28, f"{long}/slots", False), (150, "win", False), (150, "slots", False)]
+    kinds += [(30, "big/deal/now", True), (30, "big/deal", False), (30, "now", False)]
+    pages = [(f"https://h{i % 7}.com/{path}/x{i}", bad) for path, bad, i in ((p, b, i) for n, p, b in kinds for i in range(n))]
+    pages = [(i, u, b) for i, (u, b) in enumerate(pages)]
+    new = [(1000, "http://a.org/now/big", True), (1001, "http://a.org/deal/now", True), (1002, "http://a.org/big/deal", False), (1003, "http://a.org/slots/win", True), (1004, "http://a.com/t1/win", False)]
+    table = spark.createDataFrame([(i, u) for i, u, _ in pages + new], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in pages], "page_id long, bad boolean")
+    got = {r["page_id"]: r["mined"] for r in url_filter.judge(table, labels, []).collect()}
+    assert got == {i: b for i, _, b in pages + new}
+    baskets = spark.createDataFrame([(u.split("://")[1].split("/"), b) for _, u, b in pages], "items array<string>, bad boolean")
+    rules = {tuple(r["items"]): (r["n"], r["confidence"], round(r["support"] * len(pages))) for r in url_filter.mine(baskets).collect()}
+    assert rules == {("slots", "win"): (2, 1.0, 60), ("big#deal", "now"): (2, 1.0, 30)}
+
+
 def test_toxicity_on_held_out(spark):
     """Held-out rows of a table with a planted sign are told apart; odd rows have scores."""
     made = [(i, words(i, 60) + (" you vile scum " if i % 4 == 0 else " good day ") + words(1000 + i, 20), int(i % 4 == 0)) for i in range(400)]
