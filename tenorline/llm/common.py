@@ -56,6 +56,14 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """name, with underscores behind it until df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each string; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

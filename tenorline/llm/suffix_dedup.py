@@ -1,7 +1,7 @@
 """Removal of repeated byte strings by a common-prefix-aware distributed merge sort of sampled suffixes.
 
-Every LENGTH-byte string (a window) has an anchor: its first K-gram of smallest hash. Equal windows have their anchor at the same
-place in them, wherever they stand, so only suffixes that start at anchors are sorted, about one in 150 bytes instead of all.
+Every string of length bytes (a window) has an anchor: its first K-gram of smallest hash, K being a quarter of length. Equal windows have their anchor at the same
+place in them, wherever they stand, so only suffixes that start at anchors are sorted, with windows of 400 bytes about one in 150 instead of all.
 Consecutive windows with one anchor form a unit: the text from the first window's start to the last one's end. All its
 windows are repeats if the whole unit occurs again; none is if its anchor K-gram occurs nowhere else. Counting settles those;
 what is left are units that share their anchor with different units.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix, small_batches, utf8
+from .common import discard, materialize, mix, small_batches, unused, utf8
 from .neardup import _BYTE, _power
 
-#: Bytes of a repeated string; of an anchor.
-LENGTH, K = 400, 100
+#: Bytes of a repeated string, unless a caller gives another length.
+LENGTH = 400
 #: Most different units of one anchor that are sorted together, and the windows of the parts into which more are cut.
 HOT, PARTS = 1000, (16, 1)
 #: Units that a receiver sorts at once, and bytes of units that a sender gathers before it sends runs.
@@ -46,16 +47,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def anchors(data: np.ndarray) -> np.ndarray:
+def gram_size(length: int) -> int:
+    """Bytes of an anchor."""
+    return max(1, length // 4)
+
+
+def anchors(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Rows (first window, last window, anchor) of the units of a text, in order."""
-    n = len(data)
-    if n < LENGTH:
+    n, k = len(data), gram_size(length)
+    if n < length:
         return np.zeros((0, 3), dtype=np.int64)
     power, inverse = _power(n + 1)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[:n], dtype=np.uint64)])
-    gram = mix((prefix[K:] - prefix[:-K]) * inverse[: n - K + 1])
+    gram = mix((prefix[k:] - prefix[:-k]) * inverse[: n - k + 1])
     key = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
-    w, m = LENGTH - K + 1, n - LENGTH + 1
+    w, m = length - k + 1, n - length + 1
     # Least key of each w in a row: block-wise running minima from both sides.
     padded = np.concatenate([key, np.full(-len(key) % w, 2**64 - 1, dtype=np.uint64)]).reshape(-1, w)
     forward = np.minimum.accumulate(padded, axis=1).ravel()
@@ -65,19 +71,20 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return np.stack([first, np.append(first[1:], m) - 1, at[first]], axis=1)
 
 
-def _scan(docs: DataFrame) -> DataFrame:
+def _scan(docs: DataFrame, length: int) -> DataFrame:
     """The units of all texts, with hashes of the anchor (a) and of the whole unit (s)."""
+    gram = gram_size(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             rows, a, s = [], [], []
             for k, text in enumerate(utf8(batch.column(0))):
-                found = anchors(np.frombuffer(text, dtype=np.uint8))
+                found = anchors(np.frombuffer(text, dtype=np.uint8), length)
                 rows.append(np.column_stack([np.full(len(found), k), found]))
                 for i0, i1, p in found.tolist():
-                    a.append(_signed(digest(text[p : p + K])))
-                    s.append(_signed(digest(text[i0 : i1 + LENGTH])))
+                    a.append(_signed(digest(text[p : p + gram])))
+                    s.append(_signed(digest(text[i0 : i1 + length])))
             at, i0, i1, p = np.concatenate(rows).T if rows else np.zeros((4, 0), dtype=np.int64)
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), *(pa.array(x, pa.int32()) for x in (i0, i1, p)), pa.array(a, pa.int64()), pa.array(s, pa.int64())], ["h", "c", "i0", "i1", "p", "a", "s"])
@@ -85,7 +92,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.select("text", "h", "c").mapInArrow(run, _UNIT)
 
 
-def _cut(rows: DataFrame, docs: DataFrame, windows: int) -> DataFrame:
+def _cut(rows: DataFrame, docs: DataFrame, windows: int, length: int) -> DataFrame:
     """Units of at most so many windows, cut from larger ones; their anchor is all that their windows share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +105,8 @@ def _cut(rows: DataFrame, docs: DataFrame, windows: int) -> DataFrame:
                     for part in range((p - i1) // windows, (p - i0) // windows + 1):
                         near, far = p - part * windows, p - part * windows - windows + 1  # last and first window of the part, if all are there
                         lo, hi = max(i0, far), min(i1, near)
-                        core = digest(text[near : far + LENGTH], (u["a"] ^ part * 0x9E3779B97F4A7C15) & (2**64 - 1))
-                        out.append((h, c, lo, hi, near, _signed(core), _signed(digest(text[lo : hi + LENGTH], core ^ near - lo))))
+                        core = digest(text[near : far + length], (u["a"] ^ part * 0x9E3779B97F4A7C15) & (2**64 - 1))
+                        out.append((h, c, lo, hi, near, _signed(core), _signed(digest(text[lo : hi + length], core ^ near - lo))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] * 2)], ["h", "c", "i0", "i1", "p", "a", "s"])
 
     return _with_texts(rows, docs).mapInArrow(run, _UNIT)
@@ -109,9 +116,8 @@ def _with_texts(units: DataFrame, docs: DataFrame) -> DataFrame:
     """text, h, c and the list of units of each text that has any; a text's units are bounded by its length, and equal texts stand for one."""
     own = units.groupBy("h", "c").agg(F.collect_list(F.struct("i0", "i1", "p", "a", "n")).alias("units"))
     own = own.select(F.col("h").alias("_h"), F.col("c").alias("_c"), "units")
-    both = docs.join(own, (docs["h"] == own["_h"]) & (docs["c"] == own["_c"]))
-    # The join has the rows of a text side by side.
-    return both.groupBy("h", "c").agg(F.first("text").alias("text"), F.first("units").alias("units")).select("text", "h", "c", "units")
+    each = docs.groupBy("h", "c").agg(F.first("text").alias("text"))  # tasks keep one of equal texts before rows move
+    return each.join(own, (each["h"] == own["_h"]) & (each["c"] == own["_c"])).select("text", "h", "c", "units")
 
 
 def common(a: bytes, b: bytes, at: int) -> int:
@@ -196,7 +202,7 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, in
     return order, out
 
 
-def equal_windows(keys: list[bytes], shared: list[int], right: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def equal_windows(keys: list[bytes], shared: list[int], right: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which windows are repeated: row d has the windows that start d bytes before the anchor, a column is a unit.
 
     keys: sorted; the suffix from the anchor (right bytes), then the prefix read backwards. shared: bytes shared with the key
@@ -213,7 +219,7 @@ def equal_windows(keys: list[bytes], shared: list[int], right: np.ndarray, lo: n
         own = np.flatnonzero((lo <= d) & (d <= hi))
         if len(own) < 2:
             continue
-        right_class = np.cumsum(shared < LENGTH - d)
+        right_class = np.cumsum(shared < length - d)
         left_class[order] = np.cumsum(left < d)
         both = right_class[own] * (n + 1) + left_class[own]
         by = np.argsort(both, kind="stable")
@@ -223,7 +229,7 @@ def equal_windows(keys: list[bytes], shared: list[int], right: np.ndarray, lo: n
     return out
 
 
-def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
+def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int, length: int) -> DataFrame:
     """Spans (h, c, start, end) of the repeated windows of units that occur once (n = 1)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,19 +240,19 @@ def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
             rows = []
             for bucket, own in held.items():
                 own.sort(key=lambda u: u[0])
-                shared, length, rest = front_code([u[0] for u in own])
-                rows.append((bucket, shared.tobytes(), length.tobytes(), rest, np.array([u[1:] for u in own], dtype=np.int64).tobytes()))
+                shared, sizes, rest = front_code([u[0] for u in own])
+                rows.append((bucket, shared.tobytes(), sizes.tobytes(), rest, np.array([u[1:] for u in own], dtype=np.int64).tobytes()))
             held.clear()
             kinds = [pa.int32()] + [pa.binary()] * 4
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "shared", "length", "rest", "info"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "shared", "sizes", "rest", "info"])
 
         for batch in batches:
             for text, h, c, own in zip(utf8(batch.column(0)), *(x.to_pylist() for x in batch.columns[1:]), strict=True):
                 for u in own:
                     i0, i1, p = u["i0"], u["i1"], u["p"]
-                    suffix = text[p : i1 + LENGTH]
+                    suffix = text[p : i1 + length]
                     held[u["a"] % buckets].append((suffix + text[i0:p][::-1], len(suffix), h, c, p, p - i1, p - i0, u["n"]))
-                    size += i1 + LENGTH - i0
+                    size += i1 + length - i0
                 if size > RUN_BYTES:
                     yield runs()
                     size = 0
@@ -255,40 +261,40 @@ def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
 
     def receive(table: pa.Table) -> pa.Table:
         runs, infos = [], []
-        for shared, length, rest, info in zip(*(table.column(x).to_pylist() for x in ("shared", "length", "rest", "info")), strict=True):
+        for shared, sizes, rest, info in zip(*(table.column(x).to_pylist() for x in ("shared", "sizes", "rest", "info")), strict=True):
             s = np.frombuffer(shared, dtype=np.int32)
-            runs.append((front_decode(s, np.frombuffer(length, dtype=np.int32), rest), s.tolist()))
+            runs.append((front_decode(s, np.frombuffer(sizes, dtype=np.int32), rest), s.tolist()))
             infos.append(np.frombuffer(info, dtype=np.int64).reshape(-1, 7))
         order, shared = merge(runs)
         keys = [runs[r][0][i] for r, i in order]
         right, h, c, p, lo, hi, n = np.array([infos[r][i] for r, i in order], dtype=np.int64).reshape(-1, 7).T
-        repeated = equal_windows(keys, shared, right, lo, hi)
+        repeated = equal_windows(keys, shared, right, lo, hi, length)
         repeated[:, n > 1] = False  # all windows of those are known to be repeated
         edge = np.diff(np.pad(repeated.T.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         unit, begin = np.nonzero(edge == 1)
         end = np.nonzero(edge == -1)[1] - 1  # windows begin .. end bytes before the anchor
-        return pa.table({"h": h[unit], "c": c[unit], "start": p[unit] - end, "end": p[unit] - begin + LENGTH})
+        return pa.table({"h": h[unit], "c": c[unit], "start": p[unit] - end, "end": p[unit] - begin + length})
 
     small_batches(docs.sparkSession)
-    runs = _with_texts(units, docs).mapInArrow(send, "bucket int, shared binary, length binary, rest binary, info binary")
+    runs = _with_texts(units, docs).mapInArrow(send, "bucket int, shared binary, sizes binary, rest binary, info binary")
     return runs.groupBy("bucket").applyInArrow(receive, "h long, c long, start long, end long")
 
 
-def _settle(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _settle(units: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Spans of the units that occur again, and one of each different unit that shares its anchor with another, with m (units of the anchor) and n (occurrences).
 
-    units: a table of materialize(); it is deleted.
+    units: a table of materialize(); it is deleted. Both sides of the join of units by anchor come from tables, so that Spark can
+    split the rows of a common anchor; beyond it, rows are counted by task before they move.
     """
-    again = units.groupBy("a").agg(F.count("*").alias("k"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("k > 1").select("a", (F.col("lo") != F.col("hi")).alias("differ"))
-    some = materialize(units.join(again, "a"), "units")
-    discard(units)
-    each = materialize(some.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("h", "c", "i0", "i1", "p")).alias("of"), F.first("differ").alias("differ")), "units")
-    spans = some.join(each.where("n > 1").select("a", "s"), ["a", "s"]).select("h", "c", F.col("i0").cast("long").alias("start"), (F.col("i1") + LENGTH).cast("long").alias("end")).distinct()
+    again = materialize(units.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "anchors")
+    some = materialize(units.join(again, "a", "left_semi"), "units")
+    discard(units, again)
+    each = materialize(some.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("h", "c", "i0", "i1", "p")).alias("of")), "units")
+    spans = some.join(each.where("n > 1").select("a", "s"), ["a", "s"], "left_semi").select("h", "c", F.col("i0").cast("long").alias("start"), (F.col("i1") + length).cast("long").alias("end")).distinct()
     spans = materialize(spans, "spans")
     discard(some)
-    open_ = each.where("differ").select("a", "s", "n", "of.*")
-    many = open_.groupBy("a").agg(F.count("*").alias("m"))
-    open_ = materialize(open_.join(many, "a"), "open")
+    many = each.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
+    open_ = materialize(each.select("a", "s", "n", "of.*").join(many, "a"), "open")
     discard(each)
     return spans, open_
 
@@ -299,26 +305,29 @@ def text_key() -> tuple[Column, Column]:
     return F.xxhash64(text), F.crc32(text.cast("binary"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """h, c (see text_key) and the list of byte spans that repeated windows cover, of each text that has any; spans may overlap."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """h, c (see text_key) and the list of byte spans that repeated windows of length bytes cover, of each text that has any; spans may overlap."""
     small_batches(docs.sparkSession)
     h, c = text_key()
     docs = docs.select(F.col("text").cast("string").alias("text"), h.alias("h"), c.alias("c"))
-    spans, open_ = _settle(materialize(_scan(docs), "units"))
+    spans, open_ = _settle(materialize(_scan(docs, length), "units"), length)
     found = [spans]
     for windows in (*PARTS, 0):
         few, many = open_.where(F.col("m") <= HOT), open_.where(F.col("m") > HOT)
         count = few.count()
         if count:
-            found.append(materialize(_sorted_spans(few, docs, -(-count // BUCKET)), "spans"))
+            found.append(materialize(_sorted_spans(few, docs, -(-count // BUCKET), length), "spans"))
         if not windows or many.isEmpty():
             break
-        spans, open_ = _settle(materialize(_cut(many, docs, windows), "units"))
+        spans, left = _settle(materialize(_cut(many, docs, windows, length), "units"), length)
+        discard(open_)
+        open_ = left
         found.append(spans)
-    whole = found[0]
-    for x in found[1:]:
-        whole = whole.unionAll(x)
-    return materialize(whole.distinct().groupBy("h", "c").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    discard(open_)
+    whole = reduce(DataFrame.unionAll, found)
+    out = materialize(whole.distinct().groupBy("h", "c").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    discard(*found)
+    return out
 
 
 def union(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -332,11 +341,13 @@ def union(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    spans = repeated_spans(docs).select(F.col("h").alias("_h"), F.col("c").alias("_c"), F.col("spans").alias("_spans"))
+def _joined(docs: DataFrame, length: int) -> DataFrame:
+    """All columns of docs and, as the last one, the spans that go."""
+    spans = repeated_spans(docs.select("text"), length).select(F.col("h").alias("_h"), F.col("c").alias("_c"), "spans")
     h, c = text_key()
-    keyed = docs.withColumns({"_kh": h, "_kc": c})
-    return keyed.join(spans, (keyed["_kh"] == spans["_h"]) & (keyed["_kc"] == spans["_c"]), "left").drop("_kh", "_kc", "_h", "_c")
+    rows = docs.select(F.struct("*").alias("row"), h.alias("h"), c.alias("c"))  # in a struct, no name can clash
+    joined = rows.join(spans, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c")), "left")
+    return joined.select("row.*", F.col("spans").alias(unused("spans", docs)))
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -344,13 +355,14 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs.
+def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and text (these as characters; one that is cut goes whole) of each row of docs.
 
-    Null and empty texts and texts under LENGTH bytes keep all. A row with a null doc_id is treated like any other; repeated
-    rows repeat each other's texts, so all their windows go. Other columns don't matter; an empty table gives an empty result.
+    Null and empty texts and texts under length bytes keep all; a null text counts as empty. A row with a null doc_id is treated
+    like any other; repeated rows repeat each other's texts, so all their windows go. A very long text is one row, whose units are
+    rows of their own. Other columns, whatever their names, don't matter; an empty table gives an empty result.
     """
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,14 +370,18 @@ def report(docs: DataFrame) -> DataFrame:
             kept = [_kept(t, s) for t, s in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()),
-                 pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names)
+                 pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], names)
 
-    return _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _joined(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """docs without the bytes of repeated windows, n_chars brought up to date where it exists; a character that is cut goes whole."""
-    joined = _joined(docs)
+def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs without the bytes of repeated windows, n_chars brought up to date where it exists; a character that is cut goes whole.
+
+    Every row stays, with all its columns. Null texts stay null, empty texts and texts under length bytes stay as they are; ids, null or
+    repeated, don't matter; the windows of repeated rows are repeats, so all of them go; an empty table gives an empty result.
+    """
     schema, at = docs.schema, docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -380,4 +396,4 @@ def remove(docs: DataFrame) -> DataFrame:
                 columns[size] = pc.if_else(cut, pa.array([None if t is None else len(t) for t in texts], columns[size].type), columns[size])
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return joined.select(*docs.columns, "_spans").mapInArrow(run, schema)
+    return _joined(docs, length).mapInArrow(run, schema)
