@@ -9,6 +9,10 @@ from tenorline.llm.common import materialize, read
 from tenorline.llm.queries import WORD_BPE
 
 
+#: Bytes of a repeated passage: 50 words of five bytes each, blanks included, which is short for words.
+PASSAGE = 250
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
@@ -20,8 +24,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of repeated strings; a text may end up empty, its document stays."""
-    return suffix_dedup.remove(docs)
+    """Documents without the bytes of repeated passages; a text may end up empty, its document stays."""
+    return suffix_dedup.remove(docs, PASSAGE)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
