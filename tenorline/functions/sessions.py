@@ -35,6 +35,14 @@ def bucket_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "bucket int, bucket_label string, start_hour int, n_hours int, session string, hours array<int>, expected_volume string")
 
 
+def bucket_info(bucket: Column, what: str) -> Column:
+    """label, session or hours of a bucket; null stays null, and a bucket that isn't one is an error."""
+    at = {"label": 1, "hours": 3, "session": 4}[what]
+    known = F.element_at(F.create_map(*[F.lit(x) for b in BUCKETS for x in (b[0], b[at])]), bucket)
+    bad = F.raise_error(F.concat(F.lit("unknown bucket: "), bucket.cast("string"))).cast("int" if what == "hours" else "string")
+    return F.when(bucket.isNull(), F.lit(None)).when(bucket.between(1, len(BUCKETS)), known).otherwise(bad)
+
+
 def bucket_start(ts: str, bucket: str) -> Column:
     """When a time's bucket began, by the wall clock: the Asia session of the small hours began the day before."""
     hour = f"case when {bucket} <= 7 then 8 + {bucket} when {bucket} = 8 then 16 when {bucket} = 9 then 21 else 3 end"

@@ -1,7 +1,8 @@
 """Bars of ticks or minutes: session buckets, days, calendar fill, statistics and validation.
 
 Input rows: root, contract, ts (without zone), open, high, low, close, volume and, if there, open_interest. NaN is missing (see clean()).
-First and last values skip nulls. All aggregates combine before the shuffle, whose key is (root, contract, bar).
+First and last values skip nulls; of rows of one time the first is that of the first file (src_file), then of the first line (pos), where
+these are there. All aggregates combine before the shuffle, whose key is (root, contract, bar).
 """
 
 from __future__ import annotations
@@ -29,16 +30,22 @@ def _ohlcv(columns: list[str], order: Column) -> list[Column]:
     return [f().alias(c) for c, f in made.items() if c in columns]
 
 
+def row_order(minutes: DataFrame) -> Column:
+    """The order of minute rows: by time, then file, then place in it, as far as there are such columns."""
+    more = [c for c in ("src_file", "pos") if c in minutes.columns]
+    return F.struct("ts", *more) if more else F.col("ts")
+
+
 def bucket_bars(minutes: DataFrame, order: Column | None = None) -> DataFrame:
     """One bar for each contract and session bucket that has rows: root, contract, ts (start), bucket and the columns there are."""
     rows = minutes.withColumn("bucket", bucket_of_hour(F.hour("ts")))
     rows = rows.withColumn("start", bucket_start("ts", "bucket"))
-    return rows.groupBy("root", "contract", F.col("start").alias("bar"), "bucket").agg(*_ohlcv(minutes.columns, order if order is not None else F.col("ts"))).withColumnRenamed("bar", "ts")
+    return rows.groupBy("root", "contract", F.col("start").alias("bar"), "bucket").agg(*_ohlcv(minutes.columns, order if order is not None else row_order(minutes))).withColumnRenamed("bar", "ts")
 
 
 def daily_bars(minutes: DataFrame, order: Column | None = None) -> DataFrame:
     """One bar for each contract and calendar day that has rows: root, contract, day and the columns there are."""
-    return minutes.groupBy("root", "contract", F.to_date("ts").alias("day")).agg(*_ohlcv(minutes.columns, order if order is not None else F.col("ts")))
+    return minutes.groupBy("root", "contract", F.to_date("ts").alias("day")).agg(*_ohlcv(minutes.columns, order if order is not None else row_order(minutes)))
 
 
 def fill_calendar(daily: DataFrame) -> DataFrame:
@@ -49,14 +56,14 @@ def fill_calendar(daily: DataFrame) -> DataFrame:
 
 
 def bucket_statistics(bars: DataFrame) -> DataFrame:
-    """Ten rows, one for each bucket: bars, coverage, volume and its share, average and deviation of closes."""
+    """Ten rows, one for each bucket: label, session, hours, bars, coverage, volume and its share, average and deviation of closes."""
     total = bars.agg(F.count("*").alias("all_points"), F.sum("volume").alias("all_volume"))  # one row
     own = bars.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("volume").alias("av"), F.sum("volume").alias("tv"), F.avg("close").alias("ac"), F.stddev_samp("close").alias("cv"))
-    dim = bucket_dim(bars.sparkSession).select("bucket", "bucket_label", "session")
+    dim = bucket_dim(bars.sparkSession).select("bucket", F.col("bucket_label").alias("label"), "session", F.col("n_hours").alias("duration_hours"))
     joined = dim.join(F.broadcast(own), "bucket", "left").join(F.broadcast(total))  # ten rows and one
     share = lambda x, whole: 100 * x / F.when(whole > 0, whole)
     return joined.select(
-        "bucket", "bucket_label", "session", F.coalesce("n", F.lit(0)).cast("long").alias("data_points"),
+        "bucket", "label", "session", "duration_hours", F.coalesce("n", F.lit(0)).cast("long").alias("data_points"),
         F.coalesce(share(F.coalesce("n", F.lit(0)), F.col("all_points")), F.lit(0.0)).alias("coverage_pct"), F.col("av").alias("avg_volume"), F.coalesce("tv", F.lit(0.0)).alias("total_volume"),
         share(F.coalesce("tv", F.lit(0.0)), F.col("all_volume")).alias("volume_share_pct"), F.col("ac").alias("avg_close"), F.col("cv").alias("close_volatility"),
     )

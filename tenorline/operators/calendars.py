@@ -92,6 +92,25 @@ def easter(year: str) -> Column:
     return F.expr(f"make_date({year}, cast({month} as int), cast({l_} + 28 - 31 * ({month} div 4) as int))")
 
 
+#: Holidays on which an exchange may be open (fixed values); holiday_check() doesn't ask for them.
+OPEN_HOLIDAYS = ["Martin Luther King Jr. Day", "Presidents' Day", "Juneteenth"]
+
+
+def holiday_check(calendar: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """year, holiday, date, status of each holiday that a calendar should list, by rule and moved off a weekend: found, misnamed or missing.
+
+    A Saturday's holiday is observed on the Friday before, a Sunday's on the Monday after. Names count as equal if one begins with the other's
+    first ten characters, without " Day".
+    """
+    rules = holiday_rules(calendar.sparkSession, first_year, last_year).where(~F.col("holiday").isin(OPEN_HOLIDAYS))
+    day = F.dayofweek("date")
+    observed = rules.withColumn("date", F.when(day == 7, F.date_sub("date", 1)).when(day == 1, F.date_add("date", 1)).otherwise(F.col("date")))
+    listed = calendar.select("date", F.col("holiday_name").alias("_name"), F.lit(True).alias("_listed")).dropDuplicates(["date"])
+    plain = lambda c: F.lower(F.replace(F.col(c), F.lit(" Day"), F.lit("")))
+    status = F.when(F.col("_listed").isNull(), "missing").when(plain("_name").startswith(F.substring(plain("holiday"), 1, 10)), "found").otherwise("misnamed")
+    return observed.join(listed, "date", "left").select("year", "holiday", "date", status.alias("status"))
+
+
 def holiday_rules(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """year, holiday, date of a US exchange's regular holidays by their rules, before any move off a weekend."""
     years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))

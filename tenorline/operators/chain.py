@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sessions import bucket_info
+
 #: Contracts of the chain.
 DEPTH = 12
 
 
 def expiry_dim(metadata: DataFrame) -> DataFrame:
-    """contract, expiry (and source columns, if there) of contract metadata; of a repeated contract the row of the earliest expiry."""
+    """contract, expiry (and source columns, if there) of contract metadata; of a repeated contract the first row by line, or without that column the row of the earliest expiry."""
     order = Window.partitionBy("contract").orderBy(*([F.col("line")] if "line" in metadata.columns else []), "expiry")
-    return metadata.where("contract is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return metadata.where("contract is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "line")
 
 
 def missing_expiry(bars: DataFrame, dim: DataFrame) -> list[str]:
@@ -21,15 +23,18 @@ def missing_expiry(bars: DataFrame, dim: DataFrame) -> list[str]:
 
 
 def assemble_panel(bars: DataFrame, dim: DataFrame, check: bool = True) -> DataFrame:
-    """bars with the expiry of their contracts; an error names contracts without one."""
+    """bars with the expiry of their contracts; an error names contracts without one, or says that there are no bars."""
+    if check and bars.isEmpty():
+        raise ValueError("no bars for a panel")
     if check and (lost := missing_expiry(bars, dim)):
         raise ValueError(f"no expiry for contracts: {', '.join(lost)}")
     return bars.join(dim, "contract", "left")
 
 
 def panel_meta(panel: DataFrame) -> DataFrame:
-    """root, ts and the bucket of the first contract, by name, that has one."""
-    return panel.groupBy("root", "ts").agg(F.min_by("bucket", F.when(F.col("bucket").isNotNull(), F.col("contract"))).alias("bucket"))
+    """root, ts and the bucket, with its label and session, of the first contract, by name, that has one."""
+    by = panel.groupBy("root", "ts").agg(F.min_by("bucket", F.when(F.col("bucket").isNotNull(), F.col("contract"))).alias("bucket"))
+    return by.withColumns({"bucket_label": bucket_info(F.col("bucket"), "label"), "session": bucket_info(F.col("bucket"), "session")})
 
 
 def grid(panel: DataFrame) -> DataFrame:
@@ -37,11 +42,16 @@ def grid(panel: DataFrame) -> DataFrame:
     return panel.select("root", "ts").distinct()
 
 
-def chain(panel: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The first contracts by expiry, then name, that have a close and haven't expired (on the day itself they still count): k from 1."""
-    alive = panel.where(F.col("close").isNotNull() & (F.col("expiry") >= F.to_date("ts")))
+def chain(panel: DataFrame, depth: int = DEPTH, price: str = "close", volume: str = "volume") -> DataFrame:
+    """The first contracts by expiry, then name, that have a price and haven't expired (on the day itself they still count): k from 1.
+
+    price, volume: the columns of the panel that count as close and volume from here on.
+    """
+    if lost := {price, volume} - set(panel.columns):
+        raise ValueError(f"the panel has no column {', '.join(sorted(lost))}")
+    alive = panel.where(F.col(price).isNotNull() & (F.col("expiry") >= F.to_date("ts")))
     k = F.row_number().over(Window.partitionBy("root", "ts").orderBy("expiry", "contract"))
-    return alive.select("root", "ts", "contract", "close", "volume", "expiry", k.alias("k")).where(F.col("k") <= depth)
+    return alive.select("root", "ts", "contract", F.col(price).alias("close"), F.col(volume).alias("volume"), "expiry", k.alias("k")).where(F.col("k") <= depth)
 
 
 def chain_wide(links: DataFrame, times: DataFrame, depth: int = DEPTH, value: str = "contract", prefix: str = "F") -> DataFrame:

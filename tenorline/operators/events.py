@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sessions import bucket_info
+
 _SERIES = ["root", "level"]
 
 
@@ -96,19 +98,26 @@ def business_day_gaps(events: DataFrame, business_days: DataFrame) -> DataFrame:
     return placed.withColumn("gap", (F.col("pos") - before).cast("long"))
 
 
-def event_summary(events: DataFrame, business_days: DataFrame) -> DataFrame:
-    """One row for each kept event: spread before and after, change, business days since the last one."""
-    before = events.withColumn("spread_before", F.lag("spread").over(_rows()))
-    return business_day_gaps(before, business_days).select("root", "level", "ts", "spread_before", F.col("spread").alias("spread_after"), (F.col("spread") - F.col("spread_before")).alias("change"), F.col("gap").alias("business_days_since_last"))
+def event_summary(events: DataFrame, business_days: DataFrame | None = None, spreads: DataFrame | None = None) -> DataFrame:
+    """One row for each kept event, at its aligned_ts if it has one: spread before and after, change, business days since the last one (null without business days).
+
+    spreads: the whole series, where events lacks rows of it; a time that isn't in the series has no spreads.
+    """
+    series = (events if spreads is None else spreads).select(*_SERIES, "ts", "spread").withColumn("spread_before", F.lag("spread").over(_rows()))
+    at = "aligned_ts" if "aligned_ts" in events.columns else "ts"
+    before = events.where("kept").select(*_SERIES, F.col(at).alias("ts"), "kept").join(series, [*_SERIES, "ts"], "left")
+    dated = before.withColumn("gap", F.lit(None).cast("long")) if business_days is None else business_day_gaps(before, business_days)
+    return dated.select("root", "level", "ts", "spread_before", F.col("spread").alias("spread_after"), (F.col("spread") - F.col("spread_before")).alias("change"), F.col("gap").alias("business_days_since_last"))
 
 
 def bucket_event_summary(events: DataFrame) -> DataFrame:
-    """Per root and bucket: periods, events, rate, average spreads and share of all events. events: kept, spread, bucket."""
+    """Per root and bucket: label, session, periods, events, rate, average spreads and share of all events. events: kept, spread, bucket."""
     event_spread = F.when(F.col("kept"), F.col("spread"))
     by = events.where("bucket is not null").groupBy("root", "bucket").agg(
         F.count("*").alias("total_periods"), F.count_if("kept").alias("event_count"), F.avg("spread").alias("avg_spread"), F.avg(event_spread).alias("avg_event_spread"), F.stddev_samp(event_spread).alias("std_event_spread")
     )
     whole = F.sum("event_count").over(Window.partitionBy("root"))
+    by = by.withColumns({"label": bucket_info(F.col("bucket"), "label"), "session": bucket_info(F.col("bucket"), "session")})
     return by.withColumn("event_rate_pct", F.bround(100 * F.col("event_count") / F.col("total_periods"), 2)).withColumn("event_share_pct", F.when(whole > 0, F.bround(100 * F.col("event_count") / whole, 2)).otherwise(0.0))
 
 

@@ -82,14 +82,23 @@ def dominance_by_cycle(sizes: DataFrame, links: DataFrame) -> DataFrame:
     ).withColumn("cycle", cycle_label(F.col("bin")))
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """x with so many decimals, an exact tie to the even digit."""
+    return F.format_string(f"%.{digits}f", F.when(x * 8 == F.floor(x * 8), F.bround(x, digits)).otherwise(x))  # doubles that are ties are eighths
+
+
 def cross_spread_summary(cycles: DataFrame, significance: float = 10.0) -> DataFrame:
-    """Five metrics, in words, of dominance_by_cycle(): bins over the threshold, peak bin and rate, mean rate, whether expiry matters."""
+    """Five metrics, in words, of dominance_by_cycle(): the bin of the highest rate among those over the threshold (the first of equal ones), its rate and ratio, what that says."""
     rate = F.col("s1_dominance_rate_pct")
-    top = F.max_by(F.struct("cycle", rate.alias("rate")), F.struct(rate, -F.col("bin")))
-    by = cycles.groupBy("root").agg(F.count_if(rate > significance).alias("n"), top.alias("top"), F.avg(rate).alias("mean"), F.max(rate).alias("most"))
+    peak = F.max_by(F.struct("cycle", rate.alias("rate"), F.col("avg_dominance_ratio").alias("ratio")), F.when(rate > significance, F.struct(rate, -F.col("bin"))))
+    by = cycles.groupBy("root").agg(peak.alias("peak"))
+    found, shown = F.col("peak").isNotNull(), _fixed(F.col("peak.rate"), 1)
+    said = F.concat(F.lit("S1 shows peak dominance "), F.col("peak.cycle"), F.lit(" days before F1 expiry ("), shown, F.lit("% of periods)"))
     rows = [
-        ("significant_bins", F.col("n").cast("string")), ("peak_bin", F.col("top.cycle")), ("peak_rate_pct", F.format_string("%.1f", "top.rate")),
-        ("mean_rate_pct", F.format_string("%.2f", "mean")), ("expiry_driven", F.when(F.col("most") > 15, "Yes").otherwise("No")),
+        ("Peak dominance bucket", F.when(found, F.col("peak.cycle")).otherwise("None")), ("Peak dominance rate (%)", F.when(found, shown).otherwise("0.0")),
+        ("Average dominance ratio at peak", F.when(found, F.coalesce(_fixed(F.col("peak.ratio"), 2), F.lit("nan"))).otherwise("N/A")),
+        ("Interpretation", F.when(found, said).otherwise("No significant S1 dominance detected at any point in the cycle")),
+        ("Suggests institutional rolling", F.when(found & (F.col("peak.rate") > 15), "Yes").otherwise("No")),
     ]
     return by.select("root", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in rows])))
 

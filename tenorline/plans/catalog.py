@@ -16,7 +16,7 @@ from ..operators import bars, bizdays, calendars, chain, events, quality, strip
 from ..sources import adapters
 from ..sources.inventory import COMMODITIES, classify_files
 from .market import Market
-from .oracle import WITH, rows
+from .oracle import LABEL, SESSION, WITH, rows
 
 Plan = Callable[[Market], DataFrame]
 _ALL: dict[str, tuple[str, Plan, str | None]] = {}
@@ -45,8 +45,8 @@ def _sql(columns: str, body: str) -> str:
 _add("scan_ticks", "root contract ts close volume", lambda m: m.minutes, "(SELECT *, price AS close FROM ticks)")
 _add("bucket_assign", "hour:l bucket:l", lambda m: m.spark.range(24).select(F.col("id").alias("hour")).withColumn("bucket", bucket_of_hour(F.col("hour"))),
      "(SELECT h AS hour, CASE WHEN h BETWEEN 9 AND 15 THEN h - 8 WHEN h BETWEEN 16 AND 20 THEN 8 WHEN h BETWEEN 3 AND 8 THEN 10 ELSE 9 END AS bucket FROM generate_series(0, 23) t(h))")
-_add("bucket_dim", "bucket:l start_hour:l n_hours:l session", lambda m: bucket_dim(m.spark),
-     "(SELECT b AS bucket, CASE WHEN b <= 7 THEN 8 + b WHEN b = 8 THEN 16 WHEN b = 9 THEN 21 ELSE 3 END AS start_hour, CASE WHEN b <= 7 THEN 1 WHEN b = 8 THEN 5 ELSE 6 END AS n_hours, "
+_add("bucket_dim", "bucket:l bucket_label start_hour:l n_hours:l session", lambda m: bucket_dim(m.spark),
+     f"(SELECT b AS bucket, {LABEL.format('b')} AS bucket_label, CASE WHEN b <= 7 THEN 8 + b WHEN b = 8 THEN 16 WHEN b = 9 THEN 21 ELSE 3 END AS start_hour, CASE WHEN b <= 7 THEN 1 WHEN b = 8 THEN 5 ELSE 6 END AS n_hours, "
      "CASE WHEN b <= 7 THEN 'US Regular' WHEN b = 8 THEN 'Late US' WHEN b = 9 THEN 'Asia' ELSE 'Europe' END AS session FROM generate_series(1, 10) t(b))")
 _add("bucket_start", "contract ts bucket:l bar", lambda m: m.minutes.withColumn("bucket", bucket_of_hour(F.hour("ts"))).withColumn("bar", bucket_start("ts", "bucket")), "started")
 _add("trading_date", "contract ts tick_date bar_date", lambda m: m.minutes.select("contract", "ts", tick_date(F.col("ts")).alias("tick_date"), bar_date(F.col("ts"), bucket_of_hour(F.hour("ts"))).alias("bar_date")),
@@ -89,8 +89,8 @@ _BAR = "root contract ts bucket:l open high low close volume"
 _add("bucket_ohlcv", _BAR, lambda m: m.bars, "bars")
 _add("daily_ohlcv", "root contract day open high low close volume", lambda m: m.daily, "daily")
 _add("daily_ohlcv_filled", "root contract day open high low close volume", lambda m: bars.fill_calendar(m.daily), "filled")
-_add("bucket_statistics", "bucket:l session data_points:l coverage_pct:r avg_volume:r total_volume volume_share_pct:r avg_close:r close_volatility:r", lambda m: bars.bucket_statistics(m.bars),
-     "(SELECT b AS bucket, CASE WHEN b <= 7 THEN 'US Regular' WHEN b = 8 THEN 'Late US' WHEN b = 9 THEN 'Asia' ELSE 'Europe' END AS session, count(x.ts) AS data_points, 100.0 * count(x.ts) / (SELECT count(*) FROM bars) AS coverage_pct, avg(volume) AS avg_volume, "
+_add("bucket_statistics", "bucket:l label session duration_hours:l data_points:l coverage_pct:r avg_volume:r total_volume volume_share_pct:r avg_close:r close_volatility:r", lambda m: bars.bucket_statistics(m.bars),
+     f"(SELECT b AS bucket, {LABEL.format('b')} AS label, {SESSION.format('b')} AS session, CASE WHEN b <= 7 THEN 1 WHEN b = 8 THEN 5 ELSE 6 END AS duration_hours, count(x.ts) AS data_points, 100.0 * count(x.ts) / (SELECT count(*) FROM bars) AS coverage_pct, avg(volume) AS avg_volume, "
      "coalesce(sum(volume), 0.0) AS total_volume, 100 * coalesce(sum(volume), 0.0) / (SELECT sum(volume) FROM bars) AS volume_share_pct, avg(close) AS avg_close, stddev_samp(close) AS close_volatility FROM generate_series(1, 10) t(b) LEFT JOIN bars x ON x.bucket = b GROUP BY b)")
 _add("bucket_validation", "root trade_date volume_ok high_ok low_ok has_all_buckets", lambda m: bars.bucket_validation(m.minutes, m.bars),
      "(SELECT b.root, b.d AS trade_date, abs(b.v - t.v) <= 1e-8 + 1e-5 * abs(t.v) AS volume_ok, b.hi = t.hi AS high_ok, b.lo = t.lo AS low_ok, b.n = 10 AS has_all_buckets FROM "
@@ -101,12 +101,15 @@ _add("bucket_validation", "root trade_date volume_ok high_ok low_ok has_all_buck
 _add("expiry_dim", "contract expiry", lambda m: chain.expiry_dim(m.expiry), "expiry_dim")
 _add("panel_assemble", _BAR + " expiry", lambda m: m.panel, "panel")
 _add("panel_grid", "root ts", lambda m: m.times, "grid")
-_add("panel_meta", "root ts bucket:l", lambda m: m.meta, "meta")
+_add("panel_meta", "root ts bucket:l bucket_label session", lambda m: m.meta, f"(SELECT *, {LABEL.format('bucket')} AS bucket_label, {SESSION.format('bucket')} AS session FROM meta)")
 _PAIR = "root ts " + " ".join(f"{n}_{c}" for n in ("front", "next") for c in ("contract", "close", "volume", "expiry"))
 _add("front_next", _PAIR, lambda m: m.pairs, "pairs")
 _add("contract_chain", "root ts " + " ".join(f"F{i}" for i in range(1, 13)), lambda m: chain.chain_wide(m.links, m.times),
      "(SELECT g.root, g.ts, " + ", ".join(f"max(CASE WHEN k = {i} THEN contract END) AS F{i}" for i in range(1, 13)) + " FROM grid g LEFT JOIN links l ON g.root = l.root AND g.ts = l.ts GROUP BY g.root, g.ts)")
 _add("calendar_spread", "root ts spread", lambda m: m.spread, "strip WHERE level = 1")
+_add("calendar_spread_open", "root ts spread", lambda m: chain.calendar_spread(chain.front_next(chain.chain(m.panel, price="open"), m.times)),
+     "(SELECT g.root, g.ts, max(CASE WHEN k = 2 THEN open END) - max(CASE WHEN k = 1 THEN open END) AS spread FROM grid g LEFT JOIN (SELECT root, ts, open, row_number() OVER (PARTITION BY root, ts ORDER BY expiry, contract) AS k "
+     "FROM panel WHERE open IS NOT NULL AND expiry >= CAST(ts AS DATE)) l ON g.root = l.root AND g.ts = l.ts GROUP BY g.root, g.ts)")
 _add("multi_spreads", "root ts level:l spread", lambda m: m.strip, "strip")
 _add("strip_wide", "root ts " + " ".join(f"S{i}" for i in range(1, 12)), lambda m: chain.strip_wide(m.strip), "(SELECT root, ts, " + ", ".join(f"max(CASE WHEN level = {i} THEN spread END) AS S{i}" for i in range(1, 12)) + " FROM strip GROUP BY root, ts)")
 _add("front_volume", "root ts front_volume", lambda m: m.pairs, "pairs")
@@ -133,8 +136,15 @@ _add("align_shift_next", "root ts kept aligned_ts", lambda m: events.align_event
 _add("business_day_gaps", "root ts gap:l", lambda m: events.business_day_gaps(m.cooled, m.business_days), "gaps")
 _add("event_summary", "root ts spread_before spread_after change:r business_days_since_last:l", lambda m: events.event_summary(m.cooled, m.business_days),
      "(SELECT root, ts, spread_before, spread AS spread_after, spread - spread_before AS change, gap AS business_days_since_last FROM gaps)")
-_add("bucket_event_summary", "root bucket:l total_periods:l event_count:l avg_spread:r avg_event_spread:r std_event_spread:r", lambda m: events.bucket_event_summary(m.marked),
-     "(SELECT root, bucket, count(*) AS total_periods, count_if(kept) AS event_count, avg(spread) AS avg_spread, avg(spread) FILTER (WHERE kept) AS avg_event_spread, stddev_samp(spread) FILTER (WHERE kept) AS std_event_spread FROM marked WHERE bucket IS NOT NULL GROUP BY ALL)")
+_ALIGNED = "(SELECT c.*, c.ts + to_days(CAST(coalesce((SELECT min(date) FROM business b WHERE b.date >= CAST(c.ts AS DATE)), CAST(c.ts AS DATE)) - CAST(c.ts AS DATE) AS INTEGER)) AS aligned_ts FROM cooled c)"
+_add("event_summary_aligned", "root ts spread_before spread_after change:r business_days_since_last:l", lambda m: events.event_summary(events.align_events(m.cooled, m.business_days, "shift_next"), m.business_days, m.spread),
+     f"(SELECT root, ts, spread_before, spread AS spread_after, spread - spread_before AS change, pos - last_value(pos IGNORE NULLS) OVER (PARTITION BY root ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS business_days_since_last FROM ("
+     f"SELECT a.root, a.aligned_ts AS ts, s.spread, s.spread_before, n.pos FROM {_ALIGNED} a LEFT JOIN (SELECT *, lag(spread) OVER (PARTITION BY root ORDER BY ts) AS spread_before FROM strip WHERE level = 1) s ON s.root = a.root AND s.ts = a.aligned_ts "
+     "LEFT JOIN numbered n ON CAST(a.aligned_ts AS DATE) = n.date WHERE a.kept))")
+_add("bucket_event_summary", "root bucket:l label session total_periods:l event_count:l event_rate_pct:r avg_spread:r avg_event_spread:r std_event_spread:r event_share_pct:r", lambda m: events.bucket_event_summary(m.marked),
+     f"(SELECT *, {LABEL.format('bucket')} AS label, {SESSION.format('bucket')} AS session, round_even(100.0 * event_count / total_periods, 2) AS event_rate_pct, CASE WHEN sum(event_count) OVER (PARTITION BY root) > 0 "
+     "THEN round_even(100.0 * event_count / sum(event_count) OVER (PARTITION BY root), 2) ELSE 0.0 END AS event_share_pct FROM (SELECT root, bucket, count(*) AS total_periods, "
+     "count_if(kept) AS event_count, avg(spread) AS avg_spread, avg(spread) FILTER (WHERE kept) AS avg_event_spread, stddev_samp(spread) FILTER (WHERE kept) AS std_event_spread FROM marked WHERE bucket IS NOT NULL GROUP BY ALL))")
 _add("preference_scores", "root bucket:l score:r", lambda m: events.preference_scores(m.marked),
      "(SELECT root, bucket, CASE WHEN avg(raw) OVER (PARTITION BY root) > 0 THEN raw / avg(raw) OVER (PARTITION BY root) ELSE raw END AS score FROM (SELECT root, bucket, rate / CASE WHEN v > 0 THEN v / sum(v) OVER (PARTITION BY root) ELSE 0.0001 END AS raw "
      "FROM (SELECT root, bucket, avg(CAST(kept AS DOUBLE)) AS rate, coalesce(sum(volume), 0.0) AS v FROM marked WHERE bucket IS NOT NULL GROUP BY ALL)))")
@@ -158,8 +168,10 @@ _add("spread_magnitudes", "root ts s1_change:r others_median:r others_mean:r dom
 _CYCLE = "root bin:l cycle total_observations:l s1_dominance_count:l s1_dominance_rate_pct:r avg_dominance_ratio:r avg_s1_change:r avg_others_median:r"
 _add("s1_dominance_by_cycle", _CYCLE, lambda m: strip.dominance_by_cycle(m.sizes, m.links), "labelled")
 _add("cross_spread_summary", "root metric value", lambda m: strip.cross_spread_summary(strip.dominance_by_cycle(m.sizes, m.links)),
-     "(SELECT root, unnest(['significant_bins', 'peak_bin', 'peak_rate_pct', 'mean_rate_pct', 'expiry_driven']) AS metric, unnest([CAST(count_if(rate > 10) AS VARCHAR), arg_max(cycle, rate - bin * 1e-9), printf('%.1f', max(rate)), printf('%.2f', avg(rate)), "
-     "CASE WHEN max(rate) > 15 THEN 'Yes' ELSE 'No' END]) AS value FROM (SELECT *, s1_dominance_rate_pct AS rate FROM labelled) GROUP BY root)")
+     "(SELECT root, unnest(['Peak dominance bucket', 'Peak dominance rate (%)', 'Average dominance ratio at peak', 'Interpretation', 'Suggests institutional rolling']) AS metric, unnest([coalesce(peak, 'None'), "
+     "coalesce(printf('%.1f', most), '0.0'), coalesce(printf('%.2f', ratio), 'N/A'), coalesce('S1 shows peak dominance ' || peak || ' days before F1 expiry (' || printf('%.1f', most) || '% of periods)', 'No significant S1 dominance detected at any point in the cycle'), "
+     "CASE WHEN most > 15 THEN 'Yes' ELSE 'No' END]) AS value FROM (SELECT root, arg_max(cycle, rate - bin * 1e-9) FILTER (WHERE rate > 10) AS peak, max(rate) FILTER (WHERE rate > 10) AS most, "
+     "arg_max(avg_dominance_ratio, rate - bin * 1e-9) FILTER (WHERE rate > 10) AS ratio FROM (SELECT *, s1_dominance_rate_pct AS rate FROM labelled) GROUP BY root))")
 _add("strip_dominance", "root front_contract date s1_change:r other_median_change:r dominance_ratio:r expiry business_days_to_expiry:l classification", lambda m: m.classified, "dominant")
 _add("expiry_dominance_filter", "root ts event removed", lambda m: strip.filter_expiry_dominance(events.detect_events(m.spread, window=20), m.classified),
      "(SELECT e.root, e.ts, e.event AND d.date IS NULL AS event, e.event AND d.date IS NOT NULL AS removed FROM strip_events e LEFT JOIN (SELECT DISTINCT root, date FROM dominant WHERE classification = 'expiry_dominance') d ON e.root = d.root AND CAST(e.ts AS DATE) = d.date WHERE e.level = 1)")
@@ -189,6 +201,12 @@ _RULES = [("Martin Luther King Jr. Day", "mo = 1 AND w = 1 AND dm BETWEEN 15 AND
 _GOOD = "(VALUES (DATE '2015-04-03'), (DATE '2016-03-25'), (DATE '2017-04-14'), (DATE '2018-03-30'), (DATE '2019-04-19'), (DATE '2020-04-10'), (DATE '2021-04-02'), (DATE '2022-04-15'), (DATE '2023-04-07'), (DATE '2024-03-29'), (DATE '2025-04-18'), (DATE '2026-04-03'), (DATE '2027-03-26'), (DATE '2028-04-14'), (DATE '2029-03-30'), (DATE '2030-04-19'))"
 _add("holiday_rules", "year:l holiday date", lambda m: calendars.holiday_rules(m.spark, 2015, 2030),
      "(" + " UNION ALL ".join(f"SELECT y AS year, '{n}' AS holiday, d AS date FROM {_NTH} WHERE {w}" for n, w in _RULES) + f" UNION ALL SELECT year(d), 'Good Friday', d FROM {_GOOD} t(d))")
+_FOUND = [("2024-01-01", "New Year's", "Closed", ""), ("2024-03-29", "Good Friday", "Closed", ""), ("2024-05-27", "Memorial Day", "Closed", ""), ("2024-07-04", "Fireworks", "Closed", "")]
+_add("holiday_check", "year:l holiday date status", lambda m: calendars.holiday_check(adapters.raw_calendar(m.spark, _FOUND), 2021, 2024),
+     "(SELECT y AS year, holiday, o AS date, CASE WHEN c.date IS NULL THEN 'missing' WHEN starts_with(lower(replace(c.name, ' Day', '')), lower(left(replace(holiday, ' Day', ''), 10))) THEN 'found' ELSE 'misnamed' END AS status "
+     "FROM (SELECT *, CASE isodow(d) WHEN 6 THEN d - 1 WHEN 7 THEN d + 1 ELSE d END AS o FROM ("
+     + " UNION ALL ".join(f"SELECT y, '{n}' AS holiday, d FROM {_NTH} WHERE {w} AND y BETWEEN 2021 AND 2024" for n, w in _RULES if not n.startswith(("Martin", "Presidents", "June")))
+     + f" UNION ALL SELECT year(d), 'Good Friday', d FROM {_GOOD} t(d) WHERE year(d) BETWEEN 2021 AND 2024)) LEFT JOIN (VALUES {rows(_FOUND)}) c(date, name, note, hours) ON c.date = o)")
 _add("volume_threshold", "root ts volume dte:l threshold", lambda m: bizdays.volume_threshold(chain.front_next_volume(m.pairs).join(m.pairs.select("root", "ts", "front_expiry"), ["root", "ts"]).withColumn("dte", days_to_expiry(F.col("front_expiry"), F.to_date("ts"))), bizdays.Coverage()), "limited")
 _AUDIT = "root date total_buckets:l us_buckets:l volume min_dte threshold has_data calendar_closed calendar_open is_partial_day required_buckets:l near_expiry_ok coverage_ok volume_ok_flag data_approved reason final_included"
 _add("business_days_audit", _AUDIT, lambda m: m.audit("union_with_data"), "(SELECT *, calendar_open OR data_approved AS final_included FROM approved)")
@@ -196,9 +214,9 @@ for _policy, _key, _cond in (("calendar_only", "bdays_calendar_only", "calendar_
     _add(_key, "root date", lambda m, p=_policy: bizdays.business_days(m.audit(p)), f"approved WHERE {_cond}")
 
 # Quality of contracts.
-_add("quality_metrics", "contract status reasons data_points:l first last gaps:l max_gap_days:l year:l",
-     lambda m: quality.metrics(m.daily, m.rules).withColumns({"first": F.substring("date_range", 1, 10), "last": F.substring("date_range", 15, 10), "reasons": F.array_join("reasons", "; "), "gaps": F.size("gaps")}),
-     "(SELECT contract, CASE WHEN reasons <> '' THEN 'EXCLUDED' ELSE 'INCLUDED' END AS status, reasons, data_points, CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, wide AS gaps, max_gap_days, year FROM reasoned)")
+_add("quality_metrics", "contract status reasons data_points:l first last coverage_percent:r gap_list gaps:l max_gap_days:l year:l",
+     lambda m: quality.metrics(m.daily, m.rules).withColumns({"gap_list": F.array_join(F.transform("gaps", lambda g: F.concat(g["start"], F.lit(".."), g["end"])), "; ")}).withColumns({"first": F.substring("date_range", 1, 10), "last": F.substring("date_range", 15, 10), "reasons": F.array_join("reasons", "; "), "gaps": F.size("gaps")}),
+     "(SELECT contract, CASE WHEN reasons <> '' THEN 'EXCLUDED' ELSE 'INCLUDED' END AS status, reasons, data_points, CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, round_even(coverage, 1) AS coverage_percent, gap_list, wide AS gaps, max_gap_days, year FROM reasoned)")
 _add("quality_summary", "commodity total_contracts:l excluded:l included:l", lambda m: quality.summary(quality.metrics(m.daily, m.rules), m.rules),
      "(SELECT 'L' AS commodity, count(*) AS total_contracts, count_if(reasons <> '') AS excluded, count_if(reasons = '') AS included FROM reasoned)")
 _DAY = "root contract day open high low close volume"

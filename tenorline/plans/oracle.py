@@ -11,6 +11,14 @@ START = (
 )
 
 
+#: Label and session of a bucket.
+LABEL = (
+    "['09:00 - US Open', '10:00 - US Morning', '11:00 - US Late Morning', '12:00 - US Midday', '13:00 - US Early Afternoon', '14:00 - US Late Afternoon', '15:00 - US Close', "
+    "'Late US/After-Hours', 'Asia Session', 'Europe Session'][{0}]"
+)
+SESSION = "CASE WHEN {0} <= 7 THEN 'US Regular' WHEN {0} = 8 THEN 'Late US' WHEN {0} = 9 THEN 'Asia' WHEN {0} = 10 THEN 'Europe' END"
+
+
 def one(k: int, name: str) -> str:
     """Columns of the contract at place k."""
     return ", ".join(f"max(CASE WHEN l.k = {k} THEN l.{c} END) AS {name}_{c}" for c in ("contract", "close", "volume", "expiry"))
@@ -101,7 +109,7 @@ daily AS (SELECT root, contract, CAST(ts AS DATE) AS day, arg_min(price, seq) AS
 spans AS (SELECT root, contract, unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM daily GROUP BY 1, 2),
 filled AS (SELECT s.root, s.contract, CAST(s.d AS DATE) AS day, b.open, b.high, b.low, b.close, coalesce(b.volume, 0.0) AS volume FROM spans s LEFT JOIN daily b ON s.contract = b.contract AND CAST(s.d AS DATE) = b.day),
 gapped AS (SELECT *, lag(day) OVER (PARTITION BY contract ORDER BY day) AS before, row_number() OVER (PARTITION BY contract ORDER BY day) AS rn, count(*) OVER (PARTITION BY contract) AS n FROM daily),
-measured AS (SELECT contract, count(*) AS data_points, min(day) AS first, max(day) AS last, coalesce(max(datediff('day', before, day)), 0) AS max_gap_days, count_if(datediff('day', before, day) > 20) AS wide,
+measured AS (SELECT contract, count(*) AS data_points, min(day) AS first, max(day) AS last, coalesce(max(datediff('day', before, day)), 0) AS max_gap_days, count_if(datediff('day', before, day) > 20) AS wide, coalesce(string_agg(CAST(before AS VARCHAR) || '..' || CAST(day AS VARCHAR), '; ' ORDER BY day) FILTER (WHERE datediff('day', before, day) > 20), '') AS gap_list,
   CASE WHEN CAST(right(contract, 2) AS INTEGER) <= 30 THEN 2000 ELSE 1900 END + CAST(right(contract, 2) AS INTEGER) AS year FROM gapped GROUP BY contract),
 judged AS (SELECT *, 100 * data_points / (0.7 * (datediff('day', first, last) + 1)) AS coverage FROM measured),
 reasoned AS (SELECT *, concat_ws('; ', CASE WHEN year > 0 AND year < 2010 THEN 'Contract year ' || year || ' before cutoff 2010' END, CASE WHEN data_points < 300 THEN 'Insufficient data points: ' || data_points || ' < 300' END,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,28 +31,54 @@ def _detect(s: Settings, spreads: DataFrame, window: int) -> DataFrame:
     return events.detect_events(spreads, s.spread["method"].lower(), window, s.spread["z_threshold"], s.spread["abs_min"])
 
 
-def _dated(s: Settings, out: dict[str, DataFrame], marked: DataFrame, pairs: DataFrame, buckets: DataFrame | None, calendar: DataFrame | None, kind: str) -> DataFrame:
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def kept_in(spark: SparkSession, folder: str) -> Keep:
+    """Writes a frame to a folder and reads it back, so that what is built on it doesn't start from the files again."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return keep
+
+
+def _lazy(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def _dated(s: Settings, out: dict[str, DataFrame], marked: DataFrame, spread: DataFrame, pairs: DataFrame, buckets: DataFrame | None, calendar: DataFrame | None, kind: str) -> DataFrame:
+    """Events aligned to business days, then summarised; without a calendar there are no business days, and events stay where they are."""
+    if calendar is None:
+        out[f"{kind}_widening_summary"] = events.event_summary(marked)
+        return events.align_events(marked, spread, "none")
     audited = bizdays.audit(pairs, buckets, calendar, _coverage(s.business_days))
     days = bizdays.business_days(audited)
+    aligned = events.align_events(marked, days, s.business_days["align_events"])
     out[f"business_days_audit_{kind}"] = audited
-    out[f"{kind}_widening_summary"] = events.event_summary(marked, days)
-    return events.align_events(marked, days, s.business_days["align_events"])
+    out[f"{kind}_widening_summary"] = events.event_summary(aligned, days, spread)
+    return aligned
+
 
+def _fields(s: Settings) -> dict[str, str]:
+    return {"price": s.data.get("price_field") or "close", "volume": s.data.get("volume_field") or "volume"}
 
-def hourly(spark: SparkSession, s: Settings) -> dict[str, DataFrame]:
-    """All results by session buckets. Frames share the panel and the strip; cache them, or write and read them, before many actions."""
+
+def hourly(spark: SparkSession, s: Settings, keep: Keep = _lazy) -> dict[str, DataFrame]:
+    """All results by session buckets. keep: what to do with the frames that most results share (see kept_in)."""
     root = s.products[0]
-    minutes = files.contract_minutes(spark, s.data["minute_root"], root, s.data["timezone"])
-    panel = chain.assemble_panel(bars.bucket_bars(minutes), chain.expiry_dim(files.contract_metadata(spark, s.metadata_path)))
-    links, times = chain.chain(panel), chain.grid(panel)
+    minutes = files.contract_minutes(spark, s.data["minute_root"], root, s.data["timezone"], max_files=s.data.get("max_files"))
+    panel = keep(chain.assemble_panel(bars.bucket_bars(minutes), chain.expiry_dim(files.contract_metadata(spark, s.metadata_path))), "panel")
+    links, times = keep(chain.chain(panel, **_fields(s)), "chain"), chain.grid(panel)
     pairs, meta, calendar = chain.front_next(links, times), chain.panel_meta(panel), _calendar(spark, s)
     window = s.spread.get("window_buckets") or s.spread.get("window") or 30
     hours = s.spread.get("cool_down_hours") or 0
     cool = lambda e: events.cooldown_time(e, hours) if hours else events.cooldown_rows(e, int(s.spread.get("cool_down_buckets") or 0))
-    spread, strip_rows = chain.calendar_spread(pairs), chain.multi_spreads(links, times)
-    widening, many = cool(_detect(s, spread, window)), cool(_detect(s, strip_rows, window))
+    spread, strip_rows = chain.calendar_spread(pairs), keep(chain.multi_spreads(links, times), "strip")
+    widening, many = cool(_detect(s, spread, window)), keep(cool(_detect(s, strip_rows, window)), "strip_events")
     raw = many.withColumn("event", F.col("kept"))
-    sizes = strip.magnitudes(strip_rows)
+    sizes = keep(strip.magnitudes(strip_rows), "magnitudes")
     timing, cycles, wide = strip.event_timing(raw, links), strip.dominance_by_cycle(sizes, links), chain.strip_wide(strip_rows)
     out = {
         "hourly_panel": panel, "hourly_spread": spread, "multi_spreads": wide, "multi_spread_events": chain.strip_wide(many, "kept"), "spread_correlations": strip.spread_correlations(wide),
@@ -64,40 +91,40 @@ def hourly(spark: SparkSession, s: Settings) -> dict[str, DataFrame]:
         out["strip_spread_diagnostics"] = strip.strip_dominance(sizes, links, days, s.strip_analysis["dominance_ratio_threshold"], s.strip_analysis["expiry_window_business_days"])
         if s.strip_analysis["filter_expiry_dominance"]:
             widening = strip.filter_expiry_dominance(widening, out["strip_spread_diagnostics"], "kept")
-    aligned = _dated(s, out, widening, pairs, meta, calendar, "hourly")
+    aligned = _dated(s, out, widening, spread, pairs, meta, calendar, "hourly")
     marked = aligned.join(meta, ["root", "ts"], "left").join(pairs.select("root", "ts", F.col("front_volume").alias("volume")), ["root", "ts"], "left")
     return out | {"hourly_widening": aligned, "bucket_summary": events.bucket_event_summary(marked), "preference_scores": events.preference_scores(marked), "transition_matrix": events.transition_matrix(marked)}
 
 
-def daily(spark: SparkSession, s: Settings) -> dict[str, DataFrame]:
-    """All results by days, of contracts of good quality."""
+def daily(spark: SparkSession, s: Settings, keep: Keep = _lazy) -> dict[str, DataFrame]:
+    """All results by days, of contracts of good quality; unknown limits of quality are an error."""
     root = s.products[0]
     minutes = files.contract_minutes(spark, s.data["minute_root"], root, s.data["timezone"])
-    days = bars.fill_calendar(bars.daily_bars(minutes))
-    own = {k: v for k, v in s.data_quality.items() if k in {f.name for f in dataclasses.fields(quality.Quality)}}
+    days = keep(bars.fill_calendar(keep(bars.daily_bars(minutes), "days")), "filled_days")
+    own = {k: v for k, v in s.data_quality.items() if k not in ("filter_enabled", "trim_early_sparse", "enabled")}
     rules = quality.Quality(**own, enabled=s.data_quality.get("filter_enabled", True))
     kept = quality.keep(days, rules)
     kept = quality.trim(kept) if s.data_quality.get("trim_early_sparse") else kept
-    panel = chain.assemble_panel(kept.withColumn("ts", F.col("day").cast("timestamp_ntz")).drop("day"), chain.expiry_dim(files.contract_metadata(spark, s.metadata_path)))
-    links, times = chain.chain(panel), chain.grid(panel)
+    panel = keep(chain.assemble_panel(kept.withColumn("ts", F.col("day").cast("timestamp_ntz")).drop("day"), chain.expiry_dim(files.contract_metadata(spark, s.metadata_path))), "daily_panel")
+    links, times = chain.chain(panel, **_fields(s)), chain.grid(panel)
     pairs = chain.front_next(links, times)
     spread = chain.calendar_spread(pairs)
     window = s.spread.get("window") or s.spread.get("window_buckets") or 30
     widening = events.cooldown_rows(_detect(s, spread, window), int(s.spread.get("cool_down") or 0))
     found = quality.metrics(days, rules)
     out = {
-        "panel_filtered": panel, "spread_filtered": spread, "quality_metrics": found, "filtering_summary": quality.summary(found, rules),
+        "panel_filtered": panel, "panel_full_filtered": panel, "spread_filtered": spread, "quality_metrics": found, "filtering_summary": quality.summary(found, rules),
         "liquidity_roll": chain.liquidity_signal(pairs, s.roll_rules.get("liquidity_threshold", 0.8), s.roll_rules.get("confirm_days", 1)),
     }
-    return out | {"widening_filtered": _dated(s, out, widening, pairs, None, _calendar(spark, s), "daily")}
+    return out | {"widening_filtered": _dated(s, out, widening, spread, pairs, None, _calendar(spark, s), "daily")}
 
 
 def write(spark: SparkSession, results: dict[str, DataFrame], s: Settings) -> dict[str, str]:
-    """Write panels as Parquet by root, all else as CSV with a header (arrays as JSON), and the settings; returns the paths."""
+    """Write panels as Parquet by root, all else and the full daily panel as CSV with a header (arrays as JSON), and the settings; returns the paths."""
     paths = {}
     for name, df in results.items():
         paths[name] = f"{s.output_dir}/{name}"
-        if "panel" in name:
+        if "panel" in name and name != "panel_full_filtered":
             df.write.mode("overwrite").partitionBy("root").parquet(paths[name])
         else:
             nested = {c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +54,17 @@ def _minutes(df: DataFrame, root: str, zone: str) -> DataFrame:
     named = _renamed(df.withColumn("ts", wall_clock(at, kind, zone)))
     optional = [F.col("open_interest").try_cast("double").alias("open_interest")] if "open_interest" in named.columns else [F.lit(None).cast("double").alias("open_interest")]
     name = F.col("_file")
-    out = named.select(F.lit(root).alias("root"), normalize_contract(name, root).alias("contract"), "ts", *[F.col(c).try_cast("double").alias(c) for c in VALUES], *optional, name.alias("src_file"))
-    return clean(out.where("ts is not null"))
+    out = named.withColumn("_line", F.monotonically_increasing_id()).select("_block", "_line", F.lit(root).alias("root"), normalize_contract(name, root).alias("contract"), "ts", *[F.col(c).try_cast("double").alias(c) for c in VALUES], *optional, name.alias("src_file"))
+    pos = F.struct(F.col("_block").alias("block"), F.col("_line").alias("line"))
+    return clean(out.withColumn("pos", pos).where("ts is not null"))
 
 
-def contract_minutes(spark: SparkSession, folder: str, root: str = "HG", zone: str = "US/Central", extensions: tuple[str, ...] = ("csv", "txt", "parquet", "pq")) -> DataFrame:
-    """Minute rows of all files of a root in a folder and those below: root, contract, ts, values, open_interest, src_file.
+def contract_minutes(spark: SparkSession, folder: str, root: str = "HG", zone: str = "US/Central", extensions: tuple[str, ...] = ("csv", "txt", "parquet", "pq"), max_files: int | None = None) -> DataFrame:
+    """Minute rows of all files of a root in a folder and those below: root, contract, ts, values, open_interest, src_file, pos (place in the file).
 
     Files without a header (their first field is no known name) are read by place. Rows without a time are left out; repeated
-    times are kept. Text files with and without header are told apart by the first line of each, which Spark reads.
+    times are kept. Text files with and without header are told apart by the first line of each, which Spark reads; fields may be quoted.
+    max_files: only the first so many files by name.
     """
     parts = []
     pattern = contract_pattern(root)
@@ -73,33 +77,37 @@ def contract_minutes(spark: SparkSession, folder: str, root: str = "HG", zone: s
             if "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
             continue
-        parts.append(_minutes(df.select("*", file_name.alias("_file")).where(F.col("_file").rlike(pattern)), root, zone))
+        parts.append(_minutes(df.select("*", file_name.alias("_file"), F.col("_metadata.file_block_start").alias("_block")).where(F.col("_file").rlike(pattern)), root, zone))
     for ext in [e for e in extensions if e in ("csv", "txt")]:
         lines = found(spark.read, ext).text(folder).select("value", file_name.alias("_file"), F.col("_metadata.file_block_start").alias("_at")).where(F.col("_file").rlike(pattern))
-        heads = lines.where("_at = 0").groupBy("_file").agg(F.first("value").alias("head"))
+        heads = lines.where("_at = 0").withColumn("_n", F.monotonically_increasing_id()).groupBy("_file").agg(F.min_by("value", "_n").alias("head"))
         layouts = [r["head"] for r in heads.select("head").distinct().collect()]  # few layouts, however many files
         known = {n.lower() for n in TIME_NAMES}
-        headers = [h for h in layouts if any(f.strip().lower() in known for f in h.split(","))]
+        fields_of = lambda line: [f.strip() for f in next(csv.reader([line]), [])]
+        headers = [h for h in layouts if any(f.lower() in known for f in fields_of(h))]
         plain = [h for h in layouts if h not in headers]
-        for head, names in [(h, [f.strip() for f in h.split(",")]) for h in headers] + ([(None, BY_PLACE)] if plain else []):
+        for head, names in [(h, fields_of(h)) for h in headers] + ([(None, BY_PLACE)] if plain else []):
             own = heads.where(F.col("head") == head if head is not None else F.col("head").isin(plain)).select("_file")
-            fields = F.split("value", ",")
+            fields = F.from_csv("value", ", ".join(f"f{i} string" for i in range(len(names))), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
             rows = lines.join(own, "_file", "left_semi")
             rows = rows.where(F.col("value") != head) if head is not None else rows
-            parts.append(_minutes(rows.select("_file", *[F.trim(F.get(fields, F.lit(i))).alias(n) for i, n in enumerate(names)]), root, zone))
+            parsed = rows.select("_file", F.col("_at").alias("_block"), fields.alias("_f"))
+            parts.append(_minutes(parsed.select("_file", "_block", *[F.col(f"_f.f{i}").alias(n) for i, n in enumerate(names)]), root, zone))
     if not parts:
         raise FileNotFoundError(f"no files of {root} in {folder}")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if max_files:
+        out = out.join(out.select("src_file").distinct().orderBy("src_file").limit(max_files), "src_file", "left_semi")
     return out
 
 
 def contract_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """contract, expiry, source, source_url of a metadata file with a header."""
+    """contract, expiry, source, source_url and line (rising with the lines) of a metadata file with a header."""
     df = spark.read.option("header", True).csv(path)
     more = [F.col(c) for c in ("source", "source_url") if c in df.columns]
-    return df.select(F.col("contract"), F.col("expiry_date").try_cast("date").alias("expiry"), *more)
+    return df.select(F.col("contract"), F.col("expiry_date").try_cast("date").alias("expiry"), *more, F.monotonically_increasing_id().alias("line"))
 
 
 def load_calendar(spark: SparkSession, path: str) -> DataFrame:
@@ -108,13 +116,26 @@ def load_calendar(spark: SparkSession, path: str) -> DataFrame:
     return classify(df.withColumn("date", F.col("date").try_cast("date")))
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of some paths that exist, in any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return [p for p in paths if path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))]
+
+
 def load_calendars(spark: SparkSession, paths: list[str], hierarchy: str = "override") -> DataFrame:
     """Calendar files merged; those that don't exist are passed over, none at all is an error."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    there = [p for p in paths if path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))]
-    return merge([load_calendar(spark, p) for p in there], hierarchy)
+    return merge([load_calendar(spark, p) for p in existing(spark, paths)], hierarchy)
+
+
+def load_hierarchy(spark: SparkSession, folder: str, commodity: str, exchange: str = "CME") -> DataFrame:
+    """The calendars of a commodity and exchange in a folder, the more special overriding the others; an error names all files that were searched if there is none."""
+    candidates = calendar_candidates(folder, exchange, commodity)
+    if not (there := existing(spark, candidates)):
+        raise FileNotFoundError(f"No calendar files found for {commodity} on {exchange}. Searched: {candidates}")
+    return load_calendars(spark, there, "override")
 
 
 def calendar_candidates(folder: str, exchange: str, commodity: str) -> list[str]:
-    """Calendar files of an exchange and commodity, the most special first."""
+    """Calendar files of an exchange and commodity, in small letters, the most special first."""
+    exchange, commodity = exchange.lower(), commodity.lower()
     return [f"{folder}/{n}.csv" for n in (f"{exchange}_{commodity}_holidays", f"{exchange}_{commodity}", f"{exchange}_globex_holidays", f"{exchange}_globex", "global_futures")]

@@ -1,6 +1,8 @@
 """Cases that the shared tables don't have: spikes, cool-downs, calendars, coverage, files, whole runs."""
 
+import dataclasses
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -8,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tenorline.functions.contracts import normalize_contract
 from tenorline.functions.sessions import bucket_of_hour
-from tenorline.operators import bars, calendars, events, quality, strip
+from tenorline import cli
+from tenorline.operators import bars, calendars, chain, events, quality, strip
 from tenorline.plans import pipelines
 from tenorline.plans.settings import settings
 from tenorline.sources import files, inventory
@@ -153,6 +156,76 @@ def test_whole_runs_from_files(spark, tmp_path):
     assert closed == [dt.date(2024, 1, 9)]
 
 
+def test_runs_keep_shared_frames_and_take_other_fields(spark, tmp_path):
+    """A run that writes and rereads what its results share gives the same rows; price_field and max_files take effect."""
+    s = write_contracts(spark, tmp_path)
+    plain, kept = pipelines.hourly(spark, s), pipelines.hourly(spark, s, pipelines.kept_in(spark, str(tmp_path / "work")))
+    both = [sorted(map(tuple, x["hourly_spread"].select("ts", "spread").collect())) for x in (plain, kept)]
+    assert both[0] == both[1] and (tmp_path / "work" / "panel").exists()
+    by_open = pipelines.hourly(spark, dataclasses.replace(s, data=s.data | {"price_field": "open"}))
+    opened = {r["ts"]: r["spread"] for r in by_open["hourly_spread"].collect()}
+    assert any(v is not None and opened[t] != v for t, v in both[0]) and set(opened) == {t for t, _ in both[0]}
+    one = files.contract_minutes(spark, s.data["minute_root"], "HG", max_files=1)
+    assert one.select("src_file").distinct().count() == 1
+    with pytest.raises(ValueError, match="no column settle"):
+        pipelines.hourly(spark, dataclasses.replace(s, data=s.data | {"price_field": "settle"}))
+    with pytest.raises(TypeError):
+        pipelines.daily(spark, dataclasses.replace(s, data_quality={"no_such_limit": 1}))
+
+
+def test_no_calendar_no_business_days(spark, tmp_path):
+    s = write_contracts(spark, tmp_path)
+    out = pipelines.hourly(spark, dataclasses.replace(s, business_days=s.business_days | {"calendar_paths": []}))
+    assert "business_days_audit_hourly" not in out and out["hourly_widening_summary"].where("business_days_since_last is not null").count() == 0
+
+
+def test_summary_follows_alignment(spark):
+    """Events of closed days aren't summarised, or come at the day that they moved to, with the spreads of that day."""
+    spreads = series(spark, [1.0, 2.0, 4.0, 8.0, 16.0])
+    marked = spreads.withColumn("kept", F.dayofmonth("ts").isin(1, 2, 5))
+    days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (1, 3, 5)], "date date")
+    got = lambda policy: [(r["ts"].day, r["spread_before"], r["spread_after"], r["business_days_since_last"]) for r in events.event_summary(events.align_events(marked, days, policy), days, spreads).orderBy("ts").collect()]
+    assert got("drop_closed") == [(1, None, 1.0, None), (5, 8.0, 16.0, 2)]
+    assert got("shift_next") == [(1, None, 1.0, None), (3, 2.0, 4.0, 1), (5, 8.0, 16.0, 1)]
+    assert [r["business_days_since_last"] for r in events.event_summary(marked).collect()] == [None] * 3
+
+
+def test_cross_spread_summary(spark):
+    names = "root string, bin int, cycle string, s1_dominance_rate_pct double, avg_dominance_ratio double"
+    low = [("A", 0, "0-5", 10.0, 3.0), ("A", 1, "6-10", 4.0, None)]
+    high = [("B", 0, "0-5", 12.25, 2.125), ("B", 3, "16-20", 12.25, 9.0), ("B", 4, "21-25", 11.0, 9.0)]
+    got = {(r["root"], r["metric"]): r["value"] for r in strip.cross_spread_summary(spark.createDataFrame(low + high, names)).collect()}
+    assert got["A", "Peak dominance bucket"] == "None" and got["A", "Peak dominance rate (%)"] == "0.0" and got["A", "Average dominance ratio at peak"] == "N/A"
+    assert got["A", "Interpretation"].startswith("No significant") and got["B", "Suggests institutional rolling"] == "No"
+    assert got["B", "Interpretation"] == f"S1 shows peak dominance 0-5 days before F1 expiry ({12.25:.1f}% of periods)" and got["B", "Average dominance ratio at peak"] == f"{2.125:.2f}"
+
+
+def test_first_rows_win(spark, tmp_path):
+    """Of a repeated contract the first line of metadata counts, of minutes with one time the first line of the first file."""
+    (tmp_path / "meta.csv").write_text("root,contract,expiry_date\nHG,HGH2024,2024-03-27\nHG,HGH2024,2024-01-01\n")
+    assert [str(r["expiry"]) for r in chain.expiry_dim(files.contract_metadata(spark, str(tmp_path / "meta.csv"))).collect()] == ["2024-03-27"]
+    head = "timestamp,open,high,low,close,volume\n"
+    (tmp_path / "HGH2024_a.csv").write_text(head + '"2024-01-15 10:00:00","1","2","1","1.5","3"\n2024-01-15 10:00:00,5,6,5,5.5,1\n')
+    (tmp_path / "HGH2024_b.csv").write_text(head + "2024-01-15 10:00:00,7,8,7,7.5,1\n")
+    bar = bars.bucket_bars(files.contract_minutes(spark, str(tmp_path), "HG", extensions=("csv",))).first()
+    assert (bar["open"], bar["close"], bar["volume"]) == (1.0, 7.5, 5.0)
+
+
+def test_hierarchy_of_calendars(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="Searched"):
+        files.load_hierarchy(spark, str(tmp_path), "Copper")
+    (tmp_path / "cme_copper.csv").write_text("date,holiday_name,session_note,partial_hours\n2024-01-15,MLK,Closed,\n")
+    (tmp_path / "global_futures.csv").write_text("date,holiday_name,session_note,partial_hours\n2024-01-15,MLK,Regular,\n2024-12-25,Christmas,Closed,\n")
+    got = {str(r["date"]): r["is_trading_day"] for r in files.load_hierarchy(spark, str(tmp_path), "COPPER", "cme").collect()}
+    assert got == {"2024-01-15": False, "2024-12-25": False}
+
+
+def test_lint_report(tmp_path, spark):
+    (tmp_path / "cal.csv").write_text("date,holiday_name,session_note,partial_hours\n2024-01-01,x,Half,\n")
+    assert cli.main(["cal-lint", str(tmp_path / "cal.csv"), "--json", str(tmp_path / "out.json")]) == 2
+    assert [i["level"] for i in json.loads((tmp_path / "out.json").read_text())] == ["error"]
+
+
 def test_organise(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for n in ("HG_a.txt", "ZC_b.txt", "QQ_c.txt", "d.csv"):
