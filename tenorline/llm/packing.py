@@ -8,7 +8,9 @@ document finds its own rounds, windows and offsets from its place in its queue a
 sequence, and windows, tasks and executors all continue the same deficits.
 
 By default the target mixture is the share of tokens that each source has, so that all queues run dry together. Sources with a
-smaller share than 1 / MAX_QUEUES share FALLBACK hashed queues, which bounds the number of queues whatever the input.
+smaller share than 1 / MAX_QUEUES that the mixture doesn't name share FALLBACK hashed queues, which bounds the number of queues
+whatever the input. A shared queue gets the shares of its sources together, in each window; its documents come one source after
+another within a block, so the share of a single small source is held over the stream, not in each window.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import materialize, small_batches
 
@@ -31,12 +34,16 @@ from .common import materialize, small_batches
 WINDOW, QUANTUM, MAX_QUEUES, FALLBACK = 2048, 256, 512, 32
 #: Weights of queues are integers that sum to 2 ** WEIGHT_BITS.
 WEIGHT_BITS = 24
-#: Distinct words whose ids a task remembers.
+#: Distinct words that each of the two generations of a worker's memory holds.
 REMEMBER = 150_000
+#: Most rows of the table of places that is broadcast; a larger one is joined.
+BROADCAST_ROWS = 100_000
 
 
 #: A symbol before a full stop or comma: the tokenizer takes such a run as one word, so it isn't split.
-_RUN = re.compile(r"[^\w\s][.,] |_[.,] ")
+_RUN = re.compile(r"[^\w\t-\r \x85\xa0][.,] |_[.,] ")
+#: What the tokenizer's pattern makes of a word of ASCII characters without apostrophes.
+_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def plain(text: str) -> str:
@@ -52,7 +59,11 @@ def plain(text: str) -> str:
 
 
 class Words(dict):
-    """Ids of words as little-endian unsigned 32-bit integers. Words are what lies between blanks: the tokenizer drops white space."""
+    """Ids of words as little-endian unsigned 32-bit integers. Words are what lies between blanks: the tokenizer drops white space.
+
+    The memory has two generations: when the young one is full, it becomes the old one, and words that are met again move over. So
+    words that go on coming up stay, and the many that come up once don't take their places.
+    """
 
     of: dict[str, Words] = {}
 
@@ -61,16 +72,34 @@ class Words(dict):
         """This Python worker's own memory of a tokenizer; it lives as long as the worker."""
         if path not in cls.of:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-            cls.of[path] = cls()
-            cls.of[path].encode = Tokenizer.from_file(path).encode
+            words = cls.of[path] = cls()
+            words.old, tokenizer = {}, Tokenizer.from_file(path)
+            words.encode = tokenizer.encode
+            words.bare = Tokenizer(tokenizer.model).encode  # small letters are one word, which normalisation leaves as it is
+            words.as_bytes = str.maketrans({chr(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(256)})
         return cls.of[path]
 
     def __missing__(self, word: str) -> bytes:
-        out = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) < REMEMBER:  # words beyond that, the rarer ones as a rule, are encoded again where they come up
-            self[word] = out
+        out = self.old.get(word)
+        if out is None:
+            out = self.made(word)
+        if len(self) >= REMEMBER:
+            self.old = dict(self)
+            self.clear()
+        self[word] = out
         return out
 
+    def made(self, word: str) -> bytes:
+        """The ids of a word that isn't remembered."""
+        if word.islower():
+            if word.isalpha() and max(word) < "\u0100":
+                return np.array(self.bare(word.translate(self.as_bytes), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if word.isascii() and "'" not in word and word.isprintable():
+                parts = _PARTS.findall(word)
+                if len(parts) > 1:
+                    return b"".join([self[x] for x in parts])
+        return np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
         """The ids of a text."""
         return b"".join(map(self.__getitem__, plain(text).split(" ")))
@@ -161,7 +190,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, mixture: dict[st
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source and, unless with_ids is False, ids.
 
     mixture: target shares by source; default: the shares of tokens. Null or empty texts give end_id alone, one piece; a null
-    doc_id stays null; a repeated row is packed each time; an empty table gives no piece. Each token lies in exactly one piece;
+    doc_id stays null; a null source is one of its own; a repeated row is packed each time; a very long text is cut like any other; other
+    columns don't matter; an empty table gives no piece. Each token lies in exactly one piece;
     offsets in a sequence are gapless from 0; all sequences but the last have WINDOW tokens.
     """
     spark = docs.sparkSession
@@ -178,6 +208,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, mixture: dict[st
     sums = tokens.groupBy("source", "block").agg(F.sum("n").alias("m")).withColumn("queue", queue)
     order = Window.partitionBy("queue").orderBy("block", "source")
     bases = sums.withColumn("base", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1))).select("source", "block", "queue", F.coalesce("base", F.lit(0)).alias("base"))
+    bases = materialize(bases, "packing-bases")
+    if bases.count() <= BROADCAST_ROWS:  # else the ids are shuffled to them
+        bases = F.broadcast(bases)
     totals = {r["queue"]: r["n"] for r in by_source.withColumn("queue", queue).groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES + FALLBACK + named rows
     held = spark.sparkContext.broadcast((totals, weights(totals, mixture and {f"s{k}": v for k, v in mixture.items()})))
     small_batches(spark)
