@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix, small_batches, utf8
+from .common import discard, materialize, mix, small_batches, unused, utf8
 
 #: Words of a shingle, bands of a signature, bins of a band.
 SHINGLE, BANDS, ROWS = 5, 48, 4
@@ -94,17 +94,17 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (a 128-bit digest of the whole set) and bands of each row."""
+    """doc_id, h (a hash of the text), n_shingles, set_key (a 128-bit digest of the whole set) and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x) for x in utf8(batch.column(1))]
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             bands = [band_keys(x).view(np.int64) if len(x) else [] for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h", "n_shingles", "set_key", "bands"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n_shingles long, set_key binary, bands array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -189,28 +189,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(signatures(docs), "signatures")
     known = signed.where("n_shingles > 0 and doc_id is not null")
-    nodes = materialize(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
+    # A node is a number for each different set; its id is the smallest that has the set.
+    nodes = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select("set_key", F.col("of.doc_id").alias("id"), F.col("of.h").alias("h"), "n", "bands", F.monotonically_increasing_id().alias("node")), "nodes")
     exploded = nodes.select("node", "n", F.explode("bands").alias("key"))
     sizes = exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = materialize(exploded.join(sizes, "key"), "buckets")
-    weights = members.groupBy("node").agg(F.sum("m").alias("w"))  # a text in the middle of many near copies shares the most buckets
-    members = materialize(members.join(weights, "node").select("key", "node", "w"), "buckets")
-    wanted = weights.select(F.col("node").alias("id"))
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    sets = materialize(_sets(texts.select("doc_id", "text")), "sets")
-    weights = materialize(weights, "weights")
+    buckets = materialize(exploded.join(sizes, "key"), "buckets")
+    weights = materialize(buckets.groupBy("node").agg(F.sum("m").alias("w")), "weights")  # a text in the middle of many near copies shares the most buckets
+    members = materialize(buckets.join(weights, "node").select("key", "node", "w"), "buckets")
+    discard(buckets)
+    wanted = weights.select("node").join(nodes.select("node", "id", "h"), "node")
+    texts = docs.join(wanted, (docs["doc_id"] == wanted["id"]) & (F.xxhash64(docs["text"]) == wanted["h"])).groupBy("node").agg(F.first("text").alias("text"))
+    sets = materialize(_sets(texts.select("node", "text")), "sets")
     # An id with several texts joins their sets.
-    several = known.select("doc_id", "set_key").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
-    links = known.join(several, "doc_id", "left_semi").join(nodes.select("set_key", "node"), "set_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    several = known.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id", F.col("lo").alias("set_key"))
+    numbers = nodes.select("set_key", "node")
+    own = known.select("doc_id", "set_key").join(several.select("doc_id"), "doc_id", "left_semi").join(numbers, "set_key")
+    links = own.join(several.join(numbers, "set_key").select("doc_id", F.col("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
     tested = materialize(confirm(_stars(members), sets), "tested")
     merged = components(links.unionAll(tested.where("linked").select("a", "b")))
     named, keys = _mixed(members, merged)
     alive = named.join(keys, "key").groupBy("node").agg(F.first("w").alias("w"))
     rare = materialize(_rare(alive, sets), "rare")
-    done, k = 0, 1
+    done, k, spent = 0, 1, [members, weights, sets, rare, tested]
     while True:
         named, keys = _mixed(rare, merged, F.max("place").alias("places"))
         named = materialize(named.join(keys.where(F.col("places") > done).select("key", "places"), "key"), "mixed")
+        spent.append(named)
         most = named.agg(F.max("places")).first()[0]
         if most is None:
             break
@@ -219,19 +224,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         met = named.join(centres, (named["key"] == centres["key"]) & (F.col("component") != F.col("c_component")) & (F.col("n") >= F.col("c_n")) & fits)
         pairs = met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = materialize(confirm(pairs, sets), "tested")
+        spent.append(found)
         new = found.where("linked").select("a", "b")
         if not new.isEmpty():
             merged = components(new.unionAll(merged.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if most <= k:
             break
         tested, done, k = tested.unionAll(found), k, k * 8
-    named = nodes.select("set_key", "node").join(merged, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    discard(*spent)  # from here on only signatures, nodes and components are read
+    ids = merged.join(nodes.select("node", "id"), "node")
+    labelled = ids.join(ids.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", "least")
+    named = nodes.select("set_key", "node", "id").join(labelled, "node", "left").select("set_key", F.coalesce("least", "id").alias("component"))
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
     out = signed.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with their columns; rows that repeat a doc_id stay or go together."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of docs that near_duplicates() keeps, with their columns, whatever their names; rows that repeat a doc_id stay or go together.
+
+    Rows without words or with a null doc_id stay; an empty table gives no rows.
+    """
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(unused("gone", docs))).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
