@@ -2,7 +2,7 @@
 
 Rows that are near in all dimensions (language, source, size of the text, age as the order of ids) get near indices, so each
 shard, and each stretch of it, covers a small box of every dimension, and readers can skip files by their least and greatest
-values. Equal texts are one group with the metadata of its first id, and lie side by side.
+values. Codes keep the order of values: categories are cut into as many values each, sizes and ids into as many rows each. Equal texts are one group with the metadata of its first id, and lie side by side.
 
 All of it is DataFrame code: the curve is a fold over the bits with a table of its states; ranks come from a range-partitioned
 sort, whose key ends with the id, so that no value, however common, has to fit into one task.
@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Bits of each quantised dimension.
 BITS = 6
+#: Most values of a category that are broadcast; more are joined.
+BROADCAST_ROWS = 10_000
 
 
 def curve_table(dims: int) -> list[int]:
@@ -61,11 +63,20 @@ def ranked(df: DataFrame, by: list[Column], rank: str) -> DataFrame:
     return parts.withColumn("_part", part).join(bases, "_part").withColumn(rank, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
 
 
+def _codes(rows: DataFrame, column: str) -> DataFrame:
+    """k_column, x_column: the values of a column, cut into 2 ** BITS codes of as many values each, in their order; null first."""
+    values = ranked(rows.select(F.col(column).alias(f"k_{column}")).distinct(), [F.col(f"k_{column}").asc_nulls_first()], "rank")
+    many = values.count()
+    out = values.select(f"k_{column}", F.expr(f"cast(rank * {1 << BITS} div {max(1, many)} as int)").alias(f"x_{column}"))
+    return F.broadcast(out) if many <= BROADCAST_ROWS else out
+
+
 def shards(docs: DataFrame, count: int = 8) -> DataFrame:
     """Each row's id, size (bytes of the text plus 1), text_crc32, dimensions, curve index, shard (0 to count - 1) and slot in it.
 
     The number of rows of shards differs by one at most. A null text has size 1 and the crc32 of no bytes; null ids, languages
-    and sources are values of their own and lie first; repeated rows get a slot each; an empty table gives no rows.
+    and sources are values of their own and lie first; repeated rows get a slot each; an empty table gives no rows; other columns
+    don't matter. Only sizes and hashes of texts are kept, so very long ones don't matter either.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -73,19 +84,19 @@ def shards(docs: DataFrame, count: int = 8) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"),
     )
     rows = materialize(rows, "metadata")  # texts are read once
-    total, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    total = rows.count()
+    top = 1 << BITS
+    depths = rows.agg(*[F.percentile_approx(c, [i / top for i in range(1, top)], 10_000).alias(c) for c in ("size", "doc_id")]).first()
     groups = rows.groupBy("h", "text_crc32", "size").agg(F.min(F.struct("doc_id", "lang", "source")).alias("first"))
-    span = float((high or 0) - (low or 0)) + 1.0
-    top = (1 << BITS) - 1
-    coded = groups.select(
-        "h", "text_crc32", "size", F.col("first.doc_id").alias("group_id"),
-        (F.crc32(F.coalesce("first.lang", F.lit("")).cast("binary")) % (top + 1)).cast("int").alias("x_lang"),
-        (F.crc32(F.coalesce("first.source", F.lit("")).cast("binary")) % (top + 1)).cast("int").alias("x_source"),
-        F.least(F.floor(4 * F.log2(F.col("size").cast("double"))), F.lit(top)).cast("int").alias("x_size"),
-        F.coalesce(F.least(F.floor((F.col("first.doc_id") - F.lit(low)) / F.lit(span) * (top + 1)), F.lit(top)), F.lit(0)).cast("int").alias("x_age"),
-    )
-    coded = coded.withColumn("curve", curve_index(["x_lang", "x_source", "x_size", "x_age"]))
+    groups = groups.select("h", "text_crc32", "size", F.col("first.doc_id").alias("group_id"), F.col("first.lang").alias("v_lang"), F.col("first.source").alias("v_source"))
+    for c in ("lang", "source"):
+        groups = groups.join(_codes(rows, c), groups[f"v_{c}"].eqNullSafe(F.col(f"k_{c}"))).drop(f"v_{c}", f"k_{c}")
+    depth = lambda c, of: F.size(F.filter(F.lit(depths[of] or []).cast("array<bigint>"), lambda x: x < F.coalesce(F.col(c), x))).cast("int")
+    coded = groups.withColumns({"x_size": depth("size", "size"), "x_age": depth("group_id", "doc_id")})
+    coded = materialize(coded.withColumn("curve", curve_index(["x_lang", "x_source", "x_size", "x_age"])), "curve")
+    # Both sides come from tables, so Spark can split a text that very many rows have.
     placed = ranked(rows.join(coded, ["h", "text_crc32", "size"]), [F.col(c) for c in ("curve", "group_id", "h", "text_crc32", "doc_id")], "rank")
+    discard(rows, coded)
     shard = F.expr(f"(rank * {count}) div {max(1, total)}")
     start = F.expr(f"(shard * {max(1, total)} + {count - 1}) div {count}")
     return placed.withColumn("shard", shard.cast("long")).withColumn("slot", F.col("rank") - start).withColumn("shard", F.col("shard").cast("int"))
