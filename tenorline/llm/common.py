@@ -30,10 +30,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset; on a cluster, a warehouse on local disks is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if not spark.sparkContext.master.startswith("local") and base.startswith(("/", "file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 

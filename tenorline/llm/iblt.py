@@ -4,7 +4,7 @@ A text's paragraphs (lines, cut at each sentence end and after PARAGRAPH charact
 fingerprint is a table of cells; a digest adds itself to one cell in each of three parts: to the cell's count, to the XOR of its
 digests and to the XOR of their checks. Two tables subtract cell by cell, which cancels all digests that both hold; peeling cells
 that hold a single digest then recovers the digests that only one has. If cells are left that don't peel, both versions are
-sketched again four times as large, with other hashes, until all peel. The likeness is shared digests by all digests.
+sketched again four times as large, with other hashes, up to ATTEMPTS sizes; a group that peels at none is compared exactly. The likeness is shared digests by all digests.
 
 Texts with many digests are compared in groups of about GROUP digests, dealt by hash, each with tables of its own, so that the
 work of a text is close to linear in its length. All of it is DataFrame code: cells, subtraction and peeling are folds over
@@ -78,20 +78,21 @@ def _peeled(a: str, b: str) -> str:
 
 
 def difference(a: str, b: str) -> str:
-    """SQL: number of digests that only one of two arrays has, recovered from their tables; null if some group peels in no attempt."""
+    """SQL: number of digests that only one of two arrays has, recovered from their tables (counted plainly for a group that peels in no attempt)."""
     attempts = f"aggregate(sequence(0, {ATTEMPTS - 1}), cast(null as bigint), (z, t) -> if(z is not null, z, {_let('third', f'cast({CELLS // 3} * pow(4, t) as int)', _peeled('g.mine', 'g.other'))}))"
     dealt = lambda of: f"transform({of}, d -> named_struct('d', d, 'g', cast(pmod(xxhash64(d, 9), many) as int)))"
     own = lambda of: f"transform(filter({of}, x -> x.g = i), x -> x.d)"
     split = f"transform(sequence(0, many - 1), i -> named_struct('mine', {own('s.mine')}, 'other', {own('s.other')}))"
     grouped = f"if(many = 1, array(named_struct('mine', {a}, 'other', {b})), {_let('s', f"named_struct('mine', {dealt(a)}, 'other', {dealt(b)})", split)})"
-    total = f"aggregate({grouped}, 0L, (sum, g) -> sum + {attempts})"
+    plainly = "cast(size(array_except(g.mine, g.other)) + size(array_except(g.other, g.mine)) as bigint)"
+    total = f"aggregate({grouped}, 0L, (sum, g) -> sum + coalesce({attempts}, {plainly}))"
     return _let("many", f"cast(greatest(1, ceil((size({a}) + size({b})) / {GROUP})) as int)", total)
 
 
 def likeness(a: str, b: str) -> str:
     """SQL: shared digests by all digests of two arrays, from 0 to 1; two empty ones are alike."""
     return (
-        f"transform(array(coalesce({difference(a, b)}, cast(size({a}) + size({b}) as bigint))), d -> "
+        f"transform(array({difference(a, b)}), d -> "
         f"if(size({a}) + size({b}) = 0, 1D, (size({a}) + size({b}) - d) / cast(size({a}) + size({b}) + d as double)))[0]"
     )
 

@@ -133,7 +133,8 @@ def edited(text: str, tree: Tree, at: int, cut: int, new: str, counter: Counter)
 def trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, text, chars and tokens (the trees' sums as 64-bit integers, root at place 1) of each row.
 
-    A null or empty text has no leaves. The result can be written and kept; update() brings it up to date.
+    A null or empty text has no leaves; a very long one has more leaves in one row; a null doc_id stays null and repeated rows come
+    out each; other columns don't matter; an empty table gives no rows. The result can be written and kept; update() brings it up to date.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +157,8 @@ def update(state: DataFrame, path: str, pattern: str, keep: str | None = None) -
 
     keep: a bigint column of state that is passed on.
 
-    Null edits, or none, leave a row as it is; a null field of an edit is 0 or empty.
+    No edits, a null list or a null edit leave a row as it is; a null field of an edit is 0 or empty. Null and repeated ids don't
+    matter, each row is brought up to date; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,7 @@ def update(state: DataFrame, path: str, pattern: str, keep: str | None = None) -
             texts, sums, work = [], [], []
             for text, chars, tokens, edits in zip(*(c.to_pylist() for c in batch.columns[1:5]), strict=True):
                 tree, encoded = Tree(np.frombuffer(chars, dtype=np.int64), np.frombuffer(tokens, dtype=np.int64)), 0
-                for e in edits or ():
+                for e in filter(None, edits or ()):
                     text, tree, n = edited(text or "", tree, e["at"] or 0, e["cut"] or 0, e["new"] or "", counter)
                     encoded += n
                 texts.append(text)
@@ -187,7 +189,7 @@ def total(tree: str = "tokens") -> str:
 def recount(docs: DataFrame, edits: str, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, edited_tokens, edited_text, encoded (characters encoded for the edits) of each row of docs.
 
-    edits: SQL of an array of structs (at, cut, new) over the row's columns doc_id and text.
+    edits: SQL of an array of structs (at, cut, new) over the row's columns doc_id and text. Odd rows fare as in trees() and update().
     """
     state = trees(docs, path, pattern).withColumn("edits", F.expr(edits)).withColumn("n_tokens", F.expr(total()))
     done = update(state, path, pattern, keep="n_tokens")

@@ -91,8 +91,8 @@ def _fit(index: np.ndarray, of: np.ndarray, value: np.ndarray, y: np.ndarray, ep
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> tuple[np.ndarray, float]:
     """Fit on labelled rows that held_out() leaves, at most max_per_class of each class; texts stay on the executors.
 
-    Rows of labels without id or label are left out; an id that is labelled twice counts by its largest label. With no texts
-    of one class the model is an intercept alone.
+    Rows of labels without id or label are left out; an id that is labelled twice counts by its largest label, and one with several
+    texts by the first of these in order. Without texts of both classes nothing is known: the model is an intercept alone that calls no text toxic.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -101,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     by_hash = [F.xxhash64("_id"), F.col("_id")]
     pick = known.where("_y = 1").orderBy(*by_hash).limit(max_per_class).unionAll(known.where("_y = 0").orderBy(*by_hash).limit(max_per_class))
     texts = docs.select("doc_id", "text").join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).select("_id", "text", "_y")
-    table = materialize(texts, "toxic-sample")  # at most 2 * max_per_class rows, and repeats of their ids
+    texts = texts.groupBy("_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("_y").alias("_y"))
+    table = materialize(texts, "toxic-sample")  # at most 2 * max_per_class rows
     sample = table.coalesce(8)
     sums, n = np.zeros((3, 1 << BITS)), 0
     for row in sample.mapInArrow(_sums, "sums binary, n long").toLocalIterator():
@@ -127,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     discard(table)
     y = np.array([r[1] for r in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        return np.zeros(1 << BITS, np.float32), 0.0 if not len(y) else float(2 * y[0] - 1)
+        return np.zeros(1 << BITS, np.float32), -1.0
     lists = [np.frombuffer(r[2], dtype=np.int32) for r in rows]
     index, of = np.concatenate(lists), np.repeat(np.arange(len(rows)), [len(x) for x in lists])
     value = np.concatenate([np.frombuffer(r[3], dtype=np.float32) for r in rows]) * ratio[index]
@@ -157,15 +158,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on labels and score all of docs: doc_id, held_out, score, predicted.
 
-    Null and empty texts get the score of the intercept; a null doc_id stays null and counts as not held out; repeated rows
-    are scored each; without labels of both classes all scores are equal. Other columns of either table don't matter.
+    Null and empty texts get the score of the intercept; very long texts are read whole; a null doc_id stays null and counts as not
+    held out; repeated rows are scored each; without labels of both classes all scores are equal and under 0.5; an empty table
+    gives no rows. Other columns of either table don't matter.
     """
     out = score(docs, train(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their columns; the text decides, so copies fare alike."""
+    """The rows of docs that are not predicted toxic, with their columns, whatever their names; the text decides, so copies fare alike.
+
+    Null and empty texts count as empty; ids don't matter, null or repeated; without labels of both classes all rows stay; an empty
+    table gives no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 
