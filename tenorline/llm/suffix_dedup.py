@@ -38,6 +38,8 @@ from .neardup import _BYTE, _power
 LENGTH = 400
 #: Most different units of one anchor that are sorted together, and the windows of the parts into which more are cut.
 HOT, PARTS = 1000, (16, 1)
+#: Most units that are broadcast, as a table of two numbers for a text and five for a unit.
+FEW = 20_000
 #: Units that a receiver sorts at once, and bytes of units that a sender gathers before it sends runs.
 BUCKET, RUN_BYTES = 4000, 8 << 20
 _UNIT = "h long, c long, i0 int, i1 int, p int, a long, s long"
@@ -109,14 +111,21 @@ def _cut(rows: DataFrame, docs: DataFrame, windows: int, length: int) -> DataFra
                         out.append((h, c, lo, hi, near, _signed(core), _signed(digest(text[lo : hi + length], core ^ near - lo))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] * 2)], ["h", "c", "i0", "i1", "p", "a", "s"])
 
-    return _with_texts(rows, docs).mapInArrow(run, _UNIT)
+    return _with_texts(rows, docs, few=rows.count() <= FEW).mapInArrow(run, _UNIT)
 
 
-def _with_texts(units: DataFrame, docs: DataFrame) -> DataFrame:
-    """text, h, c and the list of units of each text that has any; a text's units are bounded by its length, and equal texts stand for one."""
+def _with_texts(units: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
+    """text, h, c and the list of units of each text that has any; a text's units are bounded by its length, and equal texts stand for one.
+
+    few: whether the units are at most FEW, so that they are broadcast and only texts that have any are shuffled.
+    """
     own = units.groupBy("h", "c").agg(F.collect_list(F.struct("i0", "i1", "p", "a", "n")).alias("units"))
     own = own.select(F.col("h").alias("_h"), F.col("c").alias("_c"), "units")
-    each = docs.groupBy("h", "c").agg(F.first("text").alias("text"))  # tasks keep one of equal texts before rows move
+    # Tasks keep one of equal texts before rows move.
+    if few:
+        found = docs.join(F.broadcast(own), (docs["h"] == own["_h"]) & (docs["c"] == own["_c"]))
+        return found.groupBy("h", "c").agg(F.first("text").alias("text"), F.first("units").alias("units")).select("text", "h", "c", "units")
+    each = docs.groupBy("h", "c").agg(F.first("text").alias("text"))
     return each.join(own, (each["h"] == own["_h"]) & (each["c"] == own["_c"])).select("text", "h", "c", "units")
 
 
@@ -229,7 +238,7 @@ def equal_windows(keys: list[bytes], shared: list[int], right: np.ndarray, lo: n
     return out
 
 
-def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int, length: int) -> DataFrame:
+def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int, length: int, few: bool) -> DataFrame:
     """Spans (h, c, start, end) of the repeated windows of units that occur once (n = 1)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +285,7 @@ def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int, length: int)
         return pa.table({"h": h[unit], "c": c[unit], "start": p[unit] - end, "end": p[unit] - begin + length})
 
     small_batches(docs.sparkSession)
-    runs = _with_texts(units, docs).mapInArrow(send, "bucket int, shared binary, sizes binary, rest binary, info binary")
+    runs = _with_texts(units, docs, few).mapInArrow(send, "bucket int, shared binary, sizes binary, rest binary, info binary")
     return runs.groupBy("bucket").applyInArrow(receive, "h long, c long, start long, end long")
 
 
@@ -316,7 +325,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         few, many = open_.where(F.col("m") <= HOT), open_.where(F.col("m") > HOT)
         count = few.count()
         if count:
-            found.append(materialize(_sorted_spans(few, docs, -(-count // BUCKET), length), "spans"))
+            found.append(materialize(_sorted_spans(few, docs, -(-count // BUCKET), length, count <= FEW), "spans"))
         if not windows or many.isEmpty():
             break
         spans, left = _settle(materialize(_cut(many, docs, windows, length), "units"), length)
