@@ -68,7 +68,7 @@ def _fields(s: Settings) -> dict[str, str]:
 def hourly(spark: SparkSession, s: Settings, keep: Keep = _lazy) -> dict[str, DataFrame]:
     """All results by session buckets. keep: what to do with the frames that most results share (see kept_in)."""
     root = s.products[0]
-    minutes = files.contract_minutes(spark, s.data["minute_root"], root, s.data["timezone"], max_files=s.data.get("max_files"))
+    minutes = files.contract_minutes(spark, s.data["minute_root"], root, s.data["timezone"], max_files=s.data.get("max_files"), skip_bad=True)
     panel = keep(chain.assemble_panel(bars.bucket_bars(minutes), chain.expiry_dim(files.contract_metadata(spark, s.metadata_path))), "panel")
     links, times = keep(chain.chain(panel, **_fields(s)), "chain"), chain.grid(panel)
     pairs, meta, calendar = chain.front_next(links, times), chain.panel_meta(panel), _calendar(spark, s)
@@ -99,7 +99,7 @@ def hourly(spark: SparkSession, s: Settings, keep: Keep = _lazy) -> dict[str, Da
 def daily(spark: SparkSession, s: Settings, keep: Keep = _lazy) -> dict[str, DataFrame]:
     """All results by days, of contracts of good quality; unknown limits of quality are an error."""
     root = s.products[0]
-    minutes = files.contract_minutes(spark, s.data["minute_root"], root, s.data["timezone"])
+    minutes = files.contract_minutes(spark, s.data["minute_root"], root, s.data["timezone"], skip_bad=True)
     days = keep(bars.fill_calendar(keep(bars.daily_bars(minutes), "days")), "filled_days")
     own = {k: v for k, v in s.data_quality.items() if k not in ("filter_enabled", "trim_early_sparse", "enabled")}
     rules = quality.Quality(**own, enabled=s.data_quality.get("filter_enabled", True))

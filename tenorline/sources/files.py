@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from ..functions.contracts import contract_pattern, normalize_contract
 from ..operators.bars import clean
 from ..operators.calendars import classify, merge
 
+_LOG = logging.getLogger(__name__)
+
 #: Names of the time column, in order of preference; other names of the value columns (fixed values).
 TIME_NAMES = ["timestamp", "datetime", "date_time", "time", "dt", "DateTime", "Timestamp"]
 ALIASES = {
@@ -59,25 +62,35 @@ def _minutes(df: DataFrame, root: str, zone: str) -> DataFrame:
     return clean(out.withColumn("pos", pos).where("ts is not null"))
 
 
-def contract_minutes(spark: SparkSession, folder: str, root: str = "HG", zone: str = "US/Central", extensions: tuple[str, ...] = ("csv", "txt", "parquet", "pq"), max_files: int | None = None) -> DataFrame:
+def contract_minutes(spark: SparkSession, folder: str, root: str = "HG", zone: str = "US/Central", extensions: tuple[str, ...] = ("csv", "txt", "parquet", "pq"), max_files: int | None = None, skip_bad: bool = False) -> DataFrame:
     """Minute rows of all files of a root in a folder and those below: root, contract, ts, values, open_interest, src_file, pos (place in the file).
 
     Files without a header (their first field is no known name) are read by place. Rows without a time are left out; repeated
     times are kept. Text files with and without header are told apart by the first line of each, which Spark reads; fields may be quoted.
-    max_files: only the first so many files by name.
+    max_files: only the first so many files by name. skip_bad: files that can't be read (a layout without the needed columns, corrupt
+    Parquet) are left out with a warning instead of an error.
     """
     parts = []
+
+    def add(df: DataFrame, what: str) -> None:
+        try:
+            parts.append(_minutes(df, root, zone))
+        except ValueError as error:
+            if not skip_bad:
+                raise
+            _LOG.warning("left out %s: %s", what, error)
+
     pattern = contract_pattern(root)
     file_name = F.col("_metadata.file_name")
     found = lambda reader, ext: reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{root.upper()}*.{ext}")
     for ext in [e for e in extensions if e in ("parquet", "pq")]:
         try:
-            df = found(spark.read, ext).parquet(folder)
+            df = found(spark.read.option("ignoreCorruptFiles", skip_bad), ext).parquet(folder)
         except Exception as error:  # a folder without such files has no schema to infer
             if "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
             continue
-        parts.append(_minutes(df.select("*", file_name.alias("_file"), F.col("_metadata.file_block_start").alias("_block")).where(F.col("_file").rlike(pattern)), root, zone))
+        add(df.select("*", file_name.alias("_file"), F.col("_metadata.file_block_start").alias("_block")).where(F.col("_file").rlike(pattern)), f"{ext} files")
     for ext in [e for e in extensions if e in ("csv", "txt")]:
         lines = found(spark.read, ext).text(folder).select("value", file_name.alias("_file"), F.col("_metadata.file_block_start").alias("_at")).where(F.col("_file").rlike(pattern))
         heads = lines.where("_at = 0").withColumn("_n", F.monotonically_increasing_id()).groupBy("_file").agg(F.min_by("value", "_n").alias("head"))
@@ -92,7 +105,7 @@ def contract_minutes(spark: SparkSession, folder: str, root: str = "HG", zone: s
             rows = lines.join(own, "_file", "left_semi")
             rows = rows.where(F.col("value") != head) if head is not None else rows
             parsed = rows.select("_file", F.col("_at").alias("_block"), fields.alias("_f"))
-            parts.append(_minutes(parsed.select("_file", "_block", *[F.col(f"_f.f{i}").alias(n) for i, n in enumerate(names)]), root, zone))
+            add(parsed.select("_file", "_block", *[F.col(f"_f.f{i}").alias(n) for i, n in enumerate(names)]), f"{ext} files with columns {', '.join(names)}")
     if not parts:
         raise FileNotFoundError(f"no files of {root} in {folder}")
     out = parts[0]

@@ -241,3 +241,6 @@ def test_missing_columns_and_files(spark, tmp_path):
     (tmp_path / "HGZ24.csv").write_text("timestamp,open,high\n2024-01-01,1,2\n")
     with pytest.raises(ValueError, match="Missing required columns"):
         files.contract_minutes(spark, str(tmp_path), extensions=("csv",))
+    (tmp_path / "HGH24.csv").write_text("timestamp,open,high,low,close,volume\n2024-01-01,1,2,1,2,3\n")
+    good = files.contract_minutes(spark, str(tmp_path), extensions=("csv",), skip_bad=True).collect()
+    assert [r["contract"] for r in good] == ["HGH2024"]
