@@ -1,13 +1,14 @@
-"""Byte-level BPE: ranked merges folded by Spark higher-order functions over the bytes of distinct words.
+"""Byte-level BPE: ranked merges folded by Spark higher-order functions over the byte arrays of distinct words.
 
-The rank map is a literal: hashed buckets of small maps, from a piece to its rank (which is also its id). A fold over a word's
-bytes (as one-byte strings) keeps the pieces and the ranks of all neighbouring pairs; each step merges the first pair of least rank and
-ranks the two new pairs. A word that is itself a piece needs no fold. This is what tiktoken computes, merge by merge.
+The rank map is a literal: a packed table from a pair of neighbouring ids to the rank of the piece that they make, which is also
+its id. A fold over a word's bytes keeps the ids and the ranks of all neighbouring pairs; each step merges the first pair of
+least rank and ranks the two new pairs. This is what tiktoken computes, merge by merge; no string is built on the way. A word that
+is itself a piece needs no fold.
 
-Words are the matches of the tokenizer's pattern. Distinct words are counted over the whole corpus, and the HEAD most frequent ones
-are encoded once, by the fold, and broadcast: a table of bounded size. Each block of documents then turns into numbers of words,
-its other distinct words, the block's own, are encoded by the same fold in the block's row, and ids are looked up. So every word's
-ids come from the fold, texts are never shuffled, and a task holds one block of bounded size (or one long document).
+Words are the matches of the tokenizer's pattern. A block of documents has its ids in place, except that a word which isn't a piece is
+a negative number into its task's distinct words; those that are new in the block are folded in the block's row, and all are then
+put in their places. So texts are never shuffled, no table of words grows with the corpus, and a task holds one block of bounded
+size (or one long document) and the ids of a bounded number of words.
 """
 
 from __future__ import annotations
@@ -15,26 +16,26 @@ from __future__ import annotations
 import base64
 import json
 import re
-import zlib
-from collections import Counter
+import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import small_batches, utf8
 
-#: Most words of the broadcast table; bytes of text in a block; buckets of the rank map; units that a task remembers.
-HEAD, BLOCK, BUCKETS, REMEMBER = 1 << 16, 4 << 20, 1 << 14, 50_000
+#: Characters of text in a block; words and units that a task remembers from block to block.
+BLOCK, WORDS, UNITS = 4 << 20, 400_000, 250_000
 #: White space, as the tokenizer's regular expressions have it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NO_SPLIT = re.compile(f"[{SPACE}] ")
 _UNITS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-_NEVER = 2**31 - 1
+#: Bits of an id, the most that they hold, and what is more than all ranks.
+ID_BITS, END, NONE = 20, (1 << 20) - 1, 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,155 +53,155 @@ def units(text: str) -> list[str]:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: BUCKETS maps by crc32 of the piece; bytes are characters of the same number."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        key = piece.decode("latin-1")
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-
-
-def fold(word: str, ranks: str) -> str:
-    """SQL: the ids of a word (a string of one character for each byte), given the column of rank_map()."""
-
-    def rank(x: str) -> str:
-        return f"element_at(element_at({ranks}, cast(crc32(cast({x} as binary)) % {BUCKETS} as int) + 1), {x})"
-
-    pair = f"coalesce({rank('x')}, {_NEVER})"
-    ranked = lambda text: f"transform(array({text}), x -> {pair})"
-    step = (
-        "named_struct('p', concat(slice(s.p, 1, k - 1), array(m), slice(s.p, k + 2, size(s.p))), "
-        f"'r', concat(slice(s.r, 1, greatest(k - 2, 0)), if(k > 1, {ranked('concat(element_at(s.p, k - 1), m)')}, cast(array() as array<int>)), "
-        f"if(k + 1 < size(s.p), {ranked('concat(m, element_at(s.p, k + 2))')}, cast(array() as array<int>)), slice(s.r, k + 2, size(s.r))))"
-    )
-    merged = f"transform(array(cast(array_position(s.r, low) as int)), k -> transform(array(concat(element_at(s.p, k), element_at(s.p, k + 1))), m -> {step})[0])[0]"
-    start = (
-        f"transform(array(transform(sequence(1, length({word})), i -> substring({word}, i, 1))), p -> named_struct('p', p, "
-        f"'r', transform(slice(p, 2, size(p)), (y, i) -> transform(array(concat(p[i], y)), x -> {pair})[0])))[0]"
-    )
-    run = (
-        f"aggregate(sequence(2, length({word})), {start}, (s, i) -> transform(array(coalesce(array_min(s.r), {_NEVER})), low -> if(low = {_NEVER}, s, {merged}))[0], "
-        f"s -> transform(s.p, x -> {rank('x')}))"
-    )
-    whole = rank(word)
-    return f"case when length({word}) = 0 then cast(array() as array<int>) when {whole} is not null then array({whole}) else {run} end"
-
-
-def _count(docs: DataFrame, pattern: str) -> DataFrame:
-    """word (bytes as characters) and n, its occurrences; a task leaves out what it has seen once, which can't be among the frequent ones by much."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for unit, n in seen.items():
-                for word in find(unit):
-                    words[word] += n
-            seen.clear()
-            kept = [(w.encode("utf-8").decode("latin-1"), n) for w, n in words.items() if n > 1]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(units(text.as_py() or ""))
-            if len(seen) > REMEMBER:
-                yield flush()
-        yield flush()
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int) -> list[tuple[str, bytes]]:
-    """At most size frequent words with their ids, encoded by the fold."""
-    counts = materialize(_count(docs, pattern), "word-counts")
-    steps = [F.col("n") >= (1 << b) for b in range(1, 40)]
-    many = counts.agg(*[F.count_if(c).alias(str(b)) for b, c in enumerate(steps, 1)]).first()
-    least = next((b for b in range(1, 40) if many[str(b)] <= size), 40)
-    words = counts.where(F.col("n") >= (1 << least)).select("word")
-    encoded = materialize(words.withColumn("_ranks", rank_map(ranks)).select("word", F.expr(fold("word", "_ranks")).alias("ids")), "head-words")
-    return [(r["word"], np.array(r["ids"], dtype="<u4").tobytes()) for r in encoded.toLocalIterator()]
+    """The literal rank map, in flat arrays, as it goes to each task: m has an entry ((left id << ID_BITS | rank of the piece) << ID_BITS) for each pair of
+    ids that makes a piece, at d[left id] + right id; b has the ids of all bytes, t the ranks of all pairs of bytes (NONE: no piece).
 
+    Rows of a sparse table are shifted so that none of their entries collide; an entry of another row has another left id.
+    """
+    size = max(ranks.values()) + 2  # one id more, for the ends of words
+    if size >= END:
+        raise ValueError("ids need more bits")
+    rows: dict[int, dict[int, int]] = {}
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            if (left := ranks.get(piece[:i])) is not None and (right := ranks.get(piece[i:])) is not None:
+                rows.setdefault(left, {})[right] = rank
+    shift, used = [0] * size, 0  # used: a bit for each place
+    for left, row in sorted(rows.items(), key=lambda r: -len(r[1])):
+        taken = 0
+        for right in row:
+            taken |= used >> right
+        shift[left] = (~taken & (taken + 1)).bit_length() - 1  # the first place where the row fits
+        for right in row:
+            used |= 1 << (shift[left] + right)
+    table = [END << 2 * ID_BITS] * (max(shift) + size)
+    for left, row in rows.items():
+        for right, rank in row.items():
+            table[shift[left] + right] = (left << ID_BITS | rank) << ID_BITS
+    one = [bytes([x]) for x in range(256)]
+    literal = {"m": table, "d": shift, "b": [ranks[x] for x in one], "t": [ranks.get(x + y, NONE) for x in one for y in one]}
+    return F.from_json(F.lit(json.dumps(literal)), "struct<m:array<bigint>,d:array<int>,b:array<bigint>,t:array<bigint>>")
+
+
+def folded(words: str, ranks: str) -> str:
+    """SQL: the ids of each of an array of words (arrays of bytes, 0 to 255), given the column of rank_map().
+
+    The state of the fold is one array, with an element (rank of the id with the next one << ID_BITS | id) for each id, and one for an end at
+    either side; the first of these goes when nothing is left to merge. An entry XOR its own left id is a rank, with any other it's
+    more than all ranks. (Calls inside a fold are interpreted one by one, so the state is made for few of them.)
+    """
 
-_numbers: dict[int, dict[str, int]] = {}
+    def let(name: str, value: str, then: str) -> str:
+        return f"transform(array({value}), {name} -> {then})[0]"
 
+    def element(left: str, right: str) -> str:
+        return f"get(m, cast(get(d, cast({left} as int)) + {right} as int)) ^ shiftleft({left}, {2 * ID_BITS}) | {left}"
 
-def _number(head: Broadcast) -> dict[str, int]:
-    """The numbers of the broadcast words, made once in a Python worker."""
-    if head.value is not None and id(head.value) not in _numbers:
-        _numbers.clear()
-        _numbers[id(head.value)] = {w.encode("latin-1").decode("utf-8"): i for i, (w, _) in enumerate(head.value)}
-    return _numbers[id(head.value)]
+    last = "size(d) - 1L"
+    near = f"array({let('x', f'get(e, k - 1) & {END}', element('x', 'low'))}, {element('low', f'(get(e, k + 2) & {END})')})"
+    step = f"concat(slice(e, 1, k - 1), {near}, slice(e, k + 3, size(e)))"
+    merged = let("k", "cast(v & 8388607 as int)", let("low", "shiftright(v, 23)", step))
+    least = let("v", f"array_min(transform(e, (x, i) -> shiftleft(shiftright(x, {ID_BITS}), 23) | i))", f"if(v >= {NONE << 23}, slice(e, 2, size(e)), {merged})")
+    end = f"array({NONE << ID_BITS}L | {last})"
+    ids = f"transform(w, (x, i) -> shiftleft(if(i + 1 < size(w), get(t, x * 256 + get(w, i + 1)), {NONE}L), {ID_BITS}) | get(b, x))"
+    fold = f"aggregate(w, concat({end}, {ids}, {end}), (e, i) -> if(get(e, 0) & {END} <> {last}, e, {least}), e -> transform(slice(e, 1, size(e) - 1), x -> x & {END}))"
+    names = {"m": f"{ranks}.m", "d": f"{ranks}.d", "b": f"{ranks}.b", "t": f"{ranks}.t"}
+    out = f"transform({words}, w -> {fold})"
+    for name, value in names.items():
+        out = let(name, value, out)
+    return out
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head_size: int = HEAD) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block: int = BLOCK, words: int = WORDS) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers, as bytes) of each row of docs, in any order.
 
     A null or empty text has no ids; a null doc_id stays null; repeated rows are encoded each; other columns don't matter; a text of
-    any length is one row. head_size only moves work between the two places where words are folded.
+    any length is one row; an empty table gives no rows. block and words only move work: a word is folded once in a task, or again
+    once the task has met so many others.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    head = spark.sparkContext.broadcast(_head(docs, ranks, pattern, head_size))  # at most head_size words
+    held = spark.sparkContext.broadcast(ranks)  # the vocabulary
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        known, common = _number(head), {}  # units of broadcast words only keep their numbers
-        ids, codes, own, rare, size = [], [], {}, {}, 0
+        find, known = regex.compile(pattern).findall, held.value
+        ids, codes, own, size, sent = [], [], {}, 0, 0
 
         class Codes(dict):
             def __missing__(self, unit: str) -> bytes:
-                words = find(unit)
-                got = [known.get(w, -1) for w in words]
-                if -1 not in got:
-                    out = np.array(got, dtype="<i4").tobytes()
-                    if len(common) < REMEMBER:
-                        common[unit] = out
-                else:
-                    out = np.array([g if g >= 0 else len(known) + own.setdefault(w, len(own)) for g, w in zip(got, words, strict=True)], dtype="<i4").tobytes()
-                self[unit] = out
-                return out
-
-        rare = Codes(common)
-
-        def block() -> pa.RecordBatch:
-            words = [w.encode("utf-8").decode("latin-1") for w in own]
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([words], pa.list_(pa.string()))], ["ids", "codes", "words"])
-
+                out = []
+                for word in find(unit):
+                    data = word.encode("utf-8", "surrogatepass")
+                    code = known.get(data)
+                    out.append(-1 - own.setdefault(data, len(own)) if code is None else code)
+                made = struct.pack(f"<{len(out)}i", *out)
+                self[unit] = made
+                return made
+
+        def done() -> pa.RecordBatch:
+            new = list(islice(own, sent, None))
+            data = np.frombuffer(b"".join(new), dtype=np.uint8).astype(np.int32)
+            ends = np.cumsum(np.fromiter(map(len, new), dtype=np.int32, count=len(new)), dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), pa.array(data))
+            lists = pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), lists)
+            return pa.RecordBatch.from_arrays([pa.array([sent], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), lists], ["sent", "ids", "codes", "words"])
+
+        seen = Codes()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 ids.append(doc_id)
-                codes.append(b"".join(map(rare.__getitem__, units(text))))
+                codes.append(b"".join(map(seen.__getitem__, units(text))))
                 size += len(text)
-                if size > BLOCK:
-                    yield block()
-                    ids, codes, size = [], [], 0
-                    own.clear()
-                    rare = Codes(common)
+                if size > block:
+                    yield done()
+                    ids, codes, size, sent = [], [], 0, len(own)
+                    if sent > words or len(seen) > UNITS:
+                        seen.clear()  # of units, what was seen since the last time
+                    if sent > words:
+                        own.clear()
+                        sent = 0
         if ids:
-            yield block()
+            yield done()
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [x for _, x in head.value]
-        n = len(table)
+    def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, sizes = [], []  # of the words of the task's blocks so far
         for batch in batches:
-            for doc_ids, codes, words in zip(*batch.columns, strict=True):
-                offsets = words.values.offsets.to_numpy() if words.values is not None and len(words.values) else np.zeros(1, dtype=np.int64)
-                flat = words.values.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if len(offsets) > 1 else b""
-                table[n:] = [flat[4 * a : 4 * b] for a, b in zip((offsets - offsets[0]).tolist(), (offsets - offsets[0])[1:].tolist())] if len(offsets) > 1 else []
-                out = [b"".join(map(table.__getitem__, np.frombuffer(x.as_buffer(), dtype="<i4").tolist())) for x in codes.values]
+            for sent, doc_ids, codes, new in zip(*batch.columns, strict=True):
+                if not sent.as_py():
+                    flat, sizes = [], []
+                if len(new.values):
+                    sizes.append(np.diff(new.values.offsets.to_numpy()).astype(np.int64))
+                    flat.append(new.values.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+                if len(flat) > 1:
+                    flat, sizes = [np.concatenate(flat)], [np.concatenate(sizes)]
+                begins = np.cumsum(sizes[0]) - sizes[0] if flat else None
+                out = []
+                for code in codes.values:
+                    code = np.frombuffer(code.as_buffer(), dtype="<i4")
+                    at = np.flatnonzero(code < 0)
+                    if len(at):
+                        word = -1 - code[at]
+                        many = sizes[0][word]
+                        each = np.ones(len(code), dtype=np.int64)
+                        each[at] = many
+                        code = np.repeat(code, each)
+                        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        code[np.repeat((np.cumsum(each) - each)[at], many) + within] = flat[0][np.repeat(begins[word], many) + within]
+                    out.append(code.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    blocks = docs.mapInArrow(number, "ids array<long>, codes array<binary>, words array<string>")
-    folded = blocks.withColumn("_ranks", rank_map(ranks)).select("ids", "codes", F.expr(f"transform(words, w -> {fold('w', '_ranks')})").alias("words"))
-    return folded.mapInArrow(look_up, "doc_id long, ids binary")
+    blocks = docs.mapInArrow(number, "sent long, ids array<long>, codes array<binary>, words array<array<int>>")
+    ready = blocks.withColumn("_ranks", rank_map(ranks)).select("sent", "ids", "codes", F.expr(folded("words", "_ranks")).alias("words"))
+    return ready.mapInArrow(put_in, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """encoded (doc_id, ids) with decoded: the pieces of its ids, one behind the other, as bytes. No ids are no bytes; an unknown id is an error."""
+    """encoded (doc_id, ids) with decoded: the pieces of its ids, one behind the other, as bytes.
+
+    No ids, null or empty, are no bytes; an unknown id is an error; null and repeated doc_ids don't matter; an empty table gives no rows.
+    """
     spark = encoded.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()})  # the vocabulary
@@ -208,7 +209,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = held.value.__getitem__
         for batch in batches:
-            out = [b"".join(map(piece, np.frombuffer(x.as_buffer(), dtype="<u4").tolist())) for x in batch.column(1)]
+            out = [b"".join(map(piece, np.frombuffer(x, dtype="<u4").tolist())) for x in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, hamming_search, hilbert, iblt, neardup, packing, suffix_dedup, token_counts, toxicity, url_filter
-from .common import read
+from .common import materialize, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,7 +18,8 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by byte-level BPE and decoded again, as digests."""
     ranks = bpe.load_ranks(BYTE_BPE)
-    both = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    encoded = materialize(bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), "encoded")  # a table that others read, too
+    both = bpe.decode(encoded, ranks)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -57,7 +58,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of all documents without the bytes of repeated 400-byte strings."""
+    """What is left of all documents without the bytes of repeated 400-byte strings, as digests and as text."""
     return suffix_dedup.report(read(spark, sf_dir, "documents"))
 
 

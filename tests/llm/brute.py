@@ -161,3 +161,11 @@ def hamming(vectors: list[tuple], queries: list[int], k: int) -> list[tuple]:
         best = sorted((int(d), v) for d, v in zip(distance, ids, strict=True) if v != q)[:k]
         out += [(q, r + 1, v, d) for r, (d, v) in enumerate(best)]
     return out
+
+
+def gram_number(gram: str, mult: list[int], bits: int) -> int:
+    """The feature number of one character n-gram."""
+    h, mask = ord(gram[0]) * mult[0], 2**32 - 1
+    for c in gram[1:]:
+        h = ((h & mask) * 0x2C1B3C6D + ord(c)) & mask
+    return ((h ^ h >> 16) * mult[len(gram) - 1] & mask) >> (32 - bits)

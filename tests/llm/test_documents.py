@@ -4,6 +4,7 @@ import random
 import zlib
 
 import brute
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -50,7 +51,8 @@ def encoded(df, **more):
 def test_bpe(spark, docs):
     want = sorted(brute.bpe(ODD))
     assert encoded(docs(ODD)) == want
-    assert encoded(docs(ODD), head_size=0) == want
+    assert encoded(docs(ODD).coalesce(1), block=100) == want
+    assert encoded(docs(ODD).coalesce(1), block=1000, words=20) == want
     assert rows(queries.op1_bpe(spark, SF), *BPE) == sorted(brute.bpe(shared()))
 
 
@@ -79,20 +81,37 @@ def test_near_duplicates_of_repeated_and_null_ids(docs):
     got = {tuple(r) for r in neardup.near_duplicates(docs([(None, BASE), (1, BASE), (1, "other text of its own here"), (2, "other text of its own here")])).select(*NEAR).collect()}
     assert {g[2:] for g in got if g[0] is None} == {(None, True)} and {g[2] for g in got if g[0]} == {1}
     assert neardup.keep_one(docs([(3, BASE), (4, BASE)])).select("doc_id").collect() == [(3,)]
+    # Documents 1 and 4 repeat their ids with other texts, each of which has a group of its own.
+    two = [(1, BASE), (1, PASSAGE), (4, words(70, 80)), (4, BASE + " more"), (5, PASSAGE + " x"), (6, words(70, 80)), (7, words(71, 50))]
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(two)).collect()} == {1: 1, 4: 1, 5: 1, 6: 1, 7: 7}
+    clash = docs([(3, BASE), (4, BASE)]).withColumnsRenamed({"h": "gone", "units": "gone_"})
+    assert neardup.keep_one(clash).columns == clash.columns and neardup.keep_one(clash).count() == 1
 
 
 SPANS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_repeats(spark, docs, monkeypatch, hot):
+@pytest.mark.parametrize("hot,length", [(1000, 400), (3, 400), (1000, 90)])
+def test_repeats(spark, docs, monkeypatch, hot, length):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "FEW", 20_000 if length == 400 else 0)
     r = random.Random(1)
     cut = lambda: PASSAGE[(a := r.randrange(150)) : a + r.randrange(380, 500)]
     many = [*ODD, *((100 + i, words(50 + i, r.randrange(5, 60)) + cut() + words(90 + i, 20)) for i in range(25))]
-    assert rows(suffix_dedup.report(docs(many)), *SPANS) == sorted(brute.repeats(many))
+    assert rows(suffix_dedup.report(docs(many), length), *SPANS) == sorted(brute.repeats(many, length))
     if hot > 3:
-        assert rows(queries.op6_suffix_dedup(spark, SF), *SPANS) == sorted(brute.repeats(shared()))
+        assert rows(suffix_dedup.report(spark.read.parquet(f"{SF}/documents.parquet"), length), *SPANS) == sorted(brute.repeats(shared(), length))
+
+
+def test_repeats_of_repeated_rows_and_clashing_names(spark):
+    given = [(1, BASE), (1, BASE), (None, PASSAGE + "ж" * 100), (None, None), (3, ""), (3, PASSAGE)]
+    names = "h c _h _c _kh _kc spans _spans units row".split()
+    made = spark.createDataFrame([(d, t, *"abcdefghij") for d, t in given], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    null_first = lambda x: [(y is None, y) for y in x]
+    assert sorted((tuple(r) for r in suffix_dedup.report(made).select(*SPANS).collect()), key=null_first) == sorted(brute.repeats(given), key=null_first)
+    out = suffix_dedup.remove(made)
+    assert out.columns == made.columns and {tuple(r)[2:] for r in out.collect()} == {tuple("abcdefghij")}
+    assert sorted((r["text"] or "")[:3] for r in out.collect()) == ["", "", "", "", "", "жжж"] and out.where("text is null").count() == 1
 
 
 def test_repeats_go_from_texts(docs):
@@ -115,10 +134,35 @@ def test_packing_holds_the_mixture(spark):
     assert len(by) > 10 and all(abs(r["b"] / 2048 - 0.25) <= 2 * packing.QUANTUM / 2048 for r in by)
 
 
+def test_packing_of_small_sources(spark, monkeypatch):
+    """Sources that share a queue have their shares together in every full window; bases that are joined give the same pieces."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
+    monkeypatch.setattr(packing, "FALLBACK", 1)
+    given = [(i, words(i, 400)) for i in range(160)]
+    made = spark.createDataFrame([(i, t, "a" if i % 2 else f"s{i % 8}") for i, t in given], "doc_id long, text string, source string")
+    out = packing.pack(made, brute.WORD_BPE)
+    pieces = [r.asDict() for r in out.collect()]
+    brute.check_packing(given, pieces)
+    by = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sum(F.when(F.col("source") == "a", F.col("length")).otherwise(0)).alias("a")).where("n = 2048").collect()
+    assert len(by) > 10 and all(abs(r["a"] / 2048 - 0.5) <= 2 * packing.QUANTUM / 2048 for r in by)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    key = lambda p: (p["sequence_id"], p["offset"], p["doc_id"], p["start"], p["ids_crc32"])
+    assert sorted(map(key, pieces)) == sorted(key(r.asDict()) for r in packing.pack(made, brute.WORD_BPE).collect())
+
+
+def test_packing_of_odd_words(spark):
+    """Words that the memory takes apart or encodes by the bare model have the tokenizer's ids."""
+    r = random.Random(1)
+    letters = "abcXYZ019'.,!_-\n\t \r\x0b\x0c\x1c\x1f\x85\xa0éÉßſKİ́ 日жsTREllaªºµÿþÞ²¼"
+    made = ["".join(r.choice(letters) for _ in range(r.randint(1, 14))) for _ in range(5000)]
+    encode, ids = packing.Tokenizer.from_file(brute.WORD_BPE).encode, packing.Words.at(brute.WORD_BPE)
+    assert all(ids(x) == np.array(encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in made)
+
+
 def test_token_counts(spark, docs):
     enc = brute.encoding()
     state = token_counts.trees(docs(ODD), brute.BYTE_BPE, public_tokenizers.PATTERN)
-    edits = F.expr("array(named_struct('at', 3L, 'cut', 5L, 'new', ' new words'), named_struct('at', 0L, 'cut', 1L, 'new', cast(null as string)), named_struct('at', 500L, 'cut', 200L, 'new', 'x'), named_struct('at', 999999999L, 'cut', 5L, 'new', ' end'))")
+    edits = F.expr("array(null, named_struct('at', 3L, 'cut', 5L, 'new', ' new words'), named_struct('at', 0L, 'cut', 1L, 'new', cast(null as string)), named_struct('at', 500L, 'cut', 200L, 'new', 'x'), named_struct('at', 999999999L, 'cut', 5L, 'new', ' end'))")
     done = token_counts.update(state.withColumn("edits", edits), brute.BYTE_BPE, public_tokenizers.PATTERN).select("doc_id", "text", F.expr(token_counts.total()).alias("n"), "encoded")
     got = {r["doc_id"]: r for r in done.collect()}
     for doc_id, text in ODD:
@@ -138,14 +182,27 @@ def test_token_counts(spark, docs):
 
 
 def test_hilbert(spark, docs):
-    twice = [*ODD, *ODD[:3]]
-    for source, given in ((docs(twice), twice), (spark.read.parquet(f"{SF}/documents.parquet"), shared())):
-        out = hilbert.shards(source, 8).collect()
-        assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == sorted((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in given)
+    twice = [*ODD, *ODD[:3], (None, "x"), (None, None)]
+    for made, given in ((hilbert.shards(docs(twice), 8), twice), (queries.op8_hilbert(spark, SF), shared())):
+        out = made.collect()
+        key = lambda x: [(y is None, y) for y in x]
+        assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in out), key=key) == sorted(((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in given), key=key)
         slots = {k: sorted(r["slot"] for r in out if r["shard"] == k) for k in range(8)}
         assert all(s == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_shards_prune(spark):
+    """Readers of one value skip many shards by least and greatest values, in each dimension; rows dealt at random would let them skip none."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    placed = hilbert.shards(docs, 8)
+    ends = {r["shard"]: r for r in hilbert.summary(placed).collect()}
+    assert sum(r["rows"] for r in ends.values()) == docs.count() and len(ends) == 8
+    rows = placed.select("lang", "source", "size", "doc_id").collect()
+    skipped = {c: sum(not e[f"min_{c}"] <= r[c] <= e[f"max_{c}"] for r in rows for e in ends.values()) / len(rows) / 8 for c in ("lang", "source", "size", "doc_id")}
+    assert sum(skipped.values()) > 1 and sorted(skipped.values())[1] > 0.15, skipped
+    assert [r["curve"] for r in placed.orderBy("shard", "slot").collect()] == sorted(r["curve"] for r in placed.collect())
+
+
 def test_curve_is_a_walk(spark):
     """Along a Hilbert curve each step changes one dimension by one, and each cell comes once."""
     cells = spark.range(4096).selectExpr("cast(id & 15 as int) as a", "cast(shiftright(id, 4) & 15 as int) as b", "cast(shiftright(id, 8) & 15 as int) as c")
@@ -158,7 +215,7 @@ def test_fingerprints(spark, docs):
         v = iblt.versions(source).withColumns({"e": F.expr(iblt.likeness("digests", "edited_digests")), "n": F.expr(iblt.likeness("digests", "next_digests"))}).collect()
         exact = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
         assert all(abs(r["e"] - exact(r["digests"], r["edited_digests"])) < 1e-9 and abs(r["n"] - exact(r["digests"], r["next_digests"])) < 1e-9 for r in v)
-        out = iblt.fingerprints(source).collect()
+        out = (queries.op9_iblt(spark, SF) if given is not ODD else iblt.fingerprints(source)).collect()
         assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out) == sorted(brute.edited(given))
     by = {r["doc_id"]: r["fingerprint"] for r in iblt.fingerprints(docs(ODD)).collect()}
     assert by[6] == by[7] and by[18] == by[19] and by[6] != by[8] and by[1] == by[2]

@@ -1,6 +1,8 @@
 """URL rules, toxicity, Hamming search and the pipeline."""
 
+import math
 import random
+import zlib
 
 import brute
 import corpus_pipeline
@@ -66,8 +68,47 @@ def test_toxicity_on_held_out(spark):
     held = [r for r in out if r["held_out"] and r["doc_id"] in truth]
     assert len(out) == 404 and sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
-    flat = toxicity.classify(docs, labels.where("false")).select("score").distinct().count()
-    assert flat == 1 and toxicity.classify(docs.where("false"), labels).count() == 0
+    flat = toxicity.classify(docs, labels.where("false")).select("score", "predicted").distinct().collect()
+    assert len(flat) == 1 and flat[0]["predicted"] == 0
+    for known in ("false", "toxic = 1", "toxic = 0"):
+        assert toxicity.keep_clean(docs, labels.where(known)).count() == docs.count()
+    assert toxicity.keep_clean(docs.where("false"), labels).count() == 0
+    assert toxicity.classify(docs.where("false"), labels).count() == 0
+
+
+def test_toxicity_of_the_tables(spark):
+    """The query tells held-out rows of the shared tables apart; its scores are those of a plain loop over the model."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = {r["doc_id"]: r for r in queries.op7_toxicity(spark, sf).collect()}
+    assert len(out) == docs.count() and all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in out.items())
+    held = [(out[r["doc_id"]], r["toxic"]) for r in labels.collect() if r["toxic"] is not None and out[r["doc_id"]]["held_out"]]
+    for y in (0, 1):
+        of = [r["predicted"] == y for r, toxic in held if toxic == y]
+        assert sum(of) >= 0.9 * len(of)
+    weight, bias = toxicity.train(docs, labels)
+    for r in docs.limit(20).collect():
+        text = f" {r['text'] or ''} ".lower()
+        grams = [text[i : i + n] for n in toxicity.GRAMS for i in range(len(text) - n + 1)]
+        total = sum(float(weight[brute.gram_number(g, toxicity._MULT.tolist(), toxicity.BITS)]) for g in grams)
+        assert abs(1 / (1 + math.exp(-(total * toxicity.rate(len(grams)) + bias))) - out[r["doc_id"]]["score"]) < 1e-5
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No labels, null, empty and repeated rows and clashing names: every stage keeps what it should; no documents give no pieces."""
+    base = words(1, 300)
+    rows = [(1, base), (1, base), (2, None), (3, ""), (None, base + " x"), (4, words(2, 40)), (5, words(3, 20_000))]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, _y int, _gone int, spans int, row int"
+    docs = spark.createDataFrame([(d, t, "en", None, 1, 1, 2, 3, 4) for d, t in rows], schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = docs
+    for (name, stage), want in zip(corpus_pipeline.STAGES, (7, 7, 7), strict=False):
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns and kept.count() == want, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).where("length <= 0").count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
 
 
 def test_hamming(spark):
@@ -93,7 +134,7 @@ def test_pipeline(spark):
     one = corpus_pipeline.one_of_each(spark, docs, SF)
     assert one.columns == docs.columns and {d for d, _ in given(one)} == {d for d, _, _, kept in brute.near(given(docs)) if kept}
     cut = corpus_pipeline.without_repeats(spark, docs, SF)
-    want = {d: n - gone for d, n, gone, _, _ in brute.repeats(given(docs))}
+    want = {d: n - gone for d, n, gone, _, _ in brute.repeats(given(docs), corpus_pipeline.PASSAGE)}
     assert cut.columns == docs.columns and all(want[d] - 8 <= len((t or "").encode()) <= want[d] for d, t in given(cut))
     packed = corpus_pipeline.run(spark, SF)
     assert packed.where(F.col("length") <= 0).count() == 0 and packed.select("doc_id").distinct().count() <= one.count()
