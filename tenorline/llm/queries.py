@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming_search, hilbert, iblt, neardup, packing, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, collocations, conversation_repair, exact_dedup, hamming_search, hilbert, iblt, neardup, packing, suffix_dedup, token_counts, toxicity, url_filter
 from .common import materialize, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -84,6 +84,22 @@ def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_search.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents; the largest id stays."""
+    return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of each language over all documents."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged, with their faults and the cheapest repair."""
+    rows = read(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_rules": op2_url_rules,
@@ -95,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert": op8_hilbert,
     "op9_iblt": op9_iblt,
     "op10_hamming": op10_hamming,
+    "op11_exact": op11_exact,
+    "op12_collocations": op12_collocations,
+    "op13_repair": op13_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -107,4 +126,37 @@ ORACLE_SQL: dict[str, str] = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs
         )
         SELECT * FROM ranked WHERE rank <= 10""",
+    "op11_exact": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece
+            FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents)
+        ), lists AS (
+            SELECT row_number() OVER () AS p, lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
+        ), single AS (
+            SELECT p, lang, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM lists
+        ), four AS (
+            SELECT lang, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d FROM single WINDOW o AS (PARTITION BY p ORDER BY i)
+        ), grams AS (
+            SELECT lang, 1 AS m, a AS phrase FROM four UNION ALL SELECT lang, 2, a || ' ' || b FROM four WHERE b IS NOT NULL
+            UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c FROM four WHERE c IS NOT NULL UNION ALL SELECT lang, 4, a || ' ' || b || ' ' || c || ' ' || d FROM four WHERE d IS NOT NULL
+        ), f AS (
+            SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL
+        ), words AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+        ), found AS (
+            SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30
+        ), cuts AS (
+            SELECT x.lang, x.phrase, x.a, k, l.f AS l, r.f AS r, CAST(x.a AS HUGEINT) * 2000000 // (CAST(l.f AS HUGEINT) + r.f) AS score
+            FROM found x JOIN generate_series(1, 3) t(k) ON k < x.m JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:k], ' ') AND l.m = k
+            JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[k + 1 :], ' ') AND r.m = x.m - k
+        ), best AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), kept AS (
+            SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM found y WHERE y.lang = b.lang AND contains(' ' || y.phrase || ' ', ' ' || b.phrase || ' ') AND y.phrase <> b.phrase AND 100 * CAST(y.a AS HUGEINT) >= 80 * CAST(b.a AS HUGEINT))
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM kept JOIN words USING (lang) QUALIFY rank <= 2000""",
 }
