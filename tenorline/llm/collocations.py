@@ -8,7 +8,8 @@ have bits in the same bytes are tried at once. Prefixes are extended depth-first
 
 Counts are sums over shards. A phrase can only be frequent if its parts are, so three passes are made: words; from frequent words on,
 pairs; from frequent pairs on, phrases of three and four words, depth-first. After each the shards get back what of their own is frequent;
-this is joined by shard, never broadcast, since it grows with the texts.
+this is joined by shard, never broadcast, since it grows with the texts. A word or pair has one row for each shard at most, so its rows can
+meet once, by a window, for their sum and for what goes back to the shards.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BRANCH = 300_000
 #: Words of a phrase at most, least occurrences, and hundredths of a phrase's occurrences that make a longer one stand for it.
 LONGEST, LEAST, ABSORB = 4, 30, 80
 _TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
-_SHARD = "shard long, lang string, words array<binary>, counts binary, sizes binary, places binary, bits binary"
+_SHARD = "shard long, lang string, many long, words array<binary>, counts binary, sizes binary, places binary, bits binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -82,8 +83,8 @@ def _shards(docs: DataFrame) -> DataFrame:
             counts = np.bincount(codes, minlength=len(words))
             sizes, places, bits = bitmaps(codes, positions, len(words))
             number += 1
-            row = [number, lang, words.to_pylist(), counts.astype("<i4").tobytes(), sizes.astype("<i4").tobytes(), _planes(places), bits.tobytes()]
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.binary()), *[pa.binary()] * 4]
+            row = [number, lang, len(codes), words.to_pylist(), counts.astype("<i4").tobytes(), sizes.astype("<i4").tobytes(), _planes(places), bits.tobytes()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [c.split()[0] for c in _SHARD.split(", ")])
 
         for batch in batches:
@@ -162,10 +163,6 @@ def _phrase(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
     return pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in columns), b" ").cast(pa.string())
 
 
-def _codes(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [table.column(n).to_numpy().astype(np.int64) for n in names]
-
-
 def _shard_row(table: pa.Table) -> tuple[dict, pa.Array]:
     """A shard's row and its words."""
     row = {n: table.column(n)[0].as_py() for n in ("shard", "lang", "sizes", "places", "bits")}
@@ -173,33 +170,32 @@ def _shard_row(table: pa.Table) -> tuple[dict, pa.Array]:
 
 
 def _pairs(shards: DataFrame, frequent: DataFrame) -> DataFrame:
-    """shard, lang, phrase, a, b, n: pairs of frequent words (shard, code) in each shard."""
-    names = ["shard", "lang", "phrase", "a", "b", "n"]
+    """shard, lang, phrase, n: pairs of frequent words (shard, code) in each shard."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+        schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
         parts = []
         if len(left) and len(right):
             row, words = _shard_row(left)
-            v = Vertical(row, _codes(right, "code")[0])
+            v = Vertical(row, right.column("code").to_numpy())
             for branch in v.branches():
                 a, b, n, _ = _counted(*v.extended(*branch), v.many)
-                parts.append([pa.repeat(pa.scalar(row["shard"], pa.int64()), len(n)), pa.repeat(pa.scalar(row["lang"]), len(n)), _phrase(words, [a, b]), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(n)])
-        schema = pa.schema(list(zip(names, kinds, strict=True)))
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays(p, schema=schema) for p in parts], schema)
+                parts.append(pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(row["shard"], pa.int64()), len(n)), pa.repeat(pa.scalar(row["lang"]), len(n)), _phrase(words, [a, b]), pa.array(n)], schema=schema))
+        return pa.Table.from_batches(parts, schema)
 
-    return shards.drop("counts").groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(run, "shard long, lang string, phrase string, a int, b int, n long")
+    return shards.drop("counts", "many").groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(run, "shard long, lang string, phrase string, n long")
 
 
 def _longer(shards: DataFrame, frequent: DataFrame) -> DataFrame:
-    """lang, phrase, size, n: phrases of three words and more of which all pairs are frequent (shard, a, b), in each shard."""
+    """lang, phrase, size, n: phrases of three words and more of which all pairs are frequent (shard, phrase), in each shard."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
         parts: list[pa.RecordBatch] = []
         if len(left) and len(right):
             row, words = _shard_row(left)
-            a, b = _codes(right, "a", "b")
+            both = pc.split_pattern(right.column("phrase").combine_chunks().cast(pa.binary()), b" ")
+            a, b = (pc.index_in(pc.list_element(both, i), value_set=words).to_numpy().astype(np.int64) for i in (0, 1))
             v = Vertical(row, np.unique(np.concatenate([a, b])))
             allowed = np.sort(a * v.many + b)
 
@@ -221,26 +217,23 @@ def _longer(shards: DataFrame, frequent: DataFrame) -> DataFrame:
                 grow([every], *branch)
         return pa.Table.from_batches(parts, schema)
 
-    return shards.drop("counts").groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(run, "lang string, phrase string, size int, n long")
+    return shards.drop("counts", "many").groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(run, "lang string, phrase string, size int, n long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, size, f of all phrases of one to LONGEST words with at least so many occurrences, and lang, n (all words); tables."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     shards = materialize(_shards(docs.select(lang, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))), "shards")
-    words = materialize(_words(shards), "words")
-    total = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "total")
-    often = lambda df, key: df.groupBy("lang", key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    one = materialize(often(words, "word"), "ones")
-    pairs = materialize(_pairs(shards, words.join(one, ["lang", "word"], "left_semi").select("shard", "code")), "pairs")
-    discard(words)
-    two = materialize(often(pairs, "phrase"), "twos")
-    more = _longer(shards, pairs.join(two, ["lang", "phrase"], "left_semi").select("shard", "a", "b"))
+    total = materialize(shards.groupBy("lang").agg(F.sum("many").alias("n")), "total")
+    often = lambda df, key: df.withColumn("f", F.sum("n").over(Window.partitionBy("lang", key))).where(F.col("f") >= least)
+    words = materialize(often(_words(shards), "word"), "words")
+    pairs = materialize(often(_pairs(shards, words.select("shard", "code")), "phrase"), "pairs")
+    more = _longer(shards, pairs.select("shard", "phrase"))
     more = materialize(more.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "longer")
-    discard(pairs, shards)
+    one, two = words.groupBy("lang", "word").agg(F.first("f").alias("f")), pairs.groupBy("lang", "phrase").agg(F.first("f").alias("f"))
     sized = lambda df, name, size: df.select("lang", F.col(name).alias("phrase"), F.lit(size).alias("size"), "f")
     out = materialize(sized(one, "word", 1).unionAll(sized(two, "phrase", 2)).unionAll(more.select("lang", "phrase", "size", "f")), "phrases")
-    discard(one, two, more)
+    discard(shards, words, pairs, more)
     return out, total
 
 
