@@ -21,7 +21,8 @@ def clean(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~bad(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
 
 
-def _ohlcv(columns: list[str], order: Column) -> list[Column]:
+def aggregates(columns: list[str], order: Column) -> list[Column]:
+    """The aggregates of a bar, of the columns there are; order: of its rows."""
     present = lambda c, f: f(F.col(c), F.when(F.col(c).isNotNull(), order))
     made = {
         "open": lambda: present("open", F.min_by), "high": lambda: F.max("high"), "low": lambda: F.min("low"), "close": lambda: present("close", F.max_by),
@@ -40,12 +41,12 @@ def bucket_bars(minutes: DataFrame, order: Column | None = None) -> DataFrame:
     """One bar for each contract and session bucket that has rows: root, contract, ts (start), bucket and the columns there are."""
     rows = minutes.withColumn("bucket", bucket_of_hour(F.hour("ts")))
     rows = rows.withColumn("start", bucket_start("ts", "bucket"))
-    return rows.groupBy("root", "contract", F.col("start").alias("bar"), "bucket").agg(*_ohlcv(minutes.columns, order if order is not None else row_order(minutes))).withColumnRenamed("bar", "ts")
+    return rows.groupBy("root", "contract", F.col("start").alias("bar"), "bucket").agg(*aggregates(minutes.columns, order if order is not None else row_order(minutes))).withColumnRenamed("bar", "ts")
 
 
 def daily_bars(minutes: DataFrame, order: Column | None = None) -> DataFrame:
     """One bar for each contract and calendar day that has rows: root, contract, day and the columns there are."""
-    return minutes.groupBy("root", "contract", F.to_date("ts").alias("day")).agg(*_ohlcv(minutes.columns, order if order is not None else row_order(minutes)))
+    return minutes.groupBy("root", "contract", F.to_date("ts").alias("day")).agg(*aggregates(minutes.columns, order if order is not None else row_order(minutes)))
 
 
 def fill_calendar(daily: DataFrame) -> DataFrame:

@@ -13,13 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as ticks: contract by user, price is value, volume is the number in props; times are unique."""
+def ticks_of(events: DataFrame) -> DataFrame:
+    """Rows of events, a table or a stream, as ticks: contract by user, price is value, volume is the number in props; times are unique."""
     k = F.col("user_id") % 12
     price = F.col("value")
     contract = F.concat(F.lit("C"), F.lpad(k.cast("string"), 2, "0"))
     volume = F.regexp_extract("props", "([0-9]+)", 1).try_cast("double")
-    return table(spark, sf_dir, "events").select(F.lit("EV").alias("root"), contract.alias("contract"), "ts", *[price.alias(c) for c in ("open", "high", "low", "close")], volume.alias("volume"))
+    return events.select(F.lit("EV").alias("root"), contract.alias("contract"), "ts", *[price.alias(c) for c in ("open", "high", "low", "close")], volume.alias("volume"))
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as ticks."""
+    return ticks_of(table(spark, sf_dir, "events"))
 
 
 def tick_expiry(spark: SparkSession) -> DataFrame:
