@@ -8,9 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .operators.calendars import lint, lint_exit_code
 from .plans import pipelines
 from .plans.settings import load
+from .sources.files import lint_files
 from .sources.inventory import organise
 
 
@@ -47,17 +47,14 @@ def main(args: list[str] | None = None) -> int:
         pipelines.write(spark, getattr(pipelines, given.mode)(spark, s, pipelines.kept_in(spark, f"{s.output_dir}/work")), s)
         return 0
     if given.command == "cal-lint":
-        codes, report = [], []
-        for path in given.paths:
-            issues = lint(spark.read.option("header", True).option("comment", "#").csv(path))
-            found = [r.asDict() for r in issues.collect()]  # of a calendar file, which has a row for a holiday
-            for i in found:
-                print(f"{'ERROR' if i['level'] == 'error' else 'WARN'}: {i['message']}{' on ' + str(i['date']) if i['date'] else ''}")
-            codes.append(lint_exit_code(issues))
-            report += [i | {"path": path} for i in found]
+        code, issues = lint_files(spark, given.paths)
+        for i in issues:
+            print(f"{'ERROR' if i['level'] == 'error' else 'WARN'}: {i['message']}{' on ' + i['date'] if i['date'] else ''}")
         if given.report:
-            Path(given.report).write_text(json.dumps(report, indent=2, default=str))
-        return max(codes)
+            Path(given.report).write_text(json.dumps(issues, indent=2))
+            print(f"Wrote JSON report to {given.report}")
+        print({0: "Calendars passed.", 1: "Calendars have errors.", 2: "Calendars could not all be read."}[code])
+        return code
     listed = organise(spark, given.source, given.destination, given.dry_run)
     if given.inventory and not given.dry_run:
         listed.write.mode("overwrite").option("header", True).csv(given.inventory)

@@ -54,8 +54,7 @@ def audit(pairs: DataFrame, buckets: DataFrame | None, calendar: DataFrame | Non
     """
     if coverage.policy not in ("calendar_only", "union_with_data", "intersection_strict"):
         raise ValueError(f"unknown policy: {coverage.policy}")
-    volumes = front_next_volume(pairs).join(pairs.select("root", "ts", "front_expiry"), ["root", "ts"])
-    rows = volumes.withColumn("dte", days_to_expiry(F.col("front_expiry"), F.to_date("ts")))
+    rows = front_next_volume(pairs).withColumn("dte", days_to_expiry(F.col("front_expiry"), F.to_date("ts")))
     rows = volume_threshold(rows, coverage)
     if buckets is None:
         rows = rows.withColumn("bucket", F.lit(None).cast("int")).withColumn("trade_date", F.to_date("ts"))

@@ -43,17 +43,12 @@ def merge(calendars: list[DataFrame], hierarchy: str = "override") -> DataFrame:
 
 
 def lint(calendar: DataFrame) -> DataFrame:
-    """level, message, date of what is wrong with a calendar: unknown notes (errors) and each further row of a date (warnings)."""
-    note = F.lower(F.trim(F.coalesce("session_note", F.lit(""))))
-    errors = calendar.where(~note.isin(NOTES)).select(F.lit("error").alias("level"), F.concat(F.lit("unknown session_note: "), F.col("session_note")).alias("message"), "date")
-    more = calendar.groupBy("date").agg(F.count("*").alias("n")).where("n > 1")
-    return errors.unionAll(more.select(F.lit("warning").alias("level"), F.lit("duplicate date").alias("message"), F.explode(F.expr("array_repeat(date, cast(n - 1 as int))")).alias("date")))
-
-
-def lint_exit_code(issues: DataFrame) -> int:
-    """2 with errors, 1 with warnings alone, 0 without issues."""
-    levels = {r[0] for r in issues.select("level").distinct().collect()}
-    return 2 if "error" in levels else 1 if levels else 0
+    """level, message, date of what is wrong with a calendar: unknown notes (errors) and each further row of a date (warnings); rows without a date don't count."""
+    rows = calendar.where("date is not null") if "session_note" in calendar.columns else calendar.where("date is not null").withColumn("session_note", F.lit(""))
+    said = F.coalesce("session_note", F.lit(""))
+    errors = rows.where(~F.lower(F.trim(said)).isin(NOTES)).select(F.lit("error").alias("level"), F.concat(F.lit("Unknown session_note value: '"), said, F.lit("'")).alias("message"), "date")
+    more = rows.groupBy("date").agg(F.count("*").alias("n")).where("n > 1")
+    return errors.unionAll(more.select(F.lit("warning").alias("level"), F.lit("Duplicate date").alias("message"), F.explode(F.expr("array_repeat(date, cast(n - 1 as int))")).alias("date")))
 
 
 def difference(ours: DataFrame, theirs: DataFrame, first_year: int, last_year: int) -> DataFrame:
@@ -65,7 +60,12 @@ def difference(ours: DataFrame, theirs: DataFrame, first_year: int, last_year: i
 
 def open_days(spark: SparkSession, start: str, end: str, calendar: DataFrame | None = None) -> DataFrame:
     """date, is_open of every day of a span: as the calendar lists it, else open on weekdays."""
-    days = spark.sql(f"select explode(sequence(date '{start}', date '{end}', interval 1 day)) as date")
+    return open_days_of(spark.sql(f"select date '{start}' as first, date '{end}' as last"), calendar)
+
+
+def open_days_of(span: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
+    """open_days() of the span in a row (first, last), which may come from data."""
+    days = span.select(F.explode(F.expr("sequence(first, last, interval 1 day)")).alias("date"))
     weekday = F.expr("weekday(date) < 5")
     if calendar is None:
         return days.withColumn("is_open", weekday)
@@ -96,13 +96,13 @@ def easter(year: str) -> Column:
 OPEN_HOLIDAYS = ["Martin Luther King Jr. Day", "Presidents' Day", "Juneteenth"]
 
 
-def holiday_check(calendar: DataFrame, first_year: int, last_year: int) -> DataFrame:
-    """year, holiday, date, status of each holiday that a calendar should list, by rule and moved off a weekend: found, misnamed or missing.
+def holiday_check(calendar: DataFrame, years: DataFrame) -> DataFrame:
+    """years (year): year, holiday, date, status of each holiday that a calendar should list, by rule and moved off a weekend: found, misnamed or missing.
 
     A Saturday's holiday is observed on the Friday before, a Sunday's on the Monday after. Names count as equal if one begins with the other's
     first ten characters, without " Day".
     """
-    rules = holiday_rules(calendar.sparkSession, first_year, last_year).where(~F.col("holiday").isin(OPEN_HOLIDAYS))
+    rules = rules_of(years).where(~F.col("holiday").isin(OPEN_HOLIDAYS))
     day = F.dayofweek("date")
     observed = rules.withColumn("date", F.when(day == 7, F.date_sub("date", 1)).when(day == 1, F.date_add("date", 1)).otherwise(F.col("date")))
     listed = calendar.select("date", F.col("holiday_name").alias("_name"), F.lit(True).alias("_listed")).dropDuplicates(["date"])
@@ -113,7 +113,11 @@ def holiday_check(calendar: DataFrame, first_year: int, last_year: int) -> DataF
 
 def holiday_rules(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """year, holiday, date of a US exchange's regular holidays by their rules, before any move off a weekend."""
-    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
+    return rules_of(spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year")))
+
+
+def rules_of(years: DataFrame) -> DataFrame:
+    """holiday_rules() of a table of years (year int), which may come from data."""
     y = F.col("year")
     fixed = lambda m, d: F.make_date(y, F.lit(m), F.lit(d))
     rules = {

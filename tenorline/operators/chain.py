@@ -96,6 +96,6 @@ def liquidity_signal(pairs: DataFrame, alpha: float = 0.8, confirm: int = 1) ->
 
 
 def front_next_volume(pairs: DataFrame) -> DataFrame:
-    """Volume of front and next contract together; null if a contract that is there has none."""
+    """Volume of front and next contract together, and front_expiry; the volume is null if a contract that is there has none."""
     part = lambda name: F.when(F.col(f"{name}_contract").isNull(), 0.0).otherwise(F.col(f"{name}_volume"))
-    return pairs.select("root", "ts", (part("front") + part("next")).alias("volume"))
+    return pairs.select("root", "ts", (part("front") + part("next")).alias("volume"), "front_expiry")

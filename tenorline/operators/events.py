@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sessions import bucket_info
+from .ordered import next_value, reached
 
 _SERIES = ["root", "level"]
 
@@ -71,29 +72,58 @@ def cooldown_rows(events: DataFrame, rows: int) -> DataFrame:
     return _cooled(events, F.row_number().over(_rows()), "int", f"x - s.last > {rows}")
 
 
+def cooldown_by_doubling(events: DataFrame, hours: float, keep, chunk: str = "month") -> DataFrame:
+    """As cooldown_time(), for series of any number of events: each event points to the first one that is not suppressed by it, and pointers are doubled.
+
+    keep(df, name): writes a frame and reads it back (storage.Scratch.keep). chunk: the unit of time by which series are cut into windows.
+    """
+    if not hours:
+        return events.withColumn("kept", F.col("event"))
+    rows = keep(events.where("event").select(*_SERIES, F.col("ts").alias("at")).distinct(), "events")
+    end = F.expr(f"at + make_dt_interval(0, 0, 0, {hours * 3600})")
+    unit = {"year": F.year("at"), "month": F.year("at") * 12 + F.month("at"), "day": F.datediff(F.to_date("at"), F.lit("1970-01-01").cast("date"))}[chunk]
+    asked = rows.select(*_SERIES, end.alias("at"))
+    following = next_value(asked, rows, _SERIES, unit).select(*_SERIES, F.col("at").alias("_end"), "next")
+    pointers = keep(rows.withColumn("_end", end).join(following, [*_SERIES, "_end"], "left").select(*_SERIES, "at", "next"), "pointers")
+    kept = reached(pointers, _SERIES, keep).select(*_SERIES, F.col("at").alias("ts"), F.lit(True).alias("_yes"))
+    return events.join(kept, [*_SERIES, "ts"], "left").withColumn("kept", F.coalesce("_yes", F.lit(False)) & F.col("event")).drop("_yes")
+
+
+def _of_root(events: DataFrame, business_days: DataFrame) -> tuple[Column, DataFrame]:
+    """What tells roots apart in events, and _root, date of business days: by root if they have one, else the same days for all."""
+    by = "root" in business_days.columns
+    root = F.col("root") if by else F.lit("")
+    return root, business_days.select(root.alias("_root"), "date").distinct()
+
+
 def align_events(events: DataFrame, business_days: DataFrame, policy: str = "none") -> DataFrame:
-    """events with aligned_ts. drop_closed: only rows of business days; shift_next: moved to the next business day's same time, if there is one."""
+    """events with aligned_ts. drop_closed: only rows of their root's business days; shift_next: moved to the root's next business day's same time, if there is one.
+
+    Rows of a root without any business day stay as they are.
+    """
+    if policy not in ("none", "drop_closed", "shift_next"):
+        raise ValueError(f"unknown policy: {policy}")
     if policy == "none":
         return events.withColumn("aligned_ts", F.col("ts"))
-    days = business_days.select(F.col("date").alias("_day")).distinct()
-    dated = events.withColumn("_on", F.to_date("ts"))
+    root, days = _of_root(events, business_days)
+    dated = events.withColumn("_on", F.to_date("ts")).withColumn("_root", root)
     if policy == "drop_closed":
-        return dated.join(days, F.col("_on") == F.col("_day"), "left_semi").withColumn("aligned_ts", F.col("ts")).drop("_on")
-    if policy != "shift_next":
-        raise ValueError(f"unknown policy: {policy}")
-    # The next business day of each date that has events: a running minimum from the far end over the few dates.
-    dates = dated.select(F.col("_on")).distinct()
-    both = dates.select(F.col("_on").alias("d"), F.lit(None).cast("date").alias("b")).unionAll(days.select(F.col("_day").alias("d"), F.col("_day").alias("b")))
-    following = both.groupBy("d").agg(F.max("b").alias("b")).withColumn("_next", F.min("b").over(Window.orderBy("d").rowsBetween(0, Window.unboundedFollowing)))
-    moved = dated.join(F.broadcast(following.select(F.col("d").alias("_on"), "_next")), "_on", "left")  # a row for a date
+        known = days.select("_root").distinct().withColumn("_has", F.lit(True))
+        open_ = days.select("_root", F.col("date").alias("_on"), F.lit(True).alias("_open"))
+        both = dated.join(known, "_root", "left").join(open_, ["_root", "_on"], "left")
+        return both.where("_has is null or _open").withColumn("aligned_ts", F.col("ts")).drop("_on", "_root", "_has", "_open")
+    # Forward as-of join: the next business day of each date that has events.
+    following = next_value(dated.select("_root", F.col("_on").alias("at")), days.select("_root", F.col("date").alias("at")), ["_root"], F.year("at"))
+    moved = dated.join(following.select("_root", F.col("at").alias("_on"), F.col("next").alias("_next")), ["_root", "_on"], "left")
     shift = F.expr("ts + make_dt_interval(datediff(coalesce(_next, _on), _on))")
-    return moved.withColumn("aligned_ts", shift).drop("_on", "_next")
+    return moved.withColumn("aligned_ts", shift).drop("_on", "_next", "_root")
 
 
 def business_day_gaps(events: DataFrame, business_days: DataFrame) -> DataFrame:
-    """Kept events with gap: business days since the last event on one; null for the first and for dates that are none."""
-    numbered = business_days.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)  # days, not rows of data
-    placed = events.where("kept").withColumn("date", F.to_date("ts")).join(F.broadcast(numbered), "date", "left")
+    """Kept events with gap: their root's business days since the last event on one; null for the first and for dates that are none."""
+    root, days = _of_root(events, business_days)
+    numbered = days.withColumn("pos", F.row_number().over(Window.partitionBy("_root").orderBy("date")) - 1)  # days, not rows of data
+    placed = events.where("kept").withColumn("date", F.to_date("ts")).withColumn("_root", root).join(numbered, ["_root", "date"], "left").drop("_root")
     before = F.last("pos", ignorenulls=True).over(_rows().rowsBetween(Window.unboundedPreceding, -1))
     return placed.withColumn("gap", (F.col("pos") - before).cast("long"))
 
@@ -103,9 +133,12 @@ def event_summary(events: DataFrame, business_days: DataFrame | None = None, spr
 
     spreads: the whole series, where events lacks rows of it; a time that isn't in the series has no spreads.
     """
-    series = (events if spreads is None else spreads).select(*_SERIES, "ts", "spread").withColumn("spread_before", F.lag("spread").over(_rows()))
-    at = "aligned_ts" if "aligned_ts" in events.columns else "ts"
-    before = events.where("kept").select(*_SERIES, F.col(at).alias("ts"), "kept").join(series, [*_SERIES, "ts"], "left")
+    moved = "aligned_ts" in events.columns
+    if spreads is None and not moved:  # the row before an event is in the same table: no join
+        before = events.select(*_SERIES, "ts", "spread", "kept").withColumn("spread_before", F.lag("spread").over(_rows())).where("kept")
+    else:
+        series = (events if spreads is None else spreads).select(*_SERIES, "ts", "spread").withColumn("spread_before", F.lag("spread").over(_rows()))
+        before = events.where("kept").select(*_SERIES, F.col("aligned_ts" if moved else "ts").alias("ts"), "kept").join(series, [*_SERIES, "ts"], "left")
     dated = before.withColumn("gap", F.lit(None).cast("long")) if business_days is None else business_day_gaps(before, business_days)
     return dated.select("root", "level", "ts", "spread_before", F.col("spread").alias("spread_after"), (F.col("spread") - F.col("spread_before")).alias("change"), F.col("gap").alias("business_days_since_last"))
 

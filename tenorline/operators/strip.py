@@ -111,7 +111,7 @@ def cumulative_open_days(days: DataFrame) -> DataFrame:
 def business_days_to_expiry(rows: DataFrame, days: DataFrame, date: str = "date", expiry: str = "expiry") -> DataFrame:
     """rows with bd_to_expiry: open days after date up to and with expiry; null without expiry, after it, or outside of days. Two equi-joins, no range join."""
     count = cumulative_open_days(days)
-    at = lambda key, name: F.broadcast(count.select(F.col("date").alias(f"_{key}"), F.col("n_open").alias(name)))  # noqa: E731  a row for a day
+    at = lambda key, name: count.select(F.col("date").alias(f"_{key}"), F.col("n_open").alias(name))  # noqa: E731  a row for a day, which Spark broadcasts if its size allows
     both = rows.join(at("d", "_from"), F.col(date) == F.col("_d"), "left").join(at("e", "_to"), F.col(expiry) == F.col("_e"), "left")
     return both.withColumn("bd_to_expiry", F.when(F.col(expiry) >= F.col(date), F.col("_to") - F.col("_from"))).drop("_d", "_e", "_from", "_to")
 

@@ -15,8 +15,10 @@ from ..functions.sessions import bar_date, bucket_dim, bucket_of_hour, bucket_st
 from ..operators import bars, bizdays, calendars, chain, events, quality, strip
 from ..sources import adapters
 from ..sources.inventory import COMMODITIES, classify_files
+from ..streaming import bars as stream_bars
+from ..streaming import cooldown
 from .market import Market
-from .oracle import LABEL, SESSION, WITH, rows
+from .oracle import LABEL, SESSION, WITH
 
 Plan = Callable[[Market], DataFrame]
 _ALL: dict[str, tuple[str, Plan, str | None]] = {}
@@ -43,18 +45,20 @@ def _sql(columns: str, body: str) -> str:
 
 # Scalar functions, over ticks, parts and whole numbers.
 _add("scan_ticks", "root contract ts close volume", lambda m: m.minutes, "(SELECT *, price AS close FROM ticks)")
-_add("bucket_assign", "hour:l bucket:l", lambda m: m.spark.range(24).select(F.col("id").alias("hour")).withColumn("bucket", bucket_of_hour(F.col("hour"))),
-     "(SELECT h AS hour, CASE WHEN h BETWEEN 9 AND 15 THEN h - 8 WHEN h BETWEEN 16 AND 20 THEN 8 WHEN h BETWEEN 3 AND 8 THEN 10 ELSE 9 END AS bucket FROM generate_series(0, 23) t(h))")
-_add("bucket_dim", "bucket:l bucket_label start_hour:l n_hours:l session", lambda m: bucket_dim(m.spark),
+_add("bucket_assign", "contract ts hour:l bucket:l", lambda m: m.minutes.withColumn("hour", F.hour("ts")).withColumn("bucket", bucket_of_hour(F.col("hour"))), "(SELECT *, h AS hour FROM stamped)")
+_add("bucket_dim", "bucket:l bucket_label start_hour:l n_hours:l session ticks:l",
+     lambda m: bucket_dim(m.spark).join(m.minutes.groupBy(bucket_of_hour(F.hour("ts")).alias("bucket")).agg(F.count("*").alias("ticks")), "bucket", "left"),
      f"(SELECT b AS bucket, {LABEL.format('b')} AS bucket_label, CASE WHEN b <= 7 THEN 8 + b WHEN b = 8 THEN 16 WHEN b = 9 THEN 21 ELSE 3 END AS start_hour, CASE WHEN b <= 7 THEN 1 WHEN b = 8 THEN 5 ELSE 6 END AS n_hours, "
-     "CASE WHEN b <= 7 THEN 'US Regular' WHEN b = 8 THEN 'Late US' WHEN b = 9 THEN 'Asia' ELSE 'Europe' END AS session FROM generate_series(1, 10) t(b))")
+     f"{SESSION.format('b')} AS session, n AS ticks FROM generate_series(1, 10) t(b) LEFT JOIN (SELECT bucket, count(*) AS n FROM stamped GROUP BY bucket) ON bucket = b)")
 _add("bucket_start", "contract ts bucket:l bar", lambda m: m.minutes.withColumn("bucket", bucket_of_hour(F.hour("ts"))).withColumn("bar", bucket_start("ts", "bucket")), "started")
 _add("trading_date", "contract ts tick_date bar_date", lambda m: m.minutes.select("contract", "ts", tick_date(F.col("ts")).alias("tick_date"), bar_date(F.col("ts"), bucket_of_hour(F.hour("ts"))).alias("bar_date")),
      "(SELECT *, CAST(ts AS DATE) + CASE WHEN h >= 21 THEN 1 ELSE 0 END AS tick_date, CAST(ts AS DATE) + CASE WHEN bucket = 9 THEN 1 ELSE 0 END AS bar_date FROM stamped)")
 _add("days_to_expiry", "root ts dte:l", lambda m: m.pairs.select("root", "ts", days_to_expiry(F.col("front_expiry"), F.to_date("ts")).alias("dte")), "dated")
-_add("cycle_bin", "days:l bin:l label", lambda m: m.spark.range(0, 101).select(F.col("id").alias("days"), cycle_bin(F.col("id")).alias("bin")).withColumn("label", cycle_label(F.col("bin"))),
-     "(SELECT *, ['0-5', '6-10', '11-15', '16-20', '21-25', '26-30', '31-40', '41-50', '51-60', '60+'][bin + 1] AS label FROM (SELECT d AS days, "
-     "CASE WHEN d <= 30 THEN greatest((d - 1) // 5, 0) WHEN d <= 60 THEN 6 + (d - 31) // 10 ELSE 9 END AS bin FROM generate_series(0, 100) t(d)))")
+_add("cycle_bin", "contract ts days:l bin:l label",
+     lambda m: m.minutes.join(m.expiry, "contract").withColumn("days", days_to_expiry(F.col("expiry"), F.to_date("ts"))).withColumn("bin", cycle_bin(F.col("days"))).withColumn("label", cycle_label(F.col("bin"))),
+     "(SELECT *, ['0-5', '6-10', '11-15', '16-20', '21-25', '26-30', '31-40', '41-50', '51-60', '60+'][bin + 1] AS label FROM (SELECT *, "
+     "CASE WHEN days <= 30 THEN greatest((days - 1) // 5, 0) WHEN days <= 60 THEN 6 + (days - 31) // 10 ELSE 9 END AS bin FROM "
+     "(SELECT t.*, greatest(datediff('day', CAST(ts AS DATE), expiry), 0) AS days FROM ticks t JOIN expiry_dim USING (contract))))")
 
 
 def _codes(m: Market) -> DataFrame:
@@ -98,7 +102,9 @@ _add("bucket_validation", "root trade_date volume_ok high_ok low_ok has_all_buck
      "(SELECT root, CAST(ts AS DATE) + CASE WHEN h >= 21 THEN 1 ELSE 0 END AS d, sum(volume) AS v, max(price) AS hi, min(price) AS lo FROM stamped GROUP BY 1, 2) t ON b.root = t.root AND b.d = t.d)")
 
 # Panel, chain, spreads, liquidity.
-_add("expiry_dim", "contract expiry", lambda m: chain.expiry_dim(m.expiry), "expiry_dim")
+_add("expiry_dim", "contract expiry", lambda m: chain.expiry_dim(adapters.user_metadata(m.spark, m.sf_dir)),
+     "(SELECT 'C' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') AS contract, CAST(DATE '2024-01-03' + CAST(3 * (user_id % 12) + user_id // 12 AS INTEGER) AS DATE) AS expiry FROM events "
+     "QUALIFY row_number() OVER (PARTITION BY user_id % 12 ORDER BY user_id) = 1)")
 _add("panel_assemble", _BAR + " expiry", lambda m: m.panel, "panel")
 _add("panel_grid", "root ts", lambda m: m.times, "grid")
 _add("panel_meta", "root ts bucket:l bucket_label session", lambda m: m.meta, f"(SELECT *, {LABEL.format('bucket')} AS bucket_label, {SESSION.format('bucket')} AS session FROM meta)")
@@ -140,7 +146,7 @@ _ALIGNED = "(SELECT c.*, c.ts + to_days(CAST(coalesce((SELECT min(date) FROM bus
 _add("event_summary_aligned", "root ts spread_before spread_after change:r business_days_since_last:l", lambda m: events.event_summary(events.align_events(m.cooled, m.business_days, "shift_next"), m.business_days, m.spread),
      f"(SELECT root, ts, spread_before, spread AS spread_after, spread - spread_before AS change, pos - last_value(pos IGNORE NULLS) OVER (PARTITION BY root ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS business_days_since_last FROM ("
      f"SELECT a.root, a.aligned_ts AS ts, s.spread, s.spread_before, n.pos FROM {_ALIGNED} a LEFT JOIN (SELECT *, lag(spread) OVER (PARTITION BY root ORDER BY ts) AS spread_before FROM strip WHERE level = 1) s ON s.root = a.root AND s.ts = a.aligned_ts "
-     "LEFT JOIN numbered n ON CAST(a.aligned_ts AS DATE) = n.date WHERE a.kept))")
+     "LEFT JOIN numbered n ON a.root = n.root AND CAST(a.aligned_ts AS DATE) = n.date WHERE a.kept))")
 _add("bucket_event_summary", "root bucket:l label session total_periods:l event_count:l event_rate_pct:r avg_spread:r avg_event_spread:r std_event_spread:r event_share_pct:r", lambda m: events.bucket_event_summary(m.marked),
      f"(SELECT *, {LABEL.format('bucket')} AS label, {SESSION.format('bucket')} AS session, round_even(100.0 * event_count / total_periods, 2) AS event_rate_pct, CASE WHEN sum(event_count) OVER (PARTITION BY root) > 0 "
      "THEN round_even(100.0 * event_count / sum(event_count) OVER (PARTITION BY root), 2) ELSE 0.0 END AS event_share_pct FROM (SELECT root, bucket, count(*) AS total_periods, "
@@ -153,6 +159,56 @@ _add("transition_matrix", "root from_bucket:l to_bucket:l share:r", lambda m: ev
      "coalesce((SELECT count(*) FROM (SELECT bucket, lead(bucket) OVER (PARTITION BY root ORDER BY ts) AS b FROM marked WHERE kept AND bucket IS NOT NULL) s WHERE s.bucket = f AND s.b = t), 0) AS n FROM generate_series(1, 10) x(f) CROSS JOIN generate_series(1, 10) y(t)))")
 _add("spread_event_timing", "root ts level:l spread contract expiry days_to_expiry:l f1_contract f1_expiry", lambda m: strip.event_timing(m.strip_events, m.links), "timing")
 
+_add("cooldown_doubling", "root level:l ts event kept", lambda m: events.cooldown_by_doubling(m.strip_events, 3.0, m.scratch.keep),
+     """(WITH RECURSIVE e AS (SELECT root, level, ts FROM strip_events WHERE event), n AS (SELECT a.root, a.level, a.ts, min(b.ts) AS next_ts FROM e a JOIN e b ON a.root = b.root AND a.level = b.level AND b.ts >= a.ts + INTERVAL 3 HOUR GROUP BY ALL),
+     k AS (SELECT root, level, min(ts) AS ts FROM e GROUP BY root, level UNION ALL SELECT n.root, n.level, n.next_ts FROM k JOIN n ON k.root = n.root AND k.level = n.level AND k.ts = n.ts)
+     SELECT s.*, k.ts IS NOT NULL AS kept FROM strip_events s LEFT JOIN k ON s.root = k.root AND s.level = k.level AND s.ts = k.ts)""")
+
+# Two roots, with business days of their own: the second root has none on each third date.
+_two = lambda m: Market(m.spark, m.sf_dir, roots=2)
+_own_days = lambda m: m.business_days.where("root = 'E0' or day(date) % 3 <> 0")
+_OWN = "(SELECT DISTINCT root, date FROM business WHERE root = 'E0' OR dayofmonth(date) % 3 <> 0)"
+
+
+def _two_sql(columns: str, body: str) -> str:
+    return _sql(columns, body).replace("'EV' AS root", "'E' || CAST(user_id % 2 AS VARCHAR) AS root")
+
+
+def _add_two(name: str, columns: str, plan: Plan, sql: str) -> None:
+    _add(name, columns, lambda m: plan(_two(m)), sql)
+    _TWO.add(name)
+
+
+_TWO: set[str] = set()
+_add_two("align_drop_closed_by_root", "root ts kept aligned_ts", lambda m: events.align_events(m.cooled, _own_days(m), "drop_closed"), f"(SELECT *, ts AS aligned_ts FROM cooled c WHERE EXISTS (SELECT 1 FROM {_OWN} b WHERE b.root = c.root AND b.date = CAST(c.ts AS DATE)))")
+_add_two("align_shift_next_by_root", "root ts kept aligned_ts", lambda m: events.align_events(m.cooled, _own_days(m), "shift_next"),
+     f"(SELECT c.*, c.ts + to_days(CAST(coalesce((SELECT min(date) FROM {_OWN} b WHERE b.root = c.root AND b.date >= CAST(c.ts AS DATE)), CAST(c.ts AS DATE)) - CAST(c.ts AS DATE) AS INTEGER)) AS aligned_ts FROM cooled c)")
+_add_two("business_day_gaps_by_root", "root ts gap:l", lambda m: events.business_day_gaps(m.cooled, _own_days(m)),
+     f"(SELECT e.*, e.pos - last_value(e.pos IGNORE NULLS) OVER (PARTITION BY root ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM (SELECT c.root, c.ts, n.pos FROM cooled c "
+     f"LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY root ORDER BY date) AS pos FROM {_OWN}) n ON c.root = n.root AND CAST(c.ts AS DATE) = n.date WHERE c.kept) e)")
+_add_two("spread_events_by_root", "root level:l ts spread change:r z:r event", lambda m: m.strip_events, "strip_events")
+
+
+# Streams: the table is read as a stream, to the end of what it has now, into a sink of the run.
+def _streamed(m: Market, write, read) -> DataFrame:
+    made = stream_bars.bucket_bars(adapters.ticks_of(stream_bars.read_stream(m.spark, f"{m.sf_dir}/events.parquet")))
+    write(made, path := m.scratch.path("bars"), m.scratch.path("checkpoint")).awaitTermination()
+    return read(path)
+
+
+def _stream_cooldown(m: Market) -> DataFrame:
+    rows = stream_bars.read_stream(m.spark, f"{m.sf_dir}/events.parquet")
+    rows = rows.select(F.lit("EV").alias("root"), (F.col("user_id") % 4).alias("level"), "ts", (F.col("event_type") == "error").alias("event"))
+    cooldown.write(cooldown.cooldown_time(rows, 3.0), path := m.scratch.path("kept"), m.scratch.path("checkpoint")).awaitTermination()
+    return m.spark.read.parquet(path)
+
+
+_add("stream_bucket_ohlcv", _BAR, lambda m: _streamed(m, stream_bars.write_current, lambda path: stream_bars.current(m.spark, path)), "bars")
+_add("stream_closed_bars", _BAR, lambda m: _streamed(m, stream_bars.write_closed, m.spark.read.parquet), "(SELECT * FROM bars WHERE ts <= (SELECT max(ts) FROM bars) - INTERVAL 6 HOUR)")
+_add("stream_cooldown", "root level:l ts", _stream_cooldown,
+     """(WITH RECURSIVE e AS (SELECT 'EV' AS root, user_id % 4 AS level, ts FROM events WHERE event_type = 'error'), n AS (SELECT a.level, a.ts, min(b.ts) AS next_ts FROM e a JOIN e b ON a.level = b.level AND b.ts >= a.ts + INTERVAL 3 HOUR GROUP BY ALL),
+     k AS (SELECT root, level, min(ts) AS ts FROM e GROUP BY root, level UNION ALL SELECT 'EV', n.level, n.next_ts FROM k JOIN n ON k.level = n.level AND k.ts = n.ts) SELECT * FROM k)""")
+
 # The strip.
 _add("spread_timing_summary", "root spread count:l median:r mean:r std:r q25:r q75:r", lambda m: strip.timing_summary(strip.event_timing(m.strip_events, m.links)),
      "(SELECT root, 'S' || level AS spread, count(*) AS count, quantile_cont(days_to_expiry, 0.5) AS median, avg(days_to_expiry) AS mean, stddev_samp(days_to_expiry) AS std, quantile_cont(days_to_expiry, 0.25) AS q25, quantile_cont(days_to_expiry, 0.75) AS q75 FROM timing GROUP BY 1, 2)")
@@ -178,36 +234,38 @@ _add("expiry_dominance_filter", "root ts event removed", lambda m: strip.filter_
 
 # Calendars and business days.
 _CAL = "date holiday_name session_note partial_hours is_trading_day"
-_both = lambda m: [m.calendar, adapters.calendar(m.spark, adapters.GLOBAL)]
-_add("calendar_load", _CAL, lambda m: m.calendar, "calendar")
-_add("calendar_classify", _CAL, lambda m: adapters.calendar(m.spark, adapters.GLOBAL), "world")
-_add("calendar_override", _CAL, lambda m: calendars.merge(_both(m), "override"), "(SELECT * FROM calendar UNION ALL SELECT * FROM world WHERE date NOT IN (SELECT date FROM calendar))")
+_of = lambda m, status: adapters.order_calendar(m.spark, m.sf_dir, status)
+_both = lambda m: [_of(m, "O"), _of(m, "F")]
+_add("calendar_load", _CAL, lambda m: _of(m, "O"), "listed_o")
+_add("calendar_classify", _CAL, lambda m: _of(m, "F"), "listed_f")
+_add("calendar_override", _CAL, lambda m: calendars.merge(_both(m), "override"), "(SELECT * FROM listed_o UNION ALL SELECT * FROM listed_f WHERE date NOT IN (SELECT date FROM listed_o))")
 _first = ", ".join(f"CASE WHEN coalesce(a.{c}, '') <> '' THEN a.{c} ELSE coalesce(b.{c}, '') END AS {c}" for c in ("holiday_name", "session_note", "partial_hours"))
 _add("calendar_union", _CAL, lambda m: calendars.merge(_both(m), "union"),
-     f"(SELECT coalesce(a.date, b.date) AS date, {_first}, coalesce(a.is_trading_day, true) AND coalesce(b.is_trading_day, true) AS is_trading_day FROM calendar a FULL JOIN world b ON a.date = b.date)")
-_add("calendar_intersection", _CAL, lambda m: calendars.merge(_both(m), "intersection"), "(SELECT a.* REPLACE (a.is_trading_day AND b.is_trading_day AS is_trading_day) FROM calendar a JOIN world b ON a.date = b.date)")
-_BAD = [("2024-01-01", "", "Closed", ""), ("2024-01-01", "", "Closed", ""), ("2024-01-02", "", "Half", ""), ("2024-01-03", "", "open", "")]
-_add("calendar_lint", "level message date", lambda m: calendars.lint(adapters.raw_calendar(m.spark, _BAD)),
-     f"(SELECT 'error' AS level, 'unknown session_note: ' || note AS message, date FROM (VALUES {rows(_BAD)}) t(date, name, note, hours) WHERE lower(trim(note)) NOT IN ('', 'regular', 'early close', 'closed', 'full close') "
-     f"UNION ALL SELECT 'warning', 'duplicate date', date FROM (SELECT date, row_number() OVER (PARTITION BY date) AS n FROM (VALUES {rows(_BAD)}) t(date, name, note, hours)) WHERE n > 1)")
-_add("calendar_diff", "date kind", lambda m: calendars.difference(*_both(m), 2024, 2024),
-     "(SELECT date, 'missing' AS kind FROM (SELECT date FROM world WHERE NOT is_trading_day EXCEPT SELECT date FROM calendar WHERE NOT is_trading_day) UNION ALL SELECT date, 'extra' FROM (SELECT date FROM calendar WHERE NOT is_trading_day EXCEPT SELECT date FROM world WHERE NOT is_trading_day))")
-_add("open_days", "date is_open", lambda m: m.days, "days")
+     f"(SELECT coalesce(a.date, b.date) AS date, {_first}, coalesce(a.is_trading_day, true) AND coalesce(b.is_trading_day, true) AS is_trading_day FROM listed_o a FULL JOIN listed_f b ON a.date = b.date)")
+_add("calendar_intersection", _CAL, lambda m: calendars.merge(_both(m), "intersection"), "(SELECT a.* REPLACE (a.is_trading_day AND b.is_trading_day AS is_trading_day) FROM listed_o a JOIN listed_f b ON a.date = b.date)")
+_add("calendar_lint", "level message date", lambda m: calendars.lint(adapters.order_days(m.spark, m.sf_dir)),
+     "(SELECT 'error' AS level, concat('Unknown session_note value: ', chr(39), note, chr(39)) AS message, date FROM order_days WHERE lower(trim(note)) NOT IN ('', 'regular', 'early close', 'closed', 'full close') "
+     "UNION ALL SELECT 'warning', 'Duplicate date', date FROM (SELECT date, row_number() OVER (PARTITION BY date) AS n FROM order_days) WHERE n > 1)")
+_add("calendar_diff", "date kind", lambda m: calendars.difference(*_both(m), 1996, 1999),
+     "(SELECT x.* FROM (SELECT date, 'missing' AS kind FROM (SELECT date FROM listed_f WHERE NOT is_trading_day EXCEPT SELECT date FROM listed_o WHERE NOT is_trading_day) UNION ALL SELECT date, 'extra' FROM (SELECT date FROM listed_o WHERE NOT is_trading_day EXCEPT SELECT date FROM listed_f WHERE NOT is_trading_day)) x WHERE year(date) BETWEEN 1996 AND 1999)")
+_add("open_days", "date is_open", lambda m: calendars.open_days_of(adapters.order_days(m.spark, m.sf_dir).agg(F.min("date").alias("first"), F.max("date").alias("last")), _of(m, "O")),
+     "(SELECT CAST(d AS DATE) AS date, coalesce(is_trading_day, isodow(d) <= 5) AS is_open FROM (SELECT unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM order_days) LEFT JOIN listed_o ON date = CAST(d AS DATE))")
 _add("bdays_to_expiry", "contract date bd_to_expiry:l", lambda m: strip.business_days_to_expiry(m.panel.select("contract", "expiry", F.to_date("ts").alias("date")).distinct(), m.days),
      "(SELECT p.contract, p.date, CASE WHEN p.expiry >= p.date THEN (SELECT count(*) FROM days d WHERE d.is_open AND d.date > p.date AND d.date <= p.expiry) END AS bd_to_expiry FROM (SELECT DISTINCT contract, expiry, CAST(ts AS DATE) AS date FROM panel) p)")
-_NTH = "(SELECT y, d, dayofmonth(d) AS dm, month(d) AS mo, isodow(d) AS w, d + 7 AS later FROM (SELECT year(d) AS y, CAST(d AS DATE) AS d FROM generate_series(TIMESTAMP '2015-01-01', TIMESTAMP '2030-12-31', INTERVAL 1 DAY) t(d)))"
-_RULES = [("Martin Luther King Jr. Day", "mo = 1 AND w = 1 AND dm BETWEEN 15 AND 21"), ("Presidents'' Day", "mo = 2 AND w = 1 AND dm BETWEEN 15 AND 21"), ("Memorial Day", "mo = 5 AND w = 1 AND month(later) = 6"), ("Labor Day", "mo = 9 AND w = 1 AND dm <= 7"), ("Thanksgiving", "mo = 11 AND w = 4 AND dm BETWEEN 22 AND 28"),
-          ("New Year''s Day", "mo = 1 AND dm = 1"), ("Juneteenth", "mo = 6 AND dm = 19"), ("Independence Day", "mo = 7 AND dm = 4"), ("Christmas Day", "mo = 12 AND dm = 25")]
-_GOOD = "(VALUES (DATE '2015-04-03'), (DATE '2016-03-25'), (DATE '2017-04-14'), (DATE '2018-03-30'), (DATE '2019-04-19'), (DATE '2020-04-10'), (DATE '2021-04-02'), (DATE '2022-04-15'), (DATE '2023-04-07'), (DATE '2024-03-29'), (DATE '2025-04-18'), (DATE '2026-04-03'), (DATE '2027-03-26'), (DATE '2028-04-14'), (DATE '2029-03-30'), (DATE '2030-04-19'))"
-_add("holiday_rules", "year:l holiday date", lambda m: calendars.holiday_rules(m.spark, 2015, 2030),
-     "(" + " UNION ALL ".join(f"SELECT y AS year, '{n}' AS holiday, d AS date FROM {_NTH} WHERE {w}" for n, w in _RULES) + f" UNION ALL SELECT year(d), 'Good Friday', d FROM {_GOOD} t(d))")
-_FOUND = [("2024-01-01", "New Year's", "Closed", ""), ("2024-03-29", "Good Friday", "Closed", ""), ("2024-05-27", "Memorial Day", "Closed", ""), ("2024-07-04", "Fireworks", "Closed", "")]
-_add("holiday_check", "year:l holiday date status", lambda m: calendars.holiday_check(adapters.raw_calendar(m.spark, _FOUND), 2021, 2024),
-     "(SELECT y AS year, holiday, o AS date, CASE WHEN c.date IS NULL THEN 'missing' WHEN starts_with(lower(replace(c.name, ' Day', '')), lower(left(replace(holiday, ' Day', ''), 10))) THEN 'found' ELSE 'misnamed' END AS status "
+_YEARS = lambda m: adapters.order_days(m.spark, m.sf_dir).select(F.year("date").alias("year")).distinct()
+_NTH = "(SELECT y, d, dayofmonth(d) AS dm, month(d) AS mo, isodow(d) AS w, d + 7 AS later FROM (SELECT y, CAST(unnest(generate_series(make_timestamp(y, 1, 1, 0, 0, 0), make_timestamp(y, 12, 31, 0, 0, 0), INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT DISTINCT year(date) AS y FROM order_days)))"
+_RULES = [
+    ("Martin Luther King Jr. Day", "mo = 1 AND w = 1 AND dm BETWEEN 15 AND 21"), ("Presidents'' Day", "mo = 2 AND w = 1 AND dm BETWEEN 15 AND 21"), ("Memorial Day", "mo = 5 AND w = 1 AND month(later) = 6"),
+    ("Labor Day", "mo = 9 AND w = 1 AND dm <= 7"), ("Thanksgiving", "mo = 11 AND w = 4 AND dm BETWEEN 22 AND 28"), ("New Year''s Day", "mo = 1 AND dm = 1"), ("Juneteenth", "mo = 6 AND dm = 19"),
+    ("Independence Day", "mo = 7 AND dm = 4"), ("Christmas Day", "mo = 12 AND dm = 25"),
+    ("Good Friday", "d IN (DATE '1995-04-14', DATE '1996-04-05', DATE '1997-03-28', DATE '1998-04-10', DATE '1999-04-02', DATE '2000-04-21', DATE '2001-04-13')"),
+]
+_add("holiday_rules", "year:l holiday date", lambda m: calendars.rules_of(_YEARS(m)), "(" + " UNION ALL ".join(f"SELECT y AS year, '{n}' AS holiday, d AS date FROM {_NTH} WHERE {w}" for n, w in _RULES) + ")")
+_add("holiday_check", "year:l holiday date status", lambda m: calendars.holiday_check(_of(m, "O"), _YEARS(m)),
+     "(SELECT y AS year, holiday, o AS date, CASE WHEN c.date IS NULL THEN 'missing' WHEN starts_with(lower(replace(c.holiday_name, ' Day', '')), lower(left(replace(holiday, ' Day', ''), 10))) THEN 'found' ELSE 'misnamed' END AS status "
      "FROM (SELECT *, CASE isodow(d) WHEN 6 THEN d - 1 WHEN 7 THEN d + 1 ELSE d END AS o FROM ("
-     + " UNION ALL ".join(f"SELECT y, '{n}' AS holiday, d FROM {_NTH} WHERE {w} AND y BETWEEN 2021 AND 2024" for n, w in _RULES if not n.startswith(("Martin", "Presidents", "June")))
-     + f" UNION ALL SELECT year(d), 'Good Friday', d FROM {_GOOD} t(d) WHERE year(d) BETWEEN 2021 AND 2024)) LEFT JOIN (VALUES {rows(_FOUND)}) c(date, name, note, hours) ON c.date = o)")
-_add("volume_threshold", "root ts volume dte:l threshold", lambda m: bizdays.volume_threshold(chain.front_next_volume(m.pairs).join(m.pairs.select("root", "ts", "front_expiry"), ["root", "ts"]).withColumn("dte", days_to_expiry(F.col("front_expiry"), F.to_date("ts"))), bizdays.Coverage()), "limited")
+     + " UNION ALL ".join(f"SELECT y, '{n}' AS holiday, d FROM {_NTH} WHERE {w}" for n, w in _RULES if not n.startswith(("Martin", "Presidents", "June"))) + ")) LEFT JOIN listed_o c ON c.date = o)")
+_add("volume_threshold", "root ts volume dte:l threshold", lambda m: bizdays.volume_threshold(chain.front_next_volume(m.pairs).withColumn("dte", days_to_expiry(F.col("front_expiry"), F.to_date("ts"))), bizdays.Coverage()), "limited")
 _AUDIT = "root date total_buckets:l us_buckets:l volume min_dte threshold has_data calendar_closed calendar_open is_partial_day required_buckets:l near_expiry_ok coverage_ok volume_ok_flag data_approved reason final_included"
 _add("business_days_audit", _AUDIT, lambda m: m.audit("union_with_data"), "(SELECT *, calendar_open OR data_approved AS final_included FROM approved)")
 for _policy, _key, _cond in (("calendar_only", "bdays_calendar_only", "calendar_open"), ("union_with_data", "bdays_union", "calendar_open OR data_approved"), ("intersection_strict", "bdays_intersection", "calendar_open AND data_approved")):
@@ -236,6 +294,6 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in _ALL}
-ORACLE_SQL: dict[str, str] = {name: _sql(columns, sql) for name, (columns, _, sql) in _ALL.items() if sql}
+ORACLE_SQL: dict[str, str] = {name: (_two_sql if name in _TWO else _sql)(columns, sql) for name, (columns, _, sql) in _ALL.items() if sql}
 #: The whole way from ticks to events of the front spread.
 FLAGSHIP = "spread_events_zscore"

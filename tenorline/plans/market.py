@@ -5,18 +5,27 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import bars, bizdays, calendars, chain, events, quality, strip
 from ..sources import adapters
+from ..sources.storage import Scratch
 
 
 class Market:
     """Lazy frames of one data folder; each is a plan, nothing runs before an action."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, roots: int = 1):
+        self.spark, self.sf_dir, self.roots = spark, sf_dir, roots
 
-    minutes = cached_property(lambda self: adapters.ticks(self.spark, self.sf_dir))
+    @cached_property
+    def minutes(self) -> DataFrame:
+        """Ticks of one root, or of several, by user."""
+        rows = adapters.table(self.spark, self.sf_dir, "events")
+        return adapters.ticks_of(rows, F.concat(F.lit("E"), (F.col("user_id") % self.roots).cast("string")) if self.roots > 1 else F.lit("EV"))
+
+    #: Tables that a query writes on its way; they live as long as its result is read from them.
+    scratch = cached_property(lambda self: Scratch(self.spark))
     bars = cached_property(lambda self: bars.bucket_bars(self.minutes))
     expiry = cached_property(lambda self: adapters.tick_expiry(self.spark))
     panel = cached_property(lambda self: chain.assemble_panel(self.bars, self.expiry, check=False))

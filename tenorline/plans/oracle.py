@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.adapters import EXCHANGE, GLOBAL
+from ..sources.adapters import DAY_NAMES, EXCHANGE, NOTES
 
 BUCKET = "CASE WHEN h BETWEEN 9 AND 15 THEN h - 8 WHEN h BETWEEN 16 AND 20 THEN 8 WHEN h >= 21 OR h <= 2 THEN 9 ELSE 10 END"
 START = (
@@ -39,6 +39,8 @@ def classified(name: str, values: list[tuple]) -> str:
 
 
 SERIES = "PARTITION BY root, level ORDER BY ts"
+_DAYS = ", ".join("'" + n.replace("'", "''") + "'" for n in DAY_NAMES)
+_CASE = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NOTES.items()) + " END"
 WITH = f"""WITH RECURSIVE ticks AS (
   SELECT 'EV' AS root, 'C' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') AS contract, ts, value AS price, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS volume FROM events),
 expiry_dim AS (SELECT 'C' || lpad(CAST(k AS VARCHAR), 2, '0') AS contract, CAST(DATE '2024-01-03' + CAST(3 * k AS INTEGER) AS DATE) AS expiry FROM generate_series(0, 11) t(k)),
@@ -65,7 +67,6 @@ kept_rows AS (SELECT root, level, min(rn) AS rn FROM ev GROUP BY root, level UNI
 cooled AS (SELECT e.*, k.ts IS NOT NULL AS kept FROM strip_events e LEFT JOIN kept_time k ON e.root = k.root AND e.ts = k.ts WHERE e.level = 1),
 marked AS (SELECT c.*, m.bucket, p.front_volume AS volume FROM cooled c LEFT JOIN meta m ON c.root = m.root AND c.ts = m.ts LEFT JOIN pairs p ON c.root = p.root AND c.ts = p.ts),
 {classified("calendar", EXCHANGE)},
-{classified("world", GLOBAL)},
 days AS (SELECT CAST(d AS DATE) AS date, coalesce(c.is_trading_day, isodow(d) <= 5) AS is_open FROM generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-03-01', INTERVAL 1 DAY) t(d) LEFT JOIN calendar c ON c.date = CAST(d AS DATE)),
 opened AS (SELECT *, sum(CAST(is_open AS INTEGER)) OVER (ORDER BY date) AS n_open FROM days),
 pair_volume AS (SELECT root, ts, front_expiry, CASE WHEN front_contract IS NULL THEN 0.0 ELSE front_volume END + CASE WHEN next_contract IS NULL THEN 0.0 ELSE next_volume END AS volume FROM pairs),
@@ -85,9 +86,9 @@ covered AS (SELECT *, total_buckets >= required_buckets OR us_buckets >= 2 OR ne
 approved AS (SELECT *, has_data AND coverage_ok AND volume_ok_flag AS data_approved, CASE WHEN calendar_closed THEN 'calendar_closed' WHEN NOT has_data THEN 'no_data'
   WHEN NOT coverage_ok AND NOT volume_ok_flag THEN 'coverage_and_volume_fail' WHEN NOT coverage_ok THEN 'coverage_fail' WHEN NOT volume_ok_flag THEN 'volume_fail' ELSE 'included' END AS reason FROM covered),
 business AS (SELECT root, date FROM approved WHERE calendar_open),
-numbered AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM business)),
+numbered AS (SELECT root, date, row_number() OVER (PARTITION BY root ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT root, date FROM business)),
 gaps AS (SELECT e.*, e.pos - last_value(e.pos IGNORE NULLS) OVER ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM (
-  SELECT c.*, n.pos FROM (SELECT *, lag(spread) OVER ({SERIES}) AS spread_before FROM cooled) c LEFT JOIN numbered n ON CAST(c.ts AS DATE) = n.date WHERE c.kept) e),
+  SELECT c.*, n.pos FROM (SELECT *, lag(spread) OVER ({SERIES}) AS spread_before FROM cooled) c LEFT JOIN numbered n ON c.root = n.root AND CAST(c.ts AS DATE) = n.date WHERE c.kept) e),
 sizes AS (SELECT root, ts, max(CASE WHEN level = 1 THEN abs(change) END) AS s1_change, quantile_cont(abs(change), 0.5) FILTER (WHERE level > 1) AS others_median, avg(abs(change)) FILTER (WHERE level > 1) AS others_mean,
   list(abs(change)) FILTER (WHERE level > 1 AND change IS NOT NULL) AS others FROM changed GROUP BY root, ts),
 magnitudes AS (SELECT *, s1_change / (others_median + 1e-10) AS dominance_ratio, coalesce(s1_change / (others_median + 1e-10) > 2.0, false) AS s1_dominates FROM sizes),
@@ -103,8 +104,8 @@ dominant AS (SELECT *, CASE WHEN dominance_ratio >= 2.0 AND coalesce(business_da
     FROM magnitudes m JOIN front f ON m.root = f.root AND m.ts = f.ts GROUP BY 1, 2, 3) x LEFT JOIN opened f ON f.date = x.date LEFT JOIN opened t ON t.date = x.expiry)),
 timing AS (SELECT e.root, e.ts, e.level, e.spread, o.contract, o.expiry, datediff('day', CAST(e.ts AS DATE), f.expiry) AS days_to_expiry, f.front_contract AS f1_contract, f.expiry AS f1_expiry
   FROM strip_events e JOIN links o ON e.root = o.root AND e.ts = o.ts AND o.k = e.level JOIN front f ON e.root = f.root AND e.ts = f.ts WHERE e.event),
-trades AS (SELECT * FROM (SELECT 'LI' AS root, 'L' || lpad(CAST(l_partkey % 24 AS VARCHAR), 2, '0') AS contract, l_shipdate AS ts, l_extendedprice / l_quantity AS price, l_quantity AS volume,
-  row(l_orderkey, l_linenumber, l_extendedprice) AS seq, CAST(DATE '1995-03-28' + to_months(CAST(3 * (l_partkey % 24) AS INTEGER)) AS DATE) AS e FROM lineitem) WHERE CAST(ts AS DATE) <= e),
+trades AS (SELECT 'LI' AS root, 'L' || lpad(CAST(greatest(l_partkey % 24, CAST(ceil(m / 3.0) AS BIGINT)) AS VARCHAR), 2, '0') AS contract, l_shipdate AS ts, l_extendedprice / l_quantity AS price, l_quantity AS volume,
+  row(l_orderkey, l_linenumber, l_extendedprice) AS seq FROM (SELECT *, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 3 + CASE WHEN dayofmonth(l_shipdate) > 28 THEN 1 ELSE 0 END AS m FROM lineitem)),
 daily AS (SELECT root, contract, CAST(ts AS DATE) AS day, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(volume) AS volume FROM trades GROUP BY 1, 2, 3),
 spans AS (SELECT root, contract, unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM daily GROUP BY 1, 2),
 filled AS (SELECT s.root, s.contract, CAST(s.d AS DATE) AS day, b.open, b.high, b.low, b.close, coalesce(b.volume, 0.0) AS volume FROM spans s LEFT JOIN daily b ON s.contract = b.contract AND CAST(s.d AS DATE) = b.day),
@@ -113,5 +114,10 @@ measured AS (SELECT contract, count(*) AS data_points, min(day) AS first, max(da
   CASE WHEN CAST(right(contract, 2) AS INTEGER) <= 30 THEN 2000 ELSE 1900 END + CAST(right(contract, 2) AS INTEGER) AS year FROM gapped GROUP BY contract),
 judged AS (SELECT *, 100 * data_points / (0.7 * (datediff('day', first, last) + 1)) AS coverage FROM measured),
 reasoned AS (SELECT *, concat_ws('; ', CASE WHEN year > 0 AND year < 2010 THEN 'Contract year ' || year || ' before cutoff 2010' END, CASE WHEN data_points < 300 THEN 'Insufficient data points: ' || data_points || ' < 300' END,
-  CASE WHEN wide > 0 THEN 'Data gaps exceed 20 days: ' || wide END, CASE WHEN coverage < 60 THEN printf('Coverage %.1f%% below 60%%', coverage) END) AS reasons FROM judged)
+  CASE WHEN wide > 0 THEN 'Data gaps exceed 20 days: ' || wide END, CASE WHEN coverage < 60 THEN printf('Coverage %.1f%% below 60%%', coverage) END) AS reasons FROM judged),
+order_days AS (SELECT CAST(o_orderdate AS DATE) AS date, [{_DAYS}][o_orderkey % {len(DAY_NAMES)} + 1] AS holiday_name, {_CASE} AS note, o_orderstatus AS status, o_orderkey AS line FROM orders),
+listed AS (SELECT status, date, holiday_name, CASE lower(trim(coalesce(note, ''))) WHEN 'open' THEN 'regular' ELSE lower(trim(coalesce(note, ''))) END AS session_note, CASE note WHEN 'Early close' THEN '09:00-13:00' ELSE '' END AS partial_hours,
+  lower(trim(coalesce(note, ''))) NOT IN ('closed', 'full close') AS is_trading_day FROM order_days QUALIFY row_number() OVER (PARTITION BY status, date ORDER BY line) = 1),
+listed_o AS (SELECT * EXCLUDE (status) FROM listed WHERE status = 'O'),
+listed_f AS (SELECT * EXCLUDE (status) FROM listed WHERE status = 'F')
 """

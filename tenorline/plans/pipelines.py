@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import json
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bars, bizdays, calendars, chain, events, quality, strip
 from ..sources import files
+from ..sources.storage import write_csv, write_text
 from .settings import Settings
 
 
@@ -32,6 +34,9 @@ def _detect(s: Settings, spreads: DataFrame, window: int) -> DataFrame:
 
 
 Keep = Callable[[DataFrame, str], DataFrame]
+#: Events of a series that a fold still takes; beyond, pointers are doubled, with the same result.
+LONG = 50_000
+_number = itertools.count()
 
 
 def kept_in(spark: SparkSession, folder: str) -> Keep:
@@ -69,12 +74,23 @@ def hourly(spark: SparkSession, s: Settings, keep: Keep = _lazy) -> dict[str, Da
     """All results by session buckets. keep: what to do with the frames that most results share (see kept_in)."""
     root = s.products[0]
     minutes = files.contract_minutes(spark, s.data["minute_root"], root, s.data["timezone"], max_files=s.data.get("max_files"), skip_bad=True)
-    panel = keep(chain.assemble_panel(bars.bucket_bars(minutes), chain.expiry_dim(files.contract_metadata(spark, s.metadata_path))), "panel")
+    panel = keep(chain.assemble_panel(keep(bars.bucket_bars(minutes), "bars"), chain.expiry_dim(files.contract_metadata(spark, s.metadata_path))), "panel")
     links, times = keep(chain.chain(panel, **_fields(s)), "chain"), chain.grid(panel)
     pairs, meta, calendar = chain.front_next(links, times), chain.panel_meta(panel), _calendar(spark, s)
     window = s.spread.get("window_buckets") or s.spread.get("window") or 30
     hours = s.spread.get("cool_down_hours") or 0
-    cool = lambda e: events.cooldown_time(e, hours) if hours else events.cooldown_rows(e, int(s.spread.get("cool_down_buckets") or 0))
+
+    def cool(e: DataFrame) -> DataFrame:
+        """By time or rows; series with very many events take the way that holds none of them in a row (only if results are kept between steps)."""
+        if not hours:
+            return events.cooldown_rows(e, int(s.spread.get("cool_down_buckets") or 0))
+        if keep is not _lazy:
+            e = keep(e, f"detected-{next(_number)}")
+            most = e.where("event").groupBy("root", "level").count().agg(F.max("count")).first()[0] or 0
+            if most > LONG:
+                return events.cooldown_by_doubling(e, hours, lambda df, name: keep(df, f"{name}-{next(_number)}"))
+        return events.cooldown_time(e, hours)
+
     spread, strip_rows = chain.calendar_spread(pairs), keep(chain.multi_spreads(links, times), "strip")
     widening, many = cool(_detect(s, spread, window)), keep(cool(_detect(s, strip_rows, window)), "strip_events")
     raw = many.withColumn("event", F.col("kept"))
@@ -119,16 +135,41 @@ def daily(spark: SparkSession, s: Settings, keep: Keep = _lazy) -> dict[str, Dat
     return out | {"widening_filtered": _dated(s, out, widening, spread, pairs, None, _calendar(spark, s), "daily")}
 
 
+#: Folder and file of each result that doesn't go to analysis under its own name as CSV (fixed values); {c} is the commodity.
+PLACES = {
+    "hourly_panel": "panels/hourly_panel.parquet", "hourly_spread": "roll_signals/hourly_spread.csv", "hourly_widening": "roll_signals/hourly_widening.csv",
+    "multi_spreads": "roll_signals/multi_spreads.csv", "multi_spread_events": "roll_signals/multi_spread_events.csv",
+    "panel_filtered": "panels/hg_panel_filtered.parquet", "panel_full_filtered": "panels/hg_panel_full_filtered.csv", "spread_filtered": "roll_signals/hg_spread_filtered.csv",
+    "widening_filtered": "roll_signals/hg_widening_filtered.csv", "liquidity_roll": "roll_signals/hg_liquidity_roll_filtered.csv",
+    "quality_metrics": "data_quality/{c}_quality_metrics.csv", "filtering_summary": "data_quality/{c}_filtering_summary.json",
+}
+#: Results that are only written if they have rows, and one whose CSV is a folder of parts, as it has a row for each bar.
+_UNLESS_EMPTY, _PARTS = ("strip_spread_diagnostics",), ("panel_full_filtered",)
+_ORDER = ["root", "ts", "date", "level", "spread", "level_a", "level_b", "bucket", "from_bucket", "to_bucket", "bin", "contract"]
+
+
 def write(spark: SparkSession, results: dict[str, DataFrame], s: Settings) -> dict[str, str]:
-    """Write panels as Parquet by root, all else and the full daily panel as CSV with a header (arrays as JSON), and the settings; returns the paths."""
+    """Write all results and the settings under the output folder; returns the paths of what was written.
+
+    Panels are Parquet by root; all else is one CSV file each, in order, but the full daily panel, which is a folder of parts. Reports on
+    quality are left out if no contract was judged.
+    """
     paths = {}
+    commodity = s.data_quality.get("commodity", "HG")
+    judged = "quality_metrics" not in results or not results["quality_metrics"].isEmpty()
     for name, df in results.items():
-        paths[name] = f"{s.output_dir}/{name}"
-        if "panel" in name and name != "panel_full_filtered":
-            df.write.mode("overwrite").partitionBy("root").parquet(paths[name])
+        path = f"{s.output_dir}/{PLACES.get(name, f'analysis/{name}.csv').format(c=commodity)}"
+        if name in _UNLESS_EMPTY and df.isEmpty() or not judged and "data_quality/" in path:
+            continue
+        if path.endswith(".parquet"):
+            df.write.mode("overwrite").partitionBy("root").parquet(path)
+        elif path.endswith(".json"):
+            write_text(spark, path, json.dumps(df.first().asDict(), indent=2))
         else:
-            nested = {c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))}
-            df.withColumns(nested).write.mode("overwrite").option("header", True).csv(paths[name])
+            write_csv(df if name in _PARTS else df.orderBy(*[c for c in _ORDER if c in df.columns]), path, name not in _PARTS)
+        paths[name] = path
     kept = {k: v for k, v in dataclasses.asdict(s).items() if k in ("products", "data", "spread", "business_days", "output_dir", "metadata_path")}
-    spark.createDataFrame([(json.dumps(kept, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{s.output_dir}/run_settings")
+    kept["business_days"] = {k: v for k, v in kept["business_days"].items() if k != "calendar_paths"}
+    paths["run_settings"] = f"{s.output_dir}/analysis/run_settings.json"
+    write_text(spark, paths["run_settings"], json.dumps(kept, indent=2, default=str))
     return paths

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from ..functions.contracts import contract_pattern, normalize_contract
 from ..operators.bars import clean
-from ..operators.calendars import classify, merge
+from ..operators.calendars import classify, lint, merge
+from .storage import existing
 
 _LOG = logging.getLogger(__name__)
 
@@ -188,12 +189,6 @@ def load_calendar(spark: SparkSession, path: str) -> DataFrame:
     return classify(df.withColumn("date", F.col("date").try_cast("date")))
 
 
-def existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Those of some paths that exist, in any file system that Spark knows."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    return [p for p in paths if path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))]
-
-
 def load_calendars(spark: SparkSession, paths: list[str], hierarchy: str = "override") -> DataFrame:
     """Calendar files merged; those that don't exist are passed over with a warning, none at all is an error."""
     there = existing(spark, paths)
@@ -203,6 +198,27 @@ def load_calendars(spark: SparkSession, paths: list[str], hierarchy: str = "over
     return merge([load_calendar(spark, p) for p in there], hierarchy)
 
 
+def lint_files(spark: SparkSession, paths: list[str]) -> tuple[int, list[dict]]:
+    """What is wrong with calendar files, and the exit code that says so: 2 for a file that is missing or can't be read, 1 for errors in one, 0 for warnings alone; a later such file's code counts."""
+    code, issues = 0, []
+    for path in paths:
+        if not existing(spark, [path]):
+            issues.append({"level": "error", "message": f"File not found: {path}", "date": None})
+            code = 2
+            continue
+        try:
+            rows = spark.read.option("header", True).option("comment", "#").csv(path)
+            found = lint(rows.withColumn("date", F.col("date").try_cast("date"))).orderBy("level", "date").collect()  # a row for a holiday
+        except Exception as error:  # noqa: BLE001  whatever makes a file unreadable is its issue
+            issues.append({"level": "error", "message": f"Failed to read {path}: {str(error).splitlines()[0]}", "date": None})
+            code = 2
+            continue
+        issues += [{"level": r["level"], "message": r["message"], "date": str(r["date"])} for r in found]
+        if any(r["level"] == "error" for r in found):
+            code = 1
+    return code, issues
+
+
 def load_hierarchy(spark: SparkSession, folder: str, commodity: str, exchange: str = "CME") -> DataFrame:
     """The calendars of a commodity and exchange in a folder, the more special overriding the others; an error names all files that were searched if there is none."""
     candidates = calendar_candidates(folder, exchange, commodity)

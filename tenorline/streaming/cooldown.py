@@ -8,9 +8,11 @@ of the last kept event is over and none is waiting, it can't suppress anything a
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -20,6 +22,9 @@ from .bars import instant
 #: State store that transformWithState needs; write() sets it for the query that it starts, and puts back what was there.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: The processor goes to workers as it is, so they needn't find this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class Cooldown(StatefulProcessor):
     """Keeps an event if it is at least so many seconds after the last kept one of its series."""

@@ -12,9 +12,10 @@ from tenorline.functions.contracts import normalize_contract
 from tenorline.functions.sessions import bucket_of_hour
 from tenorline import cli
 from tenorline.operators import bars, calendars, chain, events, quality, strip
-from tenorline.plans import pipelines
+from tenorline.plans import pipelines, upkeep
 from tenorline.plans.settings import settings
 from tenorline.sources import files, inventory
+from tenorline.sources.storage import Scratch
 
 MINUTE = "root string, contract string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 
@@ -147,10 +148,19 @@ def test_whole_runs_from_files(spark, tmp_path):
     assert {r[0]: r[1] for r in rows.groupBy("contract").count().collect()} == {"HGF2024": 600, "HGG2024": 2880, "HGH2024": 2880, "HGJ2024": 2016}
     hourly = pipelines.hourly(spark, s)
     paths = pipelines.write(spark, hourly, s)
-    assert len(paths) >= 18 and spark.read.parquet(paths["hourly_panel"]).where("expiry is null").count() == 0
+    out = tmp_path / "out"
+    assert len(paths) >= 18 and (out / "roll_signals" / "hourly_spread.csv").is_file() and (out / "analysis" / "transition_matrix.csv").is_file() and paths["hourly_panel"] == f"{out}/panels/hourly_panel.parquet"
+    saved = json.loads((out / "analysis" / "run_settings.json").read_text())
+    assert "calendar_paths" not in saved["business_days"] and saved["products"] == ["HG"] and saved["spread"]["window_buckets"] == 20
+    assert spark.read.parquet(paths["hourly_panel"]).where("expiry is null").count() == 0
     assert spark.read.option("header", True).csv(paths["hourly_spread"]).count() == hourly["hourly_spread"].count() > 100
     daily = pipelines.daily(spark, s)
     pipelines.write(spark, daily, s)
+    quality_json = json.loads((out / "data_quality" / "HG_filtering_summary.json").read_text())
+    assert quality_json == {"commodity": "HG", "total_contracts": 4, "excluded": 1, "included": 3} and (out / "data_quality" / "HG_quality_metrics.csv").is_file()
+    assert (out / "roll_signals" / "hg_liquidity_roll_filtered.csv").is_file() and spark.read.option("header", True).csv(f"{out}/panels/hg_panel_full_filtered.csv").count() == daily["panel_filtered"].count()
+    unjudged = {k: daily[k].where("false") if k == "quality_metrics" else daily[k] for k in ("quality_metrics", "filtering_summary")}
+    assert list(pipelines.write(spark, unjudged, s)) == ["run_settings"]
     assert daily["panel_filtered"].select("contract").distinct().count() == 3 and daily["filtering_summary"].first()["excluded"] == 1
     closed = [r["date"] for r in hourly["business_days_audit_hourly"].where("calendar_closed").collect()]
     assert closed == [dt.date(2024, 1, 9)]
@@ -220,10 +230,20 @@ def test_hierarchy_of_calendars(spark, tmp_path):
     assert got == {"2024-01-15": False, "2024-12-25": False}
 
 
-def test_lint_report(tmp_path, spark):
-    (tmp_path / "cal.csv").write_text("date,holiday_name,session_note,partial_hours\n2024-01-01,x,Half,\n")
-    assert cli.main(["cal-lint", str(tmp_path / "cal.csv"), "--json", str(tmp_path / "out.json")]) == 2
-    assert [i["level"] for i in json.loads((tmp_path / "out.json").read_text())] == ["error"]
+def test_lint_report(tmp_path, spark, capsys):
+    """Codes: errors in a file are 1, a file that is missing or can't be read 2, warnings alone 0; the last file with a code counts."""
+    head = "date,holiday_name,session_note,partial_hours\n"
+    (tmp_path / "bad.csv").write_text(head + "2024-01-01,x,Half,\nnone,x,Odd,\n")
+    (tmp_path / "twice.csv").write_text("# comment\n" + head + "2024-01-01,x,Closed,\n2024-01-01,y,,\n")
+    (tmp_path / "other.csv").write_text("day\n2024-01-01\n")
+    run = lambda *names: cli.main(["cal-lint", *[str(tmp_path / n) for n in names], "--json", str(tmp_path / "out.json")])
+    report = lambda: json.loads((tmp_path / "out.json").read_text())
+    assert run("bad.csv") == 1 and report() == [{"level": "error", "message": "Unknown session_note value: 'Half'", "date": "2024-01-01"}]
+    assert "ERROR: Unknown session_note value: 'Half' on 2024-01-01" in capsys.readouterr().out
+    assert run("twice.csv") == 0 and report() == [{"level": "warning", "message": "Duplicate date", "date": "2024-01-01"}]
+    assert run("none.csv") == 2 and report()[0]["message"].startswith("File not found") and report()[0]["date"] is None
+    assert run("other.csv") == 2 and report()[0]["message"].startswith("Failed to read")
+    assert run("none.csv", "bad.csv") == 1 and len(report()) == 2 and run("bad.csv", "none.csv", "twice.csv") == 2
 
 
 def test_organise(spark, tmp_path):
@@ -244,3 +264,54 @@ def test_missing_columns_and_files(spark, tmp_path):
     (tmp_path / "HGH24.csv").write_text("timestamp,open,high,low,close,volume\n2024-01-01,1,2,1,2,3\n")
     good = files.contract_minutes(spark, str(tmp_path), extensions=("csv",), skip_bad=True).collect()
     assert [r["contract"] for r in good] == ["HGH2024"]
+
+
+def test_business_days_are_those_of_the_root(spark):
+    """Each root's events go by its own days; a root without any, and events without days at all, stay as they are."""
+    at = lambda root, d: (root, 1, dt.datetime(2024, 1, d, 10), 0.0, True)
+    e = spark.createDataFrame([at("A", 4), at("A", 9), at("B", 4), at("B", 6), at("C", 6)], "root string, level int, ts timestamp_ntz, spread double, kept boolean")
+    days = spark.createDataFrame([("A", dt.date(2024, 1, 9)), ("B", dt.date(2024, 1, 4)), ("B", dt.date(2024, 1, 5)), ("B", dt.date(2025, 3, 3))], "root string, date date")
+    moved = {(r["root"], r["ts"].day): r["aligned_ts"] for r in events.align_events(e, days, "shift_next").collect()}
+    assert moved == {("A", 4): dt.datetime(2024, 1, 9, 10), ("A", 9): dt.datetime(2024, 1, 9, 10), ("B", 4): dt.datetime(2024, 1, 4, 10), ("B", 6): dt.datetime(2025, 3, 3, 10), ("C", 6): dt.datetime(2024, 1, 6, 10)}
+    assert sorted((r["root"], r["ts"].day) for r in events.align_events(e, days, "drop_closed").collect()) == [("A", 9), ("B", 4), ("C", 6)]
+    assert sorted((r["root"], r["ts"].day, r["gap"]) for r in events.business_day_gaps(e, days).where("gap is not null").collect()) == []
+    for policy in ("drop_closed", "shift_next"):
+        none = events.align_events(e, days.where("false"), policy)
+        assert none.count() == 5 and none.where("aligned_ts <> ts").count() == 0
+    with pytest.raises(ValueError, match="policy"):
+        events.align_events(e, days, "other")
+
+
+@pytest.mark.parametrize("n,hours", [(3000, 5.0), (200_000, 1.0)])
+def test_cool_down_by_doubling(spark, tmp_path, n, hours):
+    """Pointers that are doubled keep what the fold keeps, for one long series and several short ones, with ends of months and years between."""
+    e = spark.range(n).select(F.lit("R").alias("root"), F.when(F.col("id") % 50 == 0, F.col("id") % 7).otherwise(0).cast("int").alias("level"), F.expr("timestamp_ntz'2023-11-20 00:00:00' + make_dt_interval(0, 0, 0, cast(id * 601 as int))").alias("ts"), (F.xxhash64("id") % 3 != 0).alias("event"))
+    with Scratch(spark, str(tmp_path / "run")) as run:
+        got = sorted(map(tuple, events.cooldown_by_doubling(e, hours, run.keep).where("kept").select("level", "ts").collect()))
+    assert not (tmp_path / "run").exists() and got == sorted(map(tuple, events.cooldown_time(e, hours).where("kept").select("level", "ts").collect())) and len(got) > 20
+
+
+def test_upkeep_writes_only_what_a_file_touches(spark, tmp_path):
+    """A panel and its events that grow by a file equal those of a whole run, and other dates' files stay as they are."""
+    old = [minutes(spark, 12 * 1440, dt.datetime(2024, 1, 2), c, i).where("minute(ts) % 20 = 0") for i, c in enumerate(["HGH2024", "HGK2024"])]
+    new = minutes(spark, 1440, dt.datetime(2024, 1, 6, 9), "HGN2024", 9).where("minute(ts) % 20 = 0")
+    more = minutes(spark, 300, dt.datetime(2024, 1, 6, 9), "HGH2024", 5).where("minute(ts) % 20 = 10")
+    dim = spark.createDataFrame([(c, dt.date(2024, m, 26)) for c, m in (("HGH2024", 3), ("HGK2024", 5), ("HGN2024", 7))], "contract string, expiry date")
+    before, added = old[0].unionAll(old[1]), new.unionAll(more)
+    every = before.unionAll(added)
+
+    def run(name, steps):
+        with Scratch(spark, str(tmp_path / f"{name}-run")) as scratch:
+            for source, change in steps:
+                dates = upkeep.touched(change)
+                upkeep.refresh_panel(spark, source, dates, dim, str(tmp_path / name / "panel"))
+                upkeep.refresh_events(spark, str(tmp_path / name / "panel"), dates, str(tmp_path / name / "events"), scratch.keep, 8)
+        return [sorted(map(repr, spark.read.parquet(str(tmp_path / name / t)).select(c).collect())) for t, c in (("panel", ["contract", "ts", "open", "close", "volume", "expiry", "root", "trade_date"]), ("events", ["root", "level", "ts", "spread", "z", "event", "trade_date"]))]
+
+    run("grown", [(before, before)])
+    files_of = lambda: {p.name for p in (tmp_path / "grown").rglob("*.parquet")}
+    first = files_of()
+    grown, whole = run("grown", [(every, added)]), run("whole", [(every, every)])
+    assert grown == whole
+    kept = {p.parent.name for p in (tmp_path / "grown").rglob("*.parquet") if p.name in first}
+    assert "trade_date=2024-01-03" in kept and "trade_date=2024-01-12" in kept and "trade_date=2024-01-06" not in kept and "trade_date=2024-01-07" not in kept
