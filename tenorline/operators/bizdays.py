@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sessions import bar_date, days_to_expiry
 from .chain import front_next_volume
+from .ordered import quantiles
 
 
 @dataclass(frozen=True)
@@ -33,10 +34,31 @@ def _range_of(dte: Column, coverage: Coverage) -> Column:
     return out
 
 
-def volume_threshold(rows: DataFrame, coverage: Coverage) -> DataFrame:
-    """rows (root, volume, dte) with threshold: a quantile of a root's volumes, by ranges of days to expiry or one for all (no volumes: 0)."""
+def _by_rank(rows: DataFrame, keys: list[str], shares: Column, keep) -> DataFrame:
+    """keys, threshold: one quantile of the volumes of each group, picked by rank."""
+    return quantiles(rows, keys, "volume", F.array(shares), keep).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("quantile").alias("threshold"))
+
+
+def volume_threshold(rows: DataFrame, coverage: Coverage, keep=None) -> DataFrame:
+    """rows (root, volume, dte) with threshold: a quantile of a root's volumes, by ranges of days to expiry or one for all (no volumes: 0).
+
+    keep(df, name): writes a frame and reads it back; with it, quantiles are picked by rank, and no task holds the different volumes of a root.
+    """
     if coverage.method not in ("fixed", "dynamic"):
         raise ValueError(f"unknown method: {coverage.method}")
+    if keep is not None:
+        qs = [p for _, p in coverage.ranges] if coverage.method == "dynamic" else []
+        rest = qs[-1] if qs else coverage.percentile
+        numbered = rows.withColumn("_range", _range_of(F.col("dte"), coverage) if qs else F.lit(0))
+        whole = _by_rank(numbered, ["root"], F.lit(rest), keep)
+        if not qs:
+            return rows.join(whole, F.col("root") == F.col("_root"), "left").drop("_root").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+        # Each range has a quantile of its own volumes; the last number stands for all volumes of the root.
+        share = F.element_at(F.array(*map(F.lit, qs)), F.col("range") + 1)
+        own = _by_rank(numbered.withColumnRenamed("_range", "range").where(F.col("range") < len(qs)), ["root", "range"], share, keep)
+        every = own.unionByName(whole.withColumn("_range", F.lit(len(qs)))).withColumnsRenamed({"_root": "_r", "_range": "_of"})
+        both = numbered.join(every, (F.col("root") == F.col("_r")) & (F.col("_range") == F.col("_of")), "left")
+        return both.withColumn("threshold", F.coalesce("threshold", F.lit(0.0))).drop("_r", "_of", "_range")
     if coverage.method == "fixed":
         every = rows.groupBy("root").agg(F.coalesce(F.percentile("volume", F.lit(coverage.percentile)), F.lit(0.0)).alias("threshold"))
         return rows.join(every, "root", "left")
@@ -47,7 +69,7 @@ def volume_threshold(rows: DataFrame, coverage: Coverage) -> DataFrame:
     return numbered.join(every, "root", "left").withColumn("threshold", F.element_at("_all", F.col("_range") + 1)).drop("_range", "_all")
 
 
-def audit(pairs: DataFrame, buckets: DataFrame | None, calendar: DataFrame | None, coverage: Coverage) -> DataFrame:
+def audit(pairs: DataFrame, buckets: DataFrame | None, calendar: DataFrame | None, coverage: Coverage, keep=None) -> DataFrame:
     """One row for each root and observed trading date: what was seen, what it takes, and whether the date is a business day.
 
     pairs: front_next(); buckets: root, ts, bucket, or None for daily data, where each row counts as one bucket and the US rule is off.
@@ -55,7 +77,7 @@ def audit(pairs: DataFrame, buckets: DataFrame | None, calendar: DataFrame | Non
     if coverage.policy not in ("calendar_only", "union_with_data", "intersection_strict"):
         raise ValueError(f"unknown policy: {coverage.policy}")
     rows = front_next_volume(pairs).withColumn("dte", days_to_expiry(F.col("front_expiry"), F.to_date("ts")))
-    rows = volume_threshold(rows, coverage)
+    rows = volume_threshold(rows, coverage, keep)
     if buckets is None:
         rows = rows.withColumn("bucket", F.lit(None).cast("int")).withColumn("trade_date", F.to_date("ts"))
         seen, us, least_us = F.count("*"), F.lit(0).cast("long"), 0

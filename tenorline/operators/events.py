@@ -9,36 +9,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sessions import bucket_info
-from .ordered import next_value, reached
+from .ordered import in_chunks, next_value, reached
 
 _SERIES = ["root", "level"]
 
 
-def _rows(*more: str):
-    return Window.partitionBy(*_SERIES, *more).orderBy("ts")
+def _rows(series: list[str] = _SERIES):
+    return Window.partitionBy(*series).orderBy("ts")
 
 
-def spread_change(spreads: DataFrame) -> DataFrame:
+def spread_change(spreads: DataFrame, series: list[str] = _SERIES) -> DataFrame:
     """spreads with change: the difference to the previous row, null if either is missing; rolls don't reset it."""
-    return spreads.withColumn("change", F.col("spread") - F.lag("spread").over(_rows()))
+    return spreads.withColumn("change", F.col("spread") - F.lag("spread").over(_rows(series)))
 
 
-def rolling_zscore(spreads: DataFrame, window: int = 30, min_periods: int | None = None) -> DataFrame:
+def rolling_zscore(spreads: DataFrame, window: int = 30, min_periods: int | None = None, series: list[str] = _SERIES) -> DataFrame:
     """spreads with change and z: the change by mean and deviation of the last window rows, its own included, if enough of them have one."""
     least = min_periods or max(5, window // 2)
-    w = _rows().rowsBetween(1 - window, 0)
+    w = _rows(series).rowsBetween(1 - window, 0)
     sd = F.stddev_samp("change").over(w)
     z = F.when(F.count("change").over(w) >= least, (F.col("change") - F.avg("change").over(w)) / F.when(sd > 0, sd))
-    return spread_change(spreads).withColumn("z", z)
+    return spread_change(spreads, series).withColumn("z", z)
 
 
-def detect_events(spreads: DataFrame, method: str = "zscore", window: int = 30, z_threshold: float = 1.5, abs_min: float | None = None, min_periods: int | None = None) -> DataFrame:
-    """spreads with change, z and event. zscore: z over its threshold (and the change over abs_min, if given); abs: change over abs_min; combined: either."""
+def rolling_zscore_in_chunks(spreads: DataFrame, window: int, min_periods: int | None, keep, chunk: int = 100_000) -> DataFrame:
+    """As rolling_zscore(), for series of any length: chunks of rows are windows of their own, with the window rows before them as a halo. keep(df, name): writes a frame and reads it back."""
+    return in_chunks(spreads, _SERIES, ["ts"], window, keep, chunk, lambda df, series: rolling_zscore(df, window, min_periods, series))
+
+
+def detect_events(spreads: DataFrame, method: str = "zscore", window: int = 30, z_threshold: float = 1.5, abs_min: float | None = None, min_periods: int | None = None, keep=None) -> DataFrame:
+    """spreads with change, z and event. zscore: z over its threshold (and the change over abs_min, if given); abs: change over abs_min; combined: either. keep: see rolling_zscore_in_chunks(), which is then used."""
     if method not in ("zscore", "abs", "combined"):
         raise ValueError(f"unknown method: {method}")
     if method != "zscore" and abs_min is None:
         raise ValueError(f"method {method} needs abs_min")
-    scored = rolling_zscore(spreads, window, min_periods)
+    scored = rolling_zscore(spreads, window, min_periods) if keep is None else rolling_zscore_in_chunks(spreads, window, min_periods, keep)
     high = F.coalesce(F.col("z") > z_threshold, F.lit(False))
     wide = F.coalesce(F.col("change") > F.lit(abs_min), F.lit(False))
     event = {"zscore": high if abs_min is None else high & wide, "abs": wide, "combined": high | wide}[method]

@@ -24,6 +24,50 @@ def next_value(asked: DataFrame, values: DataFrame, keys: list[str], chunk: Colu
     return found.select(*keys, "at", F.coalesce("_inside", "_carry").alias("next"))
 
 
+def numbered(df: DataFrame, keys: list[str], by: list[str], keep) -> DataFrame:
+    """df with n, its place from 0 in its series (keys) in the order of by, which should tell a series' rows apart; without a window over a series.
+
+    Rows are sorted by range, so a long series lies in several tasks, and written (keep(df, name)), which fixes their order; each task's rows of a
+    series are counted, and these counts, a row for each task and series, give what lies before.
+    """
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.repartitionByRange(tasks, *keys, *by).sortWithinPartitions(*keys, *by).withColumn("_at", F.monotonically_increasing_id())
+    rows = keep(rows, "numbered").withColumn("_task", F.shiftright("_at", 33))
+    counts = rows.groupBy(*keys, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_many"))
+    before = F.coalesce(F.sum("_many").over(Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_task").alias("_of"), (before - F.col("_first")).alias("_shift"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_task") == F.col("_of"))
+    return rows.join(places, same).withColumn("n", F.col("_at") + F.col("_shift")).select(*df.columns, "n")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, qs: Column, keep) -> DataFrame:
+    """keys, q, quantile: exact quantiles of the values that aren't null, with linear interpolation, picked by rank: no aggregate holds a group's values.
+
+    qs: an array of shares, which may depend on the keys. Groups without values have no rows. Rows of one group and value, two numbers
+    each, lie in one task.
+    """
+    rows = numbered(df.select(*keys, F.col(value).cast("double").alias("_value")).where("_value is not null"), keys, ["_value"], keep)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_many")).withColumn("q", F.explode(qs)).withColumn("_place", (F.col("_many") - 1) * F.col("q"))
+    asked = sizes.withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1))))
+    asked = asked.select(*[F.col(k).alias(f"_{k}") for k in keys], "q", "_place", "_end", F.when(F.col("_end") == 0, F.floor("_place")).otherwise(F.ceil("_place")).cast("long").alias("_n"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("n") == F.col("_n"))
+    end = lambda i: F.max(F.when(F.col("_end") == i, F.col("_value")))
+    both = rows.join(asked, same).groupBy(*keys, "q").agg(end(0).alias("_a"), end(1).alias("_b"), F.first("_place").alias("_place"))
+    return both.select(*keys, "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_place") - F.floor("_place"))).alias("quantile"))
+
+
+def in_chunks(df: DataFrame, keys: list[str], by: list[str], halo: int, keep, chunk: int, work) -> DataFrame:
+    """work(df, keys) of series that are cut into chunks of so many rows, each with the halo rows before it, so that a window that looks no further back is the same as over the whole series.
+
+    work: a function that adds columns by windows over keys in the order of by; rows of halos are dropped from what it gives.
+    """
+    rows = numbered(df, keys, by, keep).withColumn("_chunk", F.floor(F.col("n") / chunk))
+    # The last rows of a chunk belong to the next ones, too; a chunk shorter than the halo reaches over several.
+    reach = F.floor((F.col("n") + halo) / chunk)
+    rows = rows.withColumn("_in", F.explode(F.sequence(F.col("_chunk"), reach)))
+    return work(rows, [*keys, "_in"]).where("_in = _chunk").drop("_in", "_chunk", "n")
+
+
 def reached(pointers: DataFrame, keys: list[str], keep) -> DataFrame:
     """keys, at of the places that are reached from each series' first one along pointers (keys, at, next), by pointer doubling.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sessions import cycle_bin, cycle_label, days_to_expiry
 from .events import spread_change
+from .ordered import quantiles
 
 EPS = 1e-10
 
@@ -38,13 +39,18 @@ def event_timing(events: DataFrame, links: DataFrame) -> DataFrame:
     return both.select("root", "ts", "level", "spread", "contract", "expiry", F.datediff("f1_expiry", F.to_date("ts")).alias("days_to_expiry"), "f1_contract", "f1_expiry")
 
 
-def timing_summary(timing: DataFrame) -> DataFrame:
-    """Per spread: events and the distribution of the front contract's days to expiry at them."""
+def timing_summary(timing: DataFrame, keep=None) -> DataFrame:
+    """Per spread: events and the distribution of the front contract's days to expiry at them. keep: see ordered.quantiles(), which then picks the quantiles by rank."""
     d = F.col("days_to_expiry")
-    q = lambda p: F.percentile(d, F.lit(p))
-    return timing.groupBy("root", F.concat(F.lit("S"), F.col("level").cast("string")).alias("spread")).agg(
-        F.count("*").alias("count"), q(0.5).alias("median"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), q(0.25).alias("q25"), q(0.75).alias("q75")
-    )
+    named = timing.withColumn("_level", F.concat(F.lit("S"), F.col("level").cast("string"))).drop("spread").withColumnRenamed("_level", "spread")
+    plain = {"count": F.count("*"), "mean": F.avg(d), "std": F.stddev_samp(d)}
+    by = lambda more: named.groupBy("root", "spread").agg(*[c.alias(n) for n, c in (plain | more).items()])
+    shares = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+    if keep is None:
+        return by({n: F.percentile(d, F.lit(q)) for n, q in shares.items()})
+    picked = quantiles(named, ["root", "spread"], "days_to_expiry", F.array(*map(F.lit, shares.values())), keep)
+    wide = picked.groupBy("root", "spread").agg(*[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(n) for n, q in shares.items()])
+    return by({}).join(wide, ["root", "spread"], "left")
 
 
 def change_statistics(spreads: DataFrame) -> DataFrame:
@@ -117,7 +123,7 @@ def business_days_to_expiry(rows: DataFrame, days: DataFrame, date: str = "date"
 
 
 def strip_dominance(sizes: DataFrame, links: DataFrame, days: DataFrame, threshold: float = 2.0, window: int = 18) -> DataFrame:
-    """Per front contract and date: median changes, largest ratio, business days to expiry, and the class of the day."""
+    """Per front contract and date: median changes, largest ratio, business days to expiry, and the class of the day. A group is a day's times of one root, whose medians are plain aggregates."""
     front = links.where("k = 1").select("root", "ts", F.col("contract").alias("front_contract"), "expiry")
     by = sizes.join(front, ["root", "ts"]).groupBy("root", "front_contract", F.to_date("ts").alias("date")).agg(
         F.percentile("s1_change", F.lit(0.5)).alias("s1_change"), F.percentile("others_median", F.lit(0.5)).alias("other_median_change"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.contracts import MONTHS, contract_year, month_number, normalize_contract
 from ..functions.sessions import bar_date, bucket_dim, bucket_of_hour, bucket_start, cycle_bin, cycle_label, days_to_expiry, tick_date
 from ..operators import bars, bizdays, calendars, chain, events, quality, strip
+from ..operators.ordered import quantiles
 from ..sources import adapters
 from ..sources.inventory import COMMODITIES, classify_files
 from ..streaming import bars as stream_bars
@@ -209,6 +210,14 @@ _add("stream_cooldown", "root level:l ts", _stream_cooldown,
      """(WITH RECURSIVE e AS (SELECT 'EV' AS root, user_id % 4 AS level, ts FROM events WHERE event_type = 'error'), n AS (SELECT a.level, a.ts, min(b.ts) AS next_ts FROM e a JOIN e b ON a.level = b.level AND b.ts >= a.ts + INTERVAL 3 HOUR GROUP BY ALL),
      k AS (SELECT root, level, min(ts) AS ts FROM e GROUP BY root, level UNION ALL SELECT 'EV', n.level, n.next_ts FROM k JOIN n ON k.level = n.level AND k.ts = n.ts) SELECT * FROM k)""")
 
+_add("rolling_zscore_in_chunks", "root level:l ts change:r z:r", lambda m: events.rolling_zscore_in_chunks(m.strip, 20, None, m.scratch.keep, 64), "scored")
+_add("volume_threshold_by_rank", "root ts volume dte:l threshold:r",
+     lambda m: bizdays.volume_threshold(chain.front_next_volume(m.pairs).withColumn("dte", days_to_expiry(F.col("front_expiry"), F.to_date("ts"))), bizdays.Coverage(), m.scratch.keep), "limited")
+_add("spread_timing_summary_by_rank", "root spread count:l median:r mean:r std:r q25:r q75:r", lambda m: strip.timing_summary(strip.event_timing(m.strip_events, m.links), m.scratch.keep),
+     "(SELECT root, 'S' || level AS spread, count(*) AS count, quantile_cont(days_to_expiry, 0.5) AS median, avg(days_to_expiry) AS mean, stddev_samp(days_to_expiry) AS std, quantile_cont(days_to_expiry, 0.25) AS q25, quantile_cont(days_to_expiry, 0.75) AS q75 FROM timing GROUP BY 1, 2)")
+_add("price_quantiles", "root contract q quantile:r", lambda m: quantiles(m.trades, ["root", "contract"], "close", F.array(*map(F.lit, (0.0, 0.05, 0.5, 0.95, 1.0))), m.scratch.keep),
+     "(SELECT root, contract, CAST(q AS DOUBLE) AS q, quantile FROM (SELECT root, contract, unnest([0.0, 0.05, 0.5, 0.95, 1.0]) AS q, unnest(quantile_cont(price, [0.0, 0.05, 0.5, 0.95, 1.0])) AS quantile FROM trades GROUP BY root, contract))")
+
 # The strip.
 _add("spread_timing_summary", "root spread count:l median:r mean:r std:r q25:r q75:r", lambda m: strip.timing_summary(strip.event_timing(m.strip_events, m.links)),
      "(SELECT root, 'S' || level AS spread, count(*) AS count, quantile_cont(days_to_expiry, 0.5) AS median, avg(days_to_expiry) AS mean, stddev_samp(days_to_expiry) AS std, quantile_cont(days_to_expiry, 0.25) AS q25, quantile_cont(days_to_expiry, 0.75) AS q75 FROM timing GROUP BY 1, 2)")

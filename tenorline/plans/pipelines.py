@@ -16,6 +16,12 @@ from ..sources.storage import write_csv, write_text
 from .settings import Settings
 
 
+Keep = Callable[[DataFrame, str], DataFrame]
+#: Rows of a series from which on it is cut into chunks, and its events go by doubled pointers instead of a fold; the results are the same.
+LONG = 50_000
+_number = itertools.count()
+
+
 def _coverage(days: dict) -> bizdays.Coverage:
     limits = days.get("volume_threshold") or {}
     ranges = tuple((int(r["max_days"]), float(r["percentile"])) for r in limits.get("dynamic_ranges") or [])
@@ -29,14 +35,8 @@ def _calendar(spark: SparkSession, s: Settings) -> DataFrame | None:
     return files.load_calendars(spark, paths, s.business_days["calendar_hierarchy"]) if paths else None
 
 
-def _detect(s: Settings, spreads: DataFrame, window: int) -> DataFrame:
-    return events.detect_events(spreads, s.spread["method"].lower(), window, s.spread["z_threshold"], s.spread["abs_min"])
-
-
-Keep = Callable[[DataFrame, str], DataFrame]
-#: Events of a series that a fold still takes; beyond, pointers are doubled, with the same result.
-LONG = 50_000
-_number = itertools.count()
+def _detect(s: Settings, spreads: DataFrame, window: int, keep: Keep | None = None) -> DataFrame:
+    return events.detect_events(spreads, s.spread["method"].lower(), window, s.spread["z_threshold"], s.spread["abs_min"], keep=keep)
 
 
 def kept_in(spark: SparkSession, folder: str) -> Keep:
@@ -53,12 +53,12 @@ def _lazy(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def _dated(s: Settings, out: dict[str, DataFrame], marked: DataFrame, spread: DataFrame, pairs: DataFrame, buckets: DataFrame | None, calendar: DataFrame | None, kind: str) -> DataFrame:
+def _dated(s: Settings, out: dict[str, DataFrame], marked: DataFrame, spread: DataFrame, pairs: DataFrame, buckets: DataFrame | None, calendar: DataFrame | None, kind: str, keep: Keep | None = None) -> DataFrame:
     """Events aligned to business days, then summarised; without a calendar there are no business days, and events stay where they are."""
     if calendar is None:
         out[f"{kind}_widening_summary"] = events.event_summary(marked)
         return events.align_events(marked, spread, "none")
-    audited = bizdays.audit(pairs, buckets, calendar, _coverage(s.business_days))
+    audited = bizdays.audit(pairs, buckets, calendar, _coverage(s.business_days), keep)
     days = bizdays.business_days(audited)
     aligned = events.align_events(marked, days, s.business_days["align_events"])
     out[f"business_days_audit_{kind}"] = audited
@@ -84,21 +84,19 @@ def hourly(spark: SparkSession, s: Settings, keep: Keep = _lazy) -> dict[str, Da
         """By time or rows; series with very many events take the way that holds none of them in a row (only if results are kept between steps)."""
         if not hours:
             return events.cooldown_rows(e, int(s.spread.get("cool_down_buckets") or 0))
-        if keep is not _lazy:
-            e = keep(e, f"detected-{next(_number)}")
-            most = e.where("event").groupBy("root", "level").count().agg(F.max("count")).first()[0] or 0
-            if most > LONG:
-                return events.cooldown_by_doubling(e, hours, lambda df, name: keep(df, f"{name}-{next(_number)}"))
-        return events.cooldown_time(e, hours)
+        return events.cooldown_by_doubling(e, hours, new) if long else events.cooldown_time(e, hours)
 
+    new = lambda df, name: keep(df, f"{name}-{next(_number)}")
     spread, strip_rows = chain.calendar_spread(pairs), keep(chain.multi_spreads(links, times), "strip")
-    widening, many = cool(_detect(s, spread, window)), keep(cool(_detect(s, strip_rows, window)), "strip_events")
+    # Long series only show, and only matter, where frames are written between steps.
+    long = keep is not _lazy and strip_rows.count() > LONG * (chain.DEPTH - 1)
+    widening, many = cool(_detect(s, spread, window, new if long else None)), keep(cool(_detect(s, strip_rows, window, new if long else None)), "strip_events")
     raw = many.withColumn("event", F.col("kept"))
     sizes = keep(strip.magnitudes(strip_rows), "magnitudes")
     timing, cycles, wide = strip.event_timing(raw, links), strip.dominance_by_cycle(sizes, links), chain.strip_wide(strip_rows)
     out = {
         "hourly_panel": panel, "hourly_spread": spread, "multi_spreads": wide, "multi_spread_events": chain.strip_wide(many, "kept"), "spread_correlations": strip.spread_correlations(wide),
-        "spread_signal_comparison": strip.compare_signals(raw), "spread_event_timing": timing, "spread_timing_summary": strip.timing_summary(timing), "spread_change_statistics": strip.change_statistics(strip_rows),
+        "spread_signal_comparison": strip.compare_signals(raw), "spread_event_timing": timing, "spread_timing_summary": strip.timing_summary(timing, new if long else None), "spread_change_statistics": strip.change_statistics(strip_rows),
         "s1_vs_others_magnitude": sizes, "s1_dominance_by_cycle": cycles, "cross_spread_summary": strip.cross_spread_summary(cycles),
     }
     if s.strip_analysis["enabled"]:
@@ -107,7 +105,7 @@ def hourly(spark: SparkSession, s: Settings, keep: Keep = _lazy) -> dict[str, Da
         out["strip_spread_diagnostics"] = strip.strip_dominance(sizes, links, days, s.strip_analysis["dominance_ratio_threshold"], s.strip_analysis["expiry_window_business_days"])
         if s.strip_analysis["filter_expiry_dominance"]:
             widening = strip.filter_expiry_dominance(widening, out["strip_spread_diagnostics"], "kept")
-    aligned = _dated(s, out, widening, spread, pairs, meta, calendar, "hourly")
+    aligned = _dated(s, out, widening, spread, pairs, meta, calendar, "hourly", new if long else None)
     marked = aligned.join(meta, ["root", "ts"], "left").join(pairs.select("root", "ts", F.col("front_volume").alias("volume")), ["root", "ts"], "left")
     return out | {"hourly_widening": aligned, "bucket_summary": events.bucket_event_summary(marked), "preference_scores": events.preference_scores(marked), "transition_matrix": events.transition_matrix(marked)}
 
