@@ -27,10 +27,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+#: Language of a page as its own first tag gives it, and the languages that are wanted.
+PAGE_LANGUAGE, WANTED = "<html[^>]*[ ]lang=[\"']?([A-Za-z]+)", ("", "en")
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on all pages, by fixed rules and else by rules mined from labelled pages (a page has the label of the document of its id)."""
+    """Verdicts on all pages, by fixed rules and else by rules mined from labels: a page is bad if its own html is in a language that isn't wanted, or if the document of its id is labelled as bad."""
     pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
-    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    shown = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), PAGE_LANGUAGE, 1))
+    bad = pages.select("page_id", (~shown.isin(*WANTED)).alias("bad")).unionAll(labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad")))
     return url_filter.judge(pages, bad, RULES)
 
 

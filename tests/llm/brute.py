@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -51,6 +52,26 @@ def url_rule(url: str | None) -> tuple[str, str, str | None, str | None]:
     return host, path, best[1], best[2]
 
 
+def mined_urls(pages: list[tuple], bad: dict, least: int, confidence: float) -> set:
+    """The page ids of pages (id, url) that a rule blocks: up to three tokens, so many bad pages of all that have them."""
+
+    def tokens(url: str | None) -> frozenset:
+        host, path, _, _ = url_rule(url)
+        rest = (url or "").partition("://")[2][len(host) + len(path) :]
+        return frozenset(["h:" + x for x in host.split(".") if x] + ["p:" + x.lower() for x in re.findall(r"[^\W_]+", path)] + ["q:" + x.lower() for x in re.split("[?#&;]", rest) if x])
+
+    baskets = {p: tokens(u) for p, u in pages}
+    counts: dict[frozenset, list[int]] = {}
+    for p, items in baskets.items():
+        for n in (1, 2, 3):
+            for c in itertools.combinations(sorted(items), n):
+                k = counts.setdefault(frozenset(c), [0, 0])
+                k[0] += 1
+                k[1] += bad[p]
+    rules = [c for c, (k, b) in counts.items() if b >= least and b >= confidence * k]
+    return {p for p, items in baskets.items() if any(r <= items for r in rules)}
+
+
 def shingles(text: str | None) -> set[tuple]:
     data = (text or "").encode()
     words = re.findall(rb"[^\x20\x09-\x0D]+", data.lower())

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import brute
@@ -23,6 +24,18 @@ def test_url_rules(spark):
         assert (got["host"], got["path"], got["rule"]) == (host, path, rule) and (verdict is None or got["verdict"] == verdict)
 
 
+def test_mined_rules_of_the_tables(spark):
+    """What the mined rules say of all pages is what trying all combinations of up to three tokens says; both answers come up."""
+    sf = "/root/testdata/sf0.01"
+    pages, labels = (pq.read_table(f"{sf}/{n}.parquet").to_pylist() for n in ("pages", "labels"))
+    marked = {x["doc_id"] for x in labels if x["toxic"] == 1 or x["quality"] == 0}
+    bad = {p["page_id"]: p["page_id"] in marked or re.search(r'<html[^>]* lang="(\w+)', p["html"])[1] != "en" for p in pages}
+    want = brute.mined_urls([(p["page_id"], p["url"]) for p in pages], bad, max(url_filter.LEAST, math.ceil(url_filter.SUPPORT * len(pages))), url_filter.CONFIDENCE)
+    out = queries.op2_url_rules(spark, sf).collect()
+    assert {r["page_id"] for r in out if r["mined"]} == want and 0 < len(want) < len(pages)
+    assert {r["verdict"] for r in out if r["rule"] is None and r["mined"]} == {"block"} and {r["verdict"] for r in out if r["rule"] is None and not r["mined"]} == {"allow"}
+
+
 def test_mined_rules(spark):
     """A combination of tokens that goes with bad labels is found and blocks; its parts alone don't."""
     r = random.Random(3)
