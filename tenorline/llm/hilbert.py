@@ -64,11 +64,17 @@ def ranked(df: DataFrame, by: list[Column], rank: str) -> DataFrame:
 
 
 def _codes(rows: DataFrame, column: str) -> DataFrame:
-    """k_column, x_column: the values of a column, cut into 2 ** BITS codes of as many values each, in their order; null first."""
-    values = ranked(rows.select(F.col(column).alias(f"k_{column}")).distinct(), [F.col(f"k_{column}").asc_nulls_first()], "rank")
+    """k_column, x_column: the values of a column, cut into 2 ** BITS codes of as many values each, in their order; null first.
+
+    Up to BROADCAST_ROWS values are numbered in one task; more are sorted by range.
+    """
+    key, value = f"k_{column}", F.col(f"k_{column}").asc_nulls_first()
+    values = rows.select(F.col(column).alias(key)).distinct()
     many = values.count()
-    out = values.select(f"k_{column}", F.expr(f"cast(rank * {1 << BITS} div {max(1, many)} as int)").alias(f"x_{column}"))
-    return F.broadcast(out) if many <= BROADCAST_ROWS else out
+    few = many <= BROADCAST_ROWS
+    placed = values.withColumn("rank", F.row_number().over(Window.orderBy(value)) - 1) if few else ranked(values, [value], "rank")
+    out = placed.select(key, F.expr(f"cast(rank * {1 << BITS} div {max(1, many)} as int)").alias(f"x_{column}"))
+    return F.broadcast(out) if few else out
 
 
 def shards(docs: DataFrame, count: int = 8) -> DataFrame:
