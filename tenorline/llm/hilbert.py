@@ -60,7 +60,9 @@ def ranked(df: DataFrame, by: list[Column], rank: str) -> DataFrame:
     counts = parts.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for a partition
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("_part", before.alias("_base"))
-    return parts.withColumn("_part", part).join(bases, "_part").withColumn(rank, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
+    out = parts.withColumn("_part", part).join(bases, "_part").withColumn(rank, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
+    out._shared_path = parts._shared_path  # for discard()
+    return out
 
 
 def _codes(rows: DataFrame, column: str) -> DataFrame:

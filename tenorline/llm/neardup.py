@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, mix, small_batches, unused, utf8
+from .hilbert import ranked
 
 #: Words of a shingle, bands of a signature, bins of a band.
 SHINGLE, BANDS, ROWS = 5, 48, 4
@@ -151,9 +152,20 @@ def _rare(alive: DataFrame, sets: DataFrame) -> DataFrame:
     probe = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     first = own.withColumn("t", F.slice("t", F.lit(1), F.greatest(probe - F.col("alone"), F.lit(0)).cast("int")))
     rows = first.select("node", "n", "w", "alone", F.posexplode("t").alias("at", "x")).select(F.col("x.key").alias("key"), "node", "n", "w", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
+    rows = materialize(rows, "rare")
     smaller = F.col("left") * (100 + PERCENT) >= F.col("n") * 2 * PERCENT
-    place = F.row_number().over(Window.partitionBy("key", smaller).orderBy(F.desc("w"), "node"))
-    return rows.withColumn("place", F.when(smaller, place))
+    # Ranks by a sort by range, less each hash's first one: a window over a hash would be one task, however many nodes have it.
+    order = ranked(rows.where(smaller), [F.col("key"), F.desc("w"), F.col("node")], "rank")
+    firsts = order.groupBy("key").agg(F.min("rank").alias("first"))
+    placed = order.join(firsts, "key").select(*rows.columns, (F.col("rank") - F.col("first") + 1).cast("long").alias("place"))
+    out = materialize(placed.unionByName(rows.where(~smaller).withColumn("place", F.lit(None).cast("long"))), "rare")
+    discard(rows, order)
+    return out
+
+
+def _class(n: str) -> Column:
+    """Class of a size; one is 1.34 times as wide as the one before."""
+    return F.floor(F.log(F.col(n)) / float(np.log(1.34))).cast("int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,7 +222,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     merged = components(links.unionAll(tested.where("linked").select("a", "b")))
     named, keys = _mixed(members, merged)
     alive = named.join(keys, "key").groupBy("node").agg(F.first("w").alias("w"))
-    rare = materialize(_rare(alive, sets), "rare")
+    rare = _rare(alive, sets)
     done, k, spent = 0, 1, [members, weights, sets, rare, tested]
     while True:
         named, keys = _mixed(rare, merged, F.max("place").alias("places"))
@@ -220,8 +232,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if most is None:
             break
         centres = named.where((F.col("place") > done) & (F.col("place") <= k)).select("key", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "left", "component")])
+        # Sizes of a link differ by 4 / 3 at most, so a size's class is that of the smaller one or the next; others never meet in the join.
+        centres = centres.withColumn("class", F.explode(F.array(_class("c_n"), _class("c_n") + 1)))
         fits = F.least("left", "c_left") * (100 + PERCENT) >= (F.col("n") + F.col("c_n")) * PERCENT
-        met = named.join(centres, (named["key"] == centres["key"]) & (F.col("component") != F.col("c_component")) & (F.col("n") >= F.col("c_n")) & fits)
+        met = named.join(centres, (named["key"] == centres["key"]) & (_class("n") == centres["class"]) & (F.col("component") != F.col("c_component")) & (F.col("n") >= F.col("c_n")) & fits)
         pairs = met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = materialize(confirm(pairs, sets), "tested")
         spent.append(found)

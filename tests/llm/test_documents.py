@@ -77,6 +77,14 @@ def test_links_that_no_star_sees(docs):
     assert rows(neardup.near_duplicates(docs(made)), *NEAR) == sorted(brute.near(made))
 
 
+def test_a_hash_that_very_many_texts_share(docs):
+    """Texts of one template that don't link all meet in its hashes; copies, near copies and sizes at the edge of a link among them are found, and nothing else."""
+    r, template = random.Random(9), words(12, 60)
+    made = [(i, template + " " + words(300 + i, r.choice([25, 30, 40, 80]))) for i in range(250)]
+    made += [(1000 + i, made[i * 9][1] + (" tail" * (i % 4))) for i in range(25)] + [(2000, words(13, 79)), (2001, words(13, 79) + " " + words(14, 25)), (2002, words(13, 79) + " " + words(14, 26))]
+    assert rows(neardup.near_duplicates(docs(made)), *NEAR) == sorted(brute.near(made))
+
+
 def test_near_duplicates_of_repeated_and_null_ids(docs):
     got = {tuple(r) for r in neardup.near_duplicates(docs([(None, BASE), (1, BASE), (1, "other text of its own here"), (2, "other text of its own here")])).select(*NEAR).collect()}
     assert {g[2:] for g in got if g[0] is None} == {(None, True)} and {g[2] for g in got if g[0]} == {1}
