@@ -164,7 +164,7 @@ def write(spark: SparkSession, results: dict[str, DataFrame], s: Settings) -> di
         elif path.endswith(".json"):
             write_text(spark, path, json.dumps(df.first().asDict(), indent=2))
         else:
-            write_csv(df if name in _PARTS else df.orderBy(*[c for c in _ORDER if c in df.columns]), path, name not in _PARTS)
+            write_csv(df, path, name not in _PARTS, [c for c in _ORDER if c in df.columns])
         paths[name] = path
     kept = {k: v for k, v in dataclasses.asdict(s).items() if k in ("products", "data", "spread", "business_days", "output_dir", "metadata_path")}
     kept["business_days"] = {k: v for k, v in kept["business_days"].items() if k != "calendar_paths"}

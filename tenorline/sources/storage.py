@@ -44,12 +44,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
-    """Write df as CSV with a header, arrays and structs as JSON, in place of what is there. single: as one file, which one task writes; else as a folder of parts."""
+def write_csv(df: DataFrame, path: str, single: bool = True, order: list[str] | None = None) -> None:
+    """Write df as CSV with a header, arrays and structs as JSON, in place of what is there. single: as one file, which one task sorts (order) and writes; else as a folder of parts."""
     spark = df.sparkSession
     df = df.withColumns({c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))})
     parts = f"{path}.parts"
-    writer = (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True)
+    whole = df.repartition(1) if single else df
+    writer = (whole.sortWithinPartitions(*order) if single and order else whole).write.mode("overwrite").option("header", True)
     writer.csv(parts if single else path)
     if single:
         files, at = _at(spark, path)
