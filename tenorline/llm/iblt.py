@@ -1,14 +1,18 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
-A text's paragraphs (lines, cut at each sentence end and after PARAGRAPH characters) give a set of distinct 64-bit digests. The
-fingerprint is a table of cells; a digest adds itself to one cell in each of three parts: to the cell's count, to the XOR of its
-digests and to the XOR of their checks. Two tables subtract cell by cell, which cancels all digests that both hold; peeling cells
-that hold a single digest then recovers the digests that only one has. If cells are left that don't peel, both versions are
-sketched again four times as large, with other hashes, up to ATTEMPTS sizes; a group that peels at none is compared exactly. The likeness is shared digests by all digests.
-
-Texts with many digests are compared in groups of about GROUP digests, dealt by hash, each with tables of its own, so that the
-work of a text is close to linear in its length. All of it is DataFrame code: cells, subtraction and peeling are folds over
-arrays within a row, so nothing is exploded or grouped.
+A text's paragraphs (lines, cut at each sentence end and after PARAGRAPH characters) give a set of distinct 64-bit digests. They are
+dealt by their low bits into 1, 2, 4, ... groups of at most about GROUP digests, and the fingerprint has a table of CELLS cells for
+each group. A digest adds itself to one cell in each of three parts of its table: to the cell's count, to the XOR of its digests and
+to the XOR of their checks.
+
+Two fingerprints are compared as they are: tables of the one with more groups are added up to those of the other, tables
+subtract cell by cell, which cancels all digests that both hold, and peeling cells that hold a single digest recovers the digests
+that only one has, and which. Groups with cells left that don't peel are sketched again from both versions' digests, four times as
+large and with other hashes, up to ATTEMPTS sizes; a group that peels at none is compared exactly. The likeness is shared
+digests by all digests.
+
+Groups halve bit by bit, so the work of a text grows as n log n. All of it is DataFrame code: cells, subtraction and peeling are
+folds over arrays within a row, so nothing is exploded or grouped.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .hilbert import ranked
 
-#: Characters of a paragraph at most, without the marks that end it; cells of the smallest table; digests of two versions in a group; rounds of peeling; attempts at most.
-PARAGRAPH, CELLS, GROUP, ROUNDS, ATTEMPTS = 120, 48, 20, 32, 6
+#: Characters of a paragraph at most, without the marks that end it; cells of a table; digests of a group; rounds of peeling; attempts at most.
+PARAGRAPH, CELLS, GROUP, ROUNDS, ATTEMPTS = 120, 48, 16, 32, 6
 _NO_ID = -(2**63)
 
 
@@ -61,40 +65,101 @@ def _subtract(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'key', x.key ^ y.key, 'check', x.check ^ y.check))"
 
 
-def fingerprint(of: str) -> str:
-    """SQL: the smallest table of an array of digests, as base64 of its cells."""
-    text = f"array_join(transform({cells(of, str(CELLS // 3), '0')}, x -> concat(lpad(hex(x.n), 8, '0'), lpad(hex(x.key), 16, '0'), lpad(hex(x.check), 16, '0'))), '')"
-    return f"base64(unhex({text}))"
+def _level(of: str) -> str:
+    """SQL: the number of halvings after which groups of an array have at most about GROUP members."""
+    return f"cast(greatest(0, ceil(log2(size({of}) / {GROUP}))) as int)"
 
 
-def _peeled(a: str, b: str) -> str:
-    """SQL: number of digests that only one of two arrays has, recovered from their tables of 3 * third cells with seed t; null if they don't peel."""
+def _groups(of: str, level: str) -> str:
+    """SQL: an array of digests in 2 ** level groups; the two halves of a group lie side by side."""
+    halves = "array(filter(p, d -> getbit(d, i - 1) = 0), filter(p, d -> getbit(d, i - 1) = 1))"
+    return f"if({level} = 0, array({of}), aggregate(sequence(1, {level}), array({of}), (parts, i) -> flatten(transform(parts, p -> {halves}))))"
+
+
+def sketch(of: str) -> str:
+    """SQL: the tables of an array of digests, a list of cells for each group."""
+    return f"transform({_groups(of, _level(of))}, g -> {cells('g', str(CELLS // 3), '0')})"
+
+
+def fingerprint(tables: str) -> str:
+    """SQL: what sketch() gives, as base64 of its cells."""
+    return f"base64(unhex(array_join(transform(flatten({tables}), x -> concat(lpad(hex(x.n), 8, '0'), lpad(hex(x.key), 16, '0'), lpad(hex(x.check), 16, '0'))), '')))"
+
+
+def stored(text: str) -> str:
+    """SQL: the tables of a fingerprint()."""
+    number = lambda start, n: f"cast(conv(substring(bytes, i * 40 + {start}, {n}), 16, -10) as bigint)"
+    cell = f"named_struct('n', {number(1, 8)}, 'key', {number(9, 16)}, 'check', {number(25, 16)})"
+    table = f"transform(sequence(g * {CELLS}, (g + 1) * {CELLS} - 1), i -> {cell})"
+    return _let("bytes", f"hex(unbase64({text}))", f"transform(sequence(0, cast(length(bytes) / {40 * CELLS} as int) - 1), g -> {table})")
+
+
+def _folded(tables: str, to: str) -> str:
+    """SQL: tables added up to a smaller number of groups, a power of two."""
+    add = "zip_with(x, y, (v, w) -> named_struct('n', v.n + w.n, 'key', v.key ^ w.key, 'check', v.check ^ w.check))"
+    each = _let("own", f"slice({tables}, g * (size({tables}) div {to}) + 1, size({tables}) div {to})", f"aggregate(slice(own, 2, size(own)), own[0], (x, y) -> {add})")
+    return f"if(size({tables}) = {to}, {tables}, transform(sequence(0, {to} - 1), g -> cast({each} as array<struct<n: bigint, key: bigint, check: bigint>>)))"
+
+
+def _peeled(left: str, third: str, seed: str) -> str:
+    """SQL: the digests that only the first (mine) and only the second of two tables has (other), recovered from the difference of their cells; null if they don't peel."""
     pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1L and x.check = xxhash64(x.key, 7)), x -> named_struct('n', x.n, 'key', x.key)))"
-    less = _subtract("s.cells", _table(_placed("found", "d.n", "d.key", "third", "t"), "third"))
-    after = f"named_struct('cells', {less}, 'd', s.d + size(found), 'stuck', false)"
-    step = _let("found", pure, f"if(size(found) = 0, named_struct('cells', s.cells, 'd', s.d, 'stuck', true), {after})")
-    left = "exists(s.cells, x -> x.n <> 0L or x.key <> 0L or x.check <> 0L)"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {_subtract(cells(a, 'third', 't'), cells(b, 'third', 't'))}, 'd', 0L, 'stuck', false), (s, r) -> if(s.stuck, s, {step}), s -> if({left}, cast(null as bigint), s.d))"
-
-
-def difference(a: str, b: str) -> str:
-    """SQL: number of digests that only one of two arrays has, recovered from their tables (counted plainly for a group that peels in no attempt)."""
-    attempts = f"aggregate(sequence(0, {ATTEMPTS - 1}), cast(null as bigint), (z, t) -> if(z is not null, z, {_let('third', f'cast({CELLS // 3} * pow(4, t) as int)', _peeled('g.mine', 'g.other'))}))"
-    dealt = lambda of: f"transform({of}, d -> named_struct('d', d, 'g', cast(pmod(xxhash64(d, 9), many) as int)))"
-    own = lambda of: f"transform(filter({of}, x -> x.g = i), x -> x.d)"
-    split = f"transform(sequence(0, many - 1), i -> named_struct('mine', {own('s.mine')}, 'other', {own('s.other')}))"
-    grouped = f"if(many = 1, array(named_struct('mine', {a}, 'other', {b})), {_let('s', f"named_struct('mine', {dealt(a)}, 'other', {dealt(b)})", split)})"
-    plainly = "cast(size(array_except(g.mine, g.other)) + size(array_except(g.other, g.mine)) as bigint)"
-    total = f"aggregate({grouped}, 0L, (sum, g) -> sum + coalesce({attempts}, {plainly}))"
-    return _let("many", f"cast(greatest(1, ceil((size({a}) + size({b})) / {GROUP})) as int)", total)
-
-
-def likeness(a: str, b: str) -> str:
-    """SQL: shared digests by all digests of two arrays, from 0 to 1; two empty ones are alike."""
-    return (
-        f"transform(array({difference(a, b)}), d -> "
-        f"if(size({a}) + size({b}) = 0, 1D, (size({a}) + size({b}) - d) / cast(size({a}) + size({b}) + d as double)))[0]"
-    )
+    less = _subtract("s.cells", _table(_placed("now", "d.n", "d.key", third, seed), third))
+    after = f"named_struct('cells', {less}, 'found', concat(s.found, now), 'stuck', false)"
+    step = _let("now", pure, f"if(size(now) = 0, named_struct('cells', s.cells, 'found', s.found, 'stuck', true), {after})")
+    start = f"named_struct('cells', {left}, 'found', cast(array() as array<struct<n: bigint, key: bigint>>), 'stuck', false)"
+    side = lambda n: f"transform(filter(s.found, x -> x.n = {n}L), x -> x.key)"
+    whole = f"if(exists(s.cells, x -> x.n <> 0L or x.key <> 0L or x.check <> 0L), null, named_struct('mine', {side(1)}, 'other', {side(-1)}))"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.stuck, s, {step}), s -> {whole})"
+
+
+def peeled(a: str, b: str) -> str:
+    """SQL: from two sketches alone, a list of the digests that only either has (mine, other), for each group of the one with fewer groups; null for a group that doesn't peel."""
+    fold = lambda x: _folded(x, "least(size(a), size(b))")
+    differ = f"zip_with({fold('a')}, {fold('b')}, (one, two) -> {_peeled(_subtract('one', 'two'), str(CELLS // 3), '0')})"
+    return _let("a", a, _let("b", b, differ))
+
+
+def _again(mine: str, other: str) -> str:
+    """SQL: the same for a group of digests, by tables four times as large in each attempt, and by comparison where none peels."""
+    tables = _subtract(cells(mine, "third", "t"), cells(other, "third", "t"))
+    attempt = _let("third", f"cast({CELLS // 3} * pow(4, t) as int)", _peeled(tables, "third", "t"))
+    kind = "struct<mine: array<bigint>, other: array<bigint>>"
+    plainly = f"named_struct('mine', array_except({mine}, {other}), 'other', array_except({other}, {mine}))"
+    return f"coalesce(aggregate(sequence(1, {ATTEMPTS - 1}), cast(null as {kind}), (z, t) -> if(z is not null, z, {attempt})), {plainly})"
+
+
+def with_difference(df: DataFrame, name: str, a: str, b: str, sketch_a: str, sketch_b: str) -> DataFrame:
+    """df with a column of the digests that only one of two columns of digests has (mine, other), recovered from their sketches; groups that don't peel are sketched again, larger.
+
+    Steps are columns, not nested expressions, so that each is planned and worked out once.
+    """
+    finer = f"greatest({_level(a)}, {_level(b)})"
+    pairs = f"zip_with({_groups(a, 'level')}, {_groups(b, 'level')}, (x, y) -> named_struct('mine', x, 'other', y))"
+    part = f"transform(slice(pairs, g * (size(pairs) div size({name})) + 1, size(pairs) div size({name})), q -> {_again('q.mine', 'q.other')})"
+    retried = _let("level", finer, _let("pairs", pairs, f"flatten(transform({name}, (f, g) -> if(f is null, {part}, array(f))))"))
+    every = df.withColumn(name, F.expr(peeled(sketch_a, sketch_b))).withColumn(name, F.expr(f"if(exists({name}, f -> f is null), {retried}, {name})"))
+    return every.withColumn(name, F.expr(f"named_struct('mine', flatten(transform({name}, x -> x.mine)), 'other', flatten(transform({name}, x -> x.other)))"))
+
+
+def ratio(a: str, b: str, differ: str) -> str:
+    """SQL: shared digests by all digests of two sets of a and b members, from 0 to 1; two empty ones are alike."""
+    return f"if({a} + {b} = 0, 1D, {_let('d', f'size({differ}.mine) + size({differ}.other)', f'({a} + {b} - d) / cast({a} + {b} + d as double)')})"
+
+
+def with_likeness(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    """df with a column of the likeness of two columns of digests, by their sketches."""
+    sketched = df.withColumns({f"{name}_a": F.expr(sketch(a)), f"{name}_b": F.expr(sketch(b))})
+    differ = with_difference(sketched, f"{name}_d", a, b, f"{name}_a", f"{name}_b")
+    return differ.withColumn(name, F.expr(ratio(f"size({a})", f"size({b})", f"{name}_d"))).drop(f"{name}_a", f"{name}_b", f"{name}_d")
+
+
+def stored_likeness(a: str, b: str) -> str:
+    """SQL: the likeness of two fingerprints, from nothing else; null if they don't peel."""
+    held = lambda x: f"cast(aggregate(flatten({x}), 0L, (sum, c) -> sum + c.n) / 3 as bigint)"
+    both = "named_struct('mine', flatten(transform(first, x -> x.mine)), 'other', flatten(transform(first, x -> x.other)))"
+    found = _let("first", peeled("p", "q"), f"if(exists(first, f -> f is null), null, {_let('differ', both, ratio(held('p'), held('q'), 'differ'))})")
+    return _let("p", stored(a), _let("q", stored(b), found))
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -120,13 +185,16 @@ def versions(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs, and the digests that the edit takes away (gone) and brings (come), as peeling recovers them.
 
     A null text is empty; texts without paragraphs have an empty table and are alike; equal texts have equal fingerprints; very
-    long texts have more digests, not other paragraphs; an empty table gives no rows; other columns don't matter.
+    long texts have more groups of digests, not other paragraphs; an empty table gives no rows; other columns don't matter.
     """
-    return versions(docs).select(
+    tables = versions(docs).withColumns({x: F.expr(sketch(of)) for x, of in (("own", "digests"), ("later", "edited_digests"), ("follower", "next_digests"))})
+    compared = with_difference(with_difference(tables, "edit", "digests", "edited_digests", "own", "later"), "step", "digests", "next_digests", "own", "follower")
+    return compared.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.expr(fingerprint("digests")).alias("fingerprint"), F.expr(fingerprint("edited_digests")).alias("edited_fingerprint"),
-        F.expr(likeness("digests", "edited_digests")).alias("near_edited"), F.expr(likeness("digests", "next_digests")).alias("near_next"),
+        F.expr(fingerprint("own")).alias("fingerprint"), F.expr(fingerprint("later")).alias("edited_fingerprint"),
+        F.expr(ratio("size(digests)", "size(edited_digests)", "edit")).alias("near_edited"), F.expr(ratio("size(digests)", "size(next_digests)", "step")).alias("near_next"),
+        F.col("edit.mine").alias("gone"), F.col("edit.other").alias("come"),
     )

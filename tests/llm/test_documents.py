@@ -220,11 +220,13 @@ def test_curve_is_a_walk(spark):
 
 def test_fingerprints(spark, docs):
     for source, given in ((docs(ODD), ODD), (spark.read.parquet(f"{SF}/documents.parquet"), shared())):
-        v = iblt.versions(source).withColumns({"e": F.expr(iblt.likeness("digests", "edited_digests")), "n": F.expr(iblt.likeness("digests", "next_digests"))}).collect()
+        v = iblt.with_likeness(iblt.with_likeness(iblt.versions(source), "e", "digests", "edited_digests"), "n", "digests", "next_digests").collect()
         exact = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
         assert all(abs(r["e"] - exact(r["digests"], r["edited_digests"])) < 1e-9 and abs(r["n"] - exact(r["digests"], r["next_digests"])) < 1e-9 for r in v)
         out = (queries.op9_iblt(spark, SF) if given is not ODD else iblt.fingerprints(source)).collect()
         assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out) == sorted(brute.edited(given))
+        lists = lambda rows, *names: sorted((r["doc_id"] or 0, *(sorted(x) for x in (set(r[names[0]]) - set(r[names[1]]), set(r[names[1]]) - set(r[names[0]])))) for r in rows)
+        assert sorted((r["doc_id"] or 0, sorted(r["gone"]), sorted(r["come"])) for r in out) == lists(v, "digests", "edited_digests")
     by = {r["doc_id"]: r["fingerprint"] for r in iblt.fingerprints(docs(ODD)).collect()}
     assert by[6] == by[7] and by[18] == by[19] and by[6] != by[8] and by[1] == by[2]
 
@@ -234,10 +236,25 @@ def test_paragraphs_end_at_each_sentence(docs):
     text = "One is here. Two is there! Is three? Four. Five is the last one"
     long = words(20, 90).replace(" ", "")[:300]
     made = [(1, text), (2, long), (3, "...\n?! then\n!!"), (4, "Six. Seven.")]
-    got = {r["doc_id"]: (len(r["digests"]), r["likeness"]) for r in iblt.versions(docs(made)).withColumn("likeness", F.expr(iblt.likeness("digests", "edited_digests"))).collect()}
+    got = {r["doc_id"]: (len(r["digests"]), r["likeness"]) for r in iblt.with_likeness(iblt.versions(docs(made)), "likeness", "digests", "edited_digests").collect()}
     assert {k: n for k, (n, _) in got.items()} == {1: 5, 2: 3, 3: 4, 4: 2} and got[1][1] > 0.3
 
 
+def test_fingerprints_alone(spark, docs):
+    """Stored fingerprints of any two lengths give the exact likeness wherever they peel; with the digests at hand, always."""
+    ranges = [(1, 5, 3, 9), (1, 100, 1, 100), (1, 2000, 20, 2010), (1, 40, 30, 60), (1, 600, 1, 9), (1, 300, 301, 600), (1, 0, 1, 0), (1, 0, 1, 4)]
+    made = spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "i int, a int, b int, c int, d int")
+    hashes = lambda x, y: F.expr(f"if({y} < {x}, cast(array() as array<bigint>), transform(sequence({x}, {y}), v -> xxhash64(v)))")
+    both = iblt.with_likeness(made.select("i", hashes("a", "b").alias("one"), hashes("c", "d").alias("two")), "near", "one", "two")
+    prints = both.select("i", "near", F.expr(iblt.fingerprint(iblt.sketch("one"))).alias("one"), F.expr(iblt.fingerprint(iblt.sketch("two"))).alias("two"))
+    got = {r["i"]: (r["near"], r["alone"]) for r in prints.withColumn("alone", F.expr(iblt.stored_likeness("one", "two"))).collect()}
+    for i, (a, b, c, d) in enumerate(ranges):
+        one, two = set(range(a, b + 1)), set(range(c, d + 1))
+        exact = len(one & two) / len(one | two) if one | two else 1.0
+        assert abs(got[i][0] - exact) < 1e-9 and (got[i][1] is None or abs(got[i][1] - exact) < 1e-9)
+    assert all(got[i][1] is not None for i in (0, 1, 2, 6, 7)) and got[4][1] is None
+
+
 def test_empty_tables(docs):
     none = docs([(1, "x")]).where("doc_id < 0")
     ranks = bpe.load_ranks(brute.BYTE_BPE)
