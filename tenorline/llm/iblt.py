@@ -7,8 +7,8 @@ to the XOR of their checks.
 
 Two fingerprints are compared as they are: tables of the one with more groups are added up to those of the other, tables
 subtract cell by cell, which cancels all digests that both hold, and peeling cells that hold a single digest recovers the digests
-that only one has, and which. Groups with cells left that don't peel are sketched again from both versions' digests, four times as
-large and with other hashes, up to ATTEMPTS sizes; a group that peels at none is compared exactly. The likeness is shared
+that only one has, and which. Groups with cells left that don't peel are sketched again from both versions' digests: as finer groups
+where tables were added up, then each twice as large and with other hashes, up to ATTEMPTS sizes; a group that peels at none is compared exactly. The likeness is shared
 digests by all digests.
 
 Groups halve bit by bit, so the work of a text grows as n log n. All of it is DataFrame code: cells, subtraction and peeling are
@@ -120,13 +120,13 @@ def peeled(a: str, b: str) -> str:
     return _let("a", a, _let("b", b, differ))
 
 
-def _again(mine: str, other: str) -> str:
-    """SQL: the same for a group of digests, by tables four times as large in each attempt, and by comparison where none peels."""
+def _again(mine: str, other: str, first: str) -> str:
+    """SQL: the same for a group of digests, by tables twice as large in each attempt from the given one on, and by comparison where none peels."""
     tables = _subtract(cells(mine, "third", "t"), cells(other, "third", "t"))
-    attempt = _let("third", f"cast({CELLS // 3} * pow(4, t) as int)", _peeled(tables, "third", "t"))
+    attempt = _let("third", f"cast({CELLS // 3} * pow(2, t) as int)", _peeled(tables, "third", "t"))
     kind = "struct<mine: array<bigint>, other: array<bigint>>"
     plainly = f"named_struct('mine', array_except({mine}, {other}), 'other', array_except({other}, {mine}))"
-    return f"coalesce(aggregate(sequence(1, {ATTEMPTS - 1}), cast(null as {kind}), (z, t) -> if(z is not null, z, {attempt})), {plainly})"
+    return f"coalesce(aggregate(sequence({first}, {ATTEMPTS - 1}), cast(null as {kind}), (z, t) -> if(z is not null, z, {attempt})), {plainly})"
 
 
 def with_difference(df: DataFrame, name: str, a: str, b: str, sketch_a: str, sketch_b: str) -> DataFrame:
@@ -136,7 +136,8 @@ def with_difference(df: DataFrame, name: str, a: str, b: str, sketch_a: str, ske
     """
     finer = f"greatest({_level(a)}, {_level(b)})"
     pairs = f"zip_with({_groups(a, 'level')}, {_groups(b, 'level')}, (x, y) -> named_struct('mine', x, 'other', y))"
-    part = f"transform(slice(pairs, g * (size(pairs) div size({name})) + 1, size(pairs) div size({name})), q -> {_again('q.mine', 'q.other')})"
+    # Groups of the finer one have more cells already than the tables that were added up.
+    part = f"transform(slice(pairs, g * (size(pairs) div size({name})) + 1, size(pairs) div size({name})), q -> {_again('q.mine', 'q.other', f'if(size(pairs) > size({name}), 0, 1)')})"
     retried = _let("level", finer, _let("pairs", pairs, f"flatten(transform({name}, (f, g) -> if(f is null, {part}, array(f))))"))
     every = df.withColumn(name, F.expr(peeled(sketch_a, sketch_b))).withColumn(name, F.expr(f"if(exists({name}, f -> f is null), {retried}, {name})"))
     return every.withColumn(name, F.expr(f"named_struct('mine', flatten(transform({name}, x -> x.mine)), 'other', flatten(transform({name}, x -> x.other)))"))
