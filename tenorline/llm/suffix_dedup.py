@@ -2,19 +2,19 @@
 
 Every string of length bytes (a window) has an anchor: its first K-gram of smallest hash, K being a quarter of length. Equal windows have their anchor at the same
 place in them, wherever they stand, so only suffixes that start at anchors are sorted, with windows of 400 bytes about one in 150 instead of all.
-Consecutive windows with one anchor form a unit: the text from the first window's start to the last one's end. All its
-windows are repeats if the whole unit occurs again; none is if its anchor K-gram occurs nowhere else. Counting settles those;
-what is left are units that share their anchor with different units.
-
-These are sorted: each task cuts its units out of the texts, keyed by the suffix from the anchor on and then the prefix read
-backwards, sorts them, and sends sorted runs, front-coded, so that bytes shared with the run's previous key are not sent.
-A receiver merges the runs of its anchors with a loser tree that keeps for every run the length of the prefix its head shares
-with the last key put out; a comparison starts behind it and known prefixes are never compared again. The order and its common
-prefix lengths give classes of equal suffixes at every depth (and, by the prefixes' order, of equal contexts), and so which
-windows are equal.
-
-An anchor with more than HOT different units is split before it is sorted: its units are cut into parts of fewer windows, which
-share more than the anchor, down to single windows if need be, so that a group has a bounded size, whatever the input.
+Consecutive windows with one anchor form a unit: the text from the first window's start to the last one's end. Units whose anchor
+K-gram occurs nowhere else have no repeated window and are left out by counting hashes; all others are sorted, and their bytes decide.
+
+Each task cuts its units out of the texts, keyed by the suffix from the anchor on and then the prefix read backwards, sorts
+them, and sends sorted runs, front-coded, so that bytes shared with the run's previous key are not sent. Units that are the very
+same in a run are repeats, are told so at once and go on as one key without a place. A receiver merges the runs of its anchors with
+a loser tree that keeps for every run the length of the prefix its head shares with the last key put out; a comparison starts
+behind it and known prefixes are never compared again. The order and its common prefix lengths give equal units and classes of
+equal suffixes at every depth (and, by the prefixes' order, of equal contexts), and so which windows are equal.
+
+Frequent anchors: one with more than HOT different units is split before it is sorted: its units are cut into parts of fewer windows,
+which share more than the anchor, down to single windows if need be. One with more than WIDE units, however few of them differ, is
+merged in groups first, whose runs are merged again. So a group has a bounded size, whatever the input.
 """
 
 from __future__ import annotations
@@ -41,8 +41,13 @@ HOT, PARTS = 1000, (16, 1)
 #: Most units that are broadcast, as a table of two numbers for a text and five for a unit.
 FEW = 20_000
 #: Units that a receiver sorts at once, and bytes of units that a sender gathers before it sends runs.
-BUCKET, RUN_BYTES = 4000, 8 << 20
-_UNIT = "h long, c long, i0 int, i1 int, p int, a long, s long"
+BUCKET, RUN_BYTES = 8000, 32 << 20
+#: Units of one anchor that are merged at once, and merged runs of such an anchor that are merged again.
+WIDE, FAN = 20_000, 64
+_UNIT = "h long, c long, i0 int, i1 int, p int, a long, s long, n long"
+_SPAN = ["h", "c", "start", "end"]
+_RUN = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), *((x, pa.binary()) for x in ("shared", "sizes", "rest", "info")), *((x, pa.int64()) for x in _SPAN)])
+_RUN_DDL = "bucket int, salt int, shared binary, sizes binary, rest binary, info binary, h long, c long, start long, end long"
 
 
 def _signed(x: int) -> int:
@@ -89,7 +94,7 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
                     s.append(_signed(digest(text[i0 : i1 + length])))
             at, i0, i1, p = np.concatenate(rows).T if rows else np.zeros((4, 0), dtype=np.int64)
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), *(pa.array(x, pa.int32()) for x in (i0, i1, p)), pa.array(a, pa.int64()), pa.array(s, pa.int64())], ["h", "c", "i0", "i1", "p", "a", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), *(pa.array(x, pa.int32()) for x in (i0, i1, p)), pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(np.ones(len(a), dtype=np.int64))], _UNIT.replace(",", "").split()[::2])
 
     return docs.select("text", "h", "c").mapInArrow(run, _UNIT)
 
@@ -108,8 +113,8 @@ def _cut(rows: DataFrame, docs: DataFrame, windows: int, length: int) -> DataFra
                         near, far = p - part * windows, p - part * windows - windows + 1  # last and first window of the part, if all are there
                         lo, hi = max(i0, far), min(i1, near)
                         core = digest(text[near : far + length], (u["a"] ^ part * 0x9E3779B97F4A7C15) & (2**64 - 1))
-                        out.append((h, c, lo, hi, near, _signed(core), _signed(digest(text[lo : hi + length], core ^ near - lo))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] * 2)], ["h", "c", "i0", "i1", "p", "a", "s"])
+                        out.append((h, c, lo, hi, near, _signed(core), _signed(digest(text[lo : hi + length], core ^ near - lo)), u["n"]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] * 3)], _UNIT.replace(",", "").split()[::2])
 
     return _with_texts(rows, docs, few=rows.count() <= FEW).mapInArrow(run, _UNIT)
 
@@ -119,7 +124,7 @@ def _with_texts(units: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
 
     few: whether the units are at most FEW, so that they are broadcast and only texts that have any are shuffled.
     """
-    own = units.groupBy("h", "c").agg(F.collect_list(F.struct("i0", "i1", "p", "a", "n")).alias("units"))
+    own = units.groupBy("h", "c").agg(F.collect_list(F.struct("i0", "i1", "p", "a", "n", "salts")).alias("units"))
     own = own.select(F.col("h").alias("_h"), F.col("c").alias("_c"), "units")
     # Tasks keep one of equal texts before rows move.
     if few:
@@ -141,14 +146,15 @@ def common(a: bytes, b: bytes, at: int) -> int:
     return at
 
 
-def front_code(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Of sorted keys: the bytes each shares with the one before, its length, and all other bytes."""
-    shared, rest, last = [], [], b""
-    for key in keys:
-        shared.append(common(last, key, 0))
-        rest.append(key[shared[-1] :])
-        last = key
-    return np.array(shared, dtype=np.int32), np.array([len(k) for k in keys], dtype=np.int32), b"".join(rest)
+def shared_with_previous(keys: list[bytes]) -> list[int]:
+    """Of sorted keys: the bytes that each shares with the one before."""
+    return [common(last, key, 0) for last, key in zip([b"", *keys], keys)]
+
+
+def front_code(keys: list[bytes], shared: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Of sorted keys and what each shares with the one before: that, their lengths, and all other bytes."""
+    rest = b"".join(key[at:] for key, at in zip(keys, shared, strict=True))
+    return np.array(shared, dtype=np.int32), np.array([len(k) for k in keys], dtype=np.int32), rest
 
 
 def front_decode(shared: np.ndarray, length: np.ndarray, rest: bytes) -> list[bytes]:
@@ -238,74 +244,135 @@ def equal_windows(keys: list[bytes], shared: list[int], right: np.ndarray, lo: n
     return out
 
 
+#: What goes with a key, as 64-bit numbers: bytes of its suffix, least and most d of its windows (which start d bytes before the anchor), occurrences so far (2: more than one), whether it still has a place of its own, and that place (text and position of the anchor).
+_RIGHT, _LO, _HI, _N, _OPEN, _H, _C, _P = range(8)
+
+
+def collapse(keys: list[bytes], shared: list[int], info: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """One of each of equal units, from sorted keys and the bytes shared with the key before: keys, shared, info, and the info of units that turned out to be repeated."""
+    if not keys:
+        return keys, np.zeros(0, dtype=np.int64), info, info
+    sizes, common_ = np.array([len(k) for k in keys]), np.array(shared, dtype=np.int64)
+    fresh = np.append(True, (common_[1:] < sizes[1:]) | (sizes[1:] != sizes[:-1]))
+    stretch = np.cumsum(fresh) - 1  # equal keys; of these, units with suffixes of one length are equal
+    order = np.lexsort((info[:, _RIGHT], stretch))
+    stretch, info = stretch[order], info[order]
+    first = np.append(True, (stretch[1:] != stretch[:-1]) | (info[1:, _RIGHT] != info[:-1, _RIGHT]))
+    at = np.flatnonzero(first)
+    total = np.add.reduceat(info[:, _N], at)
+    settled = info[(info[:, _OPEN] == 1) & (total > 1)[np.cumsum(first) - 1]]
+    leads = np.append(True, stretch[at][1:] != stretch[at][:-1])
+    kept = info[at]
+    kept[:, _N] = np.minimum(total, 2)
+    kept[total > 1, _OPEN:] = 0
+    return [keys[i] for i in order[at]], np.where(leads, common_[np.flatnonzero(fresh)][stretch[at]], sizes[order[at]]), kept, settled
+
+
+def _places(info: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """Spans (text, start, end) of windows that start last .. first bytes before the anchor."""
+    return np.column_stack([info[:, _H], info[:, _C], info[:, _P] - first, info[:, _P] - last + length])
+
+
+def _rows(runs: list[tuple], spans: list[np.ndarray]) -> list[pa.Array]:
+    """Columns of _RUN: runs first, then spans."""
+    places = np.concatenate([np.zeros((0, 4), dtype=np.int64), *spans])
+    kinds = [f.type for f in _RUN]
+    own = [pa.concat_arrays([pa.array([r[i] for r in runs], k), pa.nulls(len(places), k)]) for i, k in enumerate(kinds[:6])]
+    return own + [pa.concat_arrays([pa.nulls(len(runs), pa.int64()), pa.array(places[:, i], pa.int64())]) for i in range(4)]
+
+
+def _run(bucket: int, salt: int, keys: list[bytes], shared: np.ndarray, info: np.ndarray) -> tuple:
+    shared, sizes, rest = front_code(keys, shared)
+    return bucket, salt, shared.tobytes(), sizes.tobytes(), rest, info.tobytes()
+
+
 def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int, length: int, few: bool) -> DataFrame:
-    """Spans (h, c, start, end) of the repeated windows of units that occur once (n = 1)."""
+    """Spans (h, c, start, end) of the repeated windows of units, as a table of materialize()."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = defaultdict(list)
+        held: dict[tuple, list[tuple]] = defaultdict(list)
         size = 0
 
-        def runs() -> pa.RecordBatch:
-            rows = []
-            for bucket, own in held.items():
+        def sorted_runs() -> pa.RecordBatch:
+            runs, spans = [], []
+            for to, own in held.items():
                 own.sort(key=lambda u: u[0])
-                shared, sizes, rest = front_code([u[0] for u in own])
-                rows.append((bucket, shared.tobytes(), sizes.tobytes(), rest, np.array([u[1:] for u in own], dtype=np.int64).tobytes()))
+                keys = [u[0] for u in own]
+                keys, shared, info, settled = collapse(keys, shared_with_previous(keys), np.array([u[1:] for u in own], dtype=np.int64))
+                runs.append(_run(*to, keys, shared, info))
+                spans.append(_places(settled, settled[:, _HI], settled[:, _LO], length))
             held.clear()
-            kinds = [pa.int32()] + [pa.binary()] * 4
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "shared", "sizes", "rest", "info"])
+            return pa.RecordBatch.from_arrays(_rows(runs, spans), schema=_RUN)
 
         for batch in batches:
             for text, h, c, own in zip(utf8(batch.column(0)), *(x.to_pylist() for x in batch.columns[1:]), strict=True):
                 for u in own:
                     i0, i1, p = u["i0"], u["i1"], u["p"]
                     suffix = text[p : i1 + length]
-                    held[u["a"] % buckets].append((suffix + text[i0:p][::-1], len(suffix), h, c, p, p - i1, p - i0, u["n"]))
+                    salt = h % u["salts"] + 1 if u["salts"] else 0
+                    held[u["a"] % buckets, salt].append((suffix + text[i0:p][::-1], len(suffix), p - i1, p - i0, u["n"], 1, h, c, p))
                     size += i1 + length - i0
-                if size > RUN_BYTES:
-                    yield runs()
-                    size = 0
+                    if size > RUN_BYTES:
+                        yield sorted_runs()
+                        size = 0
         if held:
-            yield runs()
+            yield sorted_runs()
 
-    def receive(table: pa.Table) -> pa.Table:
+    def merged(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         runs, infos = [], []
         for shared, sizes, rest, info in zip(*(table.column(x).to_pylist() for x in ("shared", "sizes", "rest", "info")), strict=True):
             s = np.frombuffer(shared, dtype=np.int32)
             runs.append((front_decode(s, np.frombuffer(sizes, dtype=np.int32), rest), s.tolist()))
-            infos.append(np.frombuffer(info, dtype=np.int64).reshape(-1, 7))
+            infos.append(np.frombuffer(info, dtype=np.int64).reshape(-1, 8))
         order, shared = merge(runs)
-        keys = [runs[r][0][i] for r, i in order]
-        right, h, c, p, lo, hi, n = np.array([infos[r][i] for r, i in order], dtype=np.int64).reshape(-1, 7).T
-        repeated = equal_windows(keys, shared, right, lo, hi, length)
-        repeated[:, n > 1] = False  # all windows of those are known to be repeated
+        starts = np.cumsum([0, *map(len, infos)])
+        return collapse([runs[r][0][i] for r, i in order], shared, np.concatenate(infos)[[starts[r] + i for r, i in order]])
+
+    def combine(key: tuple, table: pa.Table) -> pa.Table:
+        keys, shared, info, settled = merged(table)
+        run = _run(key[0].as_py(), key[1].as_py() // FAN, keys, shared, info)
+        return pa.Table.from_arrays(_rows([run], [_places(settled, settled[:, _HI], settled[:, _LO], length)]), schema=_RUN)
+
+    def receive(table: pa.Table) -> pa.Table:
+        keys, shared, info, settled = merged(table)
+        repeated = equal_windows(keys, shared, info[:, _RIGHT], info[:, _LO], info[:, _HI], length)
+        repeated[:, info[:, _OPEN] == 0] = False  # all windows of those are known to be repeated
         edge = np.diff(np.pad(repeated.T.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         unit, begin = np.nonzero(edge == 1)
         end = np.nonzero(edge == -1)[1] - 1  # windows begin .. end bytes before the anchor
-        return pa.table({"h": h[unit], "c": c[unit], "start": p[unit] - end, "end": p[unit] - begin + length})
+        spans = np.concatenate([_places(settled, settled[:, _HI], settled[:, _LO], length), _places(info[unit], end, begin, length)])
+        return pa.table({x: spans[:, i] for i, x in enumerate(_SPAN)})
 
     small_batches(docs.sparkSession)
-    runs = _with_texts(units, docs, few).mapInArrow(send, "bucket int, shared binary, sizes binary, rest binary, info binary")
-    return runs.groupBy("bucket").applyInArrow(receive, "h long, c long, start long, end long")
+    made = [materialize(_with_texts(units, docs, few).mapInArrow(send, _RUN_DDL), "runs")]
+    runs = made[0].where("bucket is not null")
+    top = units.agg(F.max("salts")).first()[0] or 0
+    while top:
+        made.append(materialize(runs.where("salt > 0").groupBy("bucket", "salt").applyInArrow(combine, _RUN_DDL), "runs"))
+        runs = runs.where("salt = 0").unionAll(made[-1].where("bucket is not null"))
+        top //= FAN
+    spans = reduce(DataFrame.unionAll, (m.where("bucket is null").select(_SPAN) for m in made))
+    out = materialize(spans.unionAll(runs.groupBy("bucket").applyInArrow(receive, "h long, c long, start long, end long")), "spans")
+    discard(*made)
+    return out
 
 
-def _settle(units: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Spans of the units that occur again, and one of each different unit that shares its anchor with another, with m (units of the anchor) and n (occurrences).
+def _open(units: DataFrame) -> DataFrame:
+    """The units whose anchor occurs again, each once for equal texts (n: occurrences), with m, the number of different units of the anchor, and salts, the groups in which its units are merged first (0: none).
 
-    units: a table of materialize(); it is deleted. Both sides of the join of units by anchor come from tables, so that Spark can
-    split the rows of a common anchor; beyond it, rows are counted by task before they move.
+    units: a table of materialize(); it is deleted. Both sides of the joins by anchor come from tables, so that Spark can split the
+    rows of a common anchor; beyond them, rows are counted by task before they move. Hashes of units (s) tell only how to split an anchor.
     """
-    again = materialize(units.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "anchors")
+    again = materialize(units.groupBy("a").agg(F.sum("n").alias("k")).where("k > 1").select("a"), "anchors")
     some = materialize(units.join(again, "a", "left_semi"), "units")
     discard(units, again)
-    each = materialize(some.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("h", "c", "i0", "i1", "p")).alias("of")), "units")
-    spans = some.join(each.where("n > 1").select("a", "s"), ["a", "s"], "left_semi").select("h", "c", F.col("i0").cast("long").alias("start"), (F.col("i1") + length).cast("long").alias("end")).distinct()
-    spans = materialize(spans, "spans")
+    each = materialize(some.groupBy("h", "c", "i0", "i1", "p", "a", "s").agg(F.sum("n").alias("n")), "units")
     discard(some)
-    many = each.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
-    open_ = materialize(each.select("a", "s", "n", "of.*").join(many, "a"), "open")
-    discard(each)
-    return spans, open_
+    sizes = each.groupBy("a", "s").agg(F.count("*").alias("k")).groupBy("a").agg(F.count("*").alias("m"), F.sum("k").alias("k"))
+    sizes = materialize(sizes.select("a", "m", F.when(F.col("k") > WIDE, F.ceil(F.col("k") / WIDE)).otherwise(0).cast("int").alias("salts")), "anchors")
+    out = materialize(each.join(sizes, "a"), "open")
+    discard(each, sizes)
+    return out
 
 
 def text_key() -> tuple[Column, Column]:
@@ -319,19 +386,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     small_batches(docs.sparkSession)
     h, c = text_key()
     docs = docs.select(F.col("text").cast("string").alias("text"), h.alias("h"), c.alias("c"))
-    spans, open_ = _settle(materialize(_scan(docs, length), "units"), length)
-    found = [spans]
+    open_ = _open(materialize(_scan(docs, length), "units"))
+    found = []
     for windows in (*PARTS, 0):
         few, many = open_.where(F.col("m") <= HOT), open_.where(F.col("m") > HOT)
         count = few.count()
-        if count:
-            found.append(materialize(_sorted_spans(few, docs, -(-count // BUCKET), length, count <= FEW), "spans"))
+        if count or not found:
+            found.append(_sorted_spans(few, docs, max(1, -(-count // BUCKET)), length, count <= FEW))
         if not windows or many.isEmpty():
             break
-        spans, left = _settle(materialize(_cut(many, docs, windows, length), "units"), length)
+        left = _open(materialize(_cut(many, docs, windows, length), "units"))
         discard(open_)
         open_ = left
-        found.append(spans)
     discard(open_)
     whole = reduce(DataFrame.unionAll, found)
     out = materialize(whole.distinct().groupBy("h", "c").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")

@@ -99,9 +99,14 @@ def test_near_duplicates_of_repeated_and_null_ids(docs):
 SPANS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@pytest.mark.parametrize("hot,length", [(1000, 400), (3, 400), (1000, 90)])
-def test_repeats(spark, docs, monkeypatch, hot, length):
+@pytest.mark.parametrize("hot,length,wide", [(1000, 400, 20_000), (3, 400, 2), (1000, 90, 2)])
+def test_repeats(spark, docs, monkeypatch, hot, length, wide):
+    """Also where anchors are split, and where they are merged in groups, whose runs are merged in several rounds."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+    if wide == 2:
+        monkeypatch.setattr(suffix_dedup, "FAN", 2)
+        monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 2000)
     monkeypatch.setattr(suffix_dedup, "FEW", 20_000 if length == 400 else 0)
     r = random.Random(1)
     cut = lambda: PASSAGE[(a := r.randrange(150)) : a + r.randrange(380, 500)]
@@ -111,6 +116,25 @@ def test_repeats(spark, docs, monkeypatch, hot, length):
         assert rows(suffix_dedup.report(spark.read.parquet(f"{SF}/documents.parquet"), length), *SPANS) == sorted(brute.repeats(shared(), length))
 
 
+def test_equal_units_become_one():
+    """Equal keys with suffixes of one length are one unit; its members with a place are told to be repeated."""
+    keys = [b"aa", b"ab", b"ab", b"ab", b"abc", b"b", b"b"]
+    info = np.array([[r, 0, 1, 1, 1, i, i, i] for i, r in enumerate([1, 2, 1, 2, 2, 1, 1])])
+    info[6, 3:5] = 2, 0
+    out, shared, kept, settled = suffix_dedup.collapse(keys, suffix_dedup.shared_with_previous(keys), info)
+    assert out == [b"aa", b"ab", b"ab", b"abc", b"b"] and shared.tolist() == [0, 1, 2, 2, 0]
+    assert kept[:, 0].tolist() == [1, 1, 2, 2, 1] and kept[:, 3].tolist() == [1, 1, 2, 1, 2] and kept[:, 4].tolist() == [1, 1, 0, 1, 0]
+    assert sorted(settled[:, 5].tolist()) == [1, 3, 5]
+    assert suffix_dedup.front_decode(*suffix_dedup.front_code(out, shared)) == out
+
+
+def test_unlike_units_of_one_hash_are_told_apart(spark, docs, monkeypatch):
+    """Hashes of units decide nothing: with one for all, the result is the same."""
+    plain = suffix_dedup._open
+    monkeypatch.setattr(suffix_dedup, "_open", lambda units: plain(suffix_dedup.materialize(units.withColumn("s", F.lit(1).cast("long")), "units")))
+    assert rows(suffix_dedup.report(docs(ODD)), *SPANS) == sorted(brute.repeats(ODD))
+
+
 def test_repeats_of_repeated_rows_and_clashing_names(spark):
     given = [(1, BASE), (1, BASE), (None, PASSAGE + "ж" * 100), (None, None), (3, ""), (3, PASSAGE)]
     names = "h c _h _c _kh _kc spans _spans units row".split()
