@@ -44,10 +44,10 @@ FEW = 20_000
 BUCKET, RUN_BYTES = 8000, 32 << 20
 #: Units of one anchor that are merged at once, and merged runs of such an anchor that are merged again.
 WIDE, FAN = 20_000, 64
-_UNIT = "h long, c long, i0 int, i1 int, p int, a long, s long, n long"
+_UNIT = "h long, c long, o int, i0 int, i1 int, p int, a long, s long, n long"
 _SPAN = ["h", "c", "start", "end"]
-_RUN = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), *((x, pa.binary()) for x in ("shared", "sizes", "rest", "info")), *((x, pa.int64()) for x in _SPAN)])
-_RUN_DDL = "bucket int, salt int, shared binary, sizes binary, rest binary, info binary, h long, c long, start long, end long"
+_RUN = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), *((x, pa.binary()) for x in ("shared", "sizes", "rest", "info")), *((x, pa.int64()) for x in _SPAN), ("piece", pa.binary()), ("units", pa.binary())])
+_RUN_DDL = "bucket int, salt int, shared binary, sizes binary, rest binary, info binary, h long, c long, start long, end long, piece binary, units binary"
 
 
 def _signed(x: int) -> int:
@@ -94,44 +94,43 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
                     s.append(_signed(digest(text[i0 : i1 + length])))
             at, i0, i1, p = np.concatenate(rows).T if rows else np.zeros((4, 0), dtype=np.int64)
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), *(pa.array(x, pa.int32()) for x in (i0, i1, p)), pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(np.ones(len(a), dtype=np.int64))], _UNIT.replace(",", "").split()[::2])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), *(pa.array(x, pa.int32()) for x in (np.zeros_like(i0), i0, i1, p)), pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(np.ones(len(a), dtype=np.int64))], _UNIT.replace(",", "").split()[::2])
 
     return docs.select("text", "h", "c").mapInArrow(run, _UNIT)
 
 
-def _cut(rows: DataFrame, docs: DataFrame, windows: int, length: int) -> DataFrame:
-    """Units of at most so many windows, cut from larger ones; their anchor is all that their windows share."""
+def _cut(pieces: DataFrame, windows: int, length: int) -> DataFrame:
+    """Units of at most so many windows, cut from larger ones, each the whole of its piece; their anchor is all that their windows share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             out: list[tuple] = []
-            for text, h, c, units in zip(utf8(batch.column(0)), *(x.to_pylist() for x in batch.columns[1:]), strict=True):
-                for u in units:
-                    i0, i1, p = u["i0"], u["i1"], u["p"]
-                    for part in range((p - i1) // windows, (p - i0) // windows + 1):
-                        near, far = p - part * windows, p - part * windows - windows + 1  # last and first window of the part, if all are there
-                        lo, hi = max(i0, far), min(i1, near)
-                        core = digest(text[near : far + length], (u["a"] ^ part * 0x9E3779B97F4A7C15) & (2**64 - 1))
-                        out.append((h, c, lo, hi, near, _signed(core), _signed(digest(text[lo : hi + length], core ^ near - lo)), u["n"]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] * 3)], _UNIT.replace(",", "").split()[::2])
+            for text, h, c, o, unit in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                i1, p, a, n = np.frombuffer(unit, dtype=np.int64).tolist()
+                for part in range((p - i1) // windows, (p - o) // windows + 1):
+                    near, far = p - part * windows, p - part * windows - windows + 1  # last and first window of the part, if all are there
+                    lo, hi = max(o, far), min(i1, near)
+                    core = digest(text[near - o : far - o + length], (a ^ part * 0x9E3779B97F4A7C15) & (2**64 - 1))
+                    out.append((h, c, o, lo, hi, near, _signed(core), _signed(digest(text[lo - o : hi - o + length], core ^ near - lo)), n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 4 + [pa.int64()] * 3)], _UNIT.replace(",", "").split()[::2])
 
-    return _with_texts(rows, docs, few=rows.count() <= FEW).mapInArrow(run, _UNIT)
+    return pieces.select("text", "h", "c", "o", "unit").mapInArrow(run, _UNIT)
 
 
-def _with_texts(units: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
-    """text, h, c and the list of units of each text that has any; a text's units are bounded by its length, and equal texts stand for one.
+def _with_texts(units: DataFrame, pieces: DataFrame, few: bool) -> DataFrame:
+    """text, h, c, o and the list of units of each piece of a text that has any; a piece's units are bounded by its length, and equal texts stand for one.
 
     few: whether the units are at most FEW, so that they are broadcast and only texts that have any are shuffled.
     """
-    own = units.groupBy("h", "c").agg(F.collect_list(F.struct("i0", "i1", "p", "a", "n", "salts")).alias("units"))
-    own = own.select(F.col("h").alias("_h"), F.col("c").alias("_c"), "units")
+    own = units.groupBy("h", "c", "o").agg(F.collect_list(F.struct("i0", "i1", "p", "a", "n", "m", "salts")).alias("units"))
+    own = own.select(F.col("h").alias("_h"), F.col("c").alias("_c"), F.col("o").alias("_o"), "units")
     # Tasks keep one of equal texts before rows move.
     if few:
-        found = docs.join(F.broadcast(own), (docs["h"] == own["_h"]) & (docs["c"] == own["_c"]))
-        return found.groupBy("h", "c").agg(F.first("text").alias("text"), F.first("units").alias("units")).select("text", "h", "c", "units")
-    each = docs.groupBy("h", "c").agg(F.first("text").alias("text"))
-    return each.join(own, (each["h"] == own["_h"]) & (each["c"] == own["_c"])).select("text", "h", "c", "units")
+        found = pieces.join(F.broadcast(own), (pieces["h"] == own["_h"]) & (pieces["c"] == own["_c"]) & (pieces["o"] == own["_o"]))
+        return found.groupBy("h", "c", "o").agg(F.first("text").alias("text"), F.first("units").alias("units")).select("text", "h", "c", "o", "units")
+    each = pieces.groupBy("h", "c", "o").agg(F.first("text").alias("text"))
+    return each.join(own, (each["h"] == own["_h"]) & (each["c"] == own["_c"]) & (each["o"] == own["_o"])).select("text", "h", "c", "o", "units")
 
 
 def common(a: bytes, b: bytes, at: int) -> int:
@@ -273,12 +272,32 @@ def _places(info: np.ndarray, first: np.ndarray, last: np.ndarray, length: int)
     return np.column_stack([info[:, _H], info[:, _C], info[:, _P] - first, info[:, _P] - last + length])
 
 
-def _rows(runs: list[tuple], spans: list[np.ndarray]) -> list[pa.Array]:
-    """Columns of _RUN: runs first, then spans."""
-    places = np.concatenate([np.zeros((0, 4), dtype=np.int64), *spans])
-    kinds = [f.type for f in _RUN]
-    own = [pa.concat_arrays([pa.array([r[i] for r in runs], k), pa.nulls(len(places), k)]) for i, k in enumerate(kinds[:6])]
-    return own + [pa.concat_arrays([pa.nulls(len(runs), pa.int64()), pa.array(places[:, i], pa.int64())]) for i in range(4)]
+def _joined_spans(spans: np.ndarray) -> np.ndarray:
+    """Spans (text, start, end) as disjoint ones; touching ones are one."""
+    spans = spans[np.lexsort(spans.T[::-1])]
+    if not len(spans):
+        return spans
+    text = np.cumsum(np.append(True, (spans[1:, :2] != spans[:-1, :2]).any(axis=1)))
+    wide = text * (1 << 32)  # texts are under 2 GB, so ends of one text never reach the next one's starts
+    reach = np.maximum.accumulate(wide + spans[:, 3])
+    first = np.append(True, (wide + spans[:, 2])[1:] > reach[:-1])
+    out = spans[first]
+    last = np.append(np.flatnonzero(first)[1:], len(spans)) - 1
+    out[:, 3] = reach[last] - wide[last]
+    return out
+
+
+def _rows(runs: list[tuple], spans: list[np.ndarray], pieces: list[tuple] = ()) -> list[pa.Array]:
+    """Columns of _RUN: runs first, then spans, then pieces (text, h, c, o, unit)."""
+    places = _joined_spans(np.concatenate([np.zeros((0, 4), dtype=np.int64), *spans]))
+    out = []
+    for i, kind in enumerate(_RUN.types):
+        a = pa.array([r[i] for r in runs], kind) if i < 6 else pa.nulls(len(runs), kind)
+        b = pa.array(places[:, i - 6], kind) if 6 <= i < 10 else pa.nulls(len(places), kind)
+        at = {6: 1, 7: 2, 8: 3, 10: 0, 11: 4}.get(i)
+        c = pa.nulls(len(pieces), kind) if at is None else pa.array([x[at] for x in pieces], kind)
+        out.append(pa.concat_arrays([a, b, c]))
+    return out
 
 
 def _run(bucket: int, salt: int, keys: list[bytes], shared: np.ndarray, info: np.ndarray) -> tuple:
@@ -286,11 +305,12 @@ def _run(bucket: int, salt: int, keys: list[bytes], shared: np.ndarray, info: np
     return bucket, salt, shared.tobytes(), sizes.tobytes(), rest, info.tobytes()
 
 
-def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int, length: int, few: bool) -> DataFrame:
-    """Spans (h, c, start, end) of the repeated windows of units, as a table of materialize()."""
+def _sorted_spans(units: DataFrame, pieces: DataFrame, buckets: int, length: int, few: bool, hot: float) -> tuple[DataFrame, DataFrame]:
+    """Spans (h, c, start, end) of the repeated windows of units, and as pieces (text, h, c, o, unit) the units of anchors with more than hot different ones; both are tables of materialize()."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[tuple]] = defaultdict(list)
+        split: list[tuple] = []
         size = 0
 
         def sorted_runs() -> pa.RecordBatch:
@@ -301,21 +321,26 @@ def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int, length: int,
                 keys, shared, info, settled = collapse(keys, shared_with_previous(keys), np.array([u[1:] for u in own], dtype=np.int64))
                 runs.append(_run(*to, keys, shared, info))
                 spans.append(_places(settled, settled[:, _HI], settled[:, _LO], length))
+            made = pa.RecordBatch.from_arrays(_rows(runs, spans, split), schema=_RUN)
             held.clear()
-            return pa.RecordBatch.from_arrays(_rows(runs, spans), schema=_RUN)
+            split.clear()
+            return made
 
         for batch in batches:
-            for text, h, c, own in zip(utf8(batch.column(0)), *(x.to_pylist() for x in batch.columns[1:]), strict=True):
+            for text, h, c, o, own in zip(utf8(batch.column(0)), *(x.to_pylist() for x in batch.columns[1:]), strict=True):
                 for u in own:
                     i0, i1, p = u["i0"], u["i1"], u["p"]
-                    suffix = text[p : i1 + length]
-                    salt = h % u["salts"] + 1 if u["salts"] else 0
-                    held[u["a"] % buckets, salt].append((suffix + text[i0:p][::-1], len(suffix), p - i1, p - i0, u["n"], 1, h, c, p))
                     size += i1 + length - i0
+                    if u["m"] > hot:
+                        split.append((text[i0 - o : i1 - o + length], h, c, i0, np.array([i1, p, u["a"], u["n"]], dtype=np.int64).tobytes()))
+                    else:
+                        suffix = text[p - o : i1 - o + length]
+                        salt = h % u["salts"] + 1 if u["salts"] else 0
+                        held[u["a"] % buckets, salt].append((suffix + text[i0 - o : p - o][::-1], len(suffix), p - i1, p - i0, u["n"], 1, h, c, p))
                     if size > RUN_BYTES:
                         yield sorted_runs()
                         size = 0
-        if held:
+        if held or split:
             yield sorted_runs()
 
     def merged(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -340,38 +365,40 @@ def _sorted_spans(units: DataFrame, docs: DataFrame, buckets: int, length: int,
         edge = np.diff(np.pad(repeated.T.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         unit, begin = np.nonzero(edge == 1)
         end = np.nonzero(edge == -1)[1] - 1  # windows begin .. end bytes before the anchor
-        spans = np.concatenate([_places(settled, settled[:, _HI], settled[:, _LO], length), _places(info[unit], end, begin, length)])
+        spans = _joined_spans(np.concatenate([_places(settled, settled[:, _HI], settled[:, _LO], length), _places(info[unit], end, begin, length)]))
         return pa.table({x: spans[:, i] for i, x in enumerate(_SPAN)})
 
-    small_batches(docs.sparkSession)
-    made = [materialize(_with_texts(units, docs, few).mapInArrow(send, _RUN_DDL), "runs")]
+    small_batches(pieces.sparkSession)
+    made = [materialize(_with_texts(units, pieces, few).mapInArrow(send, _RUN_DDL), "runs")]
     runs = made[0].where("bucket is not null")
     top = units.agg(F.max("salts")).first()[0] or 0
     while top:
         made.append(materialize(runs.where("salt > 0").groupBy("bucket", "salt").applyInArrow(combine, _RUN_DDL), "runs"))
         runs = runs.where("salt = 0").unionAll(made[-1].where("bucket is not null"))
         top //= FAN
-    spans = reduce(DataFrame.unionAll, (m.where("bucket is null").select(_SPAN) for m in made))
+    spans = reduce(DataFrame.unionAll, (m.where("end is not null").select(_SPAN) for m in made))
     out = materialize(spans.unionAll(runs.groupBy("bucket").applyInArrow(receive, "h long, c long, start long, end long")), "spans")
+    left = materialize(made[0].where("piece is not null").select(F.col("piece").alias("text"), "h", "c", F.col("start").cast("int").alias("o"), F.col("units").alias("unit")), "pieces")
     discard(*made)
-    return out
+    return out, left
 
 
 def _open(units: DataFrame) -> DataFrame:
-    """The units whose anchor occurs again, each once for equal texts (n: occurrences), with m, the number of different units of the anchor, and salts, the groups in which its units are merged first (0: none).
+    """The units whose anchor occurs again, each once for equal texts (n: occurrences), with m, the number of different units of a frequent anchor (of others 1), and salts, the groups in which its units are merged first (0: none).
 
     units: a table of materialize(); it is deleted. Both sides of the joins by anchor come from tables, so that Spark can split the
     rows of a common anchor; beyond them, rows are counted by task before they move. Hashes of units (s) tell only how to split an anchor.
     """
-    again = materialize(units.groupBy("a").agg(F.sum("n").alias("k")).where("k > 1").select("a"), "anchors")
+    again = materialize(units.groupBy("a").agg(F.sum("n").alias("k")).where("k > 1"), "anchors")
     some = materialize(units.join(again, "a", "left_semi"), "units")
-    discard(units, again)
-    each = materialize(some.groupBy("h", "c", "i0", "i1", "p", "a", "s").agg(F.sum("n").alias("n")), "units")
+    discard(units)
+    each = materialize(some.groupBy("h", "c", "o", "i0", "i1", "p", "a", "s").agg(F.sum("n").alias("n")), "units")
     discard(some)
-    sizes = each.groupBy("a", "s").agg(F.count("*").alias("k")).groupBy("a").agg(F.count("*").alias("m"), F.sum("k").alias("k"))
-    sizes = materialize(sizes.select("a", "m", F.when(F.col("k") > WIDE, F.ceil(F.col("k") / WIDE)).otherwise(0).cast("int").alias("salts")), "anchors")
-    out = materialize(each.join(sizes, "a"), "open")
-    discard(each, sizes)
+    sizes = each.join(again.where(F.col("k") > min(HOT, WIDE)), "a", "left_semi").groupBy("a", "s").agg(F.count("*").alias("k")).groupBy("a").agg(F.count("*").alias("m"), F.sum("k").alias("k"))
+    sizes = sizes.select("a", "m", F.when(F.col("k") > WIDE, F.ceil(F.col("k") / WIDE)).otherwise(0).cast("int").alias("salts")).where((F.col("m") > HOT) | (F.col("salts") > 0))
+    sizes = materialize(sizes, "anchors")  # frequent ones alone, so at most one for HOT units
+    out = materialize(each.join(sizes, "a", "left").withColumns({"m": F.coalesce("m", F.lit(1)), "salts": F.coalesce("salts", F.lit(0))}), "open")
+    discard(again, each, sizes)
     return out
 
 
@@ -382,26 +409,29 @@ def text_key() -> tuple[Column, Column]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """h, c (see text_key) and the list of byte spans that repeated windows of length bytes cover, of each text that has any; spans may overlap."""
+    """h, c (see text_key) and the list of disjoint byte spans that repeated windows of length bytes cover, of each text that has any."""
     small_batches(docs.sparkSession)
     h, c = text_key()
-    docs = docs.select(F.col("text").cast("string").alias("text"), h.alias("h"), c.alias("c"))
-    open_ = _open(materialize(_scan(docs, length), "units"))
-    found = []
+    pieces = docs.select(F.col("text").cast("string").alias("text"), h.alias("h"), c.alias("c"), F.lit(0).alias("o"))
+    units, found, spent = _scan(pieces, length), [], []
     for windows in (*PARTS, 0):
-        few, many = open_.where(F.col("m") <= HOT), open_.where(F.col("m") > HOT)
-        count = few.count()
-        if count or not found:
-            found.append(_sorted_spans(few, docs, max(1, -(-count // BUCKET)), length, count <= FEW))
-        if not windows or many.isEmpty():
+        open_ = _open(materialize(units, "units"))
+        count = open_.count()
+        spans, pieces = _sorted_spans(open_, pieces, max(1, -(-count // BUCKET)), length, count <= FEW, HOT if windows else float("inf"))
+        found.append(spans)
+        spent += [open_, pieces]
+        if not windows or pieces.isEmpty():
             break
-        left = _open(materialize(_cut(many, docs, windows, length), "units"))
-        discard(open_)
-        open_ = left
-    discard(open_)
-    whole = reduce(DataFrame.unionAll, found)
-    out = materialize(whole.distinct().groupBy("h", "c").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    discard(*found)
+        units = _cut(pieces, windows, length)
+    whole = reduce(DataFrame.unionAll, found).groupBy("h", "c").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"start": x, "end": y} for x, y in union(of)] for of in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["h", "c", "spans"])
+
+    out = materialize(whole.mapInArrow(joined, "h long, c long, spans array<struct<start: long, end: long>>"), "spans")
+    discard(*found, *spent)
     return out
 
 
