@@ -106,3 +106,21 @@ def test_cool_down_cut_at_random(spark, tmp_path):
     batch = events.cooldown_time(spark.createDataFrame(given, "root string, level int, ts timestamp_ntz, event boolean"), 5.0).where("kept")
     got = spark.read.parquet(str(tmp_path / "out")).where("root <> 'end'")
     assert rows(got, ["root", "level", "ts"]) == rows(batch, ["root", "level", "ts"]) and got.count() > 50
+
+
+def test_cool_down_of_long_series_to_the_last_event(spark, tmp_path):
+    """Of a stream in order, all events are judged, the latest one of all, between two milliseconds, too; series of thousands of events take no call to the state for each."""
+    r = random.Random(7)
+    start = dt.datetime(2024, 1, 1)
+    given = sorted({("R", i % 2, start + dt.timedelta(seconds=r.randrange(2_000_000), microseconds=r.randrange(10**6))) for i in range(20_000)}, key=lambda x: x[2])
+    end = given[-1][2] + dt.timedelta(hours=3)
+    given += [("R", 0, end.replace(microsecond=500_250)), ("R", 1, end.replace(microsecond=500_750))]
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    table = pa.table({"root": [g[0] for g in given], "level": pa.array([g[1] for g in given], pa.int32()), "ts": pa.array([g[2] for g in given], pa.timestamp("us")), "event": [True] * len(given)})
+    for part in (table.slice(0, 15_000), table.slice(15_000)):  # the second time from the checkpoint
+        pq.write_table(part, inbox / f"{part.num_rows}.parquet")
+        cooldown.write(cooldown.cooldown_time(stream_bars.read_stream(spark, str(inbox)), 2.0), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    batch = events.cooldown_time(spark.createDataFrame([(*g, True) for g in given], "root string, level int, ts timestamp_ntz, event boolean"), 2.0).where("kept")
+    got = rows(spark.read.parquet(str(tmp_path / "out")), ["root", "level", "ts"])
+    assert got == rows(batch, ["root", "level", "ts"]) and [x[2].microsecond for x in got if x[2] > end - dt.timedelta(minutes=1)] == [500_250, 500_750]
