@@ -104,7 +104,10 @@ def _folded(tables: str, to: str) -> str:
 def _peeled(left: str, third: str, seed: str) -> str:
     """SQL: the digests that only the first (mine) and only the second of two tables has (other), recovered from the difference of their cells; null if they don't peel."""
     pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1L and x.check = xxhash64(x.key, 7)), x -> named_struct('n', x.n, 'key', x.key)))"
-    less = _subtract("s.cells", _table(_placed("now", "d.n", "d.key", third, seed), third))
+    # Only cells that a digest lies in are made again.
+    minus = "if(x.c0 = c or x.c1 = c or x.c2 = c, named_struct('n', a.n - x.n, 'key', a.key ^ x.key, 'check', a.check ^ x.check), a)"
+    less = f"transform(s.cells, (y, c) -> if(array_contains(hit, c), aggregate(placed, y, (a, x) -> {minus}), y))"
+    less = _let("placed", _placed("now", "d.n", "d.key", third, seed), _let("hit", "flatten(transform(placed, x -> array(x.c0, x.c1, x.c2)))", less))
     after = f"named_struct('cells', {less}, 'found', concat(s.found, now), 'stuck', false)"
     step = _let("now", pure, f"if(size(now) = 0, named_struct('cells', s.cells, 'found', s.found, 'stuck', true), {after})")
     start = f"named_struct('cells', {left}, 'found', cast(array() as array<struct<n: bigint, key: bigint>>), 'stuck', false)"
@@ -120,9 +123,9 @@ def peeled(a: str, b: str) -> str:
     return _let("a", a, _let("b", b, differ))
 
 
-def _again(mine: str, other: str, first: str) -> str:
-    """SQL: the same for a group of digests, by tables twice as large in each attempt from the given one on, and by comparison where none peels."""
-    tables = _subtract(cells(mine, "third", "t"), cells(other, "third", "t"))
+def _again(mine: str, other: str, first: str, left: str) -> str:
+    """SQL: the same for a group of digests, by tables twice as large in each attempt from the given one on, and by comparison where none peels. left: the difference of tables of the size of a sketch's, for attempt 0."""
+    tables = f"if(t = 0, {left}, {_subtract(cells(mine, 'third', 't'), cells(other, 'third', 't'))})"
     attempt = _let("third", f"cast({CELLS // 3} * pow(2, t) as int)", _peeled(tables, "third", "t"))
     kind = "struct<mine: array<bigint>, other: array<bigint>>"
     plainly = f"named_struct('mine', array_except({mine}, {other}), 'other', array_except({other}, {mine}))"
@@ -136,9 +139,15 @@ def with_difference(df: DataFrame, name: str, a: str, b: str, sketch_a: str, ske
     """
     finer = f"greatest({_level(a)}, {_level(b)})"
     pairs = f"zip_with({_groups(a, 'level')}, {_groups(b, 'level')}, (x, y) -> named_struct('mine', x, 'other', y))"
+    # The sketch of the one with more groups has its tables of them already.
+    own = lambda tables, group: f"if(size({tables}) = size(pairs), {tables}[h], {cells(group, str(CELLS // 3), '0')})"
+    left = _subtract(own("tables_a", "q.mine"), own("tables_b", "q.other"))
     # Groups of the finer one have more cells already than the tables that were added up.
-    part = f"transform(slice(pairs, g * (size(pairs) div size({name})) + 1, size(pairs) div size({name})), q -> {_again('q.mine', 'q.other', f'if(size(pairs) > size({name}), 0, 1)')})"
+    again = _again("q.mine", "q.other", f"if(size(pairs) > size({name}), 0, 1)", left)
+    each = f"transform(slice(pairs, begin + 1, size(pairs) div size({name})), (q, i) -> {_let('h', 'begin + i', again)})"
+    part = _let("begin", f"cast(g * (size(pairs) div size({name})) as int)", each)
     retried = _let("level", finer, _let("pairs", pairs, f"flatten(transform({name}, (f, g) -> if(f is null, {part}, array(f))))"))
+    retried = _let("tables_a", sketch_a, _let("tables_b", sketch_b, retried))
     every = df.withColumn(name, F.expr(peeled(sketch_a, sketch_b))).withColumn(name, F.expr(f"if(exists({name}, f -> f is null), {retried}, {name})"))
     return every.withColumn(name, F.expr(f"named_struct('mine', flatten(transform({name}, x -> x.mine)), 'other', flatten(transform({name}, x -> x.other)))"))
 

@@ -1,6 +1,7 @@
 """Operators over documents against plain versions: on odd rows, and on the smallest shared tables."""
 
 import random
+import re
 import zlib
 
 import brute
@@ -9,6 +10,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tenorline.llm import bpe, hilbert, iblt, neardup, packing, queries, suffix_dedup, token_counts
 
@@ -284,3 +286,27 @@ def test_empty_tables(docs):
     ranks = bpe.load_ranks(brute.BYTE_BPE)
     made = [bpe.encode(none, ranks, public_tokenizers.PATTERN), neardup.near_duplicates(none), neardup.keep_one(none), suffix_dedup.report(none), suffix_dedup.remove(none), packing.pack(none, brute.WORD_BPE), hilbert.shards(none), iblt.fingerprints(none)]
     assert all(df.count() == 0 for df in made)
+
+
+def test_groups_of_the_longer_text_are_not_sketched_again(spark):
+    """Of sets of very different sizes, finer groups are compared by the tables that the larger one's sketch has: a digest that only the sketch has comes out."""
+    r = random.Random(8)
+    large = [r.getrandbits(62) for _ in range(400)]
+    other = [large[0] ^ 1 << 61, *large[1:]]  # in the same group
+    df = spark.createDataFrame([(large, other, large[:5])], "a array<bigint>, told array<bigint>, b array<bigint>").withColumns({"s": F.expr(iblt.sketch("told")), "t": F.expr(iblt.sketch("b"))})
+    for one, two, s, t, mine in (("a", "b", "s", "t", "mine"), ("b", "a", "t", "s", "other")):
+        found = iblt.with_difference(df, "d", one, two, s, t).first()["d"]
+        assert other[0] in found[mine] and large[0] not in found[mine] and set(large[5:]) <= set(found[mine])
+    same = df.withColumn("s", F.expr(iblt.sketch("a")))
+    assert sorted(iblt.with_difference(same, "d", "a", "b", "s", "t").first()["d"]["mine"]) == sorted(large[5:])
+
+
+def test_new_words_take_the_model_alone():
+    """Words of letters that aren't remembered go to the model as they are, without an encoding around them; ids are the tokenizer's, and runs of symbols before a full stop are found as before."""
+    encode, memory, r = Tokenizer.from_file(brute.WORD_BPE).encode, packing.Words.at(brute.WORD_BPE), random.Random(9)
+    assert [x.id for x in memory.bare("qzxunseenword")] == encode("qzxunseenword", add_special_tokens=False).ids
+    before = re.compile(r"[^\w\t-\r \x85\xa0][.,] |_[.,] ")
+    for _ in range(2000):
+        text = "".join(r.choice(["ab", "Q", "7", "_", ".", ",", ";", " ", "\n", "\x85", "\xa0", "é", "ß", "ª", "'", "µ", "ż"]) for _ in range(r.randrange(14)))
+        assert bool(packing._RUN.search(text)) == bool(before.search(text)), text
+        assert np.frombuffer(memory(text), dtype="<u4").tolist() == encode(text, add_special_tokens=False).ids, text
