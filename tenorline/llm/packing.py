@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ BROADCAST_ROWS = 100_000
 
 
 #: A symbol before a full stop or comma: the tokenizer takes such a run as one word, so it isn't split.
-_RUN = re.compile(r"[^\w\t-\r \x85\xa0][.,] |_[.,] ")
+_RUN = re.compile(r"[.,] (?<=[^\w\t-\r \x85\xa0][.,] |_[.,] )")
 #: What the tokenizer's pattern makes of a word of ASCII characters without apostrophes.
 _PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -75,7 +76,7 @@ class Words(dict):
             words = cls.of[path] = cls()
             words.old, tokenizer = {}, Tokenizer.from_file(path)
             words.encode = tokenizer.encode
-            words.bare = Tokenizer(tokenizer.model).encode  # small letters are one word, which normalisation leaves as it is
+            words.bare = tokenizer.model.tokenize  # small letters are one word, which normalisation leaves as it is
             words.as_bytes = str.maketrans({chr(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(256)})
         return cls.of[path]
 
@@ -92,13 +93,16 @@ class Words(dict):
     def made(self, word: str) -> bytes:
         """The ids of a word that isn't remembered."""
         if word.islower():
-            if word.isalpha() and max(word) < "\u0100":
-                return np.array(self.bare(word.translate(self.as_bytes), add_special_tokens=False).ids, dtype="<u4").tobytes()
-            if word.isascii() and "'" not in word and word.isprintable():
-                parts = _PARTS.findall(word)
-                if len(parts) > 1:
-                    return b"".join([self[x] for x in parts])
-        return np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if word.isascii():
+                if word.isalpha():
+                    return array("I", [x.id for x in self.bare(word)]).tobytes()
+                if "'" not in word and word.isprintable():
+                    parts = _PARTS.findall(word)
+                    if len(parts) > 1:
+                        return b"".join([self[x] for x in parts])
+            elif word.isalpha() and max(word) < "\u0100":
+                return array("I", [x.id for x in self.bare(word.translate(self.as_bytes))]).tobytes()
+        return array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text."""
