@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tenorline.llm import bpe, hilbert, iblt, neardup, packing, queries, suffix_dedup, token_counts
+from tenorline.llm import bpe, common, hilbert, iblt, neardup, packing, queries, suffix_dedup, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -153,6 +153,24 @@ def test_repeats_go_from_texts(docs):
     assert out[3]["text"] is None and out[2]["text"] == "q" and out[2]["n_chars"] == 1 and BASE not in out[1]["text"]
 
 
+def test_texts_without_repeats_stay_where_they_are(spark, docs, monkeypatch):
+    """Only texts that may have repeats are shuffled, however large tables are; a filter that holds too many keys lets all through, with the same result."""
+    monkeypatch.setattr(suffix_dedup, "FEW", 0)
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 20)
+    given = [(i, words(1000 + i, 20_000)) for i in range(20)] + [(100 + i, words(50 + i, 5) + PASSAGE) for i in range(3)]
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        assert rows(suffix_dedup.report(docs(given)), *SPANS) == sorted(brute.repeats(given))
+        assert moved() - before < sum(len(t) for _, t in given) / 4
+        monkeypatch.setattr(common, "FILTER_BITS", 0)
+        assert rows(suffix_dedup.report(docs(given)), *SPANS) == sorted(brute.repeats(given))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
 def test_packing(spark, docs):
     for source, given in ((docs(ODD), ODD), (spark.read.parquet(f"{SF}/documents.parquet"), shared())):
         pieces = [r.asDict() for r in packing.pack(source, brute.WORD_BPE).collect()]
