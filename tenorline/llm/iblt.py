@@ -104,16 +104,20 @@ def _folded(tables: str, to: str) -> str:
 def _peeled(left: str, third: str, seed: str) -> str:
     """SQL: the digests that only the first (mine) and only the second of two tables has (other), recovered from the difference of their cells; null if they don't peel."""
     pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1L and x.check = xxhash64(x.key, 7)), x -> named_struct('n', x.n, 'key', x.key)))"
-    # Only cells that a digest lies in are made again.
-    minus = "if(x.c0 = c or x.c1 = c or x.c2 = c, named_struct('n', a.n - x.n, 'key', a.key ^ x.key, 'check', a.check ^ x.check), a)"
-    less = f"transform(s.cells, (y, c) -> if(array_contains(hit, c), aggregate(placed, y, (a, x) -> {minus}), y))"
-    less = _let("placed", _placed("now", "d.n", "d.key", third, seed), _let("hit", "flatten(transform(placed, x -> array(x.c0, x.c1, x.c2)))", less))
+    # Only cells that a digest lies in are made again, each part by the digests' cells in it.
+    minus = lambda p: f"if(x.c{p} = c, named_struct('n', a.n - x.n, 'key', a.key ^ x.key, 'check', a.check ^ x.check), a)"
+    again = lambda p: f"transform(sequence({p} * {third}, {p + 1} * {third} - 1), c -> if(array_contains(hit, c), aggregate(placed, s.cells[c], (a, x) -> {minus(p)}), s.cells[c]))"
+    part = lambda p: _let("hit", f"transform(placed, x -> x.c{p})", again(p))
+    less = _let("placed", _placed("now", "d.n", "d.key", third, seed), f"concat({part(0)}, {part(1)}, {part(2)})")
     after = f"named_struct('cells', {less}, 'found', concat(s.found, now), 'stuck', false)"
     step = _let("now", pure, f"if(size(now) = 0, named_struct('cells', s.cells, 'found', s.found, 'stuck', true), {after})")
-    start = f"named_struct('cells', {left}, 'found', cast(array() as array<struct<n: bigint, key: bigint>>), 'stuck', false)"
+    start = "named_struct('cells', less, 'found', cast(array() as array<struct<n: bigint, key: bigint>>), 'stuck', false)"
     side = lambda n: f"transform(filter(s.found, x -> x.n = {n}L), x -> x.key)"
     whole = f"if(exists(s.cells, x -> x.n <> 0L or x.key <> 0L or x.check <> 0L), null, named_struct('mine', {side(1)}, 'other', {side(-1)}))"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.stuck, s, {step}), s -> {whole})"
+    peel = f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.stuck, s, {step}), s -> {whole})"
+    # Each cell gives one digest at most, so a table doesn't peel if one side has that many more than the other; a part's counts add up to how many.
+    more = f"abs(aggregate(slice(less, 1, {third}), 0L, (sum, x) -> sum + x.n))"
+    return _let("less", left, f"if({more} > 3 * {third}, null, {peel})")
 
 
 def peeled(a: str, b: str) -> str:

@@ -319,6 +319,16 @@ def test_groups_of_the_longer_text_are_not_sketched_again(spark):
     assert sorted(iblt.with_difference(same, "d", "a", "b", "s", "t").first()["d"]["mine"]) == sorted(large[5:])
 
 
+def test_tables_with_too_many_digests_for_their_cells(spark):
+    """A table doesn't peel if one side has more digests than cells besides the other's, and is given up before any round; others peel as before."""
+    one = spark.range(1).select(F.expr("transform(sequence(1, 100), x -> xxhash64(x))").alias("a"))
+    table = lambda of: iblt.cells(of, str(iblt.CELLS // 3), "0")
+    found = lambda n, m: one.select(F.expr(iblt._peeled(iblt._subtract(table(f"slice(a, 1, {n})"), table(f"slice(a, 11, {m})")), str(iblt.CELLS // 3), "0")).alias("x"), "a").first()
+    assert found(0, iblt.CELLS + 1)["x"] is None and found(90, 20)["x"] is None
+    x, a = found(20, 20)
+    assert sorted(x["mine"]) == sorted(a[:10]) and sorted(x["other"]) == sorted(a[20:30])
+
+
 def test_new_words_take_the_model_alone():
     """Words of letters that aren't remembered go to the model as they are, without an encoding around them; ids are the tokenizer's, and runs of symbols before a full stop are found as before."""
     encode, memory, r = Tokenizer.from_file(brute.WORD_BPE).encode, packing.Words.at(brute.WORD_BPE), random.Random(9)
