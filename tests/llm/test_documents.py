@@ -118,6 +118,24 @@ def test_repeats(spark, docs, monkeypatch, hot, length, wide):
         assert rows(suffix_dedup.report(spark.read.parquet(f"{SF}/documents.parquet"), length), *SPANS) == sorted(brute.repeats(shared(), length))
 
 
+def test_the_very_same_units_of_a_split_anchor_move_once(docs, monkeypatch):
+    """Of a line that fills texts, and so of an anchor with very many units, each different unit is one piece, not each place of it."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    line = words(20, 90)
+    given = [(i, words(1300 + i, 30) + line * 40 + words(1400 + i, 30)) for i in range(6)]
+    left, plain = [], suffix_dedup._sorted_spans
+
+    def counted(*a):
+        out = plain(*a)
+        left.append((out[1].count(), out[1].select("text").distinct().count()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_spans", counted)
+    monkeypatch.setattr(suffix_dedup, "_with_texts", lambda *a, f=suffix_dedup._with_texts: f(*a).coalesce(1))
+    assert rows(suffix_dedup.report(docs(given)), *SPANS) == sorted(brute.repeats(given))
+    assert 0 < left[0][0] == left[0][1]
+
+
 def test_equal_units_become_one():
     """Equal keys with suffixes of one length are one unit; its members with a place are told to be repeated."""
     keys = [b"aa", b"ab", b"ab", b"ab", b"abc", b"b", b"b"]
