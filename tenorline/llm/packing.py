@@ -70,7 +70,7 @@ class Words(dict):
 
     @classmethod
     def at(cls, path: str) -> Words:
-        """This Python worker's own memory of a tokenizer; it lives as long as the worker."""
+        """This Python worker's own memory of a tokenizer; it lives from task to task, until pieces are made."""
         if path not in cls.of:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
             words = cls.of[path] = cls()
@@ -220,6 +220,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, mixture: dict[st
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Words.of.clear()  # words are done with; workers stay, and their memory counts in whatever comes after
         rounds = Rounds(*held.value)
         for batch in batches:
             if not batch.num_rows:

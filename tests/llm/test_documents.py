@@ -171,6 +171,14 @@ def test_repeats_go_from_texts(docs):
     assert out[3]["text"] is None and out[2]["text"] == "q" and out[2]["n_chars"] == 1 and BASE not in out[1]["text"]
 
 
+def test_spans_take_one_python_worker_a_task(docs, monkeypatch):
+    """Few spans are broadcast to the step that cuts texts; of many, rows that stay are looked up and passed on in one step."""
+    plan = lambda: suffix_dedup.remove(docs(ODD))._jdf.queryExecution().executedPlan().toString()
+    assert plan().count("MapInArrow") == 1
+    monkeypatch.setattr(suffix_dedup, "FEW", 0)
+    assert plan().count("MapInArrow") == 3
+
+
 def test_texts_without_repeats_stay_where_they_are(spark, docs, monkeypatch):
     """Only texts that may have repeats are shuffled, however large tables are; a filter that holds too many keys lets all through, with the same result."""
     monkeypatch.setattr(suffix_dedup, "FEW", 0)
