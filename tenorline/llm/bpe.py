@@ -181,9 +181,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block: int =
         packed = struct.Struct("<i").pack
 
         class Codes(dict):
+            """The codes of units, kept without the blank before them (blank) or as they are."""
+
+            def __init__(self, blank: str) -> None:
+                self.blank = blank
+
             def __missing__(self, unit: str) -> bytes:
                 out = []
-                for word in find(unit):
+                for word in find(self.blank + unit):
                     data = word.encode("utf-8", "surrogatepass")
                     if (code := known.get(data)) is not None:
                         out.append(packed(code))
@@ -198,18 +203,23 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block: int =
             new = list(islice(own, sent, None))
             return pa.RecordBatch.from_arrays([pa.array([sent], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), lists(new)], ["sent", "ids", "codes", "words"])
 
-        seen = Codes()
+        seen, behind = Codes(""), Codes(" ")
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 ids.append(doc_id)
-                codes.append(b"".join(map(seen.__getitem__, units(text))))
+                if _NO_SPLIT.search(text):
+                    codes.append(b"".join(map(seen.__getitem__, _UNITS.findall(text))))
+                else:  # as units() has it, but no string is made for a unit that was seen
+                    first, *rest = text.split(" ")
+                    codes.append(seen[first] + b"".join(map(behind.__getitem__, rest)))
                 size += len(text)
                 if size > block:
                     yield done()
                     ids, codes, size, sent = [], [], 0, len(own)
-                    if sent > words or len(seen) > UNITS:
+                    if sent > words or len(seen) + len(behind) > UNITS:
                         seen.clear()  # of units, what was seen since the last time
+                        behind.clear()
                     if sent > words:
                         own.clear()
                         sent = 0
@@ -258,9 +268,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     held = spark.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()})  # the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = held.value.__getitem__
+        pieces = np.full(max(held.value, default=0) + 1, None, dtype=object)
+        for rank, piece in held.value.items():
+            pieces[rank] = piece
         for batch in batches:
-            out = [b"".join(map(piece, np.frombuffer(x, dtype="<u4").tolist())) for x in utf8(batch.column(1))]
+            out = [b"".join(pieces[np.frombuffer(x, dtype="<u4")].tolist()) for x in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -58,6 +58,19 @@ def test_bpe(spark, docs):
     assert rows(queries.op1_bpe(spark, SF), *BPE) == sorted(brute.bpe(shared()))
 
 
+def test_bpe_words_folded_ahead(spark, docs):
+    """Words that several tasks meet are folded once, ahead, and the ids of texts stay the same, whichever words these are."""
+    texts = ["zqxatherine leschlichbel  \n ñüciónarllja", "zqxatherine ñüciónarllja onlybyone" + "q" * 300, "zqxatherine", " zqxatherine", None, ""]
+    given = docs([(i, x) for i, x in enumerate(texts)]).repartition(6, "doc_id")
+    ranks = bpe.load_ranks(brute.BYTE_BPE)
+    ahead = bpe.common_words(given, spark.sparkContext.broadcast(ranks), bpe.rank_map(spark, ranks), public_tokenizers.PATTERN, 1.0)
+    assert "ñüciónarllja".encode() not in ahead and " ñüciónarllja".encode() in ahead and all(w not in ranks for w in ahead)
+    pieces = {rank: piece for piece, rank in ranks.items()}
+    assert all(b"".join(pieces[x] for x in np.frombuffer(ids, "<i4").tolist()) == w for w, ids in ahead.items())
+    want = sorted(brute.bpe([(i, x) for i, x in enumerate(texts)]))
+    assert encoded(given, share=1.0) == want and encoded(given, share=0.5) == want and encoded(given.coalesce(1), share=1.0, block=1) == want
+
+
 NEAR = ("doc_id", "n_shingles", "component_id", "kept")
 
 
