@@ -8,14 +8,19 @@ have bits in the same bytes are tried at once. Prefixes are extended depth-first
 
 Counts are sums over shards. A phrase can only be frequent if its parts are, so three passes are made: words; from frequent words on,
 pairs; from frequent pairs on, phrases of three and four words, depth-first. After each the shards get back what of their own is frequent;
-this is joined by shard, never broadcast, since it grows with the texts. A word or pair has one row for each shard at most, so its rows can
+this is dealt out by shard, never broadcast, since it grows with the texts. A word or pair has one row for each shard at most, so its rows can
 meet once, by a window, for their sum and for what goes back to the shards.
+
+With more texts, more of a shard's own pairs are frequent, up to all of them. So a task reads them as a stream behind their shard, keeps a number
+of eight bytes for each, and gives out phrases branch by branch; it never holds them all as strings. Shards lie in tables as pieces of some words
+each, so that no row needs large buffers, which executors would keep.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +32,19 @@ from .common import discard, materialize, small_batches, utf8
 
 #: Bytes of text of a shard; a longer text is a shard of its own.
 SHARD_BYTES = 16 << 20
+#: Shards of SHARD_BYTES whose texts a task may hold; beyond, that is with many languages, the largest ends early.
+OPEN_SHARDS = 5
 #: Bytes of bitmaps of the prefixes that are extended together.
-BRANCH = 300_000
+BRANCH = 50_000
+#: Bytes of bitmaps of a row of a shard's table; a word with more is a row of its own.
+PIECE = 50_000
+#: Frequent pairs that are looked up together.
+LOOKUP = 200_000
 #: Words of a phrase at most, least occurrences, and hundredths of a phrase's occurrences that make a longer one stand for it.
 LONGEST, LEAST, ABSORB = 4, 30, 80
-_TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
-_SHARD = "shard long, lang string, many long, words array<binary>, counts binary, sizes binary, places binary, bits binary"
+_UPPER = bytes(range(65, 91))
+_TABLE = bytes.maketrans(_UPPER + b".,;:!?\n\x0b\x0c\r\t", _UPPER.lower() + b"\n" * 10 + b" ")
+_SHARD = "shard long, lang string, many long, base int, words binary, counts binary, sizes binary, places binary, bits binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -46,28 +58,37 @@ def _unplanes(x: bytes) -> np.ndarray:
 
 def tokens(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Different words of texts that are joined by a line end, the number of each word in order, and its position: one more than the word's before it, two more in the next piece."""
-    raw = np.frombuffer(data.lower().translate(_TABLE), dtype=np.uint8)
-    inside = (raw != 10) & (raw != 32)
-    turn = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]]).astype(np.int8)))
-    start, end = turn[0::2], turn[1::2]
-    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype("<i4")
-    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
-    piece = np.cumsum(raw == 10, dtype=np.int32)[start] if len(start) else np.zeros(0, np.int32)
-    after = np.concatenate([[0], np.cumsum(np.diff(piece) > 0)]) if len(start) else piece
-    return words.dictionary, words.indices.to_numpy(zero_copy_only=False), np.arange(len(start)) + after
+    raw = np.frombuffer(data.translate(_TABLE), dtype=np.uint8)
+    del data
+    edge = np.zeros(len(raw) + 2, bool)
+    inside = edge[1:-1]
+    np.logical_and(raw != 10, raw != 32, out=inside)
+    turn = np.flatnonzero(edge[1:] != edge[:-1]).astype(np.int32)
+    letters, pieces = raw[inside], np.flatnonzero(raw == 10).astype(np.int32)
+    del raw, inside, edge  # all of these are as long as the texts
+    start = turn[0::2]
+    offsets = np.zeros(len(start) + 1, "<i4")
+    np.cumsum(turn[1::2] - start, out=offsets[1:])
+    first = np.searchsorted(start, pieces)  # the first word behind each end of a piece
+    step = np.ones(len(start), np.int32)
+    step[:1] = 0
+    step[first[(first > 0) & (first < len(start))]] = 2
+    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(zero_copy_only=False), np.cumsum(step, dtype=np.int32)
 
 
 def bitmaps(codes: np.ndarray, positions: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each of many words the number of its bytes; all places of bytes and bytes, by word and place."""
     order = np.argsort(codes, kind="stable")
-    word, at = codes[order].astype(np.int64), positions[order]
+    word, at = codes[order], positions[order]
+    del order
     first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (at[1:] >> 3 != at[:-1] >> 3))) if len(word) else np.zeros(0, np.int64)
-    bits = np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first) if len(first) else np.zeros(0, np.uint8)
+    bits = np.bitwise_or.reduceat(np.left_shift(1, at & 7, dtype=np.int32).astype(np.uint8), first) if len(first) else np.zeros(0, np.uint8)
     return np.bincount(word[first], minlength=many), at[first] >> 3, bits
 
 
 def _shards(docs: DataFrame) -> DataFrame:
-    """The shards of docs (lang, text) with their bitmaps."""
+    """The shards of docs (lang, text) with their bitmaps: for each piece its first word's number, and occurrences (many), words, counts, bytes, places and bits of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -76,58 +97,72 @@ def _shards(docs: DataFrame) -> DataFrame:
         held: dict[str, list[bytes]] = defaultdict(list)
         size: dict[str, int] = defaultdict(int)
 
-        def shard(lang: str) -> pa.RecordBatch:
+        def shard(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            words, codes, positions = tokens(b"\n".join(held.pop(lang)))
             size.pop(lang)
+            words, codes, positions = tokens(b"\n".join(held.pop(lang)))
+            if not len(codes):
+                return
             counts = np.bincount(codes, minlength=len(words))
             sizes, places, bits = bitmaps(codes, positions, len(words))
+            del codes, positions
             number += 1
-            row = [number, lang, len(codes), words.to_pylist(), counts.astype("<i4").tobytes(), sizes.astype("<i4").tobytes(), _planes(places), bits.tobytes()]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [c.split()[0] for c in _SHARD.split(", ")])
-
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for start, end in pairwise([0, *(np.flatnonzero(np.diff((ends[1:] - 1) // PIECE)) + 1).tolist(), len(words)]):
+                own = slice(ends[start], ends[end])
+                row = [number, lang, int(counts[start:end].sum()), start, b" ".join(words.slice(start, end - start).to_pylist()), *(x[start:end].astype("<i4").tobytes() for x in (counts, sizes)), _planes(places[own]), bits[own].tobytes()]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [c.split()[0] for c in _SHARD.split(", ")])
+
+        whole = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 held[lang].append(text)
                 size[lang] += len(text) + 1
-                if size[lang] > SHARD_BYTES:
-                    yield shard(lang)
+                whole += len(text) + 1
+                if size[lang] > SHARD_BYTES or whole > OPEN_SHARDS * SHARD_BYTES:
+                    most = max(size, key=size.__getitem__)
+                    whole -= size[most]
+                    yield from shard(most)
+                    pa.default_memory_pool().release_unused()
         for lang in list(held):
-            yield shard(lang)
+            yield from shard(lang)
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, _SHARD)
 
 
+def _split(words: bytes) -> pa.Array:
+    return pa.array(words.split(b" "), pa.binary())
+
+
 def _words(shards: DataFrame) -> DataFrame:
     """shard, lang, word, code, n: the words of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, lang, words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for shard, lang, base, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = np.frombuffer(counts, "<i4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(shard, pa.int64()), len(n)), pa.repeat(pa.scalar(lang), len(n)), words.values.cast(pa.string()), pa.array(np.arange(len(n)), pa.int32()), pa.array(n)], ["shard", "lang", "word", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(shard, pa.int64()), len(n)), pa.repeat(pa.scalar(lang), len(n)), _split(words).cast(pa.string()), pa.array(np.arange(base, base + len(n)), pa.int32()), pa.array(n)], ["shard", "lang", "word", "code", "n"])
 
-    return shards.select("shard", "lang", "words", "counts").mapInArrow(run, "shard long, lang string, word string, code int, n long")
+    return shards.select("shard", "lang", "base", "words", "counts").mapInArrow(run, "shard long, lang string, word string, code int, n long")
 
 
 class Vertical:
     """A shard's bitmaps of some of its words, and the extension of prefixes by them."""
 
-    def __init__(self, row: dict, wanted: np.ndarray) -> None:
-        sizes, places, bits = np.frombuffer(row["sizes"], "<i4"), _unplanes(row["places"]), np.frombuffer(row["bits"], np.uint8)
+    def __init__(self, sizes: np.ndarray, places: np.ndarray, bits: np.ndarray, wanted: np.ndarray) -> None:
         self.many = len(sizes)
-        word = np.repeat(np.arange(self.many), sizes)
         own = np.zeros(self.many, bool)
         own[wanted] = True
-        keep = own[word]
+        keep = np.repeat(own, sizes)
         #: Bitmaps by word, as they are stored.
-        self.word, self.place, self.bits = word[keep], places[keep].astype(np.int64), bits[keep]
+        self.word = np.repeat(np.flatnonzero(own).astype(np.int32), sizes[own])
+        self.place, self.bits = places[keep], bits[keep]
         #: The same by place: where the bytes of each place begin.
         order = np.argsort(self.place, kind="stable")
         self.by_word, self.by_bits = self.word[order], self.bits[order]
-        self.begin = np.searchsorted(self.place[order], np.arange((self.place.max() if len(self.place) else 0) + 3))
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.place, minlength=1)), [len(order)] * 2])
 
     def branches(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The bitmaps of all words, some words at a time, as prefixes of one word."""
@@ -154,7 +189,7 @@ class Vertical:
 
 def _counted(prefix: np.ndarray, word: np.ndarray, place: np.ndarray, bits: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Different (prefix, word), in order, their popcounts, and their bitmaps as prefixes by number."""
-    keys, number = np.unique(prefix * many + word, return_inverse=True)
+    keys, number = np.unique(prefix.astype(np.int64) * many + word, return_inverse=True)
     n = np.bincount(number, weights=np.bitwise_count(bits), minlength=len(keys)).astype(np.int64)
     return keys // many, keys % many, n, (number, place, bits)
 
@@ -163,61 +198,106 @@ def _phrase(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
     return pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in columns), b" ").cast(pa.string())
 
 
-def _shard_row(table: pa.Table) -> tuple[dict, pa.Array]:
-    """A shard's row and its words."""
-    row = {n: table.column(n)[0].as_py() for n in ("shard", "lang", "sizes", "places", "bits")}
-    return row, table.column("words").combine_chunks().values
+def _with_shard(shards: DataFrame, frequent: DataFrame, key: str) -> DataFrame:
+    """shard, key, held: the pieces of each shard (held; key is null) and, behind them in the same task, the keys of frequent (shard, key) that are its own."""
+    rows = shards.select("shard", F.lit(None).cast(frequent.schema[key].dataType).alias(key), F.struct("base", "lang", "words", "sizes", "places", "bits").alias("held"))
+    rows = rows.unionByName(frequent.select("shard", key), allowMissingColumns=True)
+    return rows.repartition("shard").sortWithinPartitions(F.col("shard") * 2 + F.col(key).isNotNull().cast("long"))
+
+
+class Shard:
+    """A shard as its pieces give it."""
+
+    def __init__(self, number: int, pieces: list[dict]) -> None:
+        pieces.sort(key=lambda x: x["base"])
+        self.number, self.lang = number, pa.scalar(pieces[0]["lang"])
+        self.words = pa.concat_arrays([_split(x["words"]) for x in pieces])
+        self.bitmaps = [np.concatenate([read(x[n]) for x in pieces]) for n, read in (("sizes", lambda x: np.frombuffer(x, "<i4")), ("places", _unplanes), ("bits", lambda x: np.frombuffer(x, np.uint8)))]
+
+
+def by_shard(batches: Iterator[pa.RecordBatch], found: Callable[[Shard, pa.Array], np.ndarray]) -> Iterator[tuple[Shard, np.ndarray]]:
+    """Each shard and found(shard, keys) of all its keys, of the rows of _with_shard(); keys are looked up some at a time, and a shard without any is left out."""
+    number, shard, pieces, keys, wait, many = None, None, [], [], [], 0
+
+    def look() -> None:
+        nonlocal shard, pieces, wait, many
+        if many:
+            shard = shard or Shard(number, pieces)
+            pieces = []
+            keys.append(found(shard, pa.concat_arrays(wait)))
+        wait, many = [], 0
+
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for start, end in pairwise([0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]):
+            if start < end and ids[start] != number:
+                look()
+                if keys:
+                    yield shard, np.concatenate(keys)
+                    pa.default_memory_pool().release_unused()
+                number, shard, pieces, keys = int(ids[start]), None, [], []
+            held = batch.column(2).slice(start, end - start).drop_null().to_pylist()
+            pieces += held
+            wait.append(batch.column(1).slice(start + len(held), end - start - len(held)))
+            many += len(wait[-1])
+            if many >= LOOKUP:
+                look()
+    look()
+    if keys:
+        yield shard, np.concatenate(keys)
+
+
+def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shard, lang, phrase, n: pairs of frequent words, of the rows of _with_shard() with codes."""
+    for shard, codes in by_shard(batches, lambda _, keys: keys.to_numpy()):
+        v = Vertical(*shard.bitmaps, codes)
+        for branch in v.branches():
+            a, b, n, _ = _counted(*v.extended(*branch), v.many)
+            if len(n):
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(shard.number, pa.int64()), len(n)), pa.repeat(shard.lang, len(n)), _phrase(shard.words, [a, b]), pa.array(n)], ["shard", "lang", "phrase", "n"])
 
 
 def _pairs(shards: DataFrame, frequent: DataFrame) -> DataFrame:
     """shard, lang, phrase, n: pairs of frequent words (shard, code) in each shard."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-        parts = []
-        if len(left) and len(right):
-            row, words = _shard_row(left)
-            v = Vertical(row, right.column("code").to_numpy())
-            for branch in v.branches():
-                a, b, n, _ = _counted(*v.extended(*branch), v.many)
-                parts.append(pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(row["shard"], pa.int64()), len(n)), pa.repeat(pa.scalar(row["lang"]), len(n)), _phrase(words, [a, b]), pa.array(n)], schema=schema))
-        return pa.Table.from_batches(parts, schema)
-
-    return shards.drop("counts", "many").groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(run, "shard long, lang string, phrase string, n long")
+    return _with_shard(shards, frequent, "code").mapInArrow(pairs_of, "shard long, lang string, phrase string, n long")
+
+
+def _numbers(shard: Shard, pairs: pa.Array) -> np.ndarray:
+    """The codes of pairs' words as one number each."""
+    both = pc.split_pattern(pairs.cast(pa.binary()), b" ")
+    a, b = (pc.index_in(pc.list_element(both, i), value_set=shard.words).to_numpy().astype(np.int64) for i in (0, 1))
+    return a * len(shard.words) + b
+
+
+def longer_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, size, n: phrases of three words and more of which all pairs are frequent, of the rows of _with_shard() with pairs."""
+    for shard, allowed in by_shard(batches, _numbers):
+        allowed.sort()
+        own = np.zeros(len(shard.words), bool)
+        own[allowed // len(own)] = own[allowed % len(own)] = True
+        v = Vertical(*shard.bitmaps, own)
+
+        def grow(phrases: list[np.ndarray], prefix: np.ndarray, place: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Extend phrases (columns of codes), whose bitmaps are numbered by row, to the longest, depth-first."""
+            prefix, word, place, bits = v.extended(prefix, place, bits)
+            pair = phrases[-1][prefix].astype(np.int64) * v.many + word
+            at = np.searchsorted(allowed, pair)
+            known = allowed[np.minimum(at, len(allowed) - 1)] == pair
+            first, last, n, maps = _counted(prefix[known], word[known], place[known], bits[known], v.many)
+            longer = [c[first] for c in phrases] + [last]
+            if len(longer) > 2 and len(n):
+                yield pa.RecordBatch.from_arrays([pa.repeat(shard.lang, len(n)), _phrase(shard.words, longer), pa.repeat(pa.scalar(len(longer), pa.int32()), len(n)), pa.array(n)], ["lang", "phrase", "size", "n"])
+            if len(longer) < LONGEST and len(n):
+                yield from grow(longer, *maps)
+
+        every = np.arange(v.many)
+        for branch in v.branches():
+            yield from grow([every], *branch)
 
 
 def _longer(shards: DataFrame, frequent: DataFrame) -> DataFrame:
     """lang, phrase, size, n: phrases of three words and more of which all pairs are frequent (shard, phrase), in each shard."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
-        parts: list[pa.RecordBatch] = []
-        if len(left) and len(right):
-            row, words = _shard_row(left)
-            both = pc.split_pattern(right.column("phrase").combine_chunks().cast(pa.binary()), b" ")
-            a, b = (pc.index_in(pc.list_element(both, i), value_set=words).to_numpy().astype(np.int64) for i in (0, 1))
-            v = Vertical(row, np.unique(np.concatenate([a, b])))
-            allowed = np.sort(a * v.many + b)
-
-            def grow(phrases: list[np.ndarray], prefix: np.ndarray, place: np.ndarray, bits: np.ndarray) -> None:
-                """Extend phrases (columns of codes), whose bitmaps are numbered by row, to the longest, depth-first."""
-                prefix, word, place, bits = v.extended(prefix, place, bits)
-                pair = phrases[-1][prefix] * v.many + word
-                at = np.searchsorted(allowed, pair)
-                known = allowed[np.minimum(at, len(allowed) - 1)] == pair
-                first, last, n, maps = _counted(prefix[known], word[known], place[known], bits[known], v.many)
-                longer = [c[first] for c in phrases] + [last]
-                if len(longer) > 2 and len(n):
-                    parts.append(pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(row["lang"]), len(n)), _phrase(words, longer), pa.repeat(pa.scalar(len(longer), pa.int32()), len(n)), pa.array(n)], schema=schema))
-                if len(longer) < LONGEST and len(n):
-                    grow(longer, *maps)
-
-            every = np.arange(v.many)
-            for branch in v.branches():
-                grow([every], *branch)
-        return pa.Table.from_batches(parts, schema)
-
-    return shards.drop("counts", "many").groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(run, "lang string, phrase string, size int, n long")
+    return _with_shard(shards, frequent, "phrase").mapInArrow(longer_of, "lang string, phrase string, size int, n long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +305,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     shards = materialize(_shards(docs.select(lang, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))), "shards")
     total = materialize(shards.groupBy("lang").agg(F.sum("many").alias("n")), "total")
-    often = lambda df, key: df.withColumn("f", F.sum("n").over(Window.partitionBy("lang", key))).where(F.col("f") >= least)
+    often = lambda df, key: df.withColumn("f", F.sum("n").over(Window.partitionBy("lang", key))).where(F.col("f") >= least).drop("n")
     words = materialize(often(_words(shards), "word"), "words")
     pairs = materialize(often(_pairs(shards, words.select("shard", "code")), "phrase"), "pairs")
     more = _longer(shards, pairs.select("shard", "phrase"))

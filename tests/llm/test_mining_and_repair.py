@@ -114,6 +114,36 @@ def test_collocations_of_the_tables(spark):
     assert in_order(queries.op12_collocations(spark, SF), *PHRASE) == sorted(con.execute(f"SELECT {', '.join(PHRASE)} FROM ({queries.ORACLE_SQL['op12_collocations']})").fetchall())
 
 
+def test_phrases_leave_a_shard_by_parts(spark, monkeypatch):
+    """All pairs of a shard are frequent: its phrases are whole, and come branch by branch; the frequent pairs are looked up some at a time."""
+    monkeypatch.setattr(collocations, "PIECE", 1000)
+    monkeypatch.setattr(collocations, "BRANCH", 2000)
+    monkeypatch.setattr(collocations, "LOOKUP", 5000)
+    r = random.Random(5)
+    words = [f"w{r.randrange(3000)}" for _ in range(40_000)]
+    text = spark.createDataFrame([(" ".join(words), "en")], "text string, lang string")
+    shards = collocations._shards(text.select("lang", "text")).cache()
+    assert shards.count() > 20 and shards.select("shard").distinct().count() == 1
+    pairs = spark.createDataFrame(sorted({f"{a} {b}" for a, b in zip(words, words[1:])}), "string").selectExpr("value AS phrase").crossJoin(shards.select("shard").distinct())
+    rows = collocations._with_shard(shards, pairs, "phrase").toArrow().to_batches(max_chunksize=1000)
+    parts = list(collocations.longer_of(iter(rows)))
+    found = Counter()
+    for part in parts:
+        found.update(dict(zip(part.column("phrase").to_pylist(), part.column("n").to_pylist())))
+    assert found == Counter(" ".join(words[i : i + m]) for m in (3, 4) for i in range(len(words) - m + 1))
+    assert sum(len(p) for p in parts) > 70_000 and max(len(p) for p in parts) <= 5000
+
+
+def test_texts_of_many_languages_are_not_held(spark, monkeypatch):
+    """No language fills a shard, but together they are more than a task may hold: shards end early, with the same result."""
+    monkeypatch.setattr(collocations, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(collocations, "OPEN_SHARDS", 2)
+    made = [("of the " * 20 + "new york", f"l{i}") for _ in range(12) for i in range(60)]
+    given = spark.createDataFrame(made, "text string, lang string").coalesce(1)
+    assert collocations._shards(given.select("lang", "text")).select("shard").distinct().count() > 60
+    assert in_order(collocations.collocations(given), *PHRASE) == brute_phrases(made, 30)
+
+
 def test_scores_pass_64_bits(spark):
     big = 9_000_000_000_000_000_000
     made = spark.createDataFrame([("en", "a", 1, big), ("en", "b", 1, big), ("en", "a b", 2, big), ("en", "b a", 2, big // 3)], "lang string, phrase string, size int, f long")
